@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import column, sliced
+from tidemark.llm.common import arrow_map, column, sliced
 
 #: Entries kept in a memo before it starts anew: bounds a worker's memory whatever the vocabulary.
 MEMO = 500_000
@@ -170,7 +170,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return arrow_map(rows, run, f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def bpe_digest(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,4 +192,4 @@ def bpe_digest(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(rows, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

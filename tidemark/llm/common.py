@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,3 +56,23 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that their Python finds it on any cluster."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidemark_sent", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    name = Path(tempfile.mkdtemp()).resolve() / "tidemark.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    sc.addPyFile(str(name))
+    sc._tidemark_sent = True
+
+
+def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow with this package at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
