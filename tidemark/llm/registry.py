@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import table
+from tidemark.llm.jaccard import op10_query
 from tidemark.llm.langid import op8_query
 from tidemark.llm.mixing import OP2_SQL, op2_query
 from tidemark.llm.quality import op5_query
 from tidemark.llm.sharding import op1_query
 from tidemark.llm.tokencount import op4_query
+from tidemark.llm.vectors import op3_query
 
 
 def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,10 +27,12 @@ def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_label_propagation_shards": op1_query,
     "op2_sainte_lague_mix": op2_query,
+    "op3_cross_polytope_links": op3_query,
     "op4_trie_token_counts": op4_query,
     "op5_ngram_quality": op5_query,
     "op6_forced_boundary_bpe": op6_query,
     "op8_segmentation_langid": op8_query,
+    "op10_jaccard_metric_join": op10_query,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_sainte_lague_mix": OP2_SQL}
