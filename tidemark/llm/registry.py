@@ -13,6 +13,7 @@ from tidemark.llm.mixing import OP2_SQL, op2_query
 from tidemark.llm.quality import op5_query
 from tidemark.llm.sharding import op1_query
 from tidemark.llm.tokencount import op4_query
+from tidemark.llm.tokenfile import op7_query
 from tidemark.llm.vectors import op3_query
 
 
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_trie_token_counts": op4_query,
     "op5_ngram_quality": op5_query,
     "op6_forced_boundary_bpe": op6_query,
+    "op7_mph_token_files": op7_query,
     "op8_segmentation_langid": op8_query,
     "op10_jaccard_metric_join": op10_query,
 }
