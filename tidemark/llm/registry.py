@@ -10,6 +10,7 @@ from tidemark.llm.common import table
 from tidemark.llm.jaccard import op10_query
 from tidemark.llm.langid import op8_query
 from tidemark.llm.mixing import OP2_SQL, op2_query
+from tidemark.llm.pii import op9_query
 from tidemark.llm.quality import op5_query
 from tidemark.llm.sharding import op1_query
 from tidemark.llm.tokencount import op4_query
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_forced_boundary_bpe": op6_query,
     "op7_mph_token_files": op7_query,
     "op8_segmentation_langid": op8_query,
+    "op9_disclosure_sanitiser": op9_query,
     "op10_jaccard_metric_join": op10_query,
 }
 
