@@ -45,12 +45,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_r
     w = F.element_at(F.array(*[F.lit(x).cast("long") for x in weights]), (F.col("place") % len(weights) + 1).cast("int"))
     own = own.withColumn("weight", w).withColumn("cap", F.col("source_size") * max_repeats)
     own = own.withColumn("total", F.sum("source_size").over(every))
-    before = W.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("place").asc()).rowsBetween(W.unboundedPreceding, -1)
+    in_order = W.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("place").asc())
+    before = in_order.rowsBetween(W.unboundedPreceding, -1)
+    own = own.withColumn("turn", F.row_number().over(in_order))
     own = own.withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0)))
     own = own.withColumn("open", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    level = (F.col("total") - F.col("capped")) / F.col("open")
-    own = own.withColumn("level", level)
-    own = own.withColumn("at", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(every))
+    own = own.withColumn("level", (F.col("total") - F.col("capped")) / F.col("open"))
+    first = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("turn"))
+    own = own.withColumn("at", F.min_by("level", first).over(every))
     target = F.least(F.col("cap").cast("double"), F.col("at") * F.col("weight"))
     return own.select("source", "place", "weight", "source_size", "total", target.alias("target"))
 
@@ -150,10 +152,10 @@ with d as (
 s0 as (select source, sum(size)::bigint as source_size from d group by source),
 s1 as (select *, row_number() over (order by source nulls last) - 1 as place from s0),
 s2 as (select *, [1, 2, 3][(place % 3 + 1)::int]::bigint as weight, source_size * 3 as cap, (sum(source_size) over ())::bigint as total from s1),
-s3 as (select *, coalesce(sum(cap) over (order by cap / weight, place rows between unbounded preceding and 1 preceding), 0)::bigint as capped,
+s3 as (select *, row_number() over (order by cap / weight, place) as turn, coalesce(sum(cap) over (order by cap / weight, place rows between unbounded preceding and 1 preceding), 0)::bigint as capped,
          (sum(weight) over () - coalesce(sum(weight) over (order by cap / weight, place rows between unbounded preceding and 1 preceding), 0))::bigint as open_w from s2),
 s4 as (select *, (total - capped)::double / open_w::double as level from s3),
-s5 as (select *, min(case when level * weight <= cap then level end) over () as lvl, count(*) over () as n from s4),
+s5 as (select *, arg_min(level, case when level * weight <= cap then turn end) over () as lvl, count(*) over () as n from s4),
 t as (select source, place, source_size, total, n, least(cap::double, lvl * weight) as target, (total // 16) as blocks from s5),
 k0 as (select *, case when total > 0 then target / total else 0 end as share from t),
 k1 as (select *, greatest(0, floor(share * (blocks - n / 2.0) + 0.5) - 1)::bigint as low,
