@@ -17,6 +17,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -162,7 +163,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
         model = model_at(tokenizer_path)
         for b in sliced(batches):
             entries = [model.entries(t or "") for t in column(b, "text")]
-            ids = [[int(i) for _, s, _ in e for i in s.split(" ")] for e in entries]
+            ids = [np.fromstring(" ".join([s for _, s, _ in e]), np.int32, sep=" ") for e in entries]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([" ".join(t for _, _, t in e) for e in entries], pa.string())],
                 ["doc_id", "ids", "decoded"],

@@ -152,8 +152,8 @@ def fit_languages(train: DataFrame, piece_path: str, *, per_language: int = 300,
     return langs, probs
 
 
-def identify_languages(docs: DataFrame, langs: list[str], probs: np.ndarray, piece_path: str) -> DataFrame:
-    """(doc_id, lang_pred, score) for every row of (doc_id, text)."""
+def identify_languages(docs: DataFrame, langs: list[str], probs: np.ndarray, piece_path: str, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep`, lang_pred and score for every row of docs."""
     probs = probs.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,11 +165,12 @@ def identify_languages(docs: DataFrame, langs: list[str], probs: np.ndarray, pie
                 at = 0 if sums is None else int(sums.argmax())
                 pred.append("und" if sums is None else langs[at])
                 score.append(0.0 if sums is None else float(1 / np.exp(sums - sums[at]).sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+            own = [b.column(i) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
-    rows = docs.select("doc_id", "text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return arrow_map(rows, run, f"doc_id {kind}, lang_pred string, score double")
+    rows = docs.select(*keep, *(["text"] if "text" not in keep else []))
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return arrow_map(rows, run, f"{kinds}, lang_pred string, score double")
 
 
 def held_out_part(doc_id) -> "F.Column":
