@@ -96,12 +96,12 @@ def term_spans(found: DataFrame, texts: DataFrame, *, window: int = 64, threshol
     begin = F.greatest(F.lit(0), F.col("s.start") - window)
     before = F.concat(F.when(F.col("s.start") <= window, F.lit(" ")).otherwise(F.lit("")), F.substring("text", begin + 1, F.col("s.start") - begin), F.lit(" "))
     after = F.concat(F.lit(" "), F.substring("text", F.col("s.end") + 1, F.lit(window)), F.when(F.col("s.end") + window >= F.length("text"), F.lit(" ")).otherwise(F.lit("")))
-    near = near.select("doc_id", "h", "rows", entity(F.col("s")).alias("e"), F.explode(F.array(
+    seen = F.xxhash64(F.lower(before), F.lower(after))
+    near = near.select("doc_id", "h", "rows", entity(F.col("s")).alias("e"), seen.alias("seen"), F.explode(F.array(
         F.struct(before.alias("ctx"), (begin - F.when(F.col("s.start") <= window, 1).otherwise(0)).alias("off")),
         F.struct(after.alias("ctx"), (F.col("s.end") - 1).alias("off")),
     )).alias("c"))
-    seen = F.xxhash64(F.lower("c.ctx"))
-    terms = near.select("doc_id", "h", "rows", "e", "c.off", seen.alias("seen"), F.explode(spans_of(F.col("c.ctx"), TERM, F.lit(True))).alias("t"))
+    terms = near.select("doc_id", "h", "rows", "e", "c.off", "seen", F.explode(spans_of(F.col("c.ctx"), TERM, F.lit(True))).alias("t"))
     terms = terms.select("doc_id", "h", "rows", "e", "seen", F.lower("t.value").alias("t"), (F.col("off") + F.col("t.start")).alias("start"), (F.col("off") + F.col("t.end")).alias("end"))
     terms = cut(terms)
 

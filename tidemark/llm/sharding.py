@@ -129,7 +129,7 @@ def shard_documents(docs: DataFrame, *, n_shards: int = 40, rounds: int = 4, edg
     room = quota.join(full, "shard", "left").select("shard", (F.col("quota") - F.coalesce("n", F.lit(0))).alias("room"))
     room = room.withColumn("upto", F.sum("room").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, W.currentRow)))
     # One entry per shard at most.
-    stops = F.array(*[F.struct(F.lit(r["upto"]).alias("upto"), F.lit(r["shard"]).alias("shard")) for r in room.filter("room > 0").orderBy("shard").collect()])
+    stops = F.array(*[F.struct(F.lit(r["upto"]).alias("upto"), F.lit(r["shard"]).alias("shard")) for r in room.filter("room > 0").orderBy("shard").collect()]).cast("array<struct<upto:bigint,shard:int>>")
     loose = placed.filter("shard is null").drop("shard")
     loose = running_before(loose, [], ["grp", "h", "doc_id"], F.lit(1), bucket(SLICES, F.coalesce("grp", "h")), "number")
     loose = loose.withColumn("shard", first_stop(stops))
