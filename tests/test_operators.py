@@ -1,0 +1,130 @@
+"""Properties that SQL does not show: splits, recurrences, ranks, models, sinks."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark import functions as fn
+from tidemark import sources
+from tidemark.operators import candidates, features, keys, metrics, models, transforms
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 3))
+    y = x @ [1.0, -0.5, 0.0] + rng.normal(size=900)
+    data = [(int(i), *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))]
+    df = keys.assign_segments(keys.row_index(spark.createDataFrame(data, "id long, a double, b double, c double, y double"), "id"), 7).cache()
+    return df, x, y
+
+
+def test_row_index_and_segments(rows):
+    df, x, _ = rows
+    out = df.select("id", "row_idx", "n_rows", "seg").collect()
+    assert all(r["id"] == r["row_idx"] and r["seg"] == r["row_idx"] * 7 // 900 for r in out)
+
+
+@pytest.mark.parametrize("embargo", [0, 5, 40])
+def test_purged_folds(rows, embargo):
+    df, _, _ = rows
+    seg = np.arange(900) * 7 // 900
+    out = keys.purged_folds(df, 3, embargo).collect()
+    valid = {f: {r["row_idx"] for r in out if r["fold"] == f and r["role"] == "valid"} for f in range(3)}
+    assert sorted(i for v in valid.values() for i in v) == list(range(900))
+    for f, v in valid.items():
+        assert all((np.flatnonzero(seg == s)[0] in v) == (i in v) for s in range(7) for i in np.flatnonzero(seg == s))
+        near = {j for i in v for j in range(i - embargo, i + embargo + 1)}
+        assert {r["row_idx"] for r in out if r["fold"] == f and r["role"] == "train"} == set(range(900)) - near
+
+
+@pytest.mark.parametrize("span", [4, 32, 64])
+def test_ema_is_the_recurrence(rows, span):
+    df, x, _ = rows
+    got = [r["ema"] for r in transforms.ema(df, "a", span).orderBy("row_idx").collect()]
+    e, out = x[0, 0], []
+    for v in x[:, 0]:
+        e = e + 2 / (span + 1) * (v - e)
+        out.append(e)
+    assert np.allclose(got, out, atol=1e-9)
+
+
+def test_ranks(spark):
+    values = [3.0, 1.0, 2.0, 2.0, 2.0, 9.0, 1.0]
+    df = spark.createDataFrame(list(enumerate(values)), "id long, v double")
+    place = {r["id"]: r["r"] for r in metrics.position_rank(df, "v", "id", "r", slices=3).collect()}
+    order = sorted(range(7), key=lambda i: (values[i], i))
+    assert [place[i] for i in order] == list(range(7))
+    mean = {r["id"]: r["r"] for r in metrics.average_rank(df, "v", "r").collect()}
+    assert [mean[i] for i in range(7)] == [6, 1.5, 4, 4, 4, 7, 1.5]
+
+
+def test_ridge_and_pls_against_numpy(rows):
+    df, x, y = rows
+    coef, intercept = models.fit_ridge(df, ["a", "b", "c"], "y", 3.0)
+    z = (x - x.mean(0)) / x.std(0)
+    beta = np.linalg.solve(z.T @ z + 3 * np.eye(3), z.T @ (y - y.mean())) / x.std(0)
+    assert np.allclose(list(coef.values()), beta) and intercept == pytest.approx(y.mean() - beta @ x.mean(0))
+    full = np.linalg.lstsq(z, y - y.mean(), rcond=None)[0]
+    assert np.allclose(list(models.pls1(df, ["a", "b", "c"], "y", 3).values()), full, atol=1e-8)
+    one = z.T @ (y - y.mean())
+    got = np.array(list(models.pls1(df, ["a", "b", "c"], "y", 1).values()))
+    assert np.allclose(got / np.linalg.norm(got), one / np.linalg.norm(one))
+
+
+def test_sign_flipper(spark):
+    """A strong column that flips its sign in some segments falls behind a weak stable one."""
+    rng = np.random.default_rng(6)
+    seg = np.arange(1200) // 150
+    strong, weak = rng.normal(size=1200), rng.normal(size=1200)
+    y = np.where(np.isin(seg, [1, 4, 6]), -1, 1) * strong + 0.15 * weak + 0.3 * rng.normal(size=1200)
+    df = keys.assign_segments(keys.row_index(spark.createDataFrame([(i, float(a), float(b), float(t)) for i, (a, b, t) in enumerate(zip(strong, weak, y))], "id long, s double, w double, y double"), "id"), 8)
+    first = lambda r: features.ranked(r).filter("rank = 1").first()["feature"]
+    assert first(features.rank_top(df, ["s", "w"], "y")) == "s"
+    assert first(features.rank_sign_stability(df, ["s", "w"], "y")) == "w"
+
+
+def test_constant_columns_have_no_correlation(spark):
+    df = spark.createDataFrame([(1.0, float(i)) for i in range(9)], "x double, y double")
+    assert df.agg(fn.pearson("x", "y").alias("c")).first()["c"] == 0
+    assert df.limit(2).agg(fn.pearson("y", "y").alias("c")).first()["c"] == 0
+
+
+def test_empty_tables(spark):
+    df = spark.createDataFrame([], "id long, a double, b double, y double")
+    indexed = keys.assign_segments(keys.row_index(df, "id"))
+    assert indexed.count() == 0
+    assert features.corr_vector(indexed, ["a", "b"], "y").select("corr").distinct().collect()[0][0] == 0
+    assert transforms.ema(indexed, "a", 4).count() == 0
+
+
+def test_sources(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2.5, "x"), (2, 3.5, "y")], "id long, feature double, t string")
+    df.write.csv(str(tmp_path / "a.csv"), header=True)
+    df.write.json(str(tmp_path / "a.jsonl"))
+    df.write.parquet(str(tmp_path / "a"))
+    for n in ("a.csv", "a.jsonl", "a"):
+        assert sources.read_table(spark, str(tmp_path / n)).count() == 2
+    with pytest.raises(ValueError):
+        sources.read_table(spark, "x.feather")
+    assert sources.select_features(df, df.drop("id")) == ["feature"]
+    sample = spark.createDataFrame([(1, 0.0), (2, 0.0)], "id long, target double")
+    facts = sources.write_predictions(spark.createDataFrame([(1, 0.5), (2, 1.5)], "id long, pred double"), sample, "id", "target", str(tmp_path / "out"))
+    assert tuple(facts.first()) == (2, 1.0, 0.5)
+    with pytest.raises(ValueError):  # one prediction for two sample rows
+        sources.write_predictions(spark.createDataFrame([(1, 0.5)], "id long, pred double"), sample, "id", "target", str(tmp_path / "out2"))
+    with pytest.raises(ValueError):
+        sources.write_predictions(spark.createDataFrame([(1, 0.5), (2, float("nan"))], "id long, pred double"), sample, "id", "target", str(tmp_path / "out3"))
+    assert sources.union_reports(df, sample).columns == ["id", "feature", "t", "target"]
+
+
+def test_joint_codes(spark):
+    a, b = spark.createDataFrame([("b",), (None,)], "v string"), spark.createDataFrame([("a",), ("b",)], "v string")
+    assert {r["value"]: r["code"] for r in transforms.joint_codes(a, b, "v").collect()} == {"None": 0, "a": 1, "b": 2}
+
+
+def test_last_wins_and_gates(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 2, 6), ("b", 1, 7)], "k string, o int, v int")
+    assert {(r["k"], r["v"]) for r in candidates.last_wins(df, ["k"], "o").collect()} == {("a", 6), ("b", 7)}
+    c = spark.createDataFrame([("x", 0.1, 0.1, 0.1, 3), ("y", 0.1, -0.1, 0.1, 9), ("z", -0.1, 0.1, 0.1, 3)], "key string, oof double, width double, wf_width double, overfit int")
+    assert {r["key"]: (r["decision"], r["reasons"]) for r in candidates.gate_decision(c).collect()} == {"x": ("promote", ""), "y": ("expand", "width<=0|overfit>6"), "z": ("reject", "oof<=0")}
