@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from tidemark import functions as fn
 from tidemark.operators import candidates as ca
+from tidemark.operators import ensemble as en
 from tidemark.operators import features as fe
 from tidemark.operators import keys as ke
+from tidemark.operators import memory as my
 from tidemark.operators import metrics as me
 from tidemark.operators import models as mo
 from tidemark.operators import transforms as tr
@@ -529,7 +531,7 @@ c as (select *, skill || '|' || family || '|' || transform as key, n % 9 as over
 
 
 def on_lessons(name: str, sql: str, make: Callable[[DataFrame], DataFrame], *round_: str) -> None:
-    query(name, LESSONS + sql)(lambda spark, d: rounded(make(lessons(spark, d)), *round_))
+    query(name, LESSONS + sql)(lambda spark, d: rounded(make(lessons(spark, d)), *round_, to=9))
 
 
 on_lessons("gate_decision", """select key, case when oof > 0 and width > 0 and wf_width > 0 and overfit <= 6 then 'promote' when oof > 0 then 'expand' else 'reject' end as decision,
@@ -541,14 +543,14 @@ on_lessons("learning_curve", ", g as (select key, (sum(cost) over w)::double as
 on_lessons("quorum_report", "select family, count(distinct skill)::bigint as voters, count(distinct skill) >= 3 as quorum, string_agg(distinct skill, ',' order by skill) as names from c group by family", lambda c: ca.quorum_report(c, "skill"))
 on_lessons("species_report", "select skill, count(*)::bigint as lessons, sum(promoted::int)::bigint as promoted, max(oof) as best_oof, arg_max(stage, key) as last_stage from c group by skill", lambda c: ca.species_report(c, "skill", "key"))
 on_lessons("study_reports", """select case when grouping(skill) = 0 then 'skill' when grouping(family) = 0 then 'family' else 'transform' end as axis, coalesce(skill, family, transform) as value, count(*)::bigint as n,
-  round(avg(oof), 6) + 0.0 as mean_oof, max(oof) as max_oof, round(avg(width), 6) + 0.0 as mean_width, round(avg(promoted::int), 6) + 0.0 as promote_rate from c group by grouping sets ((skill), (family), (transform))""", ca.study_reports, "mean_oof", "mean_width", "promote_rate")
+  round(avg(oof), 9) + 0.0 as mean_oof, max(oof) as max_oof, round(avg(width), 9) + 0.0 as mean_width, round(avg(promoted::int), 9) + 0.0 as promote_rate from c group by grouping sets ((skill), (family), (transform))""", ca.study_reports, "mean_oof", "mean_width", "promote_rate")
 _TYPO = ", t as (select skill, family, transform, count(*)::bigint as n, avg(oof) as mean_oof, (sum(oof) + (select avg(oof) from c) * 4) / (count(*) + 4) as shrunk, max(key) as best_key from c group by 1, 2, 3)"
-on_lessons("typology_memory", _TYPO + " select skill, family, transform, n, round(mean_oof, 6) + 0.0 as mean_oof, round(shrunk, 6) + 0.0 as shrunk, best_key from t", ca.typology_memory, "mean_oof", "shrunk")
-on_lessons("typology_gradients", _TYPO + """ select a.best_key as from_id, b.best_key as to_id, case when a.skill <> b.skill then 'skill' when a.family <> b.family then 'family' else 'transform' end as axis, round(b.shrunk - a.shrunk, 6) + 0.0 as delta
+on_lessons("typology_memory", _TYPO + " select skill, family, transform, n, round(mean_oof, 9) + 0.0 as mean_oof, round(shrunk, 9) + 0.0 as shrunk, best_key from t", ca.typology_memory, "mean_oof", "shrunk")
+on_lessons("typology_gradients", _TYPO + """ select a.best_key as from_id, b.best_key as to_id, case when a.skill <> b.skill then 'skill' when a.family <> b.family then 'family' else 'transform' end as axis, round(b.shrunk - a.shrunk, 9) + 0.0 as delta
 from t a join t b on (a.skill <> b.skill)::int + (a.family <> b.family)::int + (a.transform <> b.transform)::int = 1""", lambda c: ca.typology_gradients(ca.typology_memory(c).withColumn("cell", F.concat_ws("|", *ca.AXES))), "delta")
-on_lessons("ledger_merge", ", a as (select skill as key, count(*)::bigint as n, avg(oof) as mean from c where family < 'u3' group by 1), b as (select skill as key, count(*)::bigint as n, avg(oof) as mean from c where family >= 'u2' group by 1) select coalesce(a.key, b.key) as key, (coalesce(a.n, 0) + coalesce(b.n, 0))::bigint as n, round((coalesce(a.n * a.mean, 0) + coalesce(b.n * b.mean, 0)) / (coalesce(a.n, 0) + coalesce(b.n, 0)), 6) + 0.0 as mean from a full join b on a.key = b.key",
+on_lessons("ledger_merge", ", a as (select skill as key, count(*)::bigint as n, avg(oof) as mean from c where family < 'u3' group by 1), b as (select skill as key, count(*)::bigint as n, avg(oof) as mean from c where family >= 'u2' group by 1) select coalesce(a.key, b.key) as key, (coalesce(a.n, 0) + coalesce(b.n, 0))::bigint as n, round((coalesce(a.n * a.mean, 0) + coalesce(b.n * b.mean, 0)) / (coalesce(a.n, 0) + coalesce(b.n, 0)), 9) + 0.0 as mean from a full join b on a.key = b.key",
            lambda c: ca.ledger_merge(*[c.filter(f).groupBy(F.col("skill").alias("key")).agg(F.count("*").alias("n"), F.avg("oof").alias("mean")) for f in ("family < 'u3'", "family >= 'u2'")]), "mean")
-on_lessons("governor", "select round(covar_pop(overfit, wf_width) / var_pop(overfit), 6) + 0.0 as beta, round(greatest(0, least(0.04, covar_pop(overfit, wf_width) / var_pop(overfit) / 2)), 6) + 0.0 as strength, round(corr(width, wf_width), 6) + 0.0 as width_decay from c", lambda c: ca.governor(c.withColumn("complexity", F.col("overfit").cast("double")).withColumn("decay", F.col("wf_width"))), "beta", "strength", "width_decay")
+on_lessons("governor", "select round(covar_pop(overfit, wf_width) / var_pop(overfit), 9) + 0.0 as beta, round(greatest(0, least(0.04, covar_pop(overfit, wf_width) / var_pop(overfit) / 2)), 9) + 0.0 as strength, round(corr(width, wf_width), 9) + 0.0 as width_decay from c", lambda c: ca.governor(c.withColumn("complexity", F.col("overfit").cast("double")).withColumn("decay", F.col("wf_width"))), "beta", "strength", "width_decay")
 
 
 @query("attack_subperiod", CTE + ", s as (select feature, seg, corr as score, avg(corr) over (partition by feature order by seg rows between 2 preceding and current row) as m, row_number() over (partition by feature order by seg) as k, row_number() over (partition by feature order by seg desc) as b from sc) select feature, round(min(m) filter (where k >= 3), 6) + 0.0 as worst_run, round(avg(score) filter (where b <= 2), 6) + 0.0 as last_two from s group by 1")
@@ -579,6 +581,124 @@ def _(spark, d):
     return rounded(events(spark, d).groupBy("state", "seg").agg(F.count("*").alias("n"), fn.pearson("p", "y").alias("corr")), "corr")
 
 
+# --- ensembles: three features as members, z-scored
+
+MEMBERS = ["f_k", "f_mod", "f_mix"]
+ZED = CTE + """, mm as (select avg(f_k) a1, stddev_pop(f_k) + 1e-12 b1, avg(f_mod) a2, stddev_pop(f_mod) + 1e-12 b2, avg(f_mix) a3, stddev_pop(f_mix) + 1e-12 b3, avg(p) ap, stddev_pop(p) + 1e-12 bp from e),
+z as (select row_idx, n_rows, event_id, seg, y, p, (f_k - a1) / b1 as m1, (f_mod - a2) / b2 as m2, (f_mix - a3) / b3 as m3, (p - ap) / bp as zp from e, mm),
+r as (select corr(m1, y) c1, corr(m2, y) c2, corr(m3, y) c3, abs(corr(m1, m2)) r12, abs(corr(m1, m3)) r13, abs(corr(m2, m3)) r23 from z),
+g0 as (select case when c1 > 0 or c2 > 0 or c3 > 0 then greatest(c1, 0) else 1 end u1, case when c1 > 0 or c2 > 0 or c3 > 0 then greatest(c2, 0) else 1 end u2, case when c1 > 0 or c2 > 0 or c3 > 0 then greatest(c3, 0) else 1 end u3 from r),
+g as (select u1 / (u1 + u2 + u3) w1, u2 / (u1 + u2 + u3) w2, u3 / (u1 + u2 + u3) w3 from g0)
+"""
+
+
+def zed(spark: SparkSession, d: str) -> DataFrame:
+    return en.standardised(events(spark, d), MEMBERS)
+
+
+@query("blend_corr_weighted", ZED + "select event_id, round(w1 * m1 + w2 * m2 + w3 * m3, 6) + 0.0 as blend from z, g")
+def _(spark, d):
+    e = zed(spark, d)
+    return rounded(e.select("event_id", en.blended(en.weights_by_corr(en.member_corrs(e, MEMBERS, "y")[0])).alias("blend")), "blend")
+
+
+@query("blend_median", ZED + "select event_id, round(m1 + m2 + m3 - least(m1, m2, m3) - greatest(m1, m2, m3), 6) + 0.0 as blend from z")
+def _(spark, d):
+    return rounded(zed(spark, d).select("event_id", en.row_median(MEMBERS).alias("blend")), "blend")
+
+
+@query("blend_agreement", ZED + """, a0 as (select c1 * (r12 + r13) / 2 as u1, c2 * (r12 + r23) / 2 as u2, c3 * (r13 + r23) / 2 as u3 from r),
+a as (select case when greatest(u1, u2, u3) > 0 then greatest(u1, 0) else 1 end u1, case when greatest(u1, u2, u3) > 0 then greatest(u2, 0) else 1 end u2, case when greatest(u1, u2, u3) > 0 then greatest(u3, 0) else 1 end u3 from a0)
+select unnest(['f_k', 'f_mod', 'f_mix']) as member, round(unnest([u1, u2, u3]) / (u1 + u2 + u3), 6) + 0.0 as weight from a""")
+def _(spark, d):
+    w = en.weights_by_agreement(*en.member_corrs(zed(spark, d), MEMBERS, "y"))
+    return rounded(spark.createDataFrame(list(w.items()), "member string, weight double"), "weight")
+
+
+@query("dominance", ZED + """, b as (select corr(w1 * m1 + w2 * m2 + w3 * m3, y) as al, corr(w2 * m2 + w3 * m3, y) as o1, corr(w1 * m1 + w3 * m3, y) as o2, corr(w1 * m1 + w2 * m2, y) as o3 from z, g),
+t as (select unnest(['f_k', 'f_mod', 'f_mix']) as member, unnest([w1, w2, w3]) as weight, unnest([c1, c2, c3]) as own, coalesce(unnest([case when w2 + w3 > 1e-9 then o1 else 0 end, case when w1 + w3 > 1e-9 then o2 else 0 end, case when w1 + w2 > 1e-9 then o3 else 0 end]), 0) as without, al from r, g, b)
+select member, round(weight, 6) + 0.0 as weight, round(own, 6) + 0.0 as own, round(without, 6) + 0.0 as without, round(al - without, 6) + 0.0 as marginal from t""")
+def _(spark, d):
+    e = zed(spark, d)
+    return rounded(en.dominance(e, en.weights_by_corr(en.member_corrs(e, MEMBERS, "y")[0]), "y"), "weight", "own", "without", "marginal")
+
+
+@query("chorus", ZED + ", s as (select event_id, (m1 + m2 + m3) / 3 as m, sqrt((pow(m1 - (m1 + m2 + m3) / 3, 2) + pow(m2 - (m1 + m2 + m3) / 3, 2) + pow(m3 - (m1 + m2 + m3) / 3, 2)) / 3) as s from z) select event_id, round(m * exp(-s / ((select avg(s) from s) + 1e-12)), 6) + 0.0 as chorus from s")
+def _(spark, d):
+    return rounded(en.chorus(zed(spark, d), MEMBERS, 1.0).select("event_id", "chorus"), "chorus")
+
+
+@query("shape_prediction", ZED + ", t as (select corr(zp, y) as a, corr(sign(zp) * sqrt(abs(zp)), y) as b, corr(sign(zp) * pow(abs(zp), 1.5), y) as c, corr(tanh(zp), y) as d from z) select unnest(['raw', 'sqrt', 'pow15', 'tanh']) as shape, round(unnest([a, b, c, d]), 6) + 0.0 as corr from t")
+def _(spark, d):
+    return rounded(en.shape_scores(en.standardised(events(spark, d), ["p"]), "p", "y"), "corr")
+
+
+@query("winsorize_audit", ZED + ", q as (select quantile_cont(p, 0.001) a, quantile_cont(p, 0.999) b, quantile_cont(p, 0.005) c, quantile_cont(p, 0.995) d from z), t as (select corr(p, y) as x, corr(greatest(a, least(b, p)), y) as u, corr(greatest(c, least(d, p)), y) as v from z, q) select unnest([0.0, 0.001, 0.005])::double as q, round(unnest([x, u, v]), 6) + 0.0 as corr from t")
+def _(spark, d):
+    return rounded(en.winsorize_audit(events(spark, d), "p", "y"), "corr")
+
+
+@query("carve_lenses", ZED + """, k as (select event_id, zp as raw, rank() over (order by p) + (count(*) over (partition by p) - 1) / 2.0 as rk, sign(zp) * sqrt(abs(zp)) as sq, tanh(zp) as th, greatest(quantile_cont(zp, 0.01) over (), least(quantile_cont(zp, 0.99) over (), zp)) as cl, sign(zp) * pow(abs(zp), 1.5) as pw from z),
+s as (select avg(rk) ra, stddev_pop(rk) + 1e-12 rb, avg(sq) sa, stddev_pop(sq) + 1e-12 sb, avg(th) ta, stddev_pop(th) + 1e-12 tb, avg(cl) ca, stddev_pop(cl) + 1e-12 cb, avg(pw) pa, stddev_pop(pw) + 1e-12 pb from k)
+select event_id, round(raw, 6) + 0.0 as raw, round((rk - ra) / rb, 6) + 0.0 as rank, round((sq - sa) / sb, 6) + 0.0 as sqrt, round((th - ta) / tb, 6) + 0.0 as tanh, round((cl - ca) / cb, 6) + 0.0 as clip, round((pw - pa) / pb, 6) + 0.0 as pow15 from k, s""")
+def _(spark, d):
+    names = ["raw", "rank", "sqrt", "tanh", "clip", "pow15"]
+    return rounded(en.carve_lenses(events(spark, d).select("event_id", "p"), "p").select("event_id", *names), *names)
+
+
+@query("sealed_audit", CTE + "select round(corr(p, y), 6) + 0.0 as corr, count(*)::bigint as n from e where row_idx >= greatest(1, floor(n_rows * 0.9))")
+def _(spark, d):
+    e = events(spark, d).filter(ke.split_role(0.1) == "holdout")
+    return rounded(e.agg(fn.pearson("p", "y").alias("corr"), F.count("*").alias("n")), "corr")
+
+
+@query("forward_holdout", CTE + "select feature, round(corr(x, y) filter (where row_idx < floor(n_rows * 0.75) - 50), 6) + 0.0 as past, round(corr(x, y) filter (where row_idx >= floor(n_rows * 0.75)), 6) + 0.0 as future from l group by feature")
+def _(spark, d):
+    part = lambda role: lambda f: fn.pearson(F.when(ke.forward_role() == role, F.col(f)), "y")
+    return rounded(fe.per_feature(events(spark, d), FEATURES, {"past": part("past"), "future": part("future")}), "past", "future").select("feature", "past", "future")
+
+
+@query("attack_null", CTE + """, q as (select unnest(generate_series(0, 9)) as rd), a as (select rd, seg, p, row_number() over (partition by seg, rd order by row_idx) as k from e, q), b as (select rd, seg, y, row_number() over (partition by seg, rd order by md5(rd::varchar || '-' || row_idx::varchar)) as k from e, q),
+n as (select rd, abs(corr(p, y)) as c from a join b using (rd, seg, k) group by rd), t as (select quantile_cont(c, 0.95) as tax from n) select round(tax, 6) as tax, round((select corr(p, y) from e), 6) + 0.0 as oof, round((select corr(p, y) from e) - tax, 6) + 0.0 as deflated from t""")
+def _(spark, d):
+    return rounded(en.attack_null(events(spark, d), "p", "y", 10), "tax", "oof", "deflated")
+
+
+@query("many_worlds", CTE + ", w as (select feature, 'seg' as kind, corr(x, y) as c from l group by feature, seg having count(*) >= 80 union all select feature, 'state', corr(x, y) from l group by feature, state having count(*) >= 80) select feature, kind, round(min(c), 6) + 0.0 as worst, round(avg((c > 0)::int), 6) + 0.0 as positive from w group by all")
+def _(spark, d):
+    e, out = events(spark, d), None
+    for s in ("seg", "state"):
+        c = fe.per_feature(e, FEATURES, {"c": lambda f: fn.pearson(f, "y"), "n": lambda f: F.count("*")}, (s,)).filter("n >= 80")
+        one = c.groupBy("feature").agg(F.lit(s).alias("kind"), F.min("c").alias("worst"), F.avg((F.col("c") > 0).cast("int")).alias("positive"))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, "worst", "positive")
+
+
+@query("regime_stress", CTE + ", q as (select quantile_cont(f_mix, 0.7) as q from e), s as (select feature, min(corr) as worst, avg(corr) as mean, avg((corr <= 0)::int) as under from sc group by 1) select l.feature, round(corr(l.x, l.y), 6) + 0.0 as full_corr, round(any_value(worst), 6) + 0.0 as worst, round(any_value(mean), 6) + 0.0 as mean, round(any_value(under), 6) + 0.0 as under, round(corr(l.x, l.y) filter (where e.f_mix > q), 6) + 0.0 as loud from l join e using (row_idx) join s on s.feature = l.feature, q group by l.feature")
+def _(spark, d):
+    e = events(spark, d)
+    loud = tr.quantiles(e, "f_mix", [0.7])[0]
+    s = fe.segment_corrs(e, FEATURES, "y").groupBy("feature").agg(F.min("corr").alias("worst"), F.avg("corr").alias("mean"), F.avg((F.col("corr") <= 0).cast("int")).alias("under"))
+    out = fe.per_feature(e, FEATURES, {"full_corr": lambda f: fn.pearson(f, "y"), "loud": lambda f: fn.pearson(F.when(F.col("f_mix") > loud, F.col(f)), "y")}).join(s, "feature")
+    return rounded(out, "full_corr", "worst", "mean", "under", "loud").drop("pos")
+
+
+# --- run memory
+
+on_lessons("library_summary", "select family, count(*)::bigint as tries, round(avg(oof), 9) + 0.0 as mean_oof, round(avg(least(width, wf_width)), 9) + 0.0 as mean_width from c group by family", lambda c: c.groupBy("family").agg(F.count("*").alias("tries"), F.avg("oof").alias("mean_oof"), F.avg(F.least("width", "wf_width")).alias("mean_width")), "mean_oof", "mean_width")
+on_lessons("ledger_stats", "select skill, count(*)::bigint as n, round(avg(oof - wf_width), 9) + 0.0 as decay from c where oof > 0.02 group by skill", lambda c: c.filter("oof > 0.02").groupBy("skill").agg(F.count("*").alias("n"), F.avg(F.col("oof") - F.col("wf_width")).alias("decay")), "decay")
+on_lessons("foundation_stress", "select scope, grp, count(*)::bigint as n, round(avg(v), 9) + 0.0 as mean, max(v) as worst from (select skill as scope, family as grp, width as v from c union all select 'global', family, width from c union all select 'global', 'all', width from c) group by all", lambda c: my.foundation_stress(c, "skill", "family", "width"), "mean")
+on_lessons("route_strength", ", x as (select skill as terrain, family as action, oof as g from c union all select 'global', family, oof from c) select terrain, action, count(*)::bigint as n, round(sum(g) / (count(*) + 4), 9) + 0.0 as gain, round(stddev_pop(g), 9) + 0.0 as spread, round(sum(g) / (count(*) + 4) - stddev_pop(g) / 2, 9) + 0.0 as value from x group by all", lambda c: my.route_strength(c, "skill", "family", "oof"), "gain", "spread", "value")
+on_lessons("evidence_gate", ", x as (select key, case when width > 0.02 then 'D' when oof >= 0.05 and promoted then 'A' when oof >= 0.05 then 'B' else 'C' end as grade from c) select key, grade, (grade = 'A')::int as promotion, (grade in ('A', 'B'))::int as branch, case grade when 'D' then 'reject' when 'A' then 'promote' when 'B' then 'branch' else 'hold' end as decision from x",
+           lambda c: my.evidence_gate(c.select("key", F.when(F.col("oof") >= 0.05, 0.8).otherwise(0.1).alias("evidence"), F.when(F.col("width") > 0.02, 0.9).otherwise(0.1).alias("stress"), F.col("promoted").alias("observed"))).select("key", "grade", "promotion", "branch", "decision"))
+on_lessons("attention_views", "select 'oof' as kind, key, oof as priority, place::int as place from (select *, row_number() over (order by oof desc, key) as place from c) where place <= 12", lambda c: my.attention_view(c, "oof", "key", "oof", 12))
+on_lessons("relation_edges", "select distinct 'key:' || key as src, 'of' as kind, 'skill:' || skill as dst from c union select distinct 'key:' || key, 'in', 'family:' || family from c", lambda c: my.relation_edges(c, [("key", "of", "skill"), ("key", "in", "family")]))
+on_lessons("path_memory", ", s as (select skill, family, transform, oof as a_oof from (select *, row_number() over (partition by skill, family, transform order by n desc) as r from c where family < 'u3') where r = 1) select key, oof, a_oof from c left join s using (skill, family, transform)", lambda c: my.path_memory(c.select("key", *ca.AXES, "oof"), {"a": c.filter("family < 'u3'").select(*ca.AXES, "oof", "n")}, list(ca.AXES), "n").select("key", "oof", "a_oof"))
+on_lessons("path_score", "select key, round((greatest(-1, least(1, oof)) + greatest(-1, least(1, width)) + case when family < 'u3' then greatest(-1, least(1, wf_width)) else 0 end) / case when family < 'u3' then 3 else 2 end - overfit / 100.0, 9) + 0.0 as score from c", lambda c: rounded(c.select("key", my.path_score([F.col("oof"), F.col("width"), F.when(F.col("family") < "u3", F.col("wf_width"))], [F.col("overfit") / 100]).alias("score")), "score", to=9))
+on_lessons("control_vectors", ", m as (select key, exp(greatest(-80, (oof - max(oof) over ()) * 5)) as e from c) select key, round(e / sum(e) over (), 9) as weight from m", lambda c: rounded(me.softmax_weights(c, "oof", 5.0).select("key", "weight"), "weight", to=9))
+on_lessons("hazard_report", ", h as (select transform as col, sum(case when oof <= 0 then -oof else 0 end) as hazard from c group by 1) select col, round(hazard, 9) + 0.0 as hazard, row_number() over (order by hazard desc, col)::int as place from h", lambda c: c.groupBy(F.col("transform").alias("col")).agg(F.sum(F.when(F.col("oof") <= 0, -F.col("oof")).otherwise(0.0)).alias("hazard")).withColumn("place", F.row_number().over(W.orderBy(F.desc("hazard"), "col"))), "hazard")
+
+
 @query("market_scan", """select n_name, r_name, count(*)::bigint as lines, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey
 join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey group by all""")
 def _(spark, d):
