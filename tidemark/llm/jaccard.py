@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_map, column, cut, sliced, table
 from tidemark.llm.graph import components, salted_join
-from tidemark.llm.quality import word_bounds, word_hashes
+from tidemark.llm.quality import word_bounds
 
-#: At most this many frequent shingles are sent to the tasks (8 bytes each).
+#: At most this many common shingles are sent to the tasks (8 bytes each).
 FREQUENT = 1 << 18
 #: Rows of a region, or part of one, that are joined in one piece.
 REGION = 4096
@@ -52,18 +52,65 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_BASE = 0x9E3779B97F4A7C15
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base and of its inverse, modulo 2^64."""
+    if len(_powers[0]) < n:
+        size = max(n, 1 << 20)
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps)
+    return _powers[0], _powers[1]
+
+
+def shingle_sets(texts: list[str | None], k: int = 5) -> list[np.ndarray]:
+    """Per text the distinct shingles as sorted 64-bit hashes; A-Z count as a-z. All texts are hashed in one go."""
+    raw = [(t or "").encode() for t in texts]
+    data = np.frombuffer(b"\n".join(raw), np.uint8)
+    data = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
+    starts, ends = word_bounds(data)
+    up, down = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    # A word's polynomial in its own places: the sum between its ends, shifted back to place 0.
+    words = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    # Which words belong to which text: texts begin one byte behind the end of the last one.
+    limits = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raw)]))
+    acc = np.zeros(max(0, len(words) - k + 1), np.uint64)
+    for i in range(k if len(acc) else 0):
+        acc = (acc ^ words[i : len(words) - k + 1 + i]) * _M[i % len(_M)] + np.uint64(k)
+    acc, out = mixed(acc), []
+    for at, end in zip(limits[:-1].tolist(), limits[1:].tolist()):
+        if end - at >= k:
+            own = acc[at : end - k + 1]
+        else:
+            one = np.zeros(1, np.uint64)
+            for w in words[at:end]:
+                one = (one ^ w) * _M[0] + np.uint64(end - at)
+            own = mixed(one)[: end > at]
+        own = np.sort(own)
+        out.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) > 1 else own)
+    return out
+
+
 def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
-    """The distinct shingles of a text as sorted 64-bit hashes; A-Z count as a-z."""
-    data = np.frombuffer((text or "").encode(), np.uint8)
-    data = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * 32
-    h = word_hashes(data, *word_bounds(data))
-    if not len(h):
-        return np.zeros(0, np.uint64)
-    n = min(k, len(h))
-    acc = np.zeros(len(h) - n + 1, np.uint64)
-    for i in range(n):
-        acc = (acc ^ h[i : len(h) - n + 1 + i]) * _M[i] + np.uint64(n)
-    return np.unique(mixed(acc))
+    return shingle_sets([text], k)[0]
+
+
+def set_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """(ids, sets) of some documents at a time, about a megabyte of text each."""
+    for b in sliced(batches):
+        ids, texts = column(b, "doc_id"), column(b, "text")
+        at, size = 0, 0
+        for i, t in enumerate(texts):
+            size += len(t or "")
+            if size > 1_000_000 or i == len(texts) - 1:
+                yield ids[at : i + 1], shingle_sets(texts[at : i + 1], k)
+                at, size = i + 1, 0
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -75,54 +122,67 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """One pass: a row per document (doc_id, n, s1, s2, bands), and rows (shingle, n) of shingles frequent in a chunk."""
+    """(doc_id, n, s1, s2, bands) of every document: set size, 128-bit set hash, min-hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held, size = ["doc_id", "n", "s1", "s2", "bands", "shingle"], [], 0
-
-        def frequent() -> pa.RecordBatch:
-            g, count = np.unique(np.concatenate(held), return_counts=True)
-            g, count = g[count >= 4], count[count >= 4]
-            nothing = [pa.nulls(len(g), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays([nothing[0], pa.array(count, pa.int64()), *nothing[1:], pa.array(g.view(np.int64))], names)
-
-        for b in sliced(batches):
+        for ids, sets in set_batches(batches, k):
             rows = []
-            for doc, text in zip(column(b, "doc_id"), column(b, "text")):
-                s = shingle_set(text, k)
-                held.append(s)
-                size += len(s)
+            for s in sets:
                 bands = [int((s * m).min().view(np.int64)) for m in _M[3 : 3 + BANDS]] if len(s) else []
-                rows.append((doc, len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int(mixed(s * _M[6]).sum(dtype=np.uint64).view(np.int64)), bands))
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.list_(pa.int64())), pa.nulls(len(rows), pa.int64())], names)
-            if size > 4_000_000:
-                yield frequent()
-                held, size = [], 0
+                rows.append((len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int(mixed(s * _M[6]).sum(dtype=np.uint64).view(np.int64)), bands))
+            cols = list(zip(*rows))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.list_(pa.int64()))], ["doc_id", "n", "s1", "s2", "bands"])
+
+    return arrow_map(docs, run, "doc_id long, n long, s1 long, s2 long, bands array<long>")
+
+
+def frequent_shingles(docs: DataFrame, k: int, share: float, least: int = 8) -> np.ndarray:
+    """The shingles of at least `least` documents, the FREQUENT most common ones if there are more, sorted.
+
+    Only hashes below `share` of their range are counted: windows are made of a set's smallest hashes. Which shingles
+    are found never changes a result, as any one order for all sets is right; it keeps common passages out of windows.
+    """
+    limit = np.uint64(min(1.0, share) * (2**64 - 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            g, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n.astype(np.int32))], ["g", "n"])
+
+        for _, sets in set_batches(batches, k):
+            held += [s[: np.searchsorted(s, limit)] for s in sets]
+            if sum(map(len, held)) > 1_000_000:
+                yield counted()
+                held = []
         if held:
-            yield frequent()
+            yield counted()
 
-    return arrow_map(docs, run, "doc_id long, n long, s1 long, s2 long, bands array<long>, shingle long")
+    counts = arrow_map(docs, run, "g long, n int").groupBy("g").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    top = counts.orderBy(F.desc("n"), "g").limit(FREQUENT)
+    return np.sort(np.array([r["g"] for r in top.select("g").toLocalIterator()], np.int64).view(np.uint64))
 
 
 def region_rows(docs: DataFrame, frequent: np.ndarray, k: int, percent: int) -> DataFrame:
     """(g, doc_id, n, pos): every set in the regions of its window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
+        for ids, sets in set_batches(batches, k):
             g, doc, n, pos = [], [], [], []
-            for d, text in zip(column(b, "doc_id"), column(b, "text")):
-                s = shingle_set(text, k)
+            for d, s in zip(ids, sets):
                 if not len(s) or d is None:
                     continue
+                size = len(s)
+                keep = size - -(-percent * size // 100) + 1
                 if len(frequent):
                     at = np.searchsorted(frequent, s)
                     late = frequent[np.minimum(at, len(frequent) - 1)] == s
-                    s = np.concatenate([s[~late], s[late]])
-                keep = len(s) - -(-percent * len(s) // 100) + 1
+                    if late.any():
+                        s = np.concatenate([s[~late], s[late]])
                 g.append(s[:keep])
                 doc.append(np.full(keep, d))
-                n.append(np.full(keep, len(s)))
+                n.append(np.full(keep, size))
                 pos.append(np.arange(keep))
             if g:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(g).view(np.int64)), pa.array(np.concatenate(doc).astype(np.int64)), pa.array(np.concatenate(n).astype(np.int32)), pa.array(np.concatenate(pos).astype(np.int32))], ["g", "doc_id", "n", "pos"])
@@ -152,19 +212,27 @@ def shared_regions(rows: DataFrame) -> DataFrame:
     return arrow_map(rows.repartition("g").sortWithinPartitions("g"), run, "g long, doc_id long, n int, pos int")
 
 
-def pairs_of(doc: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, block: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs (smaller id, larger id) of one region that may be similar: other component, sizes and places within bounds."""
-    out = []
-    for i in range(len(doc) - 1):
-        r = slice(i + 1, len(doc))
-        need = -(-percent * (n[i] + n[r]) // (100 + percent))
-        may = np.minimum(n[i] - pos[i], n[r] - pos[r])  # this shingle, if it is the first common one, and all behind it
-        ok = (comp[r] != comp[i]) & (may >= need) & (100 * np.minimum(n[r], n[i]) >= percent * np.maximum(n[r], n[i]))
-        if block.any():
-            ok &= block[r] != block[i]
+def pairs_of(key: np.ndarray, t: dict[str, np.ndarray], percent: int) -> np.ndarray:
+    """Pairs (smaller id, larger id) within equal keys that may be similar: other component, sizes and places within bounds.
+
+    key: sorted. Rows are compared with the next row, the next but one and so on, for all regions at once.
+    """
+    doc, n, pos, comp, block = (t[c].astype(np.int64) for c in ("doc_id", "n", "pos", "comp", "block"))
+    out, at, step = [], np.arange(len(key)), 0
+    while True:
+        step += 1
+        at = at[at + step < len(key)]
+        at = at[key[at + step] == key[at]]
+        if not len(at):
+            break
+        a, b = at, at + step
+        small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+        need = -(-percent * (small + large) // (100 + percent))
+        may = np.minimum(n[a] - pos[a], n[b] - pos[b])  # this shingle, if it is the first common one, and all behind it
+        ok = (comp[a] != comp[b]) & (may >= need) & (100 * small >= percent * large) & ((block[a] == 0) | (block[a] != block[b]))
         if ok.any():
-            other = doc[r][ok]
-            out.append(np.stack([np.minimum(other, doc[i]), np.maximum(other, doc[i])], axis=1))
+            x, y = doc[a[ok]], doc[b[ok]]
+            out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
     return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
 
@@ -175,48 +243,54 @@ def region_pairs(rows: DataFrame, percent: int, limit: int | None = REGION) -> t
     """
     schema = "a long, b long, g long, part long, doc_id long, n int, pos int, comp long, block int"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in schema.split(", ")]
-        kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64(), pa.int32()]
-        held: list[pa.RecordBatch] = []
-        rest: tuple | None = None  # the key of a region that is too large
-
-        def key(b: pa.RecordBatch, i: int) -> tuple:
-            return b.column(0)[i].as_py(), b.column(1)[i].as_py()
+    names = [f.split()[0] for f in schema.split(", ")]
+    kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64(), pa.int32()]
 
-        def leave(b: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64())] * 2 + [b.column(i).cast(t) for i, t in enumerate(kinds[2:])], names)
-
-        def joined() -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(held)
-            t = {c: rows.column(c).to_numpy() for c in ("doc_id", "n", "pos", "comp", "block")}
-            if len(t["comp"]) > 1 and (t["comp"] != t["comp"][0]).any():
-                p = pairs_of(t["doc_id"], t["n"].astype(np.int64), t["pos"].astype(np.int64), t["comp"], t["block"], percent)
-                if len(p):
-                    yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])] + [pa.nulls(len(p), t) for t in kinds[2:]], names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def leave(b: pa.Table) -> list[pa.RecordBatch]:
+            filled = [pa.nulls(b.num_rows, pa.int64())] * 2 + [b.column(i).cast(t) for i, t in enumerate(kinds[2:])]
+            return pa.table(filled, names=names).to_batches()
+
+        def joined(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            """Rows of whole regions: regions of one component are done, those over the limit are left, the others joined."""
+            g, part, comp = (t.column(i).to_numpy() for i in (0, 1, 5))
+            first = np.concatenate([[True], (g[1:] != g[:-1]) | (part[1:] != part[:-1])])
+            key = np.cumsum(first) - 1
+            starts = np.flatnonzero(first)
+            mixed_up = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
+            size = np.diff(np.append(starts, len(g)))
+            large = mixed_up & (size > limit) if limit else np.zeros(len(size), bool)
+            if large.any():
+                yield from leave(t.filter(pa.array(large[key])))
+            now = (mixed_up & ~large)[key]
+            p = pairs_of(key[now], {c: t.column(c).to_numpy()[now] for c in ("doc_id", "n", "pos", "comp", "block")}, percent)
+            if len(p):
+                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])] + [pa.nulls(len(p), k) for k in kinds[2:]], names)
 
+        held: list[pa.RecordBatch] = []
+        passing = None  # a region far over the limit, handed on as it comes
         for b in batches:
             if not b.num_rows:
                 continue
             g, part = b.column(0).to_numpy(), b.column(1).to_numpy()
-            cuts = np.flatnonzero((g[1:] != g[:-1]) | (part[1:] != part[:-1])) + 1
-            for at, end in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
-                piece = b.slice(at, end - at)
-                k = key(piece, 0)
-                if rest == k:
-                    yield leave(piece)
+            last = int(np.flatnonzero((g != g[-1]) | (part != part[-1]))[-1]) + 1 if (g[0], part[0]) != (g[-1], part[-1]) else 0
+            if passing is not None:
+                same = int(((g == passing[0]) & (part == passing[1])).sum())
+                if same:
+                    yield from leave(pa.Table.from_batches([b.slice(0, same)]))
+                if same == b.num_rows:
                     continue
-                rest = None
-                if held and key(held[0], 0) != k:
-                    yield from joined()
-                    held = []
-                held.append(piece)
-                if limit and sum(x.num_rows for x in held) > limit:
-                    for x in held:
-                        yield leave(x)
-                    held, rest = [], k
+                b, last, passing = b.slice(same), max(0, last - same), None
+            if last:
+                yield from joined(pa.Table.from_batches([*held, b.slice(0, last)]))
+                held = []
+            held.append(b.slice(last))
+            if limit and sum(x.num_rows for x in held) > 4 * limit + 100_000:
+                passing = (g[-1], part[-1])
+                yield from leave(pa.Table.from_batches(held))
+                held = []
         if held:
-            yield from joined()
+            yield from joined(pa.Table.from_batches(held))
 
     cols = ["g", "part", "doc_id", "n", "pos", "comp", "block"]
     got = cut(arrow_map(rows.select(*cols).repartition("g", "part").sortWithinPartitions("g", "part"), run, schema))
@@ -297,10 +371,9 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 def jaccard_components(docs: DataFrame, *, k: int = 5, percent: int = 80, region: int = REGION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut(signatures(docs, k))
-    top = signed.filter("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n >= 16").orderBy(F.desc("n"), "shingle").limit(FREQUENT)
-    frequent = np.sort(np.array([r["shingle"] for r in top.select("shingle").toLocalIterator()], np.int64).view(np.uint64))
-    sets = signed.filter("shingle is null").select("doc_id", "n", "s1", "s2", "bands")
+    sets = cut(signatures(docs, k))
+    # A window is (1 - t) of a set; half as much again leaves room for the common shingles that are put behind.
+    frequent = frequent_shingles(docs, k, 1.5 * (1 - percent / 100))
     some = sets.filter("n > 0 and doc_id is not null")
 
     # Equal sets.
