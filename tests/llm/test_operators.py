@@ -7,7 +7,6 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 from helpers import awkward, awkward_rows, base_counts, empty, personal, prose, shingles, smallest_reachable, WORDS
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.models import Unigram
 

@@ -112,7 +112,7 @@ def term_spans(found: DataFrame, texts: DataFrame, *, window: int = 64, threshol
     padded = F.concat(F.lit(" "), F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(" "))
     n_t = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(padded, F.lit(TERM), F.lit(0)))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
     n = texts.count()
-    score = F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
+    score = F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e").cast("double") * F.col("n_t")))
     told = both.join(n_e, "e").join(n_t, "t").filter(score >= threshold * F.log(F.lit(float(n)) / F.col("n_e"))).select("e", "t")
     out = terms.join(told, ["e", "t"]).groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
     return out

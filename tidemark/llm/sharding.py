@@ -62,7 +62,7 @@ def propagate(state: DataFrame, quota: DataFrame, rounds: int, edges: DataFrame
         of_group = W.partitionBy("grp")
         ranked = votes.join(F.broadcast(room), "shard")
         # Shards with room, or already filled with this group alone, come first among equals.
-        ranked = ranked.withColumn("rank", F.row_number().over(of_group.orderBy(F.col("votes").desc(), F.col("room").desc(), F.pmod(F.col("shard") + F.col("grp"), F.lit(1009)), "shard")))
+        ranked = ranked.withColumn("rank", F.row_number().over(of_group.orderBy(F.col("votes").desc(), F.col("room").desc(), F.xxhash64("shard", "grp"), "shard")))
         ranked = ranked.withColumn("all", F.sum("n").over(of_group))
         ranked = ranked.withColumn("homes", F.ceil(F.col("all") / F.col("quota")).cast("int"))
         ranked = ranked.withColumn("homes", F.col("homes") + (F.col("homes") > 1).cast("int"))
