@@ -39,9 +39,14 @@ def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.join(values.select(column, name), column)
 
 
+def _rank_sums(label, rank) -> list:
+    """Rank sum of the positives, their number and all rows, as doubles: products of counts outgrow 64 bits."""
+    return [F.sum(F.when(label == 1, rank.cast("double"))).alias("s"), F.sum(label).cast("double").alias("p"), F.count("*").cast("double").alias("n")]
+
+
 def auc_rank(df: DataFrame, score: str, label: str, tie: str) -> DataFrame:
     """(auc): rank-sum AUC with ties in row order."""
-    r = position_rank(df, score, tie, "_rank").agg(F.sum(F.when(F.col(label) == 1, F.col("_rank") + 1)).alias("s"), F.sum(F.col(label)).alias("p"), F.count("*").alias("n"))
+    r = position_rank(df, score, tie, "_rank").agg(*_rank_sums(F.col(label), F.col("_rank") + 1))
     return r.select(F.try_divide(F.col("s") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p"))).alias("auc"))
 
 
@@ -50,7 +55,7 @@ def gini(df: DataFrame, score: str, y: str) -> DataFrame:
     middle = df.agg(F.percentile(y, 0.5).alias("m"), F.count_distinct(y).alias("d")).first()
     label = (F.col(y) > middle["m"]).cast("int") if middle["d"] > 2 else F.col(y).cast("int")
     r = average_rank(df.withColumn("_label", label), score, "_rank")
-    r = r.agg(F.sum(F.when(F.col("_label") == 1, F.col("_rank"))).alias("s"), F.sum("_label").alias("p"), F.count("*").alias("n"))
+    r = r.agg(*_rank_sums(F.col("_label"), F.col("_rank")))
     auc = F.try_divide(F.col("s") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p")))
     return r.select(F.when((F.col("p") > 0) & (F.col("p") < F.col("n")), 2 * auc - 1).otherwise(0.0).alias("gini"))
 
