@@ -369,3 +369,13 @@ def test_components_of_a_long_chain(spark):
     random.Random(2).shuffle(edges)
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 103: 100}
+
+
+def test_shards_follow_linked_groups(spark):
+    texts = ["a"] * 10 + ["b"] * 10 + [f"single {i}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    a, b = (docs.filter(f"text = '{t}'").selectExpr("xxhash64(text) as h").first()["h"] for t in "ab")
+    edges = spark.createDataFrame([(a, b), (b, a)], "a long, b long")
+    rows = sharding.shard_documents(docs, n_shards=4, edges=edges, rounds=6).collect()
+    check_shards(rows, texts, 4)
+    assert len({r["shard"] for r in rows if r["doc_id"] < 20}) == 1

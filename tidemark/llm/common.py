@@ -10,6 +10,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space and the controls 9 to 13.
@@ -47,6 +48,13 @@ def bucket(n: int, *cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
+def first_per_group(df: DataFrame, group: str, order: list[Column | str], n: int) -> DataFrame:
+    """The first n rows of each group by `order`, in two steps: per (group, hash bucket), then of what those leave."""
+    spread = W.partitionBy(group, bucket(256, *[F.col(c) if isinstance(c, str) else c for c in order])).orderBy(*order)
+    some = df.withColumn("_n", F.row_number().over(spread)).filter(F.col("_n") <= n)
+    return some.withColumn("_n", F.row_number().over(W.partitionBy(group).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

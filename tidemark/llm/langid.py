@@ -24,10 +24,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, column, cut, sliced, table
+from tidemark.llm.common import arrow_map, column, cut, first_per_group, sliced, table
 
 START = "▁"
 CHUNK = 24
@@ -120,8 +119,7 @@ def add_expected(text: str, weight: float, index: dict[str, int], p: list[float]
 
 def fit_languages(train: DataFrame, piece_path: str, *, per_language: int = 300, steps: int = 2) -> tuple[list[str], np.ndarray]:
     """(languages, probabilities by language and piece) from (doc_id, text, lang) of at most `per_language` documents each."""
-    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = train.filter("lang is not null").select("doc_id", "lang").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language)
+    ids = first_per_group(train.filter("lang is not null").select("doc_id", "lang"), "lang", [F.xxhash64("doc_id"), "doc_id"], per_language)
     ids = ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
     some = train.join(F.broadcast(ids), train["doc_id"].eqNullSafe(ids["_id"]) & (train["lang"] == ids["_lang"]))
     words = some.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))

@@ -19,10 +19,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, column, cut, sliced, table
+from tidemark.llm.common import arrow_map, column, cut, first_per_group, sliced, table
 
 BITS = 16
 SYMBOLS = b"#*$%&|<>"
@@ -134,8 +133,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, per_class: int = 750) ->
     The bounded sample is fitted in one task of an executor; the driver gets 2^16 weights.
     """
     known = labels.filter("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").alias("id"), F.col("quality").alias("y"))
-    first = W.partitionBy("y").orderBy(F.xxhash64("id"), "id")
-    known = known.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_class).drop("n")
+    known = first_per_group(known, "y", [F.xxhash64("id"), "id"], per_class)
     some = docs.filter("text is not null").join(F.broadcast(known), docs["doc_id"] == known["id"]).select("id", "y", "text")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
