@@ -136,13 +136,25 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return arrow_map(docs, run, "doc_id long, n long, s1 long, s2 long, bands array<long>")
 
 
-def frequent_shingles(docs: DataFrame, k: int, share: float, least: int = 8) -> np.ndarray:
-    """The shingles of at least `least` documents, the FREQUENT most common ones if there are more, sorted.
+#: (sorted hashes, order class of each): shingles that come behind all others, by class.
+Common = tuple[np.ndarray, np.ndarray]
+NONE: Common = (np.zeros(0, np.uint64), np.zeros(0, np.int8))
 
-    Only hashes below `share` of their range are counted: windows are made of a set's smallest hashes. Which shingles
-    are found never changes a result, as any one order for all sets is right; it keeps common passages out of windows.
+
+def places(common: Common, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the shingles are common, their places in the table)."""
+    if not len(common[0]):
+        return np.zeros(len(s), bool), np.zeros(len(s), np.int64)
+    at = np.minimum(np.searchsorted(common[0], s), len(common[0]) - 1)
+    return common[0][at] == s, at
+
+
+def counted_shingles(docs: DataFrame, k: int, low: float, high: float, crowded: Common | None = None, least: int = 8) -> Common:
+    """The shingles of at least `least` documents with hashes in [low, high) of their range, the FREQUENT most common if there are more.
+
+    With `crowded`, only documents count of which more than three tenths of the shingles below `low` are common in it.
     """
-    limit = np.uint64(min(1.0, share) * (2**64 - 1))
+    bounds = [np.uint64(min(x, 1.0) * float(2**64 - 2049)) for x in (low, high)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -152,7 +164,10 @@ def frequent_shingles(docs: DataFrame, k: int, share: float, least: int = 8) ->
             return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n.astype(np.int32))], ["g", "n"])
 
         for _, sets in set_batches(batches, k):
-            held += [s[: np.searchsorted(s, limit)] for s in sets]
+            for s in sets:
+                at, end = np.searchsorted(s, bounds)
+                if crowded is None or 10 * int(places(crowded, s[:at])[0].sum()) > 3 * at:
+                    held.append(s[at : end if high < 1 else len(s)])
             if sum(map(len, held)) > 1_000_000:
                 yield counted()
                 held = []
@@ -160,11 +175,29 @@ def frequent_shingles(docs: DataFrame, k: int, share: float, least: int = 8) ->
             yield counted()
 
     counts = arrow_map(docs, run, "g long, n int").groupBy("g").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    top = counts.orderBy(F.desc("n"), "g").limit(FREQUENT)
-    return np.sort(np.array([r["g"] for r in top.select("g").toLocalIterator()], np.int64).view(np.uint64))
+    rows = list(counts.orderBy(F.desc("n"), "g").limit(FREQUENT).toLocalIterator())
+    g = np.array([r["g"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(g)
+    return g[order], np.log2(np.array([r["n"] for r in rows], float) + 1)[order].astype(np.int8)
+
+
+def common_shingles(docs: DataFrame, k: int, percent: int) -> Common:
+    """Shingles that many documents hold; they come last in the order, the most common at the very end.
+
+    Windows are made of a set's first (1 - t) shingles by hash, so half as much again of the hash range is counted for all
+    documents. Where more than a third of those are common, windows reach further, and such documents (copies, and texts
+    that are mostly shared passages) are counted over the rest of the range too. Which shingles are found never changes
+    a result, as any one order for all sets is right.
+    """
+    low = 1.5 * (1 - percent / 100)
+    first = counted_shingles(docs, k, 0.0, low)
+    if low >= 1 or not len(first[0]):
+        return first
+    rest = counted_shingles(docs, k, low, 1.0, first)
+    return np.concatenate([first[0], rest[0]]), np.concatenate([first[1], rest[1]])
 
 
-def region_rows(docs: DataFrame, frequent: np.ndarray, k: int, percent: int) -> DataFrame:
+def region_rows(docs: DataFrame, common: Common, k: int, percent: int) -> DataFrame:
     """(g, doc_id, n, pos): every set in the regions of its window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,11 +208,10 @@ def region_rows(docs: DataFrame, frequent: np.ndarray, k: int, percent: int) ->
                     continue
                 size = len(s)
                 keep = size - -(-percent * size // 100) + 1
-                if len(frequent):
-                    at = np.searchsorted(frequent, s)
-                    late = frequent[np.minimum(at, len(frequent) - 1)] == s
-                    if late.any():
-                        s = np.concatenate([s[~late], s[late]])
+                late, at = places(common, s)
+                if late.any():
+                    behind = s[late]
+                    s = np.concatenate([s[~late], behind[np.argsort(common[1][at[late]], kind="stable")]])
                 g.append(s[:keep])
                 doc.append(np.full(keep, d))
                 n.append(np.full(keep, size))
@@ -372,8 +404,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, percent: int = 80, region
     """(doc_id, n_shingles, component_id) for every row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = cut(signatures(docs, k))
-    # A window is (1 - t) of a set; half as much again leaves room for the common shingles that are put behind.
-    frequent = frequent_shingles(docs, k, 1.5 * (1 - percent / 100))
+    common = common_shingles(docs, k, percent)
     some = sets.filter("n > 0 and doc_id is not null")
 
     # Equal sets.
@@ -397,7 +428,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, percent: int = 80, region
     several = some.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
     copies = equal.select(F.col("b").alias("doc_id")).distinct().join(several, "doc_id", "left_anti").withColumn("copy", F.lit(True))
     known = comps.select(F.col("node").alias("doc_id"), F.col("component").alias("comp")).join(copies, "doc_id", "left")
-    rows = shared_regions(region_rows(docs, frequent, k, percent))
+    rows = shared_regions(region_rows(docs, common, k, percent))
     rows = rows.join(known, "doc_id", "left").filter("copy is null").withColumn("comp", F.coalesce("comp", "doc_id"))
     pairs = cut(candidate_pairs(rows, percent, region))
     far = cut(verified(pairs, docs, k, percent))
