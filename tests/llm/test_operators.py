@@ -331,6 +331,20 @@ def test_disclosing_terms(spark):
     assert not any(r["terms"] for r in pii.disclosing_spans(same).collect())
 
 
+def test_terms_anywhere_in_the_text(spark):
+    call, mail = "+1 (663) 555-6869", "ann.b@c-d.org"
+    far = lambda i: " ".join(f"plain{i % 3} filler" for _ in range(12))
+    texts = [f"Zanzibar {far(i)} odd{i} {call} even{i} {far(i)} zanzibar, and Zo R2D2 {'x' * 50}." for i in range(3)]
+    texts += [f"{mail} {far(i)} common {far(i + 1)}" for i in range(3)] + [f"common {far(i)} and words {i}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = pii.disclosing_spans(docs)
+    places = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["terms"]] for r in spans.collect()}
+    for i in range(3):
+        assert places[i] == ["Zanzibar", "zanzibar", "Zo", "R2D2", "x" * 50]
+    assert not any(places[i] for i in range(3, len(texts)))
+    assert "zanzibar" not in pii.sanitised(docs, spans).first()["text"].lower()
+
+
 # --- Jaccard join
 
 

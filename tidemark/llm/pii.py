@@ -2,14 +2,15 @@
 
 Base spans of four kinds (email, ip, card, phone) come from patterns, leftmost and without overlap per kind.
 Their values are protected entities. Information theory then adds terms: with the number of documents that hold an
-entity e, a term t, and both near each other, PMI(e; t) = log(N * n(e, t) / (n(e) * n(t))) measures how much
-the term tells of the entity, and IC(e) = -log(n(e) / N) is all there is to tell. A term within `window`
-characters of an entity that it discloses (PMI >= `threshold` * IC, seen together in `support` documents or more, and
-in two different surroundings at least: copies of one passage tell nothing new) is a span of kind `term`, and is generalised to a placeholder when the text is sanitised.
+entity e, a term t, and both, PMI(e; t) = log(N * n(e, t) / (n(e) * n(t))) measures how much
+the term tells of the entity, and IC(e) = -log(n(e) / N) is all there is to tell. A term that discloses an entity
+(PMI >= `threshold` * IC, seen together in `support` documents or more, and the entity
+in two different surroundings at least: copies of one passage tell nothing new) is, wherever it stands in a document of that
+entity, a span of kind `term`, and is generalised to a placeholder when the text is sanitised. All counts are of whole texts.
 
 DataFrame and SQL functions only. Positions come from cutting the text at the matches and adding up lengths.
-Document counts of terms are aggregations over all texts; entities and terms meet per document they share, and the
-contexts are bounded by the window, so no step pairs the documents of an entity with each other.
+Document counts of terms are aggregations over all texts; entities and terms meet per document they share, in the
+documents with entities only, so no step pairs the documents of an entity with each other.
 
 Cases: a null or empty text has no spans; spans count code points, end exclusive; the same text twice gives the
 same spans twice and counts as two documents; rows with a null id are documents too; an empty table gives an
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, table
+from tidemark.llm.graph import salted_join
 
 # Possessive forms of the stated patterns. A run of pattern characters is entered at its first character (or where
 # the last match ended): any later start inside it would fail or succeed just the same, so only work is saved.
@@ -31,7 +33,8 @@ CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-TERM = r"(?<=\P{L})\p{L}{3,40}(?=\P{L})"
+#: A term is a whole word: letters with their marks, and digits.
+TERM = r"[\p{L}\p{M}\p{N}]++"
 
 
 def spans_of(text: Column, pattern: str, possible: Column) -> Column:
@@ -85,50 +88,51 @@ def with_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("base", base_spans(F.col("text")))
 
 
-def term_spans(found: DataFrame, texts: DataFrame, *, window: int = 64, threshold: float = 0.8, support: int = 2) -> DataFrame:
-    """(doc_id, h, terms): per document with entities, array<struct<start, end>> of the disclosing terms near them.
+def term_spans(found: DataFrame, texts: DataFrame, *, window: int | None = None, threshold: float = 0.8, support: int = 2) -> DataFrame:
+    """(h, terms): per text with entities, array<struct<start, end>> of all places of the terms that disclose one of them.
 
-    found: (doc_id, h, text, base) of the documents with base spans; texts: (text) of all documents.
+    found: (h, text, base) of the documents with base spans; texts: (text) of all documents. With a `window`, only
+    places within so many characters of a base span are looked at.
     """
-    # A place in a document counts as often as documents of this id and text stand in the table.
-    places = found.groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count("*").alias("rows"))
-    near = places.select("doc_id", "h", "rows", "text", F.explode("base").alias("s"))
-    begin = F.greatest(F.lit(0), F.col("s.start") - window)
-    before = F.concat(F.when(F.col("s.start") <= window, F.lit(" ")).otherwise(F.lit("")), F.substring("text", begin + 1, F.col("s.start") - begin), F.lit(" "))
-    after = F.concat(F.lit(" "), F.substring("text", F.col("s.end") + 1, F.lit(window)), F.when(F.col("s.end") + window >= F.length("text"), F.lit(" ")).otherwise(F.lit("")))
-    seen = F.xxhash64(F.lower(before), F.lower(after))
-    near = near.select("doc_id", "h", "rows", entity(F.col("s")).alias("e"), seen.alias("seen"), F.explode(F.array(
-        F.struct(before.alias("ctx"), (begin - F.when(F.col("s.start") <= window, 1).otherwise(0)).alias("off")),
-        F.struct(after.alias("ctx"), (F.col("s.end") - 1).alias("off")),
-    )).alias("c"))
-    terms = near.select("doc_id", "h", "rows", "e", "c.off", "seen", F.explode(spans_of(F.col("c.ctx"), TERM, F.lit(True))).alias("t"))
-    terms = terms.select("doc_id", "h", "rows", "e", "seen", F.lower("t.value").alias("t"), (F.col("off") + F.col("t.start")).alias("start"), (F.col("off") + F.col("t.end")).alias("end"))
-    terms = cut(terms)
-
-    pairs = terms.groupBy("doc_id", "h", "e", "t").agg(F.first("rows").alias("rows"), F.min("seen").alias("low"), F.max("seen").alias("high"))
-    both = pairs.groupBy("e", "t").agg(F.sum("rows").alias("n_et"), F.min("low").alias("low"), F.max("high").alias("high")).filter(F.col("n_et") >= support).filter("low <> high").drop("low", "high")
-    holds = places.select("doc_id", "h", "rows", F.explode(F.array_distinct(F.transform("base", entity))).alias("e"))
-    n_e = holds.groupBy("e").agg(F.sum("rows").alias("n_e"))
-    padded = F.concat(F.lit(" "), F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(" "))
-    n_t = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(padded, F.lit(TERM), F.lit(0)))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
+    # A text counts as often as it stands in the table.
+    places = found.groupBy("h").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count("*").alias("rows"))
+    near = places.select("h", "rows", "text", F.explode("base").alias("s"))
+    before = F.concat(F.lit("^"), F.expr("substring(text, greatest(0, s.start - 64) + 1, least(64, s.start))"))
+    after = F.concat(F.substring("text", F.col("s.end") + 1, F.lit(64)), F.lit("$"))
+    near = near.select("h", "rows", entity(F.col("s")).alias("e"), F.xxhash64(F.lower(before), F.lower(after)).alias("seen"))
+    holds = near.groupBy("h", "e").agg(F.first("rows").alias("rows"), F.min("seen").alias("low"), F.max("seen").alias("high"))
+    # An entity that is too rare for any term to have support is not looked at further.
+    n_e = holds.groupBy("e").agg(F.sum("rows").alias("n_e")).filter(F.col("n_e") >= support)
+    judged = cut(salted_join(holds, n_e, ["e"], ["h"]))
+
+    words = spans_of(F.col("text"), TERM, F.lit(True))
+    if window is not None:
+        words = F.filter(words, lambda t: F.exists("base", lambda s: (t["start"] <= s["end"] + window) & (s["start"] <= t["end"] + window)))
+    words = places.join(judged.select("h").distinct(), "h", "left_semi").select("h", F.explode(words).alias("t"))
+    words = cut(words.select("h", F.lower("t.value").alias("t"), F.col("t.start").alias("start"), F.col("t.end").alias("end")))
+
+    both = words.select("h", "t").distinct().join(judged, "h").groupBy("e", "t").agg(F.sum("rows").alias("n_et"), F.first("n_e").alias("n_e"), F.min("low").alias("low"), F.max("high").alias("high"))
+    both = both.filter(F.col("n_et") >= support).filter("low <> high")
+    own = F.transform(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(TERM), F.lit(0)), F.lower)
+    n_t = texts.select(F.explode(F.array_distinct(own)).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
     n = texts.count()
     score = F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e").cast("double") * F.col("n_t")))
-    told = both.join(n_e, "e").join(n_t, "t").filter(score >= threshold * F.log(F.lit(float(n)) / F.col("n_e"))).select("e", "t")
-    out = terms.join(told, ["e", "t"]).groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    return out
+    told = both.join(n_t, "t").filter(score >= threshold * F.log(F.lit(float(n)) / F.col("n_e"))).select("e", "t")
+    lists = told.groupBy("e").agg(F.collect_set("t").alias("ts"))
+    named = salted_join(judged.select("h", "e"), lists, ["e"], ["h"]).select("h", F.explode("ts").alias("t")).distinct()
+    return words.join(named, ["h", "t"]).groupBy("h").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
 
 
-def disclosing_spans(docs: DataFrame, *, window: int = 64, threshold: float = 0.8, support: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def disclosing_spans(docs: DataFrame, *, window: int | None = None, threshold: float = 0.8, support: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, base, terms): the base spans and the disclosing terms of every row."""
     rows = with_base(docs, id_col, text_col)
     # Texts stay where they are: only those of documents with base spans (a few in a hundred) are handed on.
     rows = cut(rows.select("doc_id", "h", F.when(F.size("base") > 0, F.col("text")).alias("text"), "base"))
     spans = rows.select("doc_id", "h", F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("base"))
     terms = term_spans(rows.filter("text is not null"), docs.select(F.col(text_col).alias("text")), window=window, threshold=threshold, support=support)
-    a, b = spans.alias("a"), terms.alias("b")
-    out = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.h") == F.col("b.h")), "left")
-    inside = F.filter(F.coalesce("b.terms", F.array().cast("array<struct<start:int,end:int>>")), lambda t: ~F.exists("a.base", lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
-    return out.select("a.doc_id", "a.h", "a.base", inside.alias("terms"))
+    out = salted_join(spans, terms, ["h"], ["doc_id"], "left")
+    inside = F.filter(F.coalesce("terms", F.array().cast("array<struct<start:int,end:int>>")), lambda t: ~F.exists("base", lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
+    return out.select("doc_id", "h", "base", inside.alias("terms"))
 
 
 def sanitised(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
