@@ -345,6 +345,20 @@ def test_terms_anywhere_in_the_text(spark):
     assert "zanzibar" not in pii.sanitised(docs, spans).first()["text"].lower()
 
 
+def test_terms_of_rare_entities(spark):
+    rest = [(100 + i, f"common {prose(i, 20)}") for i in range(40)]
+    # The same surroundings in different texts, and copies of them: the term stands beside the number in two texts.
+    alike = [f"{prose(70 + i, 30)} {'-' * 64} quokka +1 (663) 555-6869 {'-' * 64} {prose(80 + i, 30)}" for i in (0, 1, 1, 1)]
+    # Every address and number stands in one text only; the domain and the block tell.
+    kin = [f"{prose(90, 9)}{i} ask ax{i}.b{i}@wombat.example from acme" for i in range(3)] + [f"vole{i} numbat +1 (755) 555-379{i}" for i in range(3)]
+    docs = spark.createDataFrame(list(enumerate(alike)) + [(10 + i, x) for i, x in enumerate(kin)] + rest, "doc_id long, text string")
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: {text[r["doc_id"]][s["start"] : s["end"]] for s in r["terms"]} for r in pii.disclosing_spans(docs).collect()}
+    assert all("quokka" in got[i] for i in range(4))
+    assert all("acme" in got[10 + i] and "numbat" in got[13 + i] and f"vole{i}" not in got[13 + i] for i in range(3))
+    assert not any(got[i] for i, _ in rest)
+
+
 # --- Jaccard join
 
 

@@ -1,25 +1,27 @@
 """Personal data: pattern spans, and terms that give a protected value away.
 
 Base spans of four kinds (email, ip, card, phone) come from patterns, leftmost and without overlap per kind.
-Their values are protected entities. Information theory then adds terms: with the number of documents that hold an
+Their values are protected entities, and so are families of them (a mail domain, the first three numbers of an ip, the issuer
+of a card, a phone number without its last four digits): most values stand in one text only, which
+cannot tell its terms apart. Information theory then adds terms: with the number of different texts that hold an
 entity e, a term t, and both, PMI(e; t) = log(N * n(e, t) / (n(e) * n(t))) measures how much
 the term tells of the entity, and IC(e) = -log(n(e) / N) is all there is to tell. A term that discloses an entity
-(PMI >= `threshold` * IC, seen together in `support` documents or more, and the entity
-in two different surroundings at least: copies of one passage tell nothing new) is, wherever it stands in a document of that
-entity, a span of kind `term`, and is generalised to a placeholder when the text is sanitised. All counts are of whole texts.
+(PMI >= `threshold` * IC, seen together in `support` different texts or more: exact copies of a text tell nothing new and
+count once) is, wherever it stands in a document of that entity, a span of kind `term`, and is generalised to a placeholder when the text is sanitised. All counts are of whole texts.
 
 DataFrame and SQL functions only. Positions come from cutting the text at the matches and adding up lengths.
 Document counts of terms are aggregations over all texts; entities and terms meet per document they share, in the
 documents with entities only, so no step pairs the documents of an entity with each other.
 
 Cases: a null or empty text has no spans; spans count code points, end exclusive; the same text twice gives the
-same spans twice and counts as two documents; rows with a null id are documents too; an empty table gives an
+same spans twice and counts once; rows with a null id are documents too; an empty table gives an
 empty table; other columns pass unread. A term that stands in a base span is left as it is.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, table
@@ -83,39 +85,50 @@ def entity(span: Column) -> Column:
     return F.when(span["kind"] == "email", F.lower(span["value"])).when(span["kind"] == "ip", span["value"]).otherwise(digits(span["value"]))
 
 
+def family(span: Column) -> Column:
+    """What a protected value shares with its neighbours: mail domain, three numbers of an ip, issuer of a card, block of a phone number."""
+    number = digits(span["value"])
+    part = F.when(span["kind"] == "email", F.regexp_extract(F.lower(span["value"]), "@.*", 0)).when(span["kind"] == "ip", F.substring_index(span["value"], ".", 3))
+    part = part.when(span["kind"] == "card", F.substring(number, 1, 6)).otherwise(number.substr(F.lit(1), F.length(number) - 4))
+    return F.concat(F.lit("all "), span["kind"], F.lit(" "), part)
+
+
 def with_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     return rows.withColumn("base", base_spans(F.col("text")))
 
 
+def word_places(texts: DataFrame) -> DataFrame:
+    """(h, base, t, start, end): every word of (h, text, base), one row per h; places are sums in the text's order, so cost grows with its length only."""
+    found = F.regexp_extract_all("text", F.lit(TERM), F.lit(0))
+    zipped = F.arrays_zip(found.alias("m"), F.slice(F.split("text", TERM, -1), F.lit(1), F.size(found)).alias("gap"))
+    rows = texts.select("h", "base", F.posexplode(zipped).alias("pos", "x")).select("h", "base", "pos", F.col("x.m").alias("m"), F.length("x.gap").alias("gap"))
+    end = F.sum(F.col("gap") + F.length("m")).over(W.partitionBy("h").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)).cast("int")
+    return rows.withColumn("end", end).select("h", "base", F.lower("m").alias("t"), (F.col("end") - F.length("m")).alias("start"), "end")
+
+
 def term_spans(found: DataFrame, texts: DataFrame, *, window: int | None = None, threshold: float = 0.8, support: int = 2) -> DataFrame:
     """(h, terms): per text with entities, array<struct<start, end>> of all places of the terms that disclose one of them.
 
     found: (h, text, base) of the documents with base spans; texts: (text) of all documents. With a `window`, only
     places within so many characters of a base span are looked at.
     """
-    # A text counts as often as it stands in the table.
-    places = found.groupBy("h").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count("*").alias("rows"))
-    near = places.select("h", "rows", "text", F.explode("base").alias("s"))
-    before = F.concat(F.lit("^"), F.expr("substring(text, greatest(0, s.start - 64) + 1, least(64, s.start))"))
-    after = F.concat(F.substring("text", F.col("s.end") + 1, F.lit(64)), F.lit("$"))
-    near = near.select("h", "rows", entity(F.col("s")).alias("e"), F.xxhash64(F.lower(before), F.lower(after)).alias("seen"))
-    holds = near.groupBy("h", "e").agg(F.first("rows").alias("rows"), F.min("seen").alias("low"), F.max("seen").alias("high"))
+    places = found.groupBy("h").agg(F.first("text").alias("text"), F.first("base").alias("base"))
+    holds = places.select("h", F.explode(F.array_distinct(F.flatten(F.transform("base", lambda s: F.array(entity(s), family(s)))))).alias("e"))
     # An entity that is too rare for any term to have support is not looked at further.
-    n_e = holds.groupBy("e").agg(F.sum("rows").alias("n_e")).filter(F.col("n_e") >= support)
+    n_e = holds.groupBy("e").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= support)
     judged = cut(salted_join(holds, n_e, ["e"], ["h"]))
 
-    words = spans_of(F.col("text"), TERM, F.lit(True))
+    words = word_places(places.join(judged.select("h").distinct(), "h", "left_semi"))
     if window is not None:
-        words = F.filter(words, lambda t: F.exists("base", lambda s: (t["start"] <= s["end"] + window) & (s["start"] <= t["end"] + window)))
-    words = places.join(judged.select("h").distinct(), "h", "left_semi").select("h", F.explode(words).alias("t"))
-    words = cut(words.select("h", F.lower("t.value").alias("t"), F.col("t.start").alias("start"), F.col("t.end").alias("end")))
+        words = words.filter(F.exists("base", lambda s: (F.col("start") <= s["end"] + window) & (s["start"] <= F.col("end") + window)))
+    words = cut(words.select("h", "t", "start", "end"))
 
-    both = words.select("h", "t").distinct().join(judged, "h").groupBy("e", "t").agg(F.sum("rows").alias("n_et"), F.first("n_e").alias("n_e"), F.min("low").alias("low"), F.max("high").alias("high"))
-    both = both.filter(F.col("n_et") >= support).filter("low <> high")
+    both = words.select("h", "t").distinct().join(judged, "h").groupBy("e", "t").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e")).filter(F.col("n_et") >= support)
     own = F.transform(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(TERM), F.lit(0)), F.lower)
-    n_t = texts.select(F.explode(F.array_distinct(own)).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
-    n = texts.count()
+    once = texts.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
+    n_t = once.select(F.explode(F.array_distinct(own)).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
+    n = texts.select(F.xxhash64("text").alias("h")).distinct().count()
     score = F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e").cast("double") * F.col("n_t")))
     told = both.join(n_t, "t").filter(score >= threshold * F.log(F.lit(float(n)) / F.col("n_e"))).select("e", "t")
     lists = told.groupBy("e").agg(F.collect_set("t").alias("ts"))
