@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import bpe_encode
-from tidemark.llm.common import fresh_folder, table
+from tidemark.llm.common import cut, fresh_folder, table
+from tidemark.llm.graph import salted_join
 from tidemark.llm.jaccard import jaccard_components
 from tidemark.llm.langid import fit_languages, held_out_part, identify_languages
 from tidemark.llm.mixing import mix_documents, mixed_copies
@@ -31,14 +32,22 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return seen.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
+def with_row_key(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The documents with a number of their own, `_row`: written once, so that it stays the same however often it is read."""
+    folder = fresh_folder(spark, "pipeline-rows")
+    docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: the one with the smallest id; of rows with one id, one."""
-    groups = jaccard_components(docs).filter("doc_id is not null")
-    gone = groups.groupBy("doc_id").agg(F.min("component_id").alias("component"), F.count("*").alias("rows"))
-    gone = gone.filter("component <> doc_id or rows > 1").select(F.col("doc_id").alias("_id"), (F.col("component") == F.col("doc_id")).alias("_stays"))
-    marked = docs.select(*COLUMNS).join(gone, docs["doc_id"] == gone["_id"], "left")
-    once = marked.filter("_stays").dropDuplicates(["doc_id"])
-    return marked.filter("_stays is null").unionByName(once).select(*COLUMNS)
+    """Keeps one document of each group of near-duplicates: the one with the smallest id, null last. Texts are linked, whatever their ids."""
+    rows = with_row_key(spark, docs)
+    groups = jaccard_components(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    groups = cut(groups.join(rows.select("_row", "doc_id"), "_row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("_row")))
+    stays = groups.groupBy("component_id").agg(first.alias("first"), F.count("*").alias("rows")).filter("rows > 1").select("component_id", F.col("first._row").alias("_stays"))
+    gone = salted_join(groups, stays, ["component_id"], ["_row"]).filter("_row <> _stays").select("_row")
+    return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +58,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes documents, some of them several times, until the sources stand in their target proportions."""
-    return mixed_copies(docs.select(*COLUMNS), mix_documents(docs))
+    rows = with_row_key(spark, docs)
+    return mixed_copies(rows, mix_documents(rows, key="_row"), key="_row").select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

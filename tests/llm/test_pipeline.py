@@ -2,7 +2,7 @@ from collections import Counter
 
 import corpus_pipeline
 import public_tokenizers as P
-from helpers import awkward, empty, personal, shingles
+from helpers import awkward, empty, personal, prose, shingles
 from tokenizers import Tokenizer
 
 
@@ -39,3 +39,15 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     text = {r["doc_id"]: r["text"] for r in fourth.collect()}
     for r in stages["bpe_encoding"](spark, fourth, sf_dir).collect():
         assert r["ids"] == lib.encode(text[r["doc_id"]], add_special_tokens=False).ids and r["n_tokens"] == len(r["ids"])
+
+
+def test_rows_without_an_id_of_their_own(spark):
+    texts = [prose(i, 40, 9000) for i in range(5)]
+    rows = [(2, texts[0]), (2, texts[1]), (1, texts[0] + " more"), (None, texts[2]), (None, texts[3]), (None, texts[1]), (7, None), (7, texts[4])]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    left = stages["jaccard_join"](spark, docs, "")
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter([(2, texts[1]), (1, texts[0] + " more"), (None, texts[2]), (None, texts[3]), (7, None), (7, texts[4])])
+    # One source whose target is its size: every text that has words is taken once, also where ids are null or repeated.
+    whole = spark.createDataFrame([(i, prose(50 + k, 16), "en", "a", 1) for k, i in enumerate([None, None, 3, 3, 4])], docs.schema)
+    assert Counter(map(tuple, stages["mixing"](spark, whole, "").collect())) == Counter(map(tuple, whole.collect()))

@@ -95,16 +95,20 @@ def mix_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    key: str | None = None,
 ) -> DataFrame:
     """One row per document: (doc_id, source, size, source_size, target, taken, start).
 
     `taken` counts the words the mix takes of the document, repeats included; `start` is where the
     document begins on its source's seeded line, so shard s of the mix takes the tokens of the line
-    from quota_before * block_tokens on (see block_quotas).
+    from quota_before * block_tokens on (see block_quotas). A `key`, a column that is different in every row,
+    is kept, breaks ties, and seeds rows with a null id.
     """
     size = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.regexp_count(F.col(text_col), F.lit(WORD))).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
-    rows = rows.withColumn("seeded", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    keys = [key] if key else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *keys)
+    unnamed = F.concat(F.lit("row "), F.col(key).cast("string")) if key else F.lit("")
+    rows = rows.withColumn("seeded", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), unnamed))))
     rows = cut(rows)
     sliced = rows.withColumn("slice", F.substring("seeded", 1, 3))
     targets = cut(source_targets(rows.select("source", "size"), weights, max_repeats))
@@ -118,23 +122,24 @@ def mix_documents(
     sums = sums.join(plan, sums["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     a, b = sliced.alias("a"), sums.alias("b")
     placed = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.slice") == F.col("b.slice"))).select("a.*", "b.slice_start", "b.source_size", "b.target", "b.quota_tokens")
-    inside = W.partitionBy("source", "slice").orderBy("seeded", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "slice").orderBy("seeded", F.col("doc_id").asc_nulls_first(), "size", *keys).rowsBetween(W.unboundedPreceding, -1)
     placed = placed.withColumn("start", F.col("slice_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("quota_tokens") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.col("quota_tokens") - rounds * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
     taken = (F.col("size") * rounds + part).cast("long")
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "start")
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "start", *keys)
 
 
-def mixed_copies(docs: DataFrame, mix: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+def mixed_copies(docs: DataFrame, mix: DataFrame, *, id_col: str = "doc_id", key: str | None = None) -> DataFrame:
     """The documents as the mix takes them: each as often as it is taken, its last part if that is half of it or more.
 
-    `mix` has one row per id (mix_documents of documents with distinct ids).
+    Rows meet by `key`, a column of both that differs in every row (see mix_documents); without one by their
+    ids, which then must be distinct and not null.
     """
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    plan = mix.filter("size > 0 and doc_id is not null").select(F.col("doc_id").alias("_mix_id"), copies.alias("_mix_copies")).filter("_mix_copies > 0")
-    out = docs.join(plan, docs[id_col] == plan["_mix_id"])
+    plan = mix.filter("size > 0").select(F.col(key or "doc_id").alias("_mix_id"), copies.alias("_mix_copies")).filter("_mix_copies > 0 and _mix_id is not null")
+    out = docs.join(plan, docs[key or id_col] == plan["_mix_id"])
     return out.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))).alias("_mix_copy")).drop("_mix_copy")
 
 
