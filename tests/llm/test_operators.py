@@ -284,6 +284,21 @@ def test_segmentations_are_summed():
     assert into[:3] == pytest.approx([0.06 / 0.46, 0.06 / 0.46, 0.4 / 0.46])
 
 
+def test_long_pieces_and_words_are_summed():
+    pieces = ["a", "b", "aaaaabbbbb", langid.START]
+    assert max(map(len, langid.pieces_at(P.path("piece_bpe_32k.model")))) > 8
+    p = np.array([[0.2, 0.3, 0.4, 0.1]])
+    seg = langid.Segmenter(pieces, p)
+    one = 0.4 + 0.2**5 * 0.3**5
+    assert seg.log_likelihoods(["aaaaabbbbb"])[0][0] == pytest.approx(np.log(0.1 * one))
+    for times in (4, 900):  # pieces across any cut, and sums far below the smallest number
+        assert seg.log_likelihoods(["aaaaabbbbb" * times])[0][0] == pytest.approx(np.log(0.1) + times * np.log(one))
+        into = [0.0] * 4
+        langid.add_expected("aaaaabbbbb" * times, 1.0, seg.index, p[0].tolist(), into)
+        assert into[2] == pytest.approx(times * 0.4 / one)
+    assert seg.log_likelihoods(["?" * 500])[0][0] == pytest.approx(np.log(0.1) + 500 * np.log(langid.UNKNOWN))
+
+
 def test_language_held_out(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     lang = {r["doc_id"]: r["lang"] for r in docs.collect()}

@@ -10,15 +10,16 @@ documents of each language (300 in the query; chosen by a hash of their id): the
 in Spark, the expected piece counts of each step are computed in Arrow batches and summed by Spark, and
 the driver holds one number per (language, vocabulary piece). Scoring reads every whole text.
 
-Cases: a null text, or one without a letter, is `und` with score 0; words longer than `CHUNK` letters are
-scored in parts; rows with a null id count as training rows; a language is any value of `lang` that
+Cases: a null text, or one without a letter, is `und` with score 0; words of any length are
+scored whole, with rescaled sums; rows with a null id count as training rows; a language is any value of `lang` that
 training rows have (null is none); without any training row every text is `und`; ties go to the language
 first in order; repeated rows each give a row; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,29 +30,32 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import arrow_map, column, cut, first_per_group, sliced, table
 
 START = "▁"
-CHUNK = 24
+#: Words of so many letters are not kept, and are fitted in logarithms.
+LONG = 24
 MEMO = 300_000
-LONGEST = 8
+#: Sums are rescaled after so many characters.
+RESCALE = 8
 #: Probability of a character that no piece covers, in every language.
 UNKNOWN = 1e-9
 _LETTERS = regex.compile(r"\p{L}+")
 
 
 def pieces_at(path: str) -> list[str]:
-    """The vocabulary's normal pieces of at most LONGEST characters."""
+    """The vocabulary's normal pieces."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     keep = (r for r in range(sp.get_piece_size()) if not (sp.is_control(r) or sp.is_unknown(r) or sp.is_byte(r)))
-    return [p for p in map(sp.id_to_piece, keep) if len(p) <= LONGEST]
+    return [sp.id_to_piece(r) for r in keep]
 
 
-def words_of(text: str | None) -> list[str]:
-    return _LETTERS.findall((text or "").lower())
+def prefixes_of(pieces: Iterable[str]) -> set[str]:
+    """Every beginning of a piece: a search from one place goes on only while it stands in these."""
+    return {p[:k] for p in pieces for k in range(1, len(p) + 1)}
 
 
-def chunks(word: str) -> list[str]:
-    return [START + word] if len(word) < CHUNK else [START * (at == 0) + word[at : at + CHUNK] for at in range(0, len(word), CHUNK)]
+def words_of(text: str | None) -> list[str]:
+    return _LETTERS.findall((text or "").lower())
 
 
 class Segmenter:
@@ -59,29 +63,44 @@ class Segmenter:
 
     def __init__(self, pieces: list[str], probs: np.ndarray):
         self.index = {p: i for i, p in enumerate(pieces)}
-        self.probs = np.vstack([probs.T, np.zeros((1, probs.shape[0]))])  # the last row: no such piece
+        self.probs = np.vstack([probs.T, np.full((1, probs.shape[0]), UNKNOWN)])  # the last row: a character without a piece
+        self.prefixes, self.longest = prefixes_of(pieces), max(map(len, pieces), default=1)
         self.memo: dict[str, np.ndarray] = {}
 
     def forward(self, texts: list[str]) -> np.ndarray:
         """Log-likelihoods (texts, languages) of texts of one length: position by position, for all texts at once."""
-        n, get, probs = len(texts[0]), self.index.get, self.probs
-        at = np.zeros((n + 1, len(texts), probs.shape[1]))
+        n, ring, get, prefixes = len(texts[0]), self.longest + 1, self.index.get, self.prefixes
+        at = np.zeros((ring, len(texts), self.probs.shape[1]))  # the sums of this position and of those its pieces reach
         at[0] = 1
-        for end in range(1, n + 1):
-            for start in range(max(0, end - LONGEST), end):
-                ids = np.array([get(t[start:end], -1) for t in texts])
-                p = probs[ids]
-                if start == end - 1:
-                    p[ids < 0] = UNKNOWN
-                at[end] += at[start] * p
-        return np.log(np.maximum(at[n], 1e-300))
+        scale = np.zeros(at.shape[1:])
+        for start in range(n):
+            hits: dict[int, tuple[list[int], list[int]]] = {}
+            for k, t in enumerate(texts):
+                for end in range(start + 1, min(n, start + self.longest) + 1):
+                    piece = t[start:end]
+                    i = get(piece)
+                    if i is not None or end == start + 1:
+                        rows, ids = hits.setdefault(end, ([], []))
+                        rows.append(k)
+                        ids.append(-1 if i is None else i)
+                    if piece not in prefixes:
+                        break
+            here = at[start % ring]
+            for end, (rows, ids) in hits.items():
+                at[end % ring, rows] += here[rows] * self.probs[ids]
+            here[:] = 0
+            if start % RESCALE == RESCALE - 1:
+                most = at.max(axis=0)
+                at /= most
+                scale += np.log(most)
+        return np.log(at[n % ring]) + scale
 
     def log_likelihoods(self, words: list[str]) -> list[np.ndarray]:
         by_length: dict[int, list[str]] = {}
-        for c in {c for w in words for c in chunks(w)}:
-            by_length.setdefault(len(c), []).append(c)
-        got = {c: v for same in by_length.values() for c, v in zip(same, self.forward(same))}
-        return [sum(got[c] for c in chunks(w)) for w in words]
+        for w in words:
+            by_length.setdefault(len(w), []).append(w)
+        got = {w: v for same in by_length.values() for w, v in zip(same, self.forward([START + w for w in same]))}
+        return [got[w] for w in words]
 
     def of_texts(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Log-likelihoods by language, None where a text has no letter; words are kept, MEMO of them at most."""
@@ -92,16 +111,25 @@ class Segmenter:
         fresh = list(fresh.difference(self.memo))
         got = dict(zip(fresh, self.log_likelihoods(fresh)))
         out = [np.array([self.memo[w] if w in self.memo else got[w] for w in p]).sum(axis=0) if p else None for p in parts]
-        self.memo.update((w, v) for w, v in got.items() if len(w) < CHUNK)
+        self.memo.update((w, v) for w, v in got.items() if len(w) < LONG)
         return out
 
 
-def add_expected(text: str, weight: float, index: dict[str, int], p: list[float], into: list[float]) -> None:
+def add_expected(text: str, weight: float, index: dict[str, int], p: list[float], into: list[float], prefixes: set[str] | None = None) -> None:
     """Adds a word's expected piece counts in one language: forward and backward sums over its pieces."""
-    n = len(text)
-    hits = [(start, end, i) for start in range(n) for end in range(start + 1, min(n, start + LONGEST) + 1) if (i := index.get(text[start:end])) is not None]
-    alone = {start for start in range(n) if text[start] not in index}
-    hits = sorted(hits + [(start, start + 1, -1) for start in alone])
+    n, prefixes, hits = len(text), prefixes_of(index) if prefixes is None else prefixes, []
+    for start in range(n):
+        if text[start] not in index:
+            hits.append((start, start + 1, -1))
+        for end in range(start + 1, n + 1):
+            piece = text[start:end]
+            if piece not in prefixes:
+                break
+            if (i := index.get(piece)) is not None:
+                hits.append((start, end, i))
+    if n > LONG:
+        add_logarithmic(n, hits, weight, p, into)
+        return
     front, back = [1.0] + [0.0] * n, [0.0] * n + [1.0]
     for start, end, i in hits:
         front[end] += front[start] * (p[i] if i >= 0 else UNKNOWN)
@@ -117,6 +145,23 @@ def add_expected(text: str, weight: float, index: dict[str, int], p: list[float]
             into[i] += front[start] * mass * scale
 
 
+def add_logarithmic(n: int, hits: list[tuple[int, int, int]], weight: float, p: list[float], into: list[float]) -> None:
+    """What add_expected adds, by sums of logarithms: those of long words would vanish."""
+
+    def plus(a: float, b: float) -> float:
+        a, b = max(a, b), min(a, b)
+        return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
+    hits = [(start, end, i, math.log(p[i] if i >= 0 else UNKNOWN)) for start, end, i in hits]
+    front, back = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+    for start, end, _, log_p in hits:
+        front[end] = plus(front[end], front[start] + log_p)
+    for start, end, i, log_p in reversed(hits):
+        back[start] = plus(back[start], log_p + back[end])
+        if i >= 0:
+            into[i] += weight * math.exp(front[start] + log_p + back[end] - front[n])
+
+
 def fit_languages(train: DataFrame, piece_path: str, *, per_language: int = 300, steps: int = 2) -> tuple[list[str], np.ndarray]:
     """(languages, probabilities by language and piece) from (doc_id, text, lang) of at most `per_language` documents each."""
     ids = first_per_group(train.filter("lang is not null").select("doc_id", "lang"), "lang", [F.xxhash64("doc_id"), "doc_id"], per_language)
@@ -133,11 +178,10 @@ def fit_languages(train: DataFrame, piece_path: str, *, per_language: int = 300,
 
         def expect(batches: Iterator[pa.RecordBatch], probs: np.ndarray = probs) -> Iterator[pa.RecordBatch]:
             index, p, into = {x: i for i, x in enumerate(pieces)}, probs.tolist(), np.zeros(probs.shape).tolist()
-            place = {lang: k for k, lang in enumerate(langs)}
+            place, prefixes = {lang: k for k, lang in enumerate(langs)}, prefixes_of(pieces)
             for b in batches:
                 for lang, word, n in zip(column(b, "lang"), column(b, "word"), column(b, "n")):
-                    for text in chunks(word):
-                        add_expected(text, n, index, p[k := place[lang]], into[k])
+                    add_expected(START + word, n, index, p[k := place[lang]], into[k], prefixes)
             into = np.array(into)
             k, i = np.nonzero(into)
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(i, pa.int32()), pa.array(into[k, i])], ["k", "piece", "n"])
