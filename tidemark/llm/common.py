@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -18,12 +20,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor and the driver can reach; a local one only where the session names none."""
+    """The folder every executor and the driver can reach; a local one only where the session names none and has no cluster."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a shared folder")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -48,22 +52,58 @@ def bucket(n: int, *cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
-def first_per_group(df: DataFrame, group: str, order: list[Column | str], n: int) -> DataFrame:
-    """The first n rows of each group by `order`, in two steps: per (group, hash bucket), then of what those leave."""
-    spread = W.partitionBy(group, bucket(256, *[F.col(c) if isinstance(c, str) else c for c in order])).orderBy(*order)
-    some = df.withColumn("_n", F.row_number().over(spread)).filter(F.col("_n") <= n)
-    return some.withColumn("_n", F.row_number().over(W.partitionBy(group).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
+def hashed_sample(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
+    """The n rows of each group with the smallest `key`, a 64-bit hash; rows of equal (group, key) count once.
+
+    A first pass estimates how many keys a group has (small sketches, combined before the shuffle); the keys below the
+    share that holds n of them, with room for the estimate's error, are all that is shuffled and ranked. Hashes are even, so
+    that is some n rows a group, however many rows the group or one key has. Groups must be few.
+    """
+    near = F.col(key).cast("double") / 2.0**64 + 0.5
+    sizes = rows.groupBy(group).agg(F.approx_count_distinct(key, 0.02).alias("_keys")).withColumnRenamed(group, "_group")
+    sizes = sizes.select("_group", (F.lit(1.2 * n + 8 * n**0.5 + 20) / F.col("_keys")).alias("_share"))
+    some = rows.join(F.broadcast(sizes), F.col(group) == F.col("_group")).filter(near <= F.col("_share")).drop("_group", "_share")
+    some = some.dropDuplicates([group, key])
+    return some.withColumn("_n", F.row_number().over(W.partitionBy(group).orderBy(key))).filter(F.col("_n") <= n).drop("_n")
 
 
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller pieces: very long texts then never stand in memory by the thousands."""
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces of at most `rows` rows and about `size` bytes of text (one row at least)."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        upto = np.zeros(batch.num_rows + 1, np.int64)
+        for c in batch.columns:
+            if pa.types.is_string(c.type) or pa.types.is_large_string(c.type):
+                offsets = np.frombuffer(c.buffers()[1], np.int64 if pa.types.is_large_string(c.type) else np.int32)[c.offset : c.offset + len(c) + 1] if len(c) else np.zeros(1)
+                upto += offsets.astype(np.int64) - int(offsets[0])
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, min(at + rows, batch.num_rows, int(np.searchsorted(upto, upto[at] + size, "right")) - 1))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, build: Callable[[], object]) -> object:
+    """What a worker keeps from task to task: one model at a time, so that the next operator finds the memory free."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
+def hand_back() -> None:
+    """Gives freed memory back to the system; workers live long and serve one operator after the other."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
 
 
 def ship(spark: SparkSession) -> None:
@@ -80,7 +120,12 @@ def ship(spark: SparkSession) -> None:
     sc._tidemark_sent = True
 
 
-def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
-    """mapInArrow with this package at hand on the executors."""
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with this package at hand on the executors, and memory handed back at a task's end."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        hand_back()
+
+    return df.mapInArrow(task, schema)

@@ -5,11 +5,14 @@ in a language is the sum over all ways to cut it into pieces of the product of t
 which a forward pass computes for all languages at once; a text's log-likelihood is the sum over its
 words of letters, and its score the posterior of the best language.
 
-The probabilities are fitted by expectation-maximisation on words of at most `per_language` training
-documents of each language (300 in the query; chosen by a hash of their id): the words of those are counted per language
+The probabilities are fitted by expectation-maximisation on words of at most `per_language` different training
+documents of each language (300 in the query; those with the smallest hashes of id and text): the words of those are counted per language
 in Spark, the expected piece counts of each step are computed in Arrow batches and summed by Spark, and
 the driver holds one number per (language, vocabulary piece). Scoring reads every whole text.
 
+`per_letter` is the best language's log-likelihood for each letter: a text of an unknown script or of
+random letters has a low one, whatever the posterior says.
+
 Cases: a null text, or one without a letter, is `und` with score 0; words of any length are
 scored whole, with rescaled sums; rows with a null id count as training rows; a language is any value of `lang` that
 training rows have (null is none); without any training row every text is `und`; ties go to the language
@@ -18,6 +21,7 @@ first in order; repeated rows each give a row; an empty table gives an empty tab
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterable, Iterator
 
@@ -27,12 +31,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, column, cut, first_per_group, sliced, table
+from tidemark.llm.common import arrow_map, column, cut, hashed_sample, held, sliced, table
 
 START = "▁"
 #: Words of so many letters are not kept, and are fitted in logarithms.
 LONG = 24
-MEMO = 300_000
+#: Words whose sums a worker keeps before it starts anew.
+MEMO = 250_000
+#: Characters of words that are summed at once.
+AT_ONCE = 40_000
 #: Sums are rescaled after so many characters.
 RESCALE = 8
 #: Probability of a character that no piece covers, in every language.
@@ -65,7 +72,8 @@ class Segmenter:
         self.index = {p: i for i, p in enumerate(pieces)}
         self.probs = np.vstack([probs.T, np.full((1, probs.shape[0]), UNKNOWN)])  # the last row: a character without a piece
         self.prefixes, self.longest = prefixes_of(pieces), max(map(len, pieces), default=1)
-        self.memo: dict[str, np.ndarray] = {}
+        self.memo: dict[str, int] = {}  # the row of each word in `sums`
+        self.sums = np.zeros((MEMO, probs.shape[0]))
 
     def forward(self, texts: list[str]) -> np.ndarray:
         """Log-likelihoods (texts, languages) of texts of one length: position by position, for all texts at once."""
@@ -95,23 +103,44 @@ class Segmenter:
                 scale += np.log(most)
         return np.log(at[n % ring]) + scale
 
-    def log_likelihoods(self, words: list[str]) -> list[np.ndarray]:
-        by_length: dict[int, list[str]] = {}
-        for w in words:
-            by_length.setdefault(len(w), []).append(w)
-        got = {w: v for same in by_length.values() for w, v in zip(same, self.forward([START + w for w in same]))}
-        return [got[w] for w in words]
+    def log_likelihoods(self, words: list[str]) -> np.ndarray:
+        """(words, languages), for words of one length together, some tens of thousands of characters at a time."""
+        by_length: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            by_length.setdefault(len(w), []).append(i)
+        out = np.zeros((len(words), self.probs.shape[1]))
+        for n, rows in by_length.items():
+            step = max(1, AT_ONCE // n)
+            for at in range(0, len(rows), step):
+                some = rows[at : at + step]
+                out[some] = self.forward([START + words[i] for i in some])
+        return out
 
     def of_texts(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Log-likelihoods by language, None where a text has no letter; words are kept, MEMO of them at most."""
         parts = [words_of(t) for t in texts]
-        fresh = {w for p in parts for w in p}
-        if len(self.memo) + len(fresh) > MEMO:
-            self.memo = {}
-        fresh = list(fresh.difference(self.memo))
-        got = dict(zip(fresh, self.log_likelihoods(fresh)))
-        out = [np.array([self.memo[w] if w in self.memo else got[w] for w in p]).sum(axis=0) if p else None for p in parts]
-        self.memo.update((w, v) for w, v in got.items() if len(w) < LONG)
+        words = list({w for p in parts for w in p})
+        fresh = [w for w in words if w not in self.memo]
+        kept = [w for w in fresh if len(w) < LONG]
+        if len(self.memo) + len(kept) > MEMO:
+            self.memo, fresh = {}, words
+            kept = [w for w in fresh if len(w) < LONG][:MEMO]
+        got = self.log_likelihoods(fresh)
+        place = {w: i for i, w in enumerate(fresh)}
+        if kept:
+            first = len(self.memo)
+            self.sums[first : first + len(kept)] = got[[place[w] for w in kept]]
+            self.memo.update(zip(kept, range(first, first + len(kept))))
+            for w in kept:
+                del place[w]
+        out: list[np.ndarray | None] = []
+        for p in parts:
+            if not p:
+                out.append(None)
+                continue
+            rest = [place[w] for w in p if w in place] if place else []
+            total = self.sums[[self.memo[w] for w in p if w not in place] if rest else [self.memo[w] for w in p]].sum(axis=0)
+            out.append(total + got[rest].sum(axis=0) if rest else total)
         return out
 
 
@@ -164,9 +193,8 @@ def add_logarithmic(n: int, hits: list[tuple[int, int, int]], weight: float, p:
 
 def fit_languages(train: DataFrame, piece_path: str, *, per_language: int = 300, steps: int = 2) -> tuple[list[str], np.ndarray]:
     """(languages, probabilities by language and piece) from (doc_id, text, lang) of at most `per_language` documents each."""
-    ids = first_per_group(train.filter("lang is not null").select("doc_id", "lang"), "lang", [F.xxhash64("doc_id"), "doc_id"], per_language)
-    ids = ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
-    some = train.join(F.broadcast(ids), train["doc_id"].eqNullSafe(ids["_id"]) & (train["lang"] == ids["_lang"]))
+    rows = train.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", F.xxhash64("text")).alias("key"))
+    some = hashed_sample(rows, "lang", "key", per_language)
     words = some.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     # Few bytes but much work each: dealt out by number, not by size.
     words = cut(words.groupBy("lang", "word").agg(F.count("*").alias("n")).repartition(24, "lang", "word"))
@@ -195,24 +223,26 @@ def fit_languages(train: DataFrame, piece_path: str, *, per_language: int = 300,
 
 
 def identify_languages(docs: DataFrame, langs: list[str], probs: np.ndarray, piece_path: str, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep`, lang_pred and score for every row of docs."""
+    """The columns `keep`, lang_pred, score and per_letter for every row of docs."""
     probs = probs.astype(np.float32)
+    name = ("languages", piece_path, hashlib.sha256(probs.tobytes()).hexdigest())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg = Segmenter(pieces_at(piece_path), probs.astype(np.float64)) if langs else None
+        seg = held(name, lambda: Segmenter(pieces_at(piece_path), probs.astype(np.float64))) if langs else None
         for b in sliced(batches):
-            pred, score = [], []
+            pred, score, letters = [], [], []
             texts = column(b, "text")
-            for sums in seg.of_texts(texts) if langs else [None] * len(texts):
+            for text, sums in zip(texts, seg.of_texts(texts) if langs else [None] * len(texts)):
                 at = 0 if sums is None else int(sums.argmax())
                 pred.append("und" if sums is None else langs[at])
                 score.append(0.0 if sums is None else float(1 / np.exp(sums - sums[at]).sum()))
+                letters.append(None if sums is None else float(sums[at]) / sum(map(len, words_of(text))))
             own = [b.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(letters, pa.float64())], [*keep, "lang_pred", "score", "per_letter"])
 
     rows = docs.select(*keep, *(["text"] if "text" not in keep else []))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return arrow_map(rows, run, f"{kinds}, lang_pred string, score double")
+    return arrow_map(rows, run, f"{kinds}, lang_pred string, score double, per_letter double")
 
 
 def held_out_part(doc_id) -> "F.Column":

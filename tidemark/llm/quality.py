@@ -1,13 +1,14 @@
 """Quality rules: hashed n-gram logistic regression with calibrated probabilities and fixed thresholds.
 
-Features of a text: its runs of one to three bytes, its words and its pairs of neighbouring words, each
+Features of a text: its runs of one to three characters, its words and its pairs of neighbouring words, each
 hashed to one of 2^16 places; the square roots of their counts, scaled to length one. A logistic model is
 fitted on at most `per_class` labelled rows of each class (those with the smallest hash of their id), three
 quarters for the weights and one for the calibration (a logistic curve over the raw score). Every whole text
 is then scored in Arrow batches: kept unless a base rule fails or its probability is under `threshold`.
 
 Cases: a null or empty text has no words and fails the base rules; without labelled rows of both classes
-only the base rules decide; a null label or id is no label; several labels of a document each count;
+only the base rules decide; a null label or id is no label; several different labels of a document each count, the
+same one repeated counts once, and of several texts under one labelled id the one with the smallest hash is read;
 texts of any length are read whole; repeated rows each give a row; an empty table gives an empty table;
 other columns are not read.
 """
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, column, cut, first_per_group, sliced, table
+from tidemark.llm.common import arrow_map, column, cut, hashed_sample, sliced, table
 
 BITS = 16
 SYMBOLS = b"#*$%&|<>"
@@ -82,7 +83,8 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer((text or "").encode(), np.uint8)
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0)
-    wide, parts = data.astype(np.uint64) + np.uint64(1), []
+    chars = data if len(data) == len(text) else np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    wide, parts = chars.astype(np.uint64) + np.uint64(1), []
     shift = np.uint64(64 - BITS)
     for n in (1, 2, 3):
         if len(wide) >= n:
@@ -132,9 +134,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, per_class: int = 750) ->
 
     The bounded sample is fitted in one task of an executor; the driver gets 2^16 weights.
     """
-    known = labels.filter("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").alias("id"), F.col("quality").alias("y"))
-    known = first_per_group(known, "y", [F.xxhash64("id"), "id"], per_class)
-    some = docs.filter("text is not null").join(F.broadcast(known), docs["doc_id"] == known["id"]).select("id", "y", "text")
+    known = labels.filter("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").alias("id"), F.col("quality").alias("y"), F.xxhash64("doc_id").alias("key"))
+    known = hashed_sample(known, "y", "key", per_class).drop("key")
+    some = docs.filter("text is not null").join(F.broadcast(known), docs["doc_id"] == known["id"])
+    # One text of each labelled id, however many rows it has.
+    some = some.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
