@@ -2,7 +2,10 @@
 
 Two neighbouring byte symbols that never stand side by side inside any vocabulary token can never be
 merged across, so a pre-token may be cut there, the fragments encoded on their own and their ids put
-one after the other. Fragments repeat far more often than pre-tokens and are kept in a bounded memo.
+one after the other. Words (between white space) and fragments repeat; both are kept in bounded memos, so most of a
+text costs one look-up a word. A fragment's merges come from a heap over a linked list: n log n steps, however long it is.
+
+Lower case and normal form of texts beyond Latin, and the class of every character, are the tokenizers library's.
 
 Cases: a null text encodes as an empty one (no ids, empty decoded text); the special tokens' strings
 in a text become their ids, as in the tokenizers library; texts of any length are encoded whole;
@@ -12,6 +15,7 @@ repeated rows each give a row; an empty table gives an empty table; other column
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -19,14 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, column, sliced
+from tidemark.llm.charclass import stand_ins
+from tidemark.llm.common import arrow_map, column, held, sliced
 
-#: Entries kept in a memo before it starts anew: bounds a worker's memory whatever the vocabulary.
-MEMO = 500_000
+#: Entries of a memo's generation: bounds a worker's memory whatever the vocabulary.
+MEMO = 150_000
+#: Up to so many symbols, a fragment's best pair is found by looking through all.
+SHORT = 48
+#: Longer words and fragments are not kept.
+KEPT = 64
 
 
 def byte_symbols() -> dict[int, str]:
@@ -36,6 +44,23 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Memo:
+    """A bounded memo of two generations: a full one becomes the old one, so what is often asked for stays."""
+
+    def __init__(self, limit: int):
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def get(self, key):
+        if (got := self.new.get(key)) is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.limit:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 class ForcedBoundaryBpe:
     """A byte-level BPE model with an end-of-word suffix, read from a tokenizers JSON file."""
 
@@ -55,12 +80,15 @@ class ForcedBoundaryBpe:
             self.inside.update(body[i : i + 2] for i in range(len(body) - 1))
         self.symbols = {chr(b): s for b, s in byte_symbols().items()}
         self.to_symbols = str.maketrans(self.symbols)
-        self.memo = memo
-        self.fragments: dict[tuple[str, bool], tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, str, str]] = {}
-        tails = "'s|'t|'re|'ve|'m|'ll|'d"
-        self.split_ascii = re.compile(rf"{tails}|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
-        self.split_any = regex.compile(rf"{tails}|\p{{L}}+|\p{{N}}|[^\p{{White_Space}}\p{{L}}\p{{N}}]+")
+        self.fragments, self.tokens, self.words = Memo(memo), Memo(memo), Memo(memo)
+        self.id_text = {i: str(i) for i in self.token}
+        from tokenizers import Tokenizer
+
+        lib = Tokenizer.from_file(path)
+        self.normalised, self.kinds = lib.normalizer.normalize_str, stand_ins(lib.pre_tokenizer)
+        self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+        self.beyond_latin = re.compile("[^\x00-\u024f]").search
+        self.odd_space = re.compile("[\x1c-\x1f]").search
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
     def fragments_of(self, symbols: str) -> list[str]:
@@ -71,15 +99,35 @@ class ForcedBoundaryBpe:
 
     def merged(self, fragment: str, last: bool) -> tuple[int, ...]:
         """Ids of one fragment: the best-ranked neighbouring pair merges first, the leftmost of equals."""
-        parts = list(fragment)
+        parts: list[str | None] = list(fragment)
         if last:
             parts[-1] += self.suffix
+        if len(parts) <= SHORT:
+            return tuple(self.vocab[p] for p in self.merged_short(parts))
+        n, rank = len(parts), self.rank.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i, p in enumerate(zip(parts, parts[1:])) if (r := rank(p)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] is None or j >= n or rank((parts[i], parts[j])) != r:
+                continue  # an older pair of this place
+            parts[i], parts[j] = parts[i] + parts[j], None
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank((parts[i], parts[k]))) is not None:
+                    heapq.heappush(heap, (r, i))
+            if (h := before[i]) >= 0 and (r := rank((parts[h], parts[i]))) is not None:
+                heapq.heappush(heap, (r, h))
+        return tuple(self.vocab[p] for p in parts if p is not None)
+
+    def merged_short(self, parts: list[str]) -> list[str]:
+        """The same for a few symbols."""
         rank, worst = self.rank.get, len(self.rank)
         ranks = [rank(p, worst) for p in zip(parts, parts[1:])]
-        while ranks:
-            best = min(ranks)
-            if best == worst:
-                break
+        while ranks and (best := min(ranks)) < worst:
             i = ranks.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
             del ranks[i]
@@ -87,42 +135,46 @@ class ForcedBoundaryBpe:
                 ranks[i - 1] = rank((parts[i - 1], parts[i]), worst)
             if i < len(ranks):
                 ranks[i] = rank((parts[i], parts[i + 1]), worst)
-        return tuple(self.vocab[p] for p in parts)
+        return parts
 
-    def ids_of(self, word: str) -> list[int]:
-        symbols = word.translate(self.to_symbols) if word.isascii() else word.encode().decode("latin-1").translate(self.to_symbols)
+    def ids_of(self, token: str) -> tuple[int, ...]:
+        """The ids of a pre-token."""
+        if (got := self.tokens.get(token)) is not None:
+            return got
+        symbols = token.translate(self.to_symbols) if token.isascii() else token.encode().decode("latin-1").translate(self.to_symbols)
         parts = self.fragments_of(symbols)
-        if len(parts) == 1:
-            return list(self.merged(symbols, True))
         ids: list[int] = []
         for i, part in enumerate(parts):
             key = (part, i == len(parts) - 1)
-            if (got := self.fragments.get(key)) is None:
-                if len(self.fragments) >= self.memo:
-                    self.fragments.clear()
-                got = self.merged(*key)
-                if len(part) < 64:
-                    self.fragments[key] = got
-            ids += got
-        return ids
+            if (one := self.fragments.get(key)) is None:
+                one = self.merged(*key)
+                if len(parts) > 1 and len(part) < KEPT:
+                    self.fragments.put(key, one)
+            ids += one
+        got = tuple(ids)
+        if len(token) < KEPT:
+            self.tokens.put(token, got)
+        return got
 
     def entry(self, word: str) -> tuple[int, str, str]:
-        """(number of ids, the ids as text, the tokens as text) of a pre-token."""
+        """(number of ids, the ids as text, the tokens as text) of a word without white space, in lower case."""
         if (got := self.words.get(word)) is None:
-            if len(self.words) >= self.memo:
-                self.words.clear()
-            ids = self.ids_of(word)
-            got = (len(ids), " ".join(map(str, ids)), " ".join(map(self.token.__getitem__, ids)))
-            if len(word) < 64:
-                self.words[word] = got
+            if word.isascii():
+                tokens = self.split.findall(word)
+            else:
+                tokens = [word[m.start() : m.end()] for m in self.split.finditer(word.translate(self.kinds))]
+            ids = [i for t in tokens for i in self.ids_of(t)]
+            got = (len(ids), " ".join([self.id_text[i] for i in ids]), " ".join([self.token[i] for i in ids]))
+            if len(word) < KEPT:
+                self.words.put(word, got)
         return got
 
-    def pre_tokens(self, text: str) -> list[str]:
-        """Lower-cased words, single digits and runs of other signs; white space is dropped."""
-        if text.isascii():
-            return self.split_ascii.findall(text.lower())
-        # Character by character, a capital sigma has one lower case wherever it stands.
-        return self.split_any.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+    def words_of(self, text: str) -> list[str]:
+        """Lower-cased words; white space is dropped."""
+        if self.beyond_latin(text):
+            return [w for w in self.normalised(text).split(" ") if w]
+        low = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
+        return re.split("[\t-\r \x85\xa0]+", low) if self.odd_space(low) else low.split()
 
     def entries(self, text: str) -> list[tuple[int, str, str]]:
         if self.split_special is None or "<|" not in text:
@@ -133,9 +185,9 @@ class ForcedBoundaryBpe:
         for piece in pieces:
             if piece in self.special:
                 out.append((1, str(self.special[piece]), piece))
-            else:
-                words, entry = self.words, self.entry
-                out += [words.get(w) or entry(w) for w in self.pre_tokens(piece)]
+            elif piece:
+                words, entry = self.words.new, self.entry
+                out += [e for w in self.words_of(piece) if (e := words.get(w) or entry(w))[0]]
         return out
 
     def encode(self, text: str | None) -> list[int]:
@@ -146,14 +198,9 @@ class ForcedBoundaryBpe:
         return " ".join(map(self.token.__getitem__, ids))
 
 
-_MODELS: dict[str, ForcedBoundaryBpe] = {}
-
-
 def model_at(path: str) -> ForcedBoundaryBpe:
     """One model for all tasks of a worker."""
-    if path not in _MODELS:
-        _MODELS[path] = ForcedBoundaryBpe(path)
-    return _MODELS[path]
+    return held(("bpe", path), lambda: ForcedBoundaryBpe(path))
 
 
 def bpe_encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
