@@ -11,8 +11,8 @@ ranged read, whatever the size of the shard.
 Tasks write under names of their own and hand over the names when both files are complete, so a repeated task
 leaves unused files at most. Files go to the shared folder through pyarrow's file systems.
 
-Cases: a null text counts as empty and has the end id only; a null id sorts first and is a key of its own;
-repeated ids are told apart by their occurrence within the shard, in order of a hash of the text; an empty table
+Cases: a null text counts as empty and has the end id only; null ids sort first and are told apart from every number,
+the smallest too; repeated ids are told apart by their occurrence within the shard, in order of a hash of the text; an empty table
 gives no files and no rows; very long texts are encoded whole; other columns are not read.
 """
 
@@ -21,7 +21,6 @@ from __future__ import annotations
 import json
 import re
 import sys
-import unicodedata
 import uuid
 import zlib
 from array import array
@@ -29,19 +28,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, column, cut, fresh_folder, sliced, table
+from tidemark.llm.charclass import stand_ins
+from tidemark.llm.common import arrow_map, column, cut, fresh_folder, held, sliced, table
 
-MEMO = 900_000
+#: Words and pre-tokens kept before a memo starts anew.
+MEMO = 400_000
+#: Longer ones are not kept.
+KEPT = 64
 LEVELS = 48
+#: A shard row, and the columns of a manifest.
+MANIFEST = "shard int, file string, kind string, docs long, nulls long, ids long, first_id long, last_id long"
 
 
 class BatchEncoder:
-    """The tokenizers library over pre-tokens: each distinct one of a batch is encoded once, and kept."""
+    """The tokenizers library over words: each distinct one of a batch is encoded once, and kept.
+
+    In a text whose white space is single spaces and line ends between words, a new pre-token begins at every space and on
+    both sides of every line end; its words are encoded apart. Other texts are cut to pre-tokens, by the
+    library's own character classes.
+    """
 
     def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer
@@ -54,27 +63,31 @@ class BatchEncoder:
         self.special = {t["content"]: t["id"] for t in added}
         self.kind = "<u2" if max(self.lib.get_vocab_size(), 1 + max([0, *self.special.values()])) <= 1 << 16 else "<u4"
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        tails = "'s|'t|'re|'ve|'m|'ll|'d"
-        # Up to U+024F the classes are spelled out for the faster module: same letters, numbers and white space.
-        low = {k: "".join(map(re.escape, filter(lambda c: unicodedata.category(c)[0] == k, map(chr, range(0x250))))) for k in "LN"}
-        sp = r"\t-\r \x85\xa0"
-        self.split_low = re.compile(rf"{tails}| ?[{low['L']}]+| ?[{low['N']}]+| ?[^{sp}{low['L']}{low['N']}]+|[{sp}]+(?![^{sp}])|[{sp}]+")
-        self.is_high = re.compile("[\u0250-\U0010ffff]").search
-        ws = r"\p{White_Space}"
-        self.split_any = regex.compile(rf"{tails}| ?\p{{L}}+| ?\p{{N}}+| ?[^{ws}\p{{L}}\p{{N}}]+|[{ws}]+(?![^{ws}])|[{ws}]+")
+        self.kinds = stand_ins(self.lib.pre_tokenizer)
+        self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+        # A doubled sign of white space, one at either end, or one that is neither a space nor a line end.
+        self.uneven = re.compile(r"\s\s|^\s|\s$|[^\S \n]").search
         self.known: dict[str, bytes] = {}
         self.memo = memo
 
     def parts(self, text: str) -> list[str]:
+        """Strings that are encoded apart: one after the other they are the text."""
         pieces = self.split_special.split(text) if self.split_special and any(s in text for s in self.special) else [text]
         out = []
         for p in pieces:
             if p in self.special:
                 out.append(p)
+            elif not self.uneven(p):
+                out += p.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00") if "\x00" not in p else self.pre_tokens(p)
             elif p:
-                out += (self.split_any if self.is_high(p) else self.split_low).findall(p)
+                out += self.pre_tokens(p)
         return out
 
+    def pre_tokens(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.split.findall(text)
+        return [text[m.start() : m.end()] for m in self.split.finditer(text.translate(self.kinds))]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of every text, as raw bytes."""
         parts = [self.parts(t) if t else [] for t in texts]
@@ -87,7 +100,7 @@ class BatchEncoder:
             known.update(zip(some, [self.raw(e.ids) for e in self.lib.encode_batch_fast(some, add_special_tokens=False)]))
         out = [b"".join(map(known.__getitem__, p)) for p in parts]
         for w in todo:
-            if len(w) >= 64:
+            if len(w) >= KEPT:
                 del known[w]
         return out
 
@@ -98,19 +111,14 @@ class BatchEncoder:
         return out.tobytes()
 
 
-_ENCODERS: dict[str, BatchEncoder] = {}
-
-
 def encoder_at(path: str) -> BatchEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = BatchEncoder(path)
-    return _ENCODERS[path]
+    return held(("byte bpe", path), lambda: BatchEncoder(path))
 
 
 def key_hash(ids: np.ndarray, occurrence: np.ndarray, seed: int) -> np.ndarray:
-    """A 64-bit hash of keys, another for every seed."""
+    """A 64-bit hash of keys, another for every seed. Occurrences of the null id are counted -1, -2 and so on."""
     h = ids.astype(np.int64).view(np.uint64) ^ np.uint64((0x9E3779B97F4A7C15 * (2 * seed + 1)) & 0xFFFFFFFFFFFFFFFF)
-    for add in (occurrence.astype(np.uint64), np.uint64(seed)):
+    for add in (np.uint64(seed), occurrence.astype(np.int64).view(np.uint64)):  # ids are mixed before occurrences are added
         h = (h + add) * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0x94D049BB133111EB)
@@ -188,11 +196,15 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-NULL_ID = -(2**63)
+def occurrences(keys: np.ndarray, nulls: int) -> np.ndarray:
+    """The occurrence of every key of a shard: 0, 1 and so on from the first of the same id, -1, -2 and so on for the first `nulls` keys, which are null."""
+    rest = keys[nulls:]
+    first = np.concatenate([[True], rest[1:] != rest[:-1]])[: len(rest)]
+    return np.concatenate([-1 - np.arange(nulls), np.arange(len(rest)) - np.flatnonzero(first)[np.cumsum(first) - 1]])
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, *, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The manifest (shard, payload, index, docs, ids): one row per shard, in order of the documents' ids."""
+    """The manifest (see MANIFEST): one row per shard, in order of the documents' ids; null ids, as 0 and counted in `nulls`, come first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -202,12 +214,14 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, *, end_
         end = np.array([end_id], encoder.kind).tobytes()
         store, top = file_system(folder)
         name = f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
-        ids, lengths, out = [], [], None
+        ids, lengths, out, nulls = [], [], None, 0
         for b in sliced(batches):
             if out is None:
                 store.create_dir(top, recursive=True)
                 out = store.open_output_stream(f"{top}/{name}.ids")
-            ids += [NULL_ID if i is None else i for i in column(b, "doc_id")]
+            own = column(b, "doc_id")
+            nulls += own.count(None)
+            ids += [i or 0 for i in own]
             encoded = encoder.encode(column(b, "text"))
             lengths += [len(e) // width + 1 for e in encoded]
             out.write(end.join(encoded) + end)
@@ -215,20 +229,17 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, *, end_
             return
         out.close()
         keys, n = np.array(ids, np.int64), np.array(lengths, np.int64)
-        # Ids come in order: the occurrence is the distance to the first of the same id.
-        first = np.concatenate([[True], keys[1:] != keys[:-1]])
-        occurrence = np.arange(len(keys)) - np.flatnonzero(first)[np.cumsum(first) - 1]
-        index = PerfectIndex.build(keys, occurrence, np.cumsum(n) - n, n)
+        index = PerfectIndex.build(keys, occurrences(keys, nulls), np.cumsum(n) - n, n)
         with store.open_output_stream(f"{top}/{name}.mph") as f:
             f.write(index.to_bytes())
         with store.open_output_stream(f"{top}/{name}.keys") as f:
             f.write(keys.astype("<i8").tobytes())
-        row = [[TaskContext.get().partitionId()], [f"{folder}/{name}"], [encoder.kind], [len(keys)], [int(n.sum())], [ids[0]], [ids[-1]]]
-        yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), pa.array(row[1]), pa.array(row[2]), *(pa.array(r, pa.int64()) for r in row[3:])], ["shard", "file", "kind", "docs", "ids", "first_id", "last_id"])
+        row = [[TaskContext.get().partitionId()], [f"{folder}/{name}"], [encoder.kind], [len(keys)], [nulls], [int(n.sum())], [ids[nulls] if nulls < len(ids) else None], [ids[-1] if nulls < len(ids) else None]]
+        yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), pa.array(row[1]), pa.array(row[2]), *(pa.array(r, pa.int64()) for r in row[3:])], [c.split()[0] for c in MANIFEST.split(", ")])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").select("doc_id", "text")
-    return cut(arrow_map(rows, run, "shard int, file string, kind string, docs long, ids long, first_id long, last_id long"))
+    return cut(arrow_map(rows, run, MANIFEST))
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -238,16 +249,14 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for file, kind, base in zip(column(b, "file"), column(b, "kind"), column(b, "base")):
+            for file, kind, base, nulls in zip(*(column(b, c) for c in ("file", "kind", "base", "nulls"))):
                 store, path = file_system(file)
                 with store.open_input_stream(f"{path}.mph") as f:
                     index = PerfectIndex.from_bytes(f.read())
                 with store.open_input_stream(f"{path}.keys") as f:
                     keys = np.frombuffer(f.read(), "<i8")
                 width = np.dtype(kind).itemsize
-                first = np.concatenate([[True], keys[1:] != keys[:-1]])
-                occurrence = np.arange(len(keys)) - np.flatnonzero(first)[np.cumsum(first) - 1]
-                slots = index.find(keys, occurrence)
+                slots = index.find(keys, occurrences(keys, nulls))
                 if (slots < 0).any():
                     raise ValueError(f"{file}: a key is not in the index")
                 offsets, lengths = index.offsets[slots].astype(np.int64), index.lengths[slots].astype(np.int64)
@@ -255,32 +264,45 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     for at in range(0, len(keys), 4096):
                         part = slice(at, at + 4096)
                         crcs = [zlib.crc32(np.frombuffer(payload.read_at(int(n) * width, int(o) * width), kind).astype("<u4").tobytes()) for o, n in zip(offsets[part], lengths[part])]
-                        known = keys[part] != NULL_ID
-                        yield pa.RecordBatch.from_arrays([pa.array(keys[part], mask=~known), pa.array(offsets[part] + base), pa.array(lengths[part]), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[part], mask=np.arange(at, min(at + 4096, len(keys))) < nulls), pa.array(offsets[part] + base), pa.array(lengths[part]), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     # A shard is much work in one row: dealt out by number, not by size.
     return arrow_map(shards.repartition(max(1, min(10_000, manifest.count())), "shard"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
-    """(doc_id, ids) of the documents with the ids in `keys` (doc_id), by their shard's key range and index."""
-    at = manifest.select("file", "kind", "first_id", "last_id")
+    """(doc_id, ids): one row for every document whose id is in `keys` (doc_id), by the index of the shards that may hold it.
+
+    A key's shards come from an equi-join on blocks of the ids' range (as many blocks as shards, so a shard is listed
+    under two blocks on average). In a shard, occurrences are asked for until the fingerprints say that there
+    is none: all documents of a repeated id are found, also if they lie in several shards. A null in `keys` finds the documents
+    without an id. Repeated keys count once; keys of no document give no row.
+    """
     wanted = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    spots = wanted.join(F.broadcast(at), (F.col("doc_id") >= F.col("first_id")) & (F.col("doc_id") <= F.col("last_id"))).select("file", "kind", "doc_id")
+    ends = manifest.agg(F.min("first_id").alias("low"), F.max("last_id").alias("high"), F.count("*").alias("n")).first()
+    low, high = (int(ends["low"] or 0), int(ends["high"] or 0)) if ends["n"] else (0, 0)
+    width = (high - low) // max(1, ends["n"]) + 1
+    block = lambda c: F.expr(f"cast(floor((cast({c} as decimal(20,0)) - {low}) / {width}) as long)")
+    shards = manifest.filter("first_id is not null").select("file", "kind", "first_id", "last_id", F.explode(F.sequence(block("first_id"), block("last_id"))).alias("block"))
+    spots = wanted.filter(F.col("doc_id").between(low, high)).withColumn("block", block("doc_id")).join(shards, "block")
+    spots = spots.filter("doc_id between first_id and last_id").select("file", "kind", "doc_id")
+    unnamed = wanted.filter("doc_id is null").limit(1).select(F.lit(True).alias("asked")).join(manifest.filter("nulls > 0").select("file", "kind", F.lit(True).alias("asked")), "asked")
+    spots = spots.unionByName(unnamed.select("file", "kind", F.lit(None).cast("long").alias("doc_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple = (None, None, None)
+        open_now: tuple = (None, None, None)
         for b in batches:
             for file, kind, doc in zip(column(b, "file"), column(b, "kind"), column(b, "doc_id")):
-                if file != held[0]:
+                if file != open_now[0]:
                     store, path = file_system(file)
                     with store.open_input_stream(f"{path}.mph") as f:
-                        held = (file, PerfectIndex.from_bytes(f.read()), store.open_input_file(f"{path}.ids"))
-                slot = int(held[1].find(np.array([doc]), np.array([0]))[0])
-                if slot >= 0:
-                    width = np.dtype(kind).itemsize
-                    raw = held[2].read_at(int(held[1].lengths[slot]) * width, int(held[1].offsets[slot]) * width)
-                    yield pa.RecordBatch.from_arrays([pa.array([doc]), pa.array([np.frombuffer(raw, kind).astype(np.int32)], pa.list_(pa.int32()))], ["doc_id", "ids"])
+                        open_now = (file, PerfectIndex.from_bytes(f.read()), store.open_input_file(f"{path}.ids"))
+                _, index, payload = open_now
+                at, step, width = (0, 1, np.dtype(kind).itemsize) if doc is not None else (-1, -1, np.dtype(kind).itemsize)
+                while (slot := int(index.find(np.array([doc or 0]), np.array([at]))[0])) >= 0:
+                    raw = payload.read_at(int(index.lengths[slot]) * width, int(index.offsets[slot]) * width)
+                    yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([np.frombuffer(raw, kind).astype(np.int32)], pa.list_(pa.int32()))], ["doc_id", "ids"])
+                    at += step
 
     return arrow_map(spots.repartition("file").sortWithinPartitions("file"), run, "doc_id long, ids array<int>")
 
