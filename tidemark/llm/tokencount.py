@@ -1,10 +1,12 @@
 """Token counts by trie-shared dynamic programming over a fixed public vocabulary of pieces.
 
 A pre-token is a word behind a word-start sign. Its tokens are the pieces of its best segmentation under
-a unigram model: the highest sum of piece scores, then the fewest pieces. Distinct pre-tokens are walked
-as a trie (in sorted order, so that the open path is all of the trie that is held): the best score and
-count of every prefix are computed once for all pre-tokens that share it, and the count at the end of
-each pre-token is stored and added up per document.
+a unigram model: the highest sum of piece scores, then the fewest pieces. Distinct pre-tokens are put into a trie, whose
+nodes hold the best score and count of their prefix: these are computed once for all pre-tokens that share it, in
+all the texts that a worker reads. The count at the end of each pre-token is stored and added up per document. A trie
+of NODES nodes is given up and starts anew, so memory is bounded; that changes how often a prefix is
+computed, never a count. Pre-tokens are not brought together over the table: there are as many (document, word) pairs as
+words, and shuffling them would cost more than computing again what several workers have each seen.
 
 Piece scores follow from the vocabulary alone: log(1 / (rank + 1)) less the log of their sum, the rank
 being the piece's place in the file (a fixed Zipf law; tokenizers are never trained here). A character
@@ -24,11 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, arrow_map, column, sliced, table
+from tidemark.llm.common import WORD, arrow_map, column, held, sliced, table
 
 #: The sign before a word in the vocabulary file.
 START = "▁"
-MEMO = 400_000
+#: Nodes of a trie, and pre-tokens with stored counts, before both start anew.
+NODES = 400_000
+MEMO = 300_000
+#: Longer pre-tokens are walked through a trie of their own.
+KEPT = 64
 _WORDS = re.compile(WORD)
 
 
@@ -44,68 +50,85 @@ def zipf_pieces(path: str) -> tuple[dict[str, float], float]:
 
 
 class TrieCounter:
-    def __init__(self, scores: dict[str, float], byte_score: float, memo: int = MEMO):
-        self.scores, self.byte_score, self.memo = scores, byte_score, memo
-        self.longest = max(map(len, scores))
-        self.counts: dict[str, int] = {}
-
-    def count_all(self, words: Iterator[str]) -> dict[str, int]:
-        """Token counts of distinct words: one walk over their trie."""
-        scores, longest, out = self.scores, self.longest, {}
-        best: list[tuple[float, int]] = [(0.0, 0)]  # of every prefix of the open path: score, -tokens
-        path = ""
-        for word in sorted(words):
-            text = START + word
-            shared = 0
-            top = min(len(path), len(text))
-            while shared < top and path[shared] == text[shared]:
-                shared += 1
-            del best[shared + 1 :]
-            for end in range(shared + 1, len(text) + 1):
-                char = text[end - 1]
-                top_score, top_n = -math.inf, 0
-                for start in range(max(0, end - longest), end):
-                    if (s := scores.get(text[start:end])) is not None:
-                        before, n = best[start]
-                        if (got := (before + s, n - 1)) > (top_score, top_n):
-                            top_score, top_n = got
-                if char not in scores:
-                    size = len(char.encode())
-                    before, n = best[end - 1]
-                    top_score, top_n = max((top_score, top_n), (before + size * self.byte_score, n - size))
-                best.append((top_score, top_n))
-            path = text
-            out[word] = -best[len(text)][1]
-        return out
+    def __init__(self, scores: dict[str, float], byte_score: float, *, memo: int = MEMO, nodes: int = NODES):
+        self.scores, self.byte_score, self.memo, self.limit = scores, byte_score, memo, nodes
+        # Ends of pieces: a search backwards from a place goes on only while it stands in these.
+        self.ends = {p[k:] for p in scores for k in range(len(p))}
+        self.start_anew()
+
+    def start_anew(self) -> None:
+        self.counts: dict[str, int] = {}  # of whole pre-tokens
+        self.children: dict[tuple[int, str], int] = {}
+        self.best: list[tuple[float, int]] = [(0.0, 0)]  # of every node: score, -tokens
+
+    def count(self, word: str) -> int:
+        """The tokens of one pre-token: down the trie as far as it is known, then node by node."""
+        text, children, best = START + word, self.children, self.best
+        path, node, at = [0], 0, 0
+        for at, char in enumerate(text):  # noqa: B007
+            if (after := children.get((node, char))) is None:
+                break
+            node = after
+            path.append(node)
+        scores, ends = self.scores, self.ends
+        for end in range(len(path), len(text) + 1):
+            char = text[end - 1]
+            top = (-math.inf, 0)
+            for start in range(end - 1, -1, -1):
+                piece = text[start:end]
+                if piece not in ends:
+                    break
+                if (s := scores.get(piece)) is not None:
+                    before, n = best[path[start]]
+                    if (got := (before + s, n - 1)) > top:
+                        top = got
+            if char not in scores:
+                size = len(char.encode())
+                before, n = best[path[end - 1]]
+                top = max(top, (before + size * self.byte_score, n - size))
+            children[node, char] = node = len(best)
+            best.append(top)
+            path.append(node)
+        return -best[node][1]
 
     def of_texts(self, texts: list[str | None]) -> list[tuple[int, int]]:
-        """(words, tokens) of every text; the counts of pre-tokens are kept, up to `memo` of them."""
-        parts = [_WORDS.findall(t or "") for t in texts]
-        fresh = {w for p in parts for w in p}.difference(self.counts)
-        if len(self.counts) + len(fresh) > self.memo:
-            self.counts = {}
-            fresh = {w for p in parts for w in p}
-        got = self.count_all(fresh)
-        self.counts.update((w, n) for w, n in got.items() if len(w) < 64)
-        got, known = got.get, self.counts.get
-        return [(len(p), sum(known(w) or got(w) for w in p)) for p in parts]
+        """(words, tokens) of every text."""
+        out = []
+        for t in texts:
+            words, n = _WORDS.findall(t or ""), 0
+            known = self.counts.get
+            for w in words:
+                if (c := known(w)) is None:
+                    if len(w) >= KEPT:
+                        c = TrieCounter.count(_Alone(self), w)
+                    else:
+                        if len(self.best) > self.limit or len(self.counts) > self.memo:
+                            self.start_anew()
+                            known = self.counts.get
+                        c = self.counts[w] = self.count(w)
+                n += c
+            out.append((len(words), n))
+        return out
+
 
+class _Alone:
+    """The trie of one long pre-token, which is not kept."""
 
-_COUNTERS: dict[str, TrieCounter] = {}
+    def __init__(self, of: TrieCounter):
+        self.scores, self.byte_score, self.ends = of.scores, of.byte_score, of.ends
+        self.children, self.best = {}, [(0.0, 0)]
 
 
 def counter_at(path: str) -> TrieCounter:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = TrieCounter(*zipf_pieces(path))
-    return _COUNTERS[path]
+    return held(("pieces", path), lambda: TrieCounter(*zipf_pieces(path)))
 
 
 def token_counts(docs: DataFrame, piece_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_tokens): a narrow pass; each task shares prefixes over batches of its texts."""
+    """(doc_id, n_words, n_tokens): a narrow pass; a worker shares prefixes over all texts it reads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_at(piece_path)
-        for b in sliced(batches, 2048):
+        for b in sliced(batches):
             got = counter.of_texts(column(b, "text"))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
