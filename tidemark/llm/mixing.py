@@ -4,7 +4,8 @@ Targets: the weights share all tokens; a source's target stops at `max_repeats`
 the excess is shared again by weight (one water level, found in closed form). Equal blocks of
 `block_tokens` are then given to the sources by the highest quotients target / (2k + 1), shard after
 shard, so that every prefix of shards is in proportion. A source's documents stand in a seeded order
-on a line of tokens that is walked round and round; its blocks are the first ones of that walk.
+on a line of tokens that is walked round and round; its blocks are the first ones of that walk, and each shard goes
+on where the shard before it stopped, for as many blocks as its quota says.
 
 Everything is DataFrame work: per-source tables hold one row per source (and shard); the positions of
 documents come from sums per (source, slice of the seeded order), so a source with a third of all rows
@@ -97,11 +98,12 @@ def mix_documents(
     source_col: str = "source",
     key: str | None = None,
 ) -> DataFrame:
-    """One row per document: (doc_id, source, size, source_size, target, taken, start).
+    """One row per document: (doc_id, source, size, source_size, target, taken, start, shards).
 
     `taken` counts the words the mix takes of the document, repeats included; `start` is where the
-    document begins on its source's seeded line, so shard s of the mix takes the tokens of the line
-    from quota_before * block_tokens on (see block_quotas). A `key`, a column that is different in every row,
+    document begins on its source's seeded line. `shards` says which shard takes how many of them, as an array of
+    (shard, words) in order of shards: a shard takes the tokens of the walk from quota_before * block_tokens on, quota *
+    block_tokens of them (see block_quotas). A `key`, a column that is different in every row,
     is kept, breaks ties, and seeds rows with a null id.
     """
     size = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.regexp_count(F.col(text_col), F.lit(WORD))).cast("long")
@@ -112,23 +114,32 @@ def mix_documents(
     rows = cut(rows)
     sliced = rows.withColumn("slice", F.substring("seeded", 1, 3))
     targets = cut(source_targets(rows.select("source", "size"), weights, max_repeats))
-    blocks = block_quotas(targets, block_tokens, n_shards).groupBy("place").agg((F.sum("quota") * block_tokens).alias("quota_tokens"))
-    plan = targets.join(blocks, "place", "left").select(
-        "source", "source_size", "target", F.least(F.coalesce("quota_tokens", F.lit(0)), F.col("source_size") * max_repeats).alias("quota_tokens")
-    )
+    quotas = block_quotas(targets, block_tokens, n_shards)
+    upto = F.sum("quota").over(W.partitionBy("place").orderBy("shard").rowsBetween(W.unboundedPreceding, W.currentRow)) * block_tokens
+    quotas = quotas.filter("quota > 0").withColumn("upto", upto).groupBy("place").agg(F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("stops"))
+    limit = F.col("source_size") * max_repeats
+    plan = targets.join(quotas, "place", "left").select(
+        "source", "source_size", "target", F.least(F.coalesce(F.element_at("stops", -1)["upto"], F.lit(0)), limit).alias("quota_tokens"),
+        F.transform("stops", lambda x: F.struct(F.least(x["upto"], limit).alias("upto"), x["shard"].alias("shard"))).alias("stops"),
+    )
     sums = sliced.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     ahead = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.withColumn("slice_start", F.coalesce(F.sum("slice_size").over(ahead), F.lit(0)))
     sums = sums.join(plan, sums["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     a, b = sliced.alias("a"), sums.alias("b")
-    placed = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.slice") == F.col("b.slice"))).select("a.*", "b.slice_start", "b.source_size", "b.target", "b.quota_tokens")
+    placed = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.slice") == F.col("b.slice"))).select("a.*", "b.slice_start", "b.source_size", "b.target", "b.quota_tokens", "b.stops")
     inside = W.partitionBy("source", "slice").orderBy("seeded", F.col("doc_id").asc_nulls_first(), "size", *keys).rowsBetween(W.unboundedPreceding, -1)
     placed = placed.withColumn("start", F.col("slice_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("quota_tokens") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.col("quota_tokens") - rounds * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
     taken = (F.col("size") * rounds + part).cast("long")
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "start", *keys)
+    # Of the line's tokens up to a stop, those of this document: whole rounds, and its part of the last one.
+    own = lambda x: F.when(F.col("source_size") > 0, F.floor(x / F.col("source_size")) * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), x % F.col("source_size") - F.col("start")))).otherwise(F.lit(0)).cast("long")
+    upto = F.transform("stops", lambda x: F.struct(x["shard"].alias("shard"), own(x["upto"]).alias("n")))
+    shards = F.transform(upto, lambda x, i: F.struct(x["shard"].alias("shard"), (x["n"] - F.when(i > 0, F.get(upto, i - 1)["n"]).otherwise(F.lit(0))).alias("words")))
+    shards = F.coalesce(F.filter(shards, lambda x: x["words"] > 0), F.array().cast("array<struct<shard:int,words:bigint>>"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "start", shards.alias("shards"), *keys)
 
 
 def mixed_copies(docs: DataFrame, mix: DataFrame, *, id_col: str = "doc_id", key: str | None = None) -> DataFrame:
@@ -146,7 +157,8 @@ def mixed_copies(docs: DataFrame, mix: DataFrame, *, id_col: str = "doc_id", key
 def op2_query(spark, sf_dir: str) -> DataFrame:
     from tidemark.llm.common import table
 
-    return mix_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    shards = F.array_join(F.transform("shards", lambda x: F.concat_ws(":", x["shard"], x["words"])), ",")
+    return mix_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", shards.alias("shards"))
 
 
 OP2_SQL = r"""
@@ -162,18 +174,26 @@ s3 as (select *, row_number() over (order by cap / weight, place) as turn, coale
 s4 as (select *, (total - capped)::double / open_w::double as level from s3),
 s5 as (select *, arg_min(level, case when level * weight <= cap then turn end) over () as lvl, count(*) over () as n from s4),
 t as (select source, place, source_size, total, n, least(cap::double, lvl * weight) as target, (total // 16) as blocks from s5),
-k0 as (select *, case when total > 0 then target / total else 0 end as share from t),
-k1 as (select *, greatest(0, floor(share * (blocks - n / 2.0) + 0.5) - 1)::bigint as low,
-         greatest(0, floor(share * (blocks + n / 2.0) + 0.5) + 1)::bigint as high from k0),
-k2 as (select *, unnest(generate_series(low, high)) as k from k1),
-k3 as (select *, row_number() over (order by target / (2 * k + 1) desc, place, k) as rk,
-         sum(case when k = low then low else 0 end) over () as sure from k2),
-q as (select place, any_value(low) + sum(case when rk <= blocks - sure and target > 0 then 1 else 0 end) as upto from k3 group by place),
+k0 as (select *, unnest(range(40)) as shard, case when total > 0 then target / total else 0 end as share from t),
+k1 as (select *, (blocks * (shard + 1)) // 40 as upto from k0),
+k2 as (select *, greatest(0, floor(share * (upto - n / 2.0) + 0.5) - 1)::bigint as low,
+         greatest(0, floor(share * (upto + n / 2.0) + 0.5) + 1)::bigint as high from k1),
+k3 as (select *, unnest(generate_series(low, high)) as k from k2),
+k4 as (select *, row_number() over (partition by shard order by target / (2 * k + 1) desc, place, k) as rk,
+         sum(case when k = low then low else 0 end) over (partition by shard) as sure from k3),
+u as (select place, shard, any_value(low) + sum(case when rk <= upto - sure and target > 0 then 1 else 0 end) as q from k4 group by place, shard),
+q as (select place, max(q) as upto from u group by place),
 p as (select t.source, t.source_size, t.target, least(q.upto * 16, t.source_size * 3)::bigint as quota from t join q using (place)),
 l as (select d.*, p.source_size, p.target, p.quota,
          coalesce(sum(d.size) over (partition by d.source order by seeded, doc_id nulls first, size rows between unbounded preceding and 1 preceding), 0)::bigint as start
-      from d join p on d.source is not distinct from p.source)
+      from d join p on d.source is not distinct from p.source),
+m as (select *, row_number() over () as r from l),
+st as (select p.source, u.shard, least(u.q * 16, p.source_size * 3)::bigint as line from u join t using (place) join p on p.source is not distinct from t.source),
+v as (select m.r, st.shard, (case when source_size > 0 then (line // source_size) * size + greatest(0, least(size, line % source_size - start)) else 0 end)::bigint as n
+      from m join st on m.source is not distinct from st.source),
+v1 as (select r, shard, n - coalesce(lag(n) over (partition by r order by shard), 0) as words from v),
+sh as (select r, string_agg(shard || ':' || words, ',' order by shard) as shards from v1 where words > 0 group by r)
 select doc_id, size, source_size, target,
-  (case when source_size > 0 then size * (quota // source_size) + greatest(0, least(size, quota - (quota // source_size) * source_size - start)) else 0 end)::bigint as taken
-from l
+  (case when source_size > 0 then size * (quota // source_size) + greatest(0, least(size, quota - (quota // source_size) * source_size - start)) else 0 end)::bigint as taken, coalesce(shards, '') as shards
+from m left join sh using (r)
 """

@@ -51,7 +51,8 @@ def first_stop(stops: Column) -> Column:
 
 
 def propagate(state: DataFrame, quota: DataFrame, rounds: int, edges: DataFrame | None = None) -> DataFrame:
-    """(grp, shard, n) after `rounds` rounds; quota: (shard, quota). edges: (a, b) between groups, both ways."""
+    """(grp, shard, n) after at most `rounds` rounds, fewer if one moves nothing; quota: (shard, quota). edges: (a, b) between groups, both ways."""
+    seen = None
     for _ in range(rounds):
         votes = state.withColumn("votes", F.col("n"))
         if edges is not None:
@@ -78,10 +79,14 @@ def propagate(state: DataFrame, quota: DataFrame, rounds: int, edges: DataFrame
         moved = moved.unionByName(wish.select("grp", F.col("goal").alias("shard"), F.col("go").alias("n")))
         moved = moved.unionByName(wish.select("grp", "shard", (F.col("n") - F.col("go")).alias("n")))
         state = cut(moved.filter("n > 0").groupBy("grp", "shard").agg(F.sum("n").alias("n")))
+        now = state.agg(F.count("*"), F.sum(F.xxhash64("grp", "shard", "n").cast("decimal(38,0)"))).first()
+        if now == seen:
+            break
+        seen = now
     return state
 
 
-def shard_documents(docs: DataFrame, *, n_shards: int = 40, rounds: int = 4, edges: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, *, n_shards: int = 40, rounds: int = 12, edges: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, grp, shard, slot): shards whose row counts are at most one apart.
 
     `edges` (a, b) may link groups of equal texts further, by the xxhash64 of their texts.
