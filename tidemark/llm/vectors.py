@@ -88,7 +88,10 @@ def unit_rows(vectors: list) -> tuple[np.ndarray, list[int]]:
 
 
 def hashed(classes: DataFrame, tables: int, hashes: int) -> DataFrame:
-    """(id, label, dim, mult, vector, own, probes): double vectors of length one with their codes."""
+    """(id, label, dim, mult, vector, own, probes): the valid vectors with their codes."""
+
+    kind = classes.schema["vector"].dataType.elementType.simpleString()
+    arrow_kind = {"float": pa.float32()}.get(kind, pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, 2048):
@@ -102,18 +105,19 @@ def hashed(classes: DataFrame, tables: int, hashes: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), part.column(1).cast(pa.int64()), pa.array(np.full(len(at), dim), pa.int32()), part.column(2),
-                        pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(own.tolist(), pa.list_(pa.int64())), pa.array(probes.reshape(len(at), -1).tolist(), pa.list_(pa.int64())),
+                        pa.array(x.tolist(), pa.list_(arrow_kind)), pa.array(own.tolist(), pa.list_(pa.int64())), pa.array(probes.reshape(len(at), -1).tolist(), pa.list_(pa.int64())),
                     ],
                     ["id", "label", "dim", "mult", "vector", "own", "probes"],
                 )
 
-    return arrow_map(classes.select("id", "label", "mult", "vector"), run, "id long, label long, dim int, mult long, vector array<double>, own array<long>, probes array<long>")
+    return arrow_map(classes.select("id", "label", "mult", "vector"), run, f"id long, label long, dim int, mult long, vector array<{'float' if kind == 'float' else 'double'}>, own array<long>, probes array<long>")
 
 
 def linked_in_buckets(rows: DataFrame, tables: int, hashes: int, threshold: float) -> DataFrame:
     """(a, b, n): per vector a the weight n of its links found in a bucket, and links (a, b) of a spanning forest (n = 0).
 
-    rows: (label, dim, tab, code, part, side, probe, id, mult, vector, own, probes), one bucket part after the other.
+    rows: (label, dim, tab, code, part, side, probe, id, mult, vector), one bucket part after the other. Codes are computed
+    again for the rows that have a link: most rows of most buckets have none, and vectors are all that is sent.
     """
 
     def meet(own1: np.ndarray, pro1: np.ndarray, own2: np.ndarray, pro2: np.ndarray) -> np.ndarray:
@@ -126,9 +130,8 @@ def linked_in_buckets(rows: DataFrame, tables: int, hashes: int, threshold: floa
     def joined(t: pa.Table) -> Iterator[pa.RecordBatch]:
         tab, code = t.column("tab")[0].as_py(), t.column("code")[0].as_py()
         ids, side, probe, mult = (t.column(c).to_numpy() for c in ("id", "side", "probe", "mult"))
-        x = np.stack(t.column("vector").to_numpy())
+        x = np.stack(t.column("vector").to_numpy()).astype(np.float64)
         size = np.sqrt((x * x).sum(axis=1))
-        own, pro = np.stack(t.column("own").to_numpy()), np.stack(t.column("probes").to_numpy())
         cos = (x @ x.T) / size[:, None] / size[None, :]
         i, j = np.nonzero(np.triu(cos >= threshold - 1e-9, 1))
         if not len(i):
@@ -139,6 +142,12 @@ def linked_in_buckets(rows: DataFrame, tables: int, hashes: int, threshold: floa
         if side.any():
             ok &= side[i] != side[j]
         i, j = i[ok], j[ok]
+        if not len(i):
+            return
+        some = np.unique(np.concatenate([i, j]))
+        codes = bucket_codes(x[some] / size[some, None], tables, hashes)
+        own, pro = np.zeros((len(x), tables), np.int64), np.zeros((len(x), tables * hashes), np.int64)
+        own[some], pro[some] = codes[0], codes[1].reshape(len(some), -1)
         for at in range(0, len(i), 200_000):
             a, b = i[at : at + 200_000], j[at : at + 200_000]
             hit = meet(own[a], pro[a], own[b], pro[b])
@@ -216,7 +225,7 @@ def embedding_links(vectors: DataFrame, *, threshold: float = 0.93, tables: int
     spots = spots.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
     spots = spots.withColumn("side", side).withColumn("part", F.least("mine", "other").cast("long") * 1_000_000 + F.greatest("mine", "other"))
-    data = rows.select("id", "label", "mult", "vector", "own", "probes")
+    data = rows.select("id", "label", "mult", "vector")
     full = spots.select("id", *spot, "part", "side", "probe").join(data, ["id", "label"])
     full = full.repartition(*spot, "part").sortWithinPartitions(*spot, "part", "id")
     found = cut(linked_in_buckets(full, tables, hashes, threshold))
