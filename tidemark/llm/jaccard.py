@@ -1,21 +1,24 @@
-"""Exact Jaccard join of word-shingle sets as a metric-space join with pivots and windows.
-
-Jaccard distance is a metric on sets, and single shingles are its finest pivots: a set's nearest pivots are
-the shingles it holds. One global order (shingles that very many documents hold last, then by hash) decides
-among them. A set's home region is that of its first shingle; since a partner within distance 1 - t must
-share t of it, the window around the border reaches over the first n - ceil(t * n) + 1 shingles, and the set
-is replicated to just these regions. Pairs meet in the region of their first common shingle, which the bound
-on their possible overlap (sizes and places in the order) tests before any text is read.
-
-Three steps keep large groups cheap without losing a link between different texts:
-1. sets that are equal meet in one class (by a 128-bit hash of the set);
-2. documents that share a min-hash are compared with the smallest id of that group, its pivot document: a group of
-   near copies of any size becomes one component by one comparison a document;
-3. the regions then only compare documents of different components. A region with more than `REGION` rows
-   is split again by windows of set size, and a window that is still too large by pairs of hash blocks; each
-   part is joined in the same way, so no task holds an unbounded region.
-Candidate pairs are verified exactly on the full shingle sets, rebuilt from the texts. Components are then
-closed over all links.
+"""Exact Jaccard join of word-shingle sets: pivots, windows, recursion.
+
+Jaccard distance is a metric on sets; two documents link when theirs is at most r = 1 - percent / 100. Most documents of a
+corpus share nothing: their distance to each other, and to almost any pivot, is 1, so pivot documents alone cannot
+divide it. What lies within reach of anything at all is therefore found by shingles first, and pivots work where distances differ:
+
+1. sets that are equal (distance 0) meet in one class, by a 128-bit hash of the set;
+2. documents that share a min-hash form a region with the smallest id as its pivot document, and are compared with that: a
+   group of near copies of any size becomes one component by one comparison a document;
+3. every set goes to the regions of its first shingles in one order of all (very common shingles last, then by hash): a
+   partner within r shares one of the first n - ceil((1 - r) * n) + 1, so any linked pair meets in a region. Documents
+   of different components are compared there, if sizes and places in the order allow a link;
+4. a region with more than `REGION` rows is divided by a pivot document, taken from its largest component. Exact distances to
+   the pivot are computed; by the triangle inequality linked documents differ by r at most in them, so a document goes to the ring of
+   width r that it lies in and is replicated to the next. Rings that hold one component (those around the pivot's
+   copies) are done. What lies at 4 r or more from the pivot is divided again by a pivot of its own, `LEVELS` times; what is
+   left after that is cut by windows of set size and pairs of hash blocks. Each part is joined in the same way, so no
+   task holds an unbounded region.
+
+Candidate pairs are verified on the full shingle sets, rebuilt from the texts. Components are then closed over all links.
+Shingles are compared by 64-bit hashes (polynomials over bytes, mixed by word): the result is exact but for collisions of those.
 
 Cases: a null text and a text without words have an empty set and link with nothing; fewer words than the
 shingle length are one shingle; rows with the same id are one node with the links of all its rows; a null id
@@ -36,6 +39,10 @@ from tidemark.llm.common import arrow_map, column, cut, sliced, table
 from tidemark.llm.graph import components, salted_join
 from tidemark.llm.quality import word_bounds
 
+#: Levels of pivots in a large region.
+LEVELS = 3
+#: Documents that are compared with one pivot in one task.
+PARTNERS = 4096
 #: At most this many common shingles are sent to the tasks (8 bytes each).
 FREQUENT = 1 << 18
 #: Rows of a region, or part of one, that are joined in one piece.
@@ -58,13 +65,16 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd base and of its inverse, modulo 2^64."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps)
-    return _powers[0], _powers[1]
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    got = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(max(n, 1 << 20), base, np.uint64)
+        steps[0] = 1
+        got.append(np.cumprod(steps))
+    if n <= 1 << 21:  # those of a very long text are not kept
+        _powers[:] = got
+    return got[0], got[1]
 
 
 def shingle_sets(texts: list[str | None], k: int = 5) -> list[np.ndarray]:
@@ -113,12 +123,16 @@ def set_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[lis
                 at, size = i + 1, 0
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """100 * intersection >= percent * union, of non-empty sorted sets."""
-    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
+def compare(a: np.ndarray, b: np.ndarray, percent: int) -> tuple[bool, int]:
+    """Of non-empty sorted sets: whether 100 * intersection >= percent * union, and their distance in whole steps of r."""
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
+    union = len(a) + len(b) - both
+    return 100 * both >= percent * union, 100 * (union - both) // ((100 - percent) * union) if percent < 100 else int(both < union)
+
+
+def set_hash(s: np.ndarray) -> tuple[int, int, int]:
+    """(size, 128-bit hash) of a set."""
+    return len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int(mixed(s * _M[6]).sum(dtype=np.uint64).view(np.int64))
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
@@ -129,7 +143,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             rows = []
             for s in sets:
                 bands = [int((s * m).min().view(np.int64)) for m in _M[3 : 3 + BANDS]] if len(s) else []
-                rows.append((len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int(mixed(s * _M[6]).sum(dtype=np.uint64).view(np.int64)), bands))
+                rows.append((*set_hash(s), bands))
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.list_(pa.int64()))], ["doc_id", "n", "s1", "s2", "bands"])
 
@@ -152,7 +166,8 @@ def places(common: Common, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def counted_shingles(docs: DataFrame, k: int, low: float, high: float, crowded: Common | None = None, least: int = 8) -> Common:
     """The shingles of at least `least` documents with hashes in [low, high) of their range, the FREQUENT most common if there are more.
 
-    With `crowded`, only documents count of which more than three tenths of the shingles below `low` are common in it.
+    Some thousands of documents are counted at a time, and what only one of them holds is not handed on: a count is a lower
+    bound, and close to the truth for what is common. With `crowded`, only documents count of which more than three tenths of the shingles below `low` are common in it.
     """
     bounds = [np.uint64(min(x, 1.0) * float(2**64 - 2049)) for x in (low, high)]
 
@@ -161,6 +176,7 @@ def counted_shingles(docs: DataFrame, k: int, low: float, high: float, crowded:
 
         def counted() -> pa.RecordBatch:
             g, n = np.unique(np.concatenate(held), return_counts=True)
+            g, n = g[n > 1], n[n > 1]
             return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n.astype(np.int32))], ["g", "n"])
 
         for _, sets in set_batches(batches, k):
@@ -198,15 +214,21 @@ def common_shingles(docs: DataFrame, k: int, percent: int) -> Common:
 
 
 def region_rows(docs: DataFrame, common: Common, k: int, percent: int) -> DataFrame:
-    """(g, doc_id, n, pos): every set in the regions of its window."""
+    """(g, doc_id, n, pos): every set in the regions of its window; of equal sets that a task reads, one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for ids, sets in set_batches(batches, k):
             g, doc, n, pos = [], [], [], []
+            if len(seen) > 200_000:
+                seen.clear()
             for d, s in zip(ids, sets):
                 if not len(s) or d is None:
                     continue
                 size = len(s)
+                if (own := set_hash(s)) in seen:
+                    continue
+                seen.add(own)
                 keep = size - -(-percent * size // 100) + 1
                 late, at = places(common, s)
                 if late.any():
@@ -329,28 +351,84 @@ def region_pairs(rows: DataFrame, percent: int, limit: int | None = REGION) -> t
     return got.filter("a is not null").select("a", "b").distinct(), got.filter("a is null").select(*cols)
 
 
-def candidate_pairs(rows: DataFrame, percent: int, region: int = REGION) -> DataFrame:
-    """All candidate pairs of (g, doc_id, n, pos, comp), regions split until each part fits a task."""
+def mixed_regions(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of the regions that hold more than one component."""
+    sizes = rows.groupBy(*keys).agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("rows")).filter("least <> most")
+    return salted_join(rows, sizes.select(*keys, "rows"), keys, ["doc_id"], rows="rows")
+
+
+def block_pairs(rows: DataFrame, percent: int, region: int) -> DataFrame:
+    """The candidate pairs of regions (g, part) of any size: windows of set size, then pairs of hash blocks.
+
+    Documents of a part's largest component need no comparison with each other: the others are
+    compared with each of its blocks, and among themselves.
+    """
+    # Partners differ by one step at most, so a row goes to its own window and the next.
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent * 1.0001))).cast("long")
+    rows = rows.withColumn("window", F.explode(F.array(step, step + 1))).withColumn("part", F.xxhash64("part", "window")).drop("window")
+    pairs, large = region_pairs(rows, percent, region)
+    if large.isEmpty():
+        return pairs
+    keys = ["g", "part"]
+    large = cut(mixed_regions(large.distinct(), keys))
+    half = max(1, region // 4)
+    comps = large.groupBy(*keys, "comp").agg(F.count("*").alias("c"))
+    top = comps.groupBy(*keys).agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.max("c").alias("most"), F.sum("c").alias("rows"))
+    top = top.select(*keys, "top", F.ceil(F.col("most") / half).cast("int").alias("n_top"), F.greatest(F.lit(1), F.ceil((F.col("rows") - F.col("most")) / half)).cast("int").alias("n_rest"), "rows")
+    dealt = salted_join(large.withColumnRenamed("block", "half"), top, keys, ["doc_id"], rows="rows")
+    main = F.col("comp") == F.col("top")
+    own = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.when(main, F.col("n_top")).otherwise(F.col("n_rest"))).cast("int")
+    dealt = dealt.withColumn("main", main).withColumn("own", own)
+    # Blocks of the largest component are met by every block of the rest; blocks of the rest meet each other.
+    rest = lambda f, n: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    spot = lambda kind, a, b, side: F.struct(F.xxhash64(F.col("part"), F.lit(kind), a, b).alias("to"), side.alias("block"))
+    side = lambda o: F.when(F.col("own") == o, 0).when(F.col("own") < o, 1).otherwise(2)
+    with_rest = rest(lambda o: spot("main", F.col("own"), o, F.lit(1)), "n_rest")
+    with_main = rest(lambda o: spot("main", o, F.col("own"), F.lit(2)), "n_top")
+    among = rest(lambda o: spot("rest", F.least("own", o), F.greatest("own", o), side(o)), "n_rest")
+    dealt = dealt.withColumn("spots", F.when(F.col("main"), with_rest).otherwise(F.concat(with_main, among)))
+    dealt = dealt.select("g", "doc_id", "n", "pos", "comp", F.explode("spots").alias("s")).select("g", F.col("s.to").alias("part"), "doc_id", "n", "pos", "comp", F.col("s.block").alias("block"))
+    return pairs.unionByName(region_pairs(dealt, percent, None)[0])
+
+
+def ring_pairs(rows: DataFrame, docs: DataFrame, k: int, percent: int, region: int, levels: int) -> DataFrame:
+    """The candidate pairs of large regions (g, doc_id, n, pos, comp), by pivot documents and rings around them."""
+    plain = lambda df: df.select("g", F.lit(0).cast("long").alias("part"), "doc_id", "n", "pos", "comp", F.lit(0).alias("block"))
+    found, left = rows.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0), rows
+    for _ in range(levels):
+        live = cut(mixed_regions(left.distinct(), ["g"]))
+        if live.isEmpty():
+            return found
+        comps = live.groupBy("g", "comp").agg(F.count("*").alias("c"), F.min("doc_id").alias("p"))
+        pivots = comps.groupBy("g").agg(F.max_by("p", F.struct("c", "comp")).alias("p"), F.sum("c").alias("rows"))
+        asked = salted_join(live, pivots, ["g"], ["doc_id"], rows="rows")
+        far = compared(cut(asked.select(F.col("p").alias("a"), F.col("doc_id").alias("b")).distinct()), docs, k, percent)
+        far = far.select(F.col("a").alias("p"), F.col("b").alias("doc_id"), "near", "far")
+        placed = cut(asked.join(far, ["p", "doc_id"]))
+        # Rings 0 to 3 are home; ring 4 meets ring 3 only, and goes on with the rest.
+        home = F.col("near") <= 3
+        rings = placed.withColumn("part", F.explode(F.sequence("near", F.col("far") + 1))).filter(F.col("part") <= 4)
+        rings = rings.select("g", F.col("part").cast("long").alias("part"), "doc_id", "n", "pos", "comp", F.when(F.col("part") < 4, 0).when(home, 1).otherwise(2).alias("block"))
+        pairs, large = region_pairs(rings, percent, region)
+        found = found.unionByName(pairs)
+        if not large.isEmpty():
+            found = found.unionByName(block_pairs(cut(mixed_regions(large.distinct(), ["g", "part"])), percent, region))
+        left = placed.filter("far >= 4").select("g", "doc_id", "n", "pos", "comp")
+        pairs, large = region_pairs(plain(left), percent, region)
+        found, left = found.unionByName(pairs), large.select("g", "doc_id", "n", "pos", "comp")
+    live = cut(mixed_regions(left.distinct(), ["g"]))
+    return found if live.isEmpty() else found.unionByName(block_pairs(plain(live), percent, region))
+
+
+def candidate_pairs(rows: DataFrame, docs: DataFrame, k: int, percent: int, region: int = REGION, levels: int = LEVELS) -> DataFrame:
+    """All candidate pairs of (g, doc_id, n, pos, comp), regions divided until each part fits a task."""
     plain = rows.select("g", F.lit(0).cast("long").alias("part"), "doc_id", "n", "pos", "comp", F.lit(0).alias("block"))
     pairs, large = region_pairs(plain, percent, region)
     if large.isEmpty():
         return pairs
-    # Windows of set size: partners differ by one step at most, so a row goes to its own window and the next.
-    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent * 1.0001)))
-    windows = large.withColumn("part", F.explode(F.array(step.cast("long"), step.cast("long") + 1)))
-    more, large = region_pairs(windows, percent, region)
-    pairs = pairs.unionByName(more)
-    if large.isEmpty():
-        return pairs.distinct()
-    # Pairs of hash blocks: two blocks together hold half of REGION on average.
-    large = cut(large.drop("block").distinct())
-    counts = large.groupBy("g", "part").agg(F.ceil(F.count("*") / max(1, region // 4)).cast("int").alias("blocks"))
-    blocks = salted_join(large, counts, ["g", "part"], ["doc_id"])
-    blocks = blocks.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.col("blocks")).cast("int"))
-    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    blocks = blocks.withColumn("block", side).withColumn("part", F.xxhash64("part", F.least("own", "other"), F.greatest("own", "other")))
-    return pairs.unionByName(region_pairs(blocks, percent, None)[0]).distinct()
+    large = large.select("g", "doc_id", "n", "pos", "comp")
+    more = ring_pairs(large, docs, k, percent, region, levels)
+    return pairs.unionByName(more).distinct()
 
 
 def only_needed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -372,11 +450,16 @@ def only_needed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return arrow_map(rows, run, "doc_id long, text string")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar. A text is sent once per pair and once per part of its pivot's pairs."""
+def compared(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b, linked, near, far) of every pair whose documents have shingles: whether full sets of the two are similar, and their least and
+    greatest distance in steps of r (an id with several rows has several sets).
+
+    A text is sent once per pair and once per part of its pivot's pairs; the number of parts follows the number of pairs.
+    """
     texts = cut(only_needed(docs, pairs))
-    part = F.pmod(F.xxhash64("b"), F.lit(16)).cast("int")
-    keyed = pairs.select("a", "b", part.alias("part"))
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts")).filter("parts > 1")
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    keyed = pairs.join(F.broadcast(parts), "a", "left").select("a", "b", part.alias("part"))
     right = keyed.join(texts.select(F.col("doc_id").alias("b"), "text"), "b")
     left = keyed.select("a", "part").distinct().join(texts.select(F.col("doc_id").alias("a"), "text"), "a")
     rows = left.select("a", "part", F.lit(None).cast("long").alias("b"), "text").unionByName(right.select("a", "part", "b", "text"))
@@ -385,22 +468,32 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
         key, sets = None, []
         for b in sliced(batches):
             found = []
-            for a, p, other, text in zip(*(column(b, c) for c in ("a", "part", "b", "text"))):
-                s = shingle_set(text, k)
+            texts = column(b, "text")
+            for a, p, other, s in zip(*(column(b, c) for c in ("a", "part", "b")), shingle_sets(texts, k)):
                 if (a, p) != key:
                     key, sets = (a, p), []
+                if not len(s):
+                    continue
                 if other is None:
                     sets.append(s)
-                elif any(similar(x, s, percent) for x in sets):
-                    found.append((a, other))
+                elif sets:
+                    got = [compare(x, s, percent) for x in sets]
+                    found.append((a, other, any(g[0] for g in got), min(g[1] for g in got), max(g[1] for g in got)))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+                a, other, linked, near, far = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(other, pa.int64()), pa.array(linked), pa.array(near, pa.int32()), pa.array(far, pa.int32())], ["a", "b", "linked", "near", "far"])
 
     dealt = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return arrow_map(dealt, run, "a long, b long").distinct()
+    got = arrow_map(dealt, run, "a long, b long, linked boolean, near int, far int")
+    return got.groupBy("a", "b").agg(F.max("linked").alias("linked"), F.min("near").alias("near"), F.max("far").alias("far"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar."""
+    return compared(pairs, docs, k, percent).filter("linked").select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, *, k: int = 5, percent: int = 80, region: int = REGION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, *, k: int = 5, percent: int = 80, region: int = REGION, levels: int = LEVELS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = cut(signatures(docs, k))
@@ -430,7 +523,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, percent: int = 80, region
     known = comps.select(F.col("node").alias("doc_id"), F.col("component").alias("comp")).join(copies, "doc_id", "left")
     rows = shared_regions(region_rows(docs, common, k, percent))
     rows = rows.join(known, "doc_id", "left").filter("copy is null").withColumn("comp", F.coalesce("comp", "doc_id"))
-    pairs = cut(candidate_pairs(rows, percent, region))
+    pairs = cut(candidate_pairs(cut(rows), docs, k, percent, region, levels))
     far = cut(verified(pairs, docs, k, percent))
     final = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(far))
     out = sets.join(final, sets["doc_id"] == final["node"], "left")
