@@ -1,5 +1,6 @@
 import hashlib
 import random
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -8,9 +9,10 @@ import public_tokenizers as P
 import pytest
 from helpers import awkward, awkward_rows, base_counts, empty, personal, prose, shingles, smallest_reachable, WORDS
 from tokenizers import Tokenizer
+from pyspark.sql import functions as F
 from tokenizers.models import Unigram
 
-from tidemark.llm import bpe, graph, jaccard, langid, mixing, pii, quality, sharding, tokencount, tokenfile, vectors
+from tidemark.llm import bpe, charclass, graph, jaccard, langid, mixing, pii, quality, sharding, tokencount, tokenfile, vectors
 from tidemark.llm.common import fresh_folder
 
 
@@ -106,9 +108,17 @@ def test_mixing(spark, sf_dir, case):
         assert r["target"] == pytest.approx(targets[r["source"]])
         assert 0 <= r["taken"] <= 3 * r["size"]
         taken[r["source"]] += r["taken"]
+        assert sum(x["words"] for x in r["shards"]) == r["taken"] and all(0 <= x["shard"] < 40 and x["words"] > 0 for x in r["shards"])
     order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
     seats = sainte_lague(targets, order, sum(sizes.values()) // 16)
     assert all(taken[s] == min(16 * seats[s], 3 * sizes[s]) for s in order)
+    # Every prefix of shards holds what the method gives it.
+    for upto in (0, 7, 38):
+        seats = sainte_lague(targets, order, sum(sizes.values()) // 16 * (upto + 1) // 40)
+        held = Counter()
+        for r in rows:
+            held[r["source"]] += sum(x["words"] for x in r["shards"] if x["shard"] <= upto)
+        assert all(held[s] == min(16 * seats[s], 3 * sizes[s]) for s in order)
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix_documents(docs).collect()))
 
 
@@ -177,14 +187,54 @@ def test_token_counts(spark):
     assert got == Counter((r[0], len(WORDS.findall(r[1] or ""))) for r in rows)
     counter = tokencount.TrieCounter(*tokencount.zipf_pieces(P.path("piece_bpe_32k.model")))
     words = {f"{a}{b}" for a in ("under", "over", "inter", "x") for b in ("", "standing", "national", "rated", "9", "e" * 70)}
-    assert counter.count_all(words) == {w: len(lib.encode(tokencount.START + w).ids) for w in words}
-    assert counter.count_all({"\U0001f980"})["\U0001f980"] >= 2  # a sign without a piece: its bytes
+    assert {w: counter.count(w) for w in words} == {w: len(lib.encode(tokencount.START + w).ids) for w in words}
+    assert counter.count("\U0001f980") >= 2  # a sign without a piece: its bytes
+    small = tokencount.TrieCounter(*tokencount.zipf_pieces(P.path("piece_bpe_32k.model")), nodes=50, memo=9)
+    assert small.of_texts([r[1] for r in rows]) == counter.of_texts([r[1] for r in rows])  # giving up tries changes no count
     assert tokencount.token_counts(empty(spark), P.path("piece_bpe_32k.model")).collect() == []
 
 
+def test_token_counts_are_the_library_model(spark, sf_dir):
+    """n_tokens of every document of the table whose characters all have pieces, against the library's unigram model."""
+    path = P.path("piece_bpe_32k.model")
+    scores, _ = tokencount.zipf_pieces(path)
+    lib = Tokenizer(Unigram([("<unk>", -1e3), *scores.items()], 0))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    counted, memo = 0, {}
+
+    def n_tokens(word):
+        if word not in memo:
+            memo[word] = len(lib.encode(tokencount.START + word).ids)
+        return memo[word]
+
+    for r in tokencount.token_counts(docs, path).collect():
+        words = WORDS.findall(text[r["doc_id"]] or "")
+        if all(c in scores for w in words for c in w):
+            counted += 1
+            assert r["n_tokens"] == sum(map(n_tokens, words))
+    assert counted > len(text) / 2
+
+
 # --- quality
 
 
+def test_quality_features_are_of_characters():
+    at, x = quality.features("ж" * 5)
+    assert len(at) == 4 and abs((x**2).sum() - 1) < 1e-9  # one run of each length, and the word
+
+
+def test_quality_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(1, f"same id {i}") for i in range(50)] + [(i, prose(i, 60)) for i in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] * 9 + [(i, i % 2) for i in range(2, 40)], "doc_id long, quality int")
+    from tidemark.llm.common import hashed_sample
+
+    known = labels.selectExpr("doc_id", "quality", "xxhash64(doc_id) as key")
+    n = Counter(r["quality"] for r in hashed_sample(known, "quality", "key", 7).collect())
+    assert n == {0: 7, 1: 7}
+    assert len(quality.score_quality(docs, quality.fit_quality(docs, labels, per_class=7)).collect()) == 88
+
+
 def test_base_counts():
     for r in awkward_rows():
         assert quality.base_counts(r[1]) == base_counts(r[1])
@@ -239,6 +289,41 @@ def test_bpe_random_text():
         assert own.decode(ids) == lib.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_long_words():
+    lib, own = library("word_bpe_49k.json"), bpe.ForcedBoundaryBpe(P.path("word_bpe_49k.json"))
+    rnd = random.Random(6)
+    for t in ("ha" * 100_000, "".join(rnd.choice("abcdefgh") for _ in range(60_000)), "é1" * 5000):
+        assert own.encode(t) == lib.encode(t, add_special_tokens=False).ids
+
+
+def all_characters():
+    """Every assigned character, but for the inner ones of the two largest blocks, and every seventh of the others."""
+    for c in range(128, 0x110000):
+        if not 0xD800 <= c < 0xE000 and (c % 7 == 0 or c < 0x3400 or (unicodedata.category(chr(c)) != "Cn" and not 0x3500 < c < 0xD700 and not 0x20100 < c < 0x32000 and c < 0xE0200) or 0x16E00 < c < 0x16F00 or 0x18C00 < c < 0x19100):
+            yield chr(c)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_character_classes_are_the_library(name):
+    lib = library(name)
+    split = (bpe.ForcedBoundaryBpe(P.path(name)) if name.startswith("word") else tokenfile.BatchEncoder(P.path(name))).split
+    kinds = charclass.stand_ins(lib.pre_tokenizer)
+    places = lambda t: [m.span() for m in split.finditer(t.translate(kinds))]
+    for c in all_characters():
+        t = f"a{c}b1{c}1!{c}'re"
+        assert places(t) == [x for _, x in lib.pre_tokenizer.pre_tokenize_str(t)], hex(ord(c))
+
+
+def test_encoders_on_rare_characters():
+    word, own = library("word_bpe_49k.json"), bpe.ForcedBoundaryBpe(P.path("word_bpe_49k.json"))
+    byte, enc = library("byte_bpe_50k.json"), tokenfile.BatchEncoder(P.path("byte_bpe_50k.json"))
+    some = list(all_characters())
+    texts = [form.format("".join(some[i : i + 9])) for i in range(0, len(some), 63) for form in ("x{}y", "{}'re 1", "a {}\n\n z ", "\x00 {} b\nc")]
+    for t, w, b, raw in zip(texts, word.encode_batch(texts, add_special_tokens=False), byte.encode_batch(texts, add_special_tokens=False), enc.encode(texts)):
+        assert own.encode(t) == w.ids
+        assert np.frombuffer(raw, enc.kind).tolist() == b.ids
+
+
 # --- token files
 
 
@@ -259,7 +344,15 @@ def test_token_files(spark):
     assert ids == sorted(ids)
     found = {r["doc_id"]: r["ids"] for r in tokenfile.lookup(manifest, spark.createDataFrame([(3,), (12,), (77,)], "doc_id long")).collect()}
     assert found == {i: lib.encode(rows[i][1], add_special_tokens=False).ids + [2] for i in (3, 12)}
+    # Repeated ids: all their documents; null: the documents without an id; unknown ids: none.
+    again = Counter((r["doc_id"], tuple(r["ids"])) for r in tokenfile.lookup(manifest, spark.createDataFrame([(6,), (100,), (100,), (None,), (-5,)], "doc_id long")).collect())
+    assert again == Counter((r[0], (*lib.encode(r[1], add_special_tokens=False).ids, 2)) for r in rows if r[0] in (6, 100, None))
+    ends = spark.createDataFrame([(i, f"text {i}") for i in (-(2**63), None, 2**63 - 1, 0, None, -(2**63))], "doc_id long, text string")
+    manifest = tokenfile.write_token_files(ends, path, folder)
+    assert Counter(r["doc_id"] for r in tokenfile.read_token_files(manifest).collect()) == Counter([-(2**63), None, 2**63 - 1, 0, None, -(2**63)])
+    assert Counter(r["doc_id"] for r in tokenfile.lookup(manifest, ends.select("doc_id")).collect()) == Counter([-(2**63), None, 2**63 - 1, 0, None, -(2**63)])
     none = tokenfile.write_token_files(empty(spark), path, folder)
+    assert tokenfile.lookup(none, ends.select("doc_id")).collect() == []
     assert tokenfile.read_token_files(none).collect() == []
 
 
@@ -299,6 +392,33 @@ def test_long_pieces_and_words_are_summed():
     assert seg.log_likelihoods(["?" * 500])[0][0] == pytest.approx(np.log(0.1) + 500 * np.log(langid.UNKNOWN))
 
 
+def test_likelihoods_of_whole_texts(spark):
+    """Sums over all segmentations of every word of texts with words of 60 letters, against a plain recursion."""
+    rnd = random.Random(8)
+    pieces = ["a", "b", "c", "ab", "bca", "abcabc", "cccccccccccc", langid.START, langid.START + "a", langid.START + "bc"]
+    probs = np.array([[rnd.random() for _ in pieces] for _ in range(3)])
+    probs /= probs.sum(axis=1, keepdims=True)
+    texts = [" ".join("".join(rnd.choice("abcd") for _ in range(rnd.choice([1, 3, 7, 60]))) for _ in range(12)) for _ in range(20)] + [None, "12", "é" * 60]
+
+    def word(w, p):
+        front = [1.0]
+        for end in range(1, len(w) + 1):
+            at = sum(front[k] * p[w[k:end]] for k in range(end) if w[k:end] in p)
+            front.append(at + (langid.UNKNOWN * front[end - 1] if w[end - 1] not in p else 0))
+        return np.log(front[-1])
+
+    seg = langid.Segmenter(pieces, probs)
+    for _ in range(2):  # the second time from the memo
+        for t, got in zip(texts, seg.of_texts(texts)):
+            words = langid.words_of(t)
+            if not words:
+                assert got is None
+            elif t != "é" * 60:  # 1e-9 to the 60th is no double; rescaled sums hold it
+                assert got == pytest.approx([sum(word(langid.START + w, dict(zip(pieces, p))) for w in words) for p in probs], rel=1e-9)
+            else:
+                assert got == pytest.approx([np.log(p[pieces.index(langid.START)]) + 60 * np.log(langid.UNKNOWN) for p in probs], rel=1e-9)
+
+
 def test_language_held_out(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
@@ -335,7 +455,7 @@ def test_disclosing_terms(spark):
     call = "+1 (663) 555-6869"
     texts = [f"please call zanzibar under {call} today number{i} {prose(i, 30)}" for i in range(4)] + [f"please do come today {prose(i, 40)}" for i in range(50, 90)] + ["zanzibar"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    spans = pii.disclosing_spans(docs, window=30)
+    spans = pii.disclosing_spans(docs)
     terms = {(r["doc_id"], texts[r["doc_id"]][s["start"] : s["end"]]) for r in spans.collect() for s in r["terms"]}
     assert {t for _, t in terms} >= {"zanzibar", "under"} and "please" not in {t for _, t in terms} and "today" not in {t for _, t in terms}
     clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs, spans).collect()}
@@ -374,6 +494,32 @@ def test_terms_of_rare_entities(spark):
     assert not any(got[i] for i, _ in rest)
 
 
+def test_secrets(spark):
+    key = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"
+    shown = "A1b2C3d4E5f6G7h8J9k0"
+    rows = [(1, f'token = "{key}" é'), (2, "plainwordsonlyofletters 12345678901234567890 aaaaaaaaaaaaaaaaaaa1"), (3, f"{key}x@host.org"), (4, None)] + [(10 + i, f"{prose(i, 5)} {shown}") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = pii.disclosing_spans(docs)
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["secrets"]] for r in spans.collect()}
+    assert got[1] == [(9, 49)] and not any(got[i] for i in got if i != 1)  # what nine texts show is no secret
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs, spans).collect()}
+    assert clean[1] == 'token = "[SECRET]" é' and clean[3] == "[EMAIL]" and clean[2] == rows[1][1] and clean[4] is None
+
+
+def test_many_spans_in_one_text(spark):
+    from time import time
+
+    text = " ".join(f"é a{i}@b{i}.org 10.0.{i % 256}.7" for i in range(8000))
+    docs = spark.createDataFrame([(1, text), (2, text[:90])], "doc_id long, text string")
+    began = time()
+    spans = pii.disclosing_spans(docs)
+    got = {r["doc_id"]: r for r in spans.collect()}
+    assert [(s["kind"], s["start"], s["end"]) for s in got[1]["base"]] == personal(text)
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs, spans).collect()}
+    assert clean[1].count("[EMAIL]") == 8000 and clean[1].count("[IP]") == 8000 and "@" not in clean[1]
+    assert time() - began < 120
+
+
 # --- Jaccard join
 
 
@@ -390,8 +536,8 @@ def near_texts():
     return texts + [f"{prose(200 + i, 20, 9000)} {passage} {prose(300 + i, 15, 9000)}" for i in range(15)]
 
 
-@pytest.mark.parametrize("region", [4096, 4])
-def test_jaccard_components(spark, region):
+@pytest.mark.parametrize(("region", "levels"), [(4096, 3), (4, 3), (4, 0)])
+def test_jaccard_components(spark, region, levels):
     rows = [(i, t) for i, t in enumerate(near_texts())] + [(500 + r[0], r[1]) for r in awkward_rows() if r[0] is not None]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows] + [(None, rows[0][1], "x", 1)], "doc_id long, text string, component string, n int")
     sets = defaultdict(list)
@@ -399,10 +545,35 @@ def test_jaccard_components(spark, region):
         sets[i].append(shingles(t))
     linked = lambda a, b: any(x and y and 100 * len(x & y) >= 80 * len(x | y) for x in sets[a] for y in sets[b])
     comp = smallest_reachable(sets, linked)
-    out = jaccard.jaccard_components(df, region=region).collect()
+    out = jaccard.jaccard_components(df, region=region, levels=levels).collect()
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == Counter([(i, len(shingles(t)), comp[i]) for i, t in rows] + [(None, len(shingles(rows[0][1])), None)])
 
 
+def test_rings_around_pivots(spark):
+    """Linked documents of one large region meet, at every distance from the pivot; copies of the pivot are not compared with each other."""
+    rnd, base = random.Random(4), prose(5, 200, 9000).split(" ")
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for p in rnd.sample(range(200), rnd.randrange(0, 60)):
+            w[p] = f"q{i % 7}x{p}"
+        rows.append((i, " ".join(w)))
+    sets = {i: shingles(t) for i, t in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    region = spark.createDataFrame([(7, i, len(sets[i]), 0, i) for i in sets], "g long, doc_id long, n int, pos int, comp long")
+    for levels in (0, 1, 3):
+        got = {(r["a"], r["b"]) for r in jaccard.ring_pairs(region, docs, 5, 80, 4, levels).distinct().collect()}
+        assert links <= got
+    one = region.withColumn("comp", F.lit(1).cast("long"))
+    assert jaccard.ring_pairs(one, docs, 5, 80, 4, 3).count() == 0
+
+
+def test_components_that_do_not_close(spark):
+    with pytest.raises(RuntimeError):
+        graph.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), max_rounds=1)
+
+
 def test_jaccard_empty(spark):
     assert jaccard.jaccard_components(empty(spark)).collect() == []
 

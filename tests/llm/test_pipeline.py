@@ -41,6 +41,14 @@ def test_pipeline_against_brute_force(spark, sf_dir):
         assert r["ids"] == lib.encode(text[r["doc_id"]], add_special_tokens=False).ids and r["n_tokens"] == len(r["ids"])
 
 
+def test_texts_of_no_learned_language_go(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = ["\u1200\u1201\u1203 \u1205\u1206" * 20, "\u16a0\u16a1\u16a2\u16a3 " * 30, "12 34 !!", None]
+    more = spark.createDataFrame([(-i - 1, t, None, "s", 1) for i, t in enumerate(odd)], docs.schema)
+    kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["language_id"](spark, docs.unionByName(more), sf_dir).collect()}
+    assert not any(i < 0 for i in kept) and len(kept) >= 0.99 * docs.count()
+
+
 def test_rows_without_an_id_of_their_own(spark):
     texts = [prose(i, 40, 9000) for i in range(5)]
     rows = [(2, texts[0]), (2, texts[1]), (1, texts[0] + " more"), (None, texts[2]), (None, texts[3]), (None, texts[1]), (7, None), (7, texts[4])]
