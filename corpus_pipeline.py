@@ -22,6 +22,9 @@ from tidemark.llm.pii import disclosing_spans, sanitised
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose best language has less than this share of the posterior is rejected.
 LEAST_SCORE = 0.5
+#: So is one whose letters are less likely than this on average in its best language (natural logarithm): about half of them
+#: then belong to no piece that the language was seen with. Texts in a learned language stand between -2 and -4.
+LEAST_PER_LETTER = -9.0
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +32,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     path = public_tokenizers.path("piece_bpe_32k.model")
     langs, probs = fit_languages(docs.filter(~held_out_part(F.col("doc_id"))).select("doc_id", "text", "lang"), path)
     seen = identify_languages(docs, langs, probs, path, keep=("doc_id", "text", "source", "n_chars"))
-    return seen.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+    return seen.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE) & (F.col("per_letter") >= LEAST_PER_LETTER)).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
 def with_row_key(spark: SparkSession, docs: DataFrame) -> DataFrame:
