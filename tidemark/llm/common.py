@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -38,6 +39,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files and checkpoints that nothing refers to any more: it learns of them by garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+#: Keys that are broadcast at most: 8 MB of 64-bit numbers.
+FEW_KEYS = 1 << 20
+
+
+def with_and_without(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose long `key` is in `keys` or may be, rows whose key surely is not), so that only the first need a shuffle.
+
+    keys: one column of distinct numbers, counted first: up to FEW_KEYS of them are broadcast; with more, all rows
+    are in the first part. Rows with a null key are in the second.
+    """
+    keys = cut(keys.toDF("_key"))
+    if keys.count() > FEW_KEYS:
+        return rows.filter(F.col(key).isNotNull()), rows.filter(F.col(key).isNull())
+    marked = rows.join(F.broadcast(keys), F.col(key) == F.col("_key"), "left")
+    return marked.filter("_key is not null").drop("_key"), marked.filter("_key is null").drop("_key")
+
+
 def fresh_folder(spark: SparkSession, what: str) -> str:
     """A new, unused folder below the shared one, as a URI."""
     return f"{shared_root(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"

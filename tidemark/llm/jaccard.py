@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, column, cut, sliced, table
+from tidemark.llm.common import arrow_map, column, cut, release, sliced, table
 from tidemark.llm.graph import components, salted_join
 from tidemark.llm.quality import word_bounds
 
@@ -516,6 +516,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, percent: int = 80, region
     close = cut(verified(cut(near), docs, k, percent))
     linked = equal.unionByName(close)
     comps = components(linked)
+    release(docs.sparkSession)
 
     # Regions: documents of different components only, and of equal sets the first (if each of the ids has one row).
     several = some.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
@@ -523,7 +524,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, percent: int = 80, region
     known = comps.select(F.col("node").alias("doc_id"), F.col("component").alias("comp")).join(copies, "doc_id", "left")
     rows = shared_regions(region_rows(docs, common, k, percent))
     rows = rows.join(known, "doc_id", "left").filter("copy is null").withColumn("comp", F.coalesce("comp", "doc_id"))
-    pairs = cut(candidate_pairs(cut(rows), docs, k, percent, region, levels))
+    pairs = cut(candidate_pairs(rows, docs, k, percent, region, levels))
     far = cut(verified(pairs, docs, k, percent))
     final = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(far))
     out = sets.join(final, sets["doc_id"] == final["node"], "left")

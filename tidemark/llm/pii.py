@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, table
+from tidemark.llm.common import cut, table, with_and_without
 from tidemark.llm.graph import salted_join
 
 # Possessive forms of the stated patterns. A run of pattern characters is entered at its first character (or where
@@ -207,7 +207,10 @@ def term_spans(found: DataFrame, texts: DataFrame, *, threshold: float = 0.8, su
 
     both = words.select("h", "t").distinct().join(judged, "h").groupBy("e", "t").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e")).filter(F.col("n_et") >= support)
     own = F.transform(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(TERM), F.lit(0)), F.lower)
-    once = texts.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
+    # Every text once: only those that have copies are brought together.
+    hashed = texts.select(F.xxhash64("text").alias("h"), "text")
+    copied, single = with_and_without(hashed, "h", hashed.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
+    once = copied.groupBy("h").agg(F.first("text").alias("text")).unionByName(single)
     n_t = once.select(F.explode(F.array_distinct(own)).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
     n = texts.select(F.xxhash64("text").alias("h")).distinct().count()
     score = F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e").cast("double") * F.col("n_t")))
@@ -238,8 +241,11 @@ def sanitised(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     some = spans.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.array_sort(F.concat(base, of_kind("terms", "term"), of_kind("secrets", "secret"))).alias("_spans"))
     some = some.filter(F.size("_spans") > 0).dropDuplicates(["_id", "_h"])
-    joined = docs.join(some, docs[id_col].eqNullSafe(some["_id"]) & (F.xxhash64(docs[text_col]) == some["_h"]), "left")
-    text = docs[text_col]
+    some = cut(some)
+    keyed = docs.withColumn("_key_h", F.xxhash64(text_col))
+    touched, whole = with_and_without(keyed, "_key_h", some.select("_h").distinct())
+    joined = touched.join(some, touched[id_col].eqNullSafe(some["_id"]) & (touched["_key_h"] == some["_h"]), "left")
+    text = F.col(text_col)
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
 
     # The spans that begin behind the end of all before them, part by part.
@@ -266,7 +272,8 @@ def sanitised(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text
         return F.aggregate(part, F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), own.alias("own")), step, done)
 
     clean = F.array_join(let(in_parts(kept), lambda parts: F.transform(parts, lambda p, i: replaced(p, i, parts))), "")
-    return joined.select(*[(F.when(F.col("_spans").isNotNull(), clean).otherwise(text).alias(c) if c == text_col else docs[c]) for c in docs.columns])
+    changed = joined.select(*[(F.when(F.col("_spans").isNotNull(), clean).otherwise(text).alias(c) if c == text_col else F.col(c)) for c in docs.columns])
+    return changed.unionByName(whole.select(*docs.columns))
 
 
 def op9_query(spark, sf_dir: str) -> DataFrame:
