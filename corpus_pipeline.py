@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import bpe_encode
-from tidemark.llm.common import cut, fresh_folder, table
+from tidemark.llm.common import cut, fresh_folder, release, table, with_and_without
 from tidemark.llm.graph import salted_join
 from tidemark.llm.jaccard import jaccard_components
 from tidemark.llm.langid import fit_languages, held_out_part, identify_languages
@@ -44,29 +44,34 @@ def with_row_key(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: the one with the smallest id, null last. Texts are linked, whatever their ids."""
+    release(spark)
     rows = with_row_key(spark, docs)
     groups = jaccard_components(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
     groups = cut(groups.join(rows.select("_row", "doc_id"), "_row"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("_row")))
     stays = groups.groupBy("component_id").agg(first.alias("first"), F.count("*").alias("rows")).filter("rows > 1").select("component_id", F.col("first._row").alias("_stays"))
-    gone = salted_join(groups, stays, ["component_id"], ["_row"]).filter("_row <> _stays").select("_row")
-    return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
+    gone = cut(salted_join(groups, stays, ["component_id"], ["_row"]).filter("_row <> _stays").select("_row"))
+    maybe, stay = with_and_without(rows, "_row", gone)
+    return maybe.join(gone, "_row", "left_anti").unionByName(stay).select(*COLUMNS)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data, and the terms that give it away, by placeholders."""
+    release(spark)
     clean = sanitised(docs.select(*COLUMNS), disclosing_spans(docs))
     return clean.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes documents, some of them several times, until the sources stand in their target proportions."""
+    release(spark)
     rows = with_row_key(spark, docs)
     return mixed_copies(rows, mix_documents(rows, key="_row"), key="_row").select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document, and a digest of the text they decode to."""
+    release(spark)
     out = bpe_encode(docs, public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
