@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.charclass import stand_ins
 from tidemark.llm.common import arrow_map, column, held, sliced
 
-#: Entries of a memo's generation: bounds a worker's memory whatever the vocabulary.
-MEMO = 150_000
+#: Entries of a memo's generation: bounds a worker's memory whatever the vocabulary. Words have two strings each, pre-tokens short tuples.
+MEMO, WORD_MEMO = 100_000, 40_000
 #: Up to so many symbols, a fragment's best pair is found by looking through all.
 SHORT = 48
 #: Longer words and fragments are not kept.
@@ -80,7 +80,7 @@ class ForcedBoundaryBpe:
             self.inside.update(body[i : i + 2] for i in range(len(body) - 1))
         self.symbols = {chr(b): s for b, s in byte_symbols().items()}
         self.to_symbols = str.maketrans(self.symbols)
-        self.fragments, self.tokens, self.words = Memo(memo), Memo(memo), Memo(memo)
+        self.fragments, self.tokens, self.words = Memo(memo), Memo(memo), Memo(min(memo, WORD_MEMO))
         self.id_text = {i: str(i) for i in self.token}
         from tokenizers import Tokenizer
 
@@ -218,7 +218,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return arrow_map(rows, run, f"doc_id {kind}, ids array<int>, decoded string")
+    return arrow_map(rows, run, f"doc_id {kind}, ids array<int>, decoded string", model=True)
 
 
 def bpe_digest(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,4 +240,4 @@ def bpe_digest(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return arrow_map(rows, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(rows, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", model=True)

@@ -117,6 +117,7 @@ def held(key: object, build: Callable[[], object]) -> object:
     """What a worker keeps from task to task: one model at a time, so that the next operator finds the memory free."""
     if key not in _HELD:
         _HELD.clear()
+        hand_back()
         _HELD[key] = build()
     return _HELD[key]
 
@@ -144,11 +145,16 @@ def ship(spark: SparkSession) -> None:
     sc._tidemark_sent = True
 
 
-def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with this package at hand on the executors, and memory handed back at a task's end."""
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, *, model: bool = False) -> DataFrame:
+    """mapInArrow with this package at hand on the executors, and memory handed back at a task's end.
+
+    Tasks with a `model` find what the worker holds; others make it let go of that first.
+    """
     ship(df.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not model and _HELD:
+            _HELD.clear()
         yield from run(batches)
         hand_back()
 

@@ -242,7 +242,7 @@ def identify_languages(docs: DataFrame, langs: list[str], probs: np.ndarray, pie
 
     rows = docs.select(*keep, *(["text"] if "text" not in keep else []))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return arrow_map(rows, run, f"{kinds}, lang_pred string, score double, per_letter double")
+    return arrow_map(rows, run, f"{kinds}, lang_pred string, score double, per_letter double", model=True)
 
 
 def held_out_part(doc_id) -> "F.Column":

@@ -134,7 +134,7 @@ def token_counts(docs: DataFrame, piece_path: str, *, id_col: str = "doc_id", te
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return arrow_map(rows, run, f"doc_id {kind}, n_words long, n_tokens long")
+    return arrow_map(rows, run, f"doc_id {kind}, n_words long, n_tokens long", model=True)
 
 
 def op4_query(spark, sf_dir: str) -> DataFrame:

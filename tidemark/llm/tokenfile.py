@@ -239,7 +239,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, *, end_
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").select("doc_id", "text")
-    return cut(arrow_map(rows, run, MANIFEST))
+    return cut(arrow_map(rows, run, MANIFEST, model=True))
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
