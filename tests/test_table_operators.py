@@ -127,3 +127,74 @@ def test_last_wins_and_gates(spark):
     assert {(r["k"], r["v"]) for r in candidates.last_wins(df, ["k"], "o").collect()} == {("a", 6), ("b", 7)}
     c = spark.createDataFrame([("x", 0.1, 0.1, 0.1, 3), ("y", 0.1, -0.1, 0.1, 9), ("z", -0.1, 0.1, 0.1, 3)], "key string, oof double, width double, wf_width double, overfit int")
     assert {r["key"]: (r["decision"], r["reasons"]) for r in candidates.gate_decision(c).collect()} == {"x": ("promote", ""), "y": ("expand", "width<=0|overfit>6"), "z": ("reject", "oof<=0")}
+
+
+def test_scores_with_alternate_names(spark):
+    from tidemark.operators import scores as sc
+
+    raw = spark.createDataFrame([("a/b.csv", "0.09", "nan", None), ("", "1", "2", "x"), ("c.csv", "bad", None, "External Reference run")], "file string, private string, public string, message string")
+    rows = {r["filename"]: r for r in sc.classify_scores(sc.score_rows(raw), 0.09, 0.05).collect()}
+    assert set(rows) == {"b.csv", "c.csv"} and rows["b.csv"]["public"] is None and rows["c.csv"]["private"] is None
+    assert rows["b.csv"]["action"] == "promote_as_teacher" and rows["c.csv"]["action"] == "external_reference_only"
+
+
+def test_targets_and_groups(spark):
+    from tidemark.operators import profile as pr
+
+    train = spark.createDataFrame([(i, i % 3, float(i)) for i in range(9)], "a int, user_id int, goal double")
+    assert pr.detect_target(train, train.drop("goal")) == "goal" and pr.detect_target(train.withColumn("label", train["a"])) == "label"
+    assert pr.detect_group(train) == "user_id"
+    with pytest.raises(ValueError):
+        pr.detect_target(train, target="none")
+
+
+def test_sign_flipper_loses(spark):
+    """A feature whose slope flips its sign between segments has no invariant score."""
+    from tidemark.operators import features as fe
+
+    rows = [(i, i * 8 // 1600, float((i * 37) % 101), float((i * 53) % 97)) for i in range(1600)]
+    df = spark.createDataFrame(rows, "row_idx long, seg int, a double, b double").selectExpr("*", "0.2 * b + case when seg % 2 = 0 then a else -a end as y")
+    score = {r["feature"]: r["score"] for r in fe.rank_irm(df, ["a", "b"], "y", ["seg"]).collect()}
+    assert score["b"] > 0 > score["a"]
+
+
+def test_learned_models_find_planted_truth(spark):
+    from tidemark.operators import learned as ml
+
+    rows = [(i, float((i * 37) % 101), float((i * 53) % 97), float((i * 71) % 89)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "event_id long, a double, b double, c double").selectExpr("*", "3 * a - 2 * b + case when event_id % 50 = 0 then 9000 else 0 end as wild", "3 * a - 2 * b as y", "case when a > 50 then 1.0 else 0.0 end as step")
+    net = ml.fit_elastic_net(df, ["a", "b", "c"], "y").coefficients
+    assert abs(net[0] - 3) < 0.1 and abs(net[1] + 2) < 0.1 and abs(net[2]) < 0.05
+    huber = ml.fit_huber(df, ["a", "b"], "wild").coefficients
+    assert abs(huber[0] - 3) < 0.2 and abs(huber[1] + 2) < 0.2
+    trees = ml.fit_boosted_trees(df, ["a", "b", "c"], "step").transform(ml.assembled(df, ["a", "b", "c"]))
+    assert trees.selectExpr("avg(abs(prediction - step)) as e").first()["e"] < 0.02
+    like = ml.testlike_scores(df.filter("a < 60"), df.filter("a >= 50"), ["a", "b"], "event_id").join(df, "event_id")
+    assert like.selectExpr("corr(testlike, a) as c").first()["c"] > 0.8
+    ground = ml.terrain_cluster(df.selectExpr("*", "step * 100 as far"), ["far"], 2).groupBy("terrain").agg({"step": "min", "a": "count"}).collect()
+    assert sorted(r["min(step)"] for r in ground) == [0.0, 1.0]
+
+
+def test_linear_models_against_numpy(spark):
+    import numpy as np
+    from tidemark.operators import linear as li
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 3))
+    y = x @ [1.0, 0.5, 0.0] + rng.normal(size=300)
+    df = spark.createDataFrame([(int(i), *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y))], "row_idx long, a double, b double, c double, y double")
+    w = li.nnls_weights(df, ["a", "b", "c"], "y")
+    z, t = (x - x.mean(0)) / x.std(0), y - y.mean()
+    best = min(((t - z @ (np.array([i, j, k]) / 20)) ** 2).sum() for i in range(0, 30) for j in range(0, 30) for k in range(0, 4))
+    raw = np.array([w.get(m, 0.0) for m in "abc"])
+    scale = (z @ raw) @ t / ((z @ raw) @ (z @ raw))
+    assert ((t - scale * (z @ raw)) ** 2).sum() <= best * 1.01 and abs(sum(w.values()) - 1) < 1e-9
+    loo = {r["alpha"]: r["loo"] for r in li.ridge_cv(df, ["a", "b", "c"], "y", (1.0, 100.0)).collect()}
+    for alpha, got in loo.items():
+        inv = np.linalg.inv(z.T @ z + alpha * np.eye(3))
+        h = 1 / 300 + np.einsum("ij,jk,ik->i", z, inv, z)
+        r = t - z @ (inv @ (z.T @ t))
+        assert abs(got - np.sqrt(np.mean((r / (1 - h)) ** 2))) < 1e-6
+    assert li.greedy_ols(df, ["a", "b", "c"], "y")[:2] == ["a", "b"]
+    ladder = li.residual_ladder(df, ["a", "b", "c"], "y", 400)
+    assert np.allclose([ladder[f] for f in "abc"], np.linalg.lstsq(z, t, rcond=None)[0], atol=0.02)

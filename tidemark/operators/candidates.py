@@ -56,13 +56,10 @@ def species_report(c: DataFrame, explorer: str, order: str) -> DataFrame:
 
 def study_reports(c: DataFrame) -> DataFrame:
     """(axis, value, n, mean_oof, max_oof, mean_width, promote_rate): one aggregation with grouping sets."""
-    c.createOrReplaceTempView("_tidemark_study")
-    sql = """
-      select case when grouping(skill) = 0 then 'skill' when grouping(family) = 0 then 'family' else 'transform' end as axis,
-             coalesce(skill, family, transform) as value, count(*) as n, avg(oof) as mean_oof, max(oof) as max_oof,
-             avg(width) as mean_width, avg(cast(promoted as int)) as promote_rate
-      from _tidemark_study group by grouping sets ((skill), (family), (transform))"""
-    return c.sparkSession.sql(sql)
+    axis = F.when(F.grouping("skill") == 0, "skill").when(F.grouping("family") == 0, "family").otherwise("transform")
+    sets = [[F.col(a)] for a in AXES]
+    out = c.groupingSets(sets, *AXES).agg(axis.alias("axis"), F.count("*").alias("n"), F.avg("oof").alias("mean_oof"), F.max("oof").alias("max_oof"), F.avg("width").alias("mean_width"), F.avg(F.col("promoted").cast("int")).alias("promote_rate"))
+    return out.select("axis", F.coalesce(*AXES).alias("value"), "n", "mean_oof", "max_oof", "mean_width", "promote_rate")
 
 
 def typology_memory(c: DataFrame, strength: float = 4.0) -> DataFrame:
@@ -105,11 +102,20 @@ def segment_senate(segment_scores: DataFrame, key: str) -> DataFrame:
     return segment_scores.groupBy(key).agg(F.count_if(F.col("score") > 0.01).alias("yes"), F.count_if(F.col("score") < -0.02).alias("veto"), F.count("*").alias("segments"))
 
 
-def rank_average_blend(preds: DataFrame, member: str, row: str) -> DataFrame:
-    """(row, blend): the mean of the members' centred ranks; preds: (member, row, pred)."""
-    of = W.partitionBy(member)
-    ranked = preds.withColumn("r", F.row_number().over(of.orderBy("pred", row)) - 1).withColumn("n", F.count("*").over(of))
-    return ranked.groupBy(row).agg(F.avg(F.col("r") - (F.col("n") - 1) / 2).alias("blend"))
+def rank_average_blend(preds: DataFrame, member: str, row: str, slices: int = 1024) -> DataFrame:
+    """(row, blend): the mean of the members' centred ranks; preds: (member, row, pred).
+
+    Rows fall into slices between approximate quantiles of their member's predictions (a value that very many rows share is one
+    slice): a rank is the number of rows in lower slices plus the rank in the own one.
+    """
+    edges = preds.groupBy(member).agg(F.array_distinct(F.percentile_approx("pred", F.array(*[F.lit(i / slices) for i in range(1, slices)]), F.lit(4 * slices))).alias("_edges"))
+    cut_up = preds.join(F.broadcast(edges), member).withColumn("_slice", F.size(F.filter("_edges", lambda e: e < F.col("pred")))).drop("_edges")
+    counts = cut_up.groupBy(member, "_slice").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(member).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_before", before).withColumn("n", F.sum("_n").over(W.partitionBy(member))).drop("_n")
+    ranked = cut_up.join(F.broadcast(counts), [member, "_slice"])
+    r = F.col("_before") + F.row_number().over(W.partitionBy(member, "_slice").orderBy("pred", row)) - 1
+    return ranked.withColumn("r", r).groupBy(row).agg(F.avg(F.col("r") - (F.col("n") - 1) / 2).alias("blend"))
 
 
 def governor(c: DataFrame) -> DataFrame:

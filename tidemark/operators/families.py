@@ -1,0 +1,119 @@
+"""More feature families and transforms: each a few statistics of all rows, then expressions."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tidemark.operators.features import correlations, corr_vector, gram_cells
+from tidemark.operators.keys import lagged
+
+
+def pair_corrs(df: DataFrame, columns: list[str]) -> np.ndarray:
+    """The correlation matrix of the columns: columns squared numbers on the driver."""
+    out, at = np.eye(len(columns)), {c: i for i, c in enumerate(columns)}
+    for r in correlations(gram_cells(df, columns)).collect():
+        out[at[r["i"]], at[r["j"]]] = out[at[r["j"]], at[r["i"]]] = r["corr"]
+    return out
+
+
+def rank_decor(df: DataFrame, features: list[str], y: str, limit: float = 0.9) -> list[str]:
+    """Features by |corr|, each kept only if its |corr| with all kept ones is under `limit`."""
+    c = {r["feature"]: abs(r["corr"]) for r in corr_vector(df, features, y).collect()}
+    m, kept = np.abs(pair_corrs(df, features)), []
+    for i in sorted(range(len(features)), key=lambda i: (-c[features[i]], i)):
+        if all(m[i, j] < limit for j in kept):
+            kept.append(i)
+    return [features[i] for i in kept]
+
+
+def rank_credit(df: DataFrame, features: list[str], y: str, credit: DataFrame) -> DataFrame:
+    """(feature, pos, score): 0.65 of the square root of the credit and 0.35 of |corr|, both scaled to their greatest. credit: (feature, credit)."""
+    one = W.partitionBy(F.lit(1))
+    c = corr_vector(df, features, y).join(F.broadcast(credit), "feature", "left").withColumn("c", F.abs("corr")).withColumn("s", F.sqrt(F.greatest(F.lit(0.0), F.coalesce("credit", F.lit(0.0)))))
+    score = 0.65 * F.col("s") / (F.max("s").over(one) + 1e-12) + 0.35 * F.col("c") / (F.max("c").over(one) + 1e-12)
+    return c.select("feature", "pos", score.alias("score"))
+
+
+def rank_room_transition(df: DataFrame, features: list[str], y: str, states: list[str], least: int = 300) -> DataFrame:
+    """|corr| over the rows where any state has just changed; over all rows if those are fewer than `least`."""
+    changed = lagged(df, states)
+    moved = changed.filter(" or ".join(f"{s} <> {s}_lag" for s in states))
+    rows = moved if moved.count() >= least else df
+    return corr_vector(rows, features, y).select("feature", "pos", F.abs("corr").alias("score"))
+
+
+def rank_testlike_stable(df: DataFrame, features: list[str], y: str, shift: DataFrame, penalty: float = 0.5) -> DataFrame:
+    """|corr| less up to `penalty` of it by the feature's share of the greatest shift. shift: (feature, shift)."""
+    c = corr_vector(df, features, y).join(F.broadcast(shift.select("feature", "shift")), "feature")
+    part = F.col("shift") / (F.max("shift").over(W.partitionBy(F.lit(1))) + 1e-9)
+    return c.select("feature", "pos", (F.abs("corr") * (1 - penalty * part)).alias("score"))
+
+
+def rank_consensus(df: DataFrame, features: list[str], y: str, community: DataFrame, bonus: float = 0.5) -> DataFrame:
+    """|corr|, raised where the signs of a community of two or more agree with its mean. community: (feature, community), -1 for none."""
+    c = corr_vector(df, features, y).join(F.broadcast(community), "feature")
+    of = W.partitionBy("community")
+    mean, size, n = F.avg("corr").over(of), F.avg(F.abs("corr")).over(of), F.count("*").over(of)
+    agree = (F.signum("corr") == F.signum(mean)).cast("int")
+    more = F.when((n >= 2) & (F.col("community") >= 0), bonus * F.abs(mean) / (size + 1e-9) * agree).otherwise(0.0)
+    return c.select("feature", "pos", (F.abs("corr") * (1 + more)).alias("score"))
+
+
+def rank_demote(ranked: DataFrame, hazard: DataFrame, traps: list[str], penalty: float = 1.0) -> DataFrame:
+    """Adds `place` from 1: a rank goes back by `penalty` times its hazard, traps behind all others, in the old order. ranked: (feature, rank)."""
+    r = ranked.join(F.broadcast(hazard), "feature", "left").withColumn("at", F.col("rank") + penalty * F.coalesce("hazard", F.lit(0.0)))
+    return r.withColumn("place", F.row_number().over(W.orderBy(F.col("feature").isin(traps), "at", "rank"))).drop("at", "hazard")
+
+
+def scaled(df: DataFrame, columns: list[str], eps: float = 1e-6) -> dict[str, Column]:
+    """Expressions of the columns less their mean, by their population deviation."""
+    m = df.agg(*[x for c in columns for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first()
+    return {c: (F.col(c) - m[f"m_{c}"]) / (m[f"s_{c}"] + eps) for c in columns}
+
+
+def tf_fold_pairs(df: DataFrame, columns: list[str], pairs: int = 8, below: float = -0.05) -> DataFrame:
+    """Adds fold_<i> and ridge_<i>: half the difference and half the |sum| of the most anti-correlated disjoint pairs."""
+    m, used, out, z = pair_corrs(df, columns), set(), df, scaled(df, columns)
+    order = sorted(((m[i, j], i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))))
+    n = 0
+    for c, i, j in order:
+        if n < pairs and c < below and not used & {i, j}:
+            a, b = z[columns[i]], z[columns[j]]
+            out = out.withColumn(f"fold_{n}", (a - b) * 0.5).withColumn(f"ridge_{n}", F.abs(a + b) * 0.5)
+            used |= {i, j}
+            n += 1
+    return out
+
+
+def tf_lateral_line(df: DataFrame, columns: list[str], neighbours: int = 6) -> DataFrame:
+    """Adds eddy_<column>: the scaled column less the mean of the most correlated others."""
+    m, z, out = np.abs(pair_corrs(df, columns)), scaled(df, columns), df
+    for i, c in enumerate(columns):
+        near = sorted((j for j in range(len(columns)) if j != i), key=lambda j: (-m[i, j], j))[:neighbours]
+        out = out.withColumn(f"eddy_{c}", z[c] - sum((z[columns[j]] for j in near), F.lit(0.0)) / len(near))
+    return out
+
+
+def tf_rand_proj(df: DataFrame, columns: list[str], out: int, seed: int) -> DataFrame:
+    """Adds proj_<i>: a seeded Gaussian projection by the square root of the number of outputs."""
+    m = np.random.default_rng(seed).normal(size=(len(columns), out)) / np.sqrt(out)
+    return df.withColumns({f"proj_{j}": sum((F.col(c) * float(m[i, j]) for i, c in enumerate(columns)), F.lit(0.0)) for j in range(out)})
+
+
+def tf_signed_hadamard(df: DataFrame, columns: list[str], signs: list[int]) -> DataFrame:
+    """Adds had_<i>: the columns with signs, padded to a power of two, by the Walsh-Hadamard matrix and the root of its size."""
+    size = 1 << max(0, (len(columns) - 1).bit_length())
+    entry = lambda i, j: (-1) ** bin(i & j).count("1")
+    return df.withColumns({f"had_{i}": sum((F.col(c) * float(signs[j] * entry(i, j)) for j, c in enumerate(columns)), F.lit(0.0)) / float(np.sqrt(size)) for i in range(size)})
+
+
+def tf_lorentz(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds x_<c> and v_<c>: level and velocity mixed by the row's own restlessness. df has row_idx."""
+    rows = lagged(df, columns)
+    v = {c: F.coalesce(F.col(c) - F.col(f"{c}_lag"), F.lit(0.0)) for c in columns}
+    beta = 0.6 * F.least(F.lit(0.99), sum((F.abs(x) for x in v.values()), F.lit(0.0)) / len(columns))
+    g = 1 / F.sqrt(1 - beta * beta + 1e-6)
+    return rows.withColumns({f"x_{c}": g * (F.col(c) - beta * v[c]) for c in columns} | {f"v_{c}": g * (v[c] - beta * F.col(c)) for c in columns})

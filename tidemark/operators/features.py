@@ -139,15 +139,21 @@ def rank_invariant(df: DataFrame, features: list[str], y: str, states: list[str]
     return every.groupBy("feature", "pos").agg((F.abs(F.avg("c")) - F.stddev_pop("c")).alias("score"))
 
 
-def rank_irm(df: DataFrame, features: list[str], y: str, penalty: float = 0.5) -> DataFrame:
-    """Mean |slope| - sd - penalty * flip share * mean over segments; slopes are per deviation of the feature."""
-    slope = lambda f: F.when(F.stddev_pop(f) > 1e-12, F.covar_pop(f, y) / F.stddev_pop(f)).otherwise(0.0)
-    s = per_feature(df, features, {"s": slope}, ("seg",))
-    of = W.partitionBy("feature")
-    s = s.withColumn("m", F.avg("s").over(of))
+def rank_irm(df: DataFrame, features: list[str], y: str, environments: list[str], penalty: float = 0.5, least: int = 80) -> DataFrame:
+    """|mean slope| - sd - penalty * flip share * |mean slope| over environments: all states of the columns given (segments are one) with enough rows.
+
+    Slopes are per deviation of the feature. With fewer than three environments |corr| decides.
+    """
+    slope = lambda f: F.covar_pop(f, y) / (F.stddev_pop(f) + 1e-9)
+    parts = [per_feature(df, features, {"s": slope, "n": lambda f: F.count("*")}, (e,)).filter(F.col("n") >= least).select("feature", "s") for e in environments]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    every = every.withColumn("m", F.avg("s").over(W.partitionBy("feature")))
     flips = F.avg(F.when(F.signum("s") != F.signum("m"), 1.0).otherwise(0.0))
-    size = F.avg(F.abs("s"))
-    return s.groupBy("feature", "pos").agg((size - F.stddev_pop("s") - penalty * flips * size).alias("score"))
+    size = F.abs(F.avg("s"))
+    held = every.groupBy("feature").agg(F.when(F.count("*") >= 3, size - F.stddev_pop("s") - penalty * flips * size).alias("score"))
+    return corr_vector(df, features, y).join(held, "feature", "left").select("feature", "pos", F.coalesce("score", F.abs("corr")).alias("score"))
 
 
 def rank_periphery(df: DataFrame, features: list[str], y: str, credit: DataFrame) -> DataFrame:

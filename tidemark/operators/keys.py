@@ -17,6 +17,8 @@ def row_index(df: DataFrame, *order: str) -> DataFrame:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty() and not spark.sparkContext.getConf().get("spark.checkpoint.dir", None):
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a shared folder")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
     # Written once: the place of a row must not depend on how often its partition is computed.

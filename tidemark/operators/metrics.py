@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions import pearson
+from tidemark.functions import neg_rmse, pearson
 
 
 def position_rank(df: DataFrame, column: str, tie: str, name: str, slices: int = 64) -> DataFrame:
@@ -66,6 +66,19 @@ def spearman(df: DataFrame, a: str, b: str, tie: str) -> DataFrame:
     return both.agg(pearson("_a", "_b").alias("spearman"))
 
 
+def score_metric(df: DataFrame, pred: str, y: str, metric: str, tie: str) -> DataFrame:
+    """(score) by name: pearson, gini, spearman, rmse or neg_rmse (the same); an unknown name is an error."""
+    if metric == "pearson":
+        return df.agg(pearson(pred, y).alias("score"))
+    if metric in ("rmse", "neg_rmse"):
+        return df.agg(neg_rmse(pred, y).alias("score"))
+    if metric == "gini":
+        return gini(df, pred, y).withColumnRenamed("gini", "score")
+    if metric == "spearman":
+        return spearman(df, pred, y, tie).withColumnRenamed("spearman", "score")
+    raise ValueError(f"no metric {metric!r}")
+
+
 def segment_scores(df: DataFrame, pred: str, y: str, least: int = 50) -> DataFrame:
     """(seg, n, score) of the segments with at least `least` rows."""
     return df.groupBy("seg").agg(F.count("*").alias("n"), pearson(pred, y).alias("score")).filter(F.col("n") >= least)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.keys import lagged
+from tidemark.operators.keys import lagged, row_index
 
 
 def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float]:
@@ -135,8 +135,6 @@ def market_features(df: DataFrame, eps: float = 1e-8) -> DataFrame:
 
 def joint_codes(train: DataFrame, test: DataFrame, column: str) -> DataFrame:
     """(value, code): codes from 0 over the sorted distinct strings of both tables; null becomes 'None'."""
-    from pyspark.sql import Window as W
-
     text = F.coalesce(F.col(column).cast("string"), F.lit("None")).alias("value")
     every = train.select(text).unionByName(test.select(text)).distinct()
-    return every.withColumn("code", F.row_number().over(W.orderBy("value")) - 1)
+    return row_index(every, "value").select("value", F.col("row_idx").cast("int").alias("code"))

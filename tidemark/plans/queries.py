@@ -448,7 +448,7 @@ _STATES = ", t as (select feature, state, abs(corr(x, y)) as c from l group by a
 ranker("rank_weather", _STATES + "select feature, round(min(c), 6) + 0.0 as score from t group by 1", lambda e: fe.rank_by_state(e, FEATURES, "y", "state"))
 ranker("rank_watershed", _STATES + ", p as (select feature, abs(corr(x, y)) as q from l group by 1) select feature, round(max(c) - any_value(q), 6) + 0.0 as score from t join p using (feature) group by 1", lambda e: fe.rank_by_state(e, FEATURES, "y", "state", pick="lift"))
 ranker("rank_invariant", f", t as (select feature, {Q_PEARSON} as c from l group by feature, seg having count(*) >= 80 union all select feature, {Q_PEARSON} from l group by feature, state having count(*) >= 80) select feature, round(abs(avg(c)) - stddev_pop(c), 6) + 0.0 as score from t group by 1", lambda e: fe.rank_invariant(e, FEATURES, "y", ["seg", "state"]))
-ranker("rank_irm", ", t as (select feature, seg, case when stddev_pop(x) > 1e-12 then covar_pop(x, y) / stddev_pop(x) else 0 end as s from l group by all), m as (select *, avg(s) over (partition by feature) as m from t) select feature, round(avg(abs(s)) - stddev_pop(s) - 0.5 * avg(case when sign(s) <> sign(m) then 1.0 else 0 end) * avg(abs(s)), 6) + 0.0 as score from m group by 1", lambda e: fe.rank_irm(e, FEATURES, "y"))
+ranker("rank_irm", ", t as (select feature, covar_pop(x, y) / (stddev_pop(x) + 1e-9) as s from l group by feature, seg having count(*) >= 80 union all select feature, covar_pop(x, y) / (stddev_pop(x) + 1e-9) from l group by feature, state having count(*) >= 80), m as (select *, avg(s) over (partition by feature) as m, count(*) over (partition by feature) as k from t), q as (select feature, abs(corr(x, y)) as q from l group by 1), b as (select feature, abs(any_value(m)) - stddev_pop(s) - 0.5 * avg(case when sign(s) <> sign(m) then 1.0 else 0 end) * abs(any_value(m)) as b from m where k >= 3 group by 1) select feature, round(coalesce(b, q), 6) + 0.0 as score from q left join b using (feature)", lambda e: fe.rank_irm(e, FEATURES, "y", ["seg", "state"]))
 ranker("anova_f_rank", ", g as (select feature, state, count(*) as n, avg(x) as m, var_pop(x) as v from l group by all), h as (select *, sum(n * m) over (partition by feature) / sum(n) over (partition by feature) as a from g) select feature, round(sum(n * (m - a) ** 2) / (sum(n * v) + 1e-12), 6) + 0.0 as score from h group by 1", lambda e: fe.anova_f(e, FEATURES, "state"))
 ranker("rank_periphery", _CLOCKS + "select feature, round(abs(r - b) / (1 + 10 * f), 6) + 0.0 as score from t", lambda e: fe.rank_periphery(e, FEATURES, "y", fe.corr_vector(e, FEATURES, "y").select("feature", F.abs("corr").alias("credit"))))
 
@@ -518,14 +518,14 @@ def _(spark, d):
 def lessons(spark: SparkSession, d: str) -> DataFrame:
     e = raw_events(spark, d).withColumn("u", F.col("f_user") % 5).withColumn("t", F.col("f_k") % 4)
     c = e.groupBy(F.col("event_type").alias("skill"), F.concat(F.lit("u"), F.col("u").cast("int").cast("string")).alias("family"), F.concat(F.lit("t"), F.col("t").cast("int").cast("string")).alias("transform"))
-    c = c.agg(F.count("*").alias("n"), F.round(fn.pearson("f_mod", "y"), 6).alias("oof"), F.round(F.avg("y") / 100 - 0.1, 6).alias("width"), F.round(fn.pearson("f_day", "y"), 6).alias("wf_width"))
+    c = c.agg(F.count("*").alias("n"), fn.pearson("f_mod", "y").alias("oof"), (F.avg("y") / 100 - 0.1).alias("width"), fn.pearson("f_day", "y").alias("wf_width"))
     c = c.withColumn("key", F.concat_ws("|", "skill", "family", "transform")).withColumn("overfit", F.col("n") % 9).withColumn("cost", F.col("n") * 0.5)
     return c.withColumn("promoted", (F.col("oof") > 0) & (F.col("width") > 0)).withColumn("stage", F.concat(F.lit("s"), (F.col("n") % 4).cast("string")))
 
 
 LESSONS = CTE + """, k as (select event_type as skill, 'u' || (f_user % 5)::int as family, 't' || (f_k % 4)::int as transform, count(*)::bigint as n,
-  round(case when count(*) >= 3 and stddev_pop(f_mod) > 1e-12 and stddev_pop(y) > 1e-12 then corr(f_mod, y) else 0 end, 6) as oof, round(avg(y) / 100 - 0.1, 6) as width,
-  round(case when count(*) >= 3 and stddev_pop(f_day) > 1e-12 and stddev_pop(y) > 1e-12 then corr(f_day, y) else 0 end, 6) as wf_width from e group by 1, 2, 3),
+  case when count(*) >= 3 and stddev_pop(f_mod) > 1e-12 and stddev_pop(y) > 1e-12 then corr(f_mod, y) else 0 end as oof, avg(y) / 100 - 0.1 as width,
+  case when count(*) >= 3 and stddev_pop(f_day) > 1e-12 and stddev_pop(y) > 1e-12 then corr(f_day, y) else 0 end as wf_width from e group by 1, 2, 3),
 c as (select *, skill || '|' || family || '|' || transform as key, n % 9 as overfit, n * 0.5::double as cost, oof > 0 and width > 0 as promoted, 's' || (n % 4)::varchar as stage from k)
 """
 
@@ -538,12 +538,12 @@ on_lessons("gate_decision", """select key, case when oof > 0 and width > 0 and w
   concat_ws('|', case when oof <= 0 then 'oof<=0' end, case when width <= 0 then 'width<=0' end, case when wf_width <= 0 then 'wf_width<=0' end, case when overfit > 6 then 'overfit>6' end) as reasons from c""", lambda c: ca.gate_decision(c).select("key", "decision", "reasons"))
 on_lessons("draft_gate", ", g as (select *, row_number() over w as r, quantile_cont(width, 0.5) over (partition by skill order by key rows between unbounded preceding and 1 preceding) as m from c window w as (partition by skill order by key)) select key, coalesce(r <= 5 or width >= 0.06 or width >= m, false) as passes from g", lambda c: ca.draft_gate(c, "key", "skill").select("key", F.coalesce("passes", F.lit(False)).alias("passes")))
 on_lessons("fitness", "select key, round((1 - (0.5 + 0.3 * pow(0.5, n / 60.0))) * oof + (0.5 + 0.3 * pow(0.5, n / 60.0)) * least(width, wf_width), 9) + 0.0 as fitness from c", lambda c: rounded(ca.fitness(c, "n").select("key", "fitness"), "fitness", to=9))
-on_lessons("archive_best", "select skill, overfit, key, oof from (select *, row_number() over (partition by skill, overfit order by oof desc, key) as r from c where oof > 0) where r = 1", lambda c: ca.archive_best(c, ["skill", "overfit"], "key").select("skill", "overfit", "key", "oof"))
-on_lessons("learning_curve", ", g as (select key, (sum(cost) over w)::double as total_cost, max(width) over w as best_width from c window w as (partition by skill order by key rows unbounded preceding)) select key, total_cost, best_width, round(best_width / total_cost, 9) + 0.0 as best_per_cost from g", lambda c: rounded(ca.learning_curve(c, "skill", "key", "cost").select("key", "total_cost", "best_width", "best_per_cost"), "best_per_cost", to=9))
+on_lessons("archive_best", "select skill, overfit, key, round(oof, 9) + 0.0 as oof from (select *, row_number() over (partition by skill, overfit order by oof desc, key) as r from c where oof > 0) where r = 1", lambda c: ca.archive_best(c, ["skill", "overfit"], "key").select("skill", "overfit", "key", "oof"), "oof")
+on_lessons("learning_curve", ", g as (select key, (sum(cost) over w)::double as total_cost, max(width) over w as best_width from c window w as (partition by skill order by key rows unbounded preceding)) select key, total_cost, round(best_width, 9) + 0.0 as best_width, round(best_width / total_cost, 9) + 0.0 as best_per_cost from g", lambda c: rounded(ca.learning_curve(c, "skill", "key", "cost").select("key", "total_cost", "best_width", "best_per_cost"), "best_width", "best_per_cost", to=9))
 on_lessons("quorum_report", "select family, count(distinct skill)::bigint as voters, count(distinct skill) >= 3 as quorum, string_agg(distinct skill, ',' order by skill) as names from c group by family", lambda c: ca.quorum_report(c, "skill"))
-on_lessons("species_report", "select skill, count(*)::bigint as lessons, sum(promoted::int)::bigint as promoted, max(oof) as best_oof, arg_max(stage, key) as last_stage from c group by skill", lambda c: ca.species_report(c, "skill", "key"))
+on_lessons("species_report", "select skill, count(*)::bigint as lessons, sum(promoted::int)::bigint as promoted, round(max(oof), 9) + 0.0 as best_oof, arg_max(stage, key) as last_stage from c group by skill", lambda c: ca.species_report(c, "skill", "key"), "best_oof")
 on_lessons("study_reports", """select case when grouping(skill) = 0 then 'skill' when grouping(family) = 0 then 'family' else 'transform' end as axis, coalesce(skill, family, transform) as value, count(*)::bigint as n,
-  round(avg(oof), 9) + 0.0 as mean_oof, max(oof) as max_oof, round(avg(width), 9) + 0.0 as mean_width, round(avg(promoted::int), 9) + 0.0 as promote_rate from c group by grouping sets ((skill), (family), (transform))""", ca.study_reports, "mean_oof", "mean_width", "promote_rate")
+  round(avg(oof), 9) + 0.0 as mean_oof, round(max(oof), 9) + 0.0 as max_oof, round(avg(width), 9) + 0.0 as mean_width, round(avg(promoted::int), 9) + 0.0 as promote_rate from c group by grouping sets ((skill), (family), (transform))""", ca.study_reports, "mean_oof", "max_oof", "mean_width", "promote_rate")
 _TYPO = ", t as (select skill, family, transform, count(*)::bigint as n, avg(oof) as mean_oof, (sum(oof) + (select avg(oof) from c) * 4) / (count(*) + 4) as shrunk, max(key) as best_key from c group by 1, 2, 3)"
 on_lessons("typology_memory", _TYPO + " select skill, family, transform, n, round(mean_oof, 9) + 0.0 as mean_oof, round(shrunk, 9) + 0.0 as shrunk, best_key from t", ca.typology_memory, "mean_oof", "shrunk")
 on_lessons("typology_gradients", _TYPO + """ select a.best_key as from_id, b.best_key as to_id, case when a.skill <> b.skill then 'skill' when a.family <> b.family then 'family' else 'transform' end as axis, round(b.shrunk - a.shrunk, 9) + 0.0 as delta
@@ -674,12 +674,12 @@ def _(spark, d):
     return rounded(out, "worst", "positive")
 
 
-@query("regime_stress", CTE + ", q as (select quantile_cont(f_mix, 0.7) as q from e), s as (select feature, min(corr) as worst, avg(corr) as mean, avg((corr <= 0)::int) as under from sc group by 1) select l.feature, round(corr(l.x, l.y), 6) + 0.0 as full_corr, round(any_value(worst), 6) + 0.0 as worst, round(any_value(mean), 6) + 0.0 as mean, round(any_value(under), 6) + 0.0 as under, round(corr(l.x, l.y) filter (where e.f_mix > q), 6) + 0.0 as loud from l join e using (row_idx) join s on s.feature = l.feature, q group by l.feature")
+@query("regime_stress", CTE + ", q as (select quantile_cont(f_mix, 0.7) as q from e), s as (select feature, min(corr) as worst, avg(corr) as mean, avg((corr <= 0)::int) as under from sc group by 1) select l.feature, round(corr(l.x, l.y), 6) + 0.0 as full_corr, round(any_value(worst), 6) + 0.0 as worst, round(any_value(mean), 6) + 0.0 as mean, round(any_value(under), 6) + 0.0 as under, round(case when count(*) filter (where e.f_mix >= q) >= 50 then corr(l.x, l.y) filter (where e.f_mix >= q) end, 6) + 0.0 as loud from l join e using (row_idx) join s on s.feature = l.feature, q group by l.feature")
 def _(spark, d):
     e = events(spark, d)
     loud = tr.quantiles(e, "f_mix", [0.7])[0]
     s = fe.segment_corrs(e, FEATURES, "y").groupBy("feature").agg(F.min("corr").alias("worst"), F.avg("corr").alias("mean"), F.avg((F.col("corr") <= 0).cast("int")).alias("under"))
-    out = fe.per_feature(e, FEATURES, {"full_corr": lambda f: fn.pearson(f, "y"), "loud": lambda f: fn.pearson(F.when(F.col("f_mix") > loud, F.col(f)), "y")}).join(s, "feature")
+    out = fe.per_feature(e, FEATURES, {"full_corr": lambda f: fn.pearson(f, "y"), "loud": lambda f: F.when(F.count_if(F.col("f_mix") >= loud) >= 50, fn.pearson(F.when(F.col("f_mix") >= loud, F.col(f)), "y"))}).join(s, "feature")
     return rounded(out, "full_corr", "worst", "mean", "under", "loud").drop("pos")
 
 
@@ -687,13 +687,13 @@ def _(spark, d):
 
 on_lessons("library_summary", "select family, count(*)::bigint as tries, round(avg(oof), 9) + 0.0 as mean_oof, round(avg(least(width, wf_width)), 9) + 0.0 as mean_width from c group by family", lambda c: c.groupBy("family").agg(F.count("*").alias("tries"), F.avg("oof").alias("mean_oof"), F.avg(F.least("width", "wf_width")).alias("mean_width")), "mean_oof", "mean_width")
 on_lessons("ledger_stats", "select skill, count(*)::bigint as n, round(avg(oof - wf_width), 9) + 0.0 as decay from c where oof > 0.02 group by skill", lambda c: c.filter("oof > 0.02").groupBy("skill").agg(F.count("*").alias("n"), F.avg(F.col("oof") - F.col("wf_width")).alias("decay")), "decay")
-on_lessons("foundation_stress", "select scope, grp, count(*)::bigint as n, round(avg(v), 9) + 0.0 as mean, max(v) as worst from (select skill as scope, family as grp, width as v from c union all select 'global', family, width from c union all select 'global', 'all', width from c) group by all", lambda c: my.foundation_stress(c, "skill", "family", "width"), "mean")
+on_lessons("foundation_stress", "select scope, grp, count(*)::bigint as n, round(avg(v), 9) + 0.0 as mean, round(max(v), 9) + 0.0 as worst from (select skill as scope, family as grp, width as v from c union all select 'global', family, width from c union all select 'global', 'all', width from c) group by all", lambda c: my.foundation_stress(c, "skill", "family", "width"), "mean", "worst")
 on_lessons("route_strength", ", x as (select skill as terrain, family as action, oof as g from c union all select 'global', family, oof from c) select terrain, action, count(*)::bigint as n, round(sum(g) / (count(*) + 4), 9) + 0.0 as gain, round(stddev_pop(g), 9) + 0.0 as spread, round(sum(g) / (count(*) + 4) - stddev_pop(g) / 2, 9) + 0.0 as value from x group by all", lambda c: my.route_strength(c, "skill", "family", "oof"), "gain", "spread", "value")
 on_lessons("evidence_gate", ", x as (select key, case when width > 0.02 then 'D' when oof >= 0.05 and promoted then 'A' when oof >= 0.05 then 'B' else 'C' end as grade from c) select key, grade, (grade = 'A')::int as promotion, (grade in ('A', 'B'))::int as branch, case grade when 'D' then 'reject' when 'A' then 'promote' when 'B' then 'branch' else 'hold' end as decision from x",
            lambda c: my.evidence_gate(c.select("key", F.when(F.col("oof") >= 0.05, 0.8).otherwise(0.1).alias("evidence"), F.when(F.col("width") > 0.02, 0.9).otherwise(0.1).alias("stress"), F.col("promoted").alias("observed"))).select("key", "grade", "promotion", "branch", "decision"))
-on_lessons("attention_views", "select 'oof' as kind, key, oof as priority, place::int as place from (select *, row_number() over (order by oof desc, key) as place from c) where place <= 12", lambda c: my.attention_view(c, "oof", "key", "oof", 12))
+on_lessons("attention_views", "select 'oof' as kind, key, round(oof, 9) + 0.0 as priority, place::int as place from (select *, row_number() over (order by oof desc, key) as place from c) where place <= 12", lambda c: my.attention_view(c, "oof", "key", "oof", 12), "priority")
 on_lessons("relation_edges", "select distinct 'key:' || key as src, 'of' as kind, 'skill:' || skill as dst from c union select distinct 'key:' || key, 'in', 'family:' || family from c", lambda c: my.relation_edges(c, [("key", "of", "skill"), ("key", "in", "family")]))
-on_lessons("path_memory", ", s as (select skill, family, transform, oof as a_oof from (select *, row_number() over (partition by skill, family, transform order by n desc) as r from c where family < 'u3') where r = 1) select key, oof, a_oof from c left join s using (skill, family, transform)", lambda c: my.path_memory(c.select("key", *ca.AXES, "oof"), {"a": c.filter("family < 'u3'").select(*ca.AXES, "oof", "n")}, list(ca.AXES), "n").select("key", "oof", "a_oof"))
+on_lessons("path_memory", ", s as (select skill, family, transform, oof as a_oof from (select *, row_number() over (partition by skill, family, transform order by n desc) as r from c where family < 'u3') where r = 1) select key, round(oof, 9) + 0.0 as oof, round(a_oof, 9) + 0.0 as a_oof from c left join s using (skill, family, transform)", lambda c: my.path_memory(c.select("key", *ca.AXES, "oof"), {"a": c.filter("family < 'u3'").select(*ca.AXES, "oof", "n")}, list(ca.AXES), "n").select("key", "oof", "a_oof"), "oof", "a_oof")
 on_lessons("path_score", "select key, round((greatest(-1, least(1, oof)) + greatest(-1, least(1, width)) + case when family < 'u3' then greatest(-1, least(1, wf_width)) else 0 end) / case when family < 'u3' then 3 else 2 end - overfit / 100.0, 9) + 0.0 as score from c", lambda c: rounded(c.select("key", my.path_score([F.col("oof"), F.col("width"), F.when(F.col("family") < "u3", F.col("wf_width"))], [F.col("overfit") / 100]).alias("score")), "score", to=9))
 on_lessons("control_vectors", ", m as (select key, exp(greatest(-80, (oof - max(oof) over ()) * 5)) as e from c) select key, round(e / sum(e) over (), 9) as weight from m", lambda c: rounded(me.softmax_weights(c, "oof", 5.0).select("key", "weight"), "weight", to=9))
 on_lessons("hazard_report", ", h as (select transform as col, sum(case when oof <= 0 then -oof else 0 end) as hazard from c group by 1) select col, round(hazard, 9) + 0.0 as hazard, row_number() over (order by hazard desc, col)::int as place from h", lambda c: c.groupBy(F.col("transform").alias("col")).agg(F.sum(F.when(F.col("oof") <= 0, -F.col("oof")).otherwise(0.0)).alias("hazard")).withColumn("place", F.row_number().over(W.orderBy(F.desc("hazard"), "col"))), "hazard")
@@ -712,3 +712,6 @@ def entry(spark: SparkSession, d: str) -> DataFrame:
     """Correlation of every feature with the target by segment, with the width of each path."""
     s = fe.segment_corrs(events(spark, d), FEATURES, "y")
     return rounded(s.groupBy("feature").agg(F.avg("corr").alias("era_mean"), fn.path_width("corr").alias("width"), F.min("corr").alias("worst")), "era_mean", "width", "worst")
+
+
+from tidemark.plans import more as _more  # noqa: E402, F401  (registers the further queries)
