@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 import zipfile
@@ -145,12 +146,21 @@ def ship(spark: SparkSession) -> None:
     sc._tidemark_sent = True
 
 
+#: Bytes in a batch on its way to Python.
+BATCH_BYTES = 4 << 20
+
+
 def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, *, model: bool = False) -> DataFrame:
     """mapInArrow with this package at hand on the executors, and memory handed back at a task's end.
 
-    Tasks with a `model` find what the worker holds; others make it let go of that first.
+    Batches are held to BATCH_BYTES by the session's own setting, which is lowered if it is larger: both sides of the
+    pipe hold a batch, and ten thousand texts of usual length are too much for that. Tasks with a `model` find what the worker holds; others make it let go of that first.
     """
     ship(df.sparkSession)
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    set_now = re.fullmatch(r"(\d+)([kmgtp]?)b?", conf.get(key).strip().lower())
+    if not set_now or int(set_now[1]) << 10 * " kmgtp".index(set_now[2] or " ") > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not model and _HELD:
