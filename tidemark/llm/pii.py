@@ -205,7 +205,8 @@ def term_spans(found: DataFrame, texts: DataFrame, *, threshold: float = 0.8, su
     words = word_places(places.join(judged.select("h").distinct(), "h", "left_semi"))
     words = cut(words)
 
-    both = words.select("h", "t").distinct().join(judged, "h").groupBy("e", "t").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e")).filter(F.col("n_et") >= support)
+    together = words.select("h", "t").distinct().join(judged, "h")
+    both = together.groupBy("e", "t").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e")).filter(F.col("n_et") >= support)
     own = F.transform(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(TERM), F.lit(0)), F.lower)
     # Every text once: only those that have copies are brought together.
     hashed = texts.select(F.xxhash64("text").alias("h"), "text")
@@ -214,8 +215,9 @@ def term_spans(found: DataFrame, texts: DataFrame, *, threshold: float = 0.8, su
     n_t = once.select(F.explode(F.array_distinct(own)).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
     n = texts.select(F.xxhash64("text").alias("h")).distinct().count()
     score = F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e").cast("double") * F.col("n_t")))
-    told = both.join(n_t, "t").filter(score >= threshold * F.log(F.lit(float(n)) / F.col("n_e"))).select("e", "t")
-    named = salted_join(judged.select("h", "e"), told, ["e"], ["h"]).select("h", "t").distinct()
+    told = both.join(n_t, "t").filter(score >= threshold * F.log(F.lit(float(n)) / F.col("n_e"))).select("e", "t", "n_et")
+    # By entity and term: texts of an entity are not paired with terms that they do not hold.
+    named = salted_join(together.select("h", "e", "t"), cut(told), ["e", "t"], ["h"], rows="n_et").select("h", "t").distinct()
     return words.filter("free").join(named, ["h", "t"]).groupBy("h").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
 
 
