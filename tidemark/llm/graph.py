@@ -53,3 +53,19 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         seen = now
     raise RuntimeError(f"components: not closed after {max_rounds} rounds")
+
+
+def balanced_join(many: DataFrame, one: DataFrame, keys: list[str], spread: list[str], rows: str) -> DataFrame:
+    """many ⋈ one (inner) on `keys`; a key with more rows than a task's even share is dealt out to as many tasks as it fills.
+
+    `rows` is a column of `one`: how many rows of `many` the key has. The even share is their total divided by the number of
+    shuffle partitions, so at most that many keys are broadcast. `spread` names columns of `many` that tell its rows apart.
+    """
+    parts = int(one.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(1, (one.agg(F.sum(rows)).first()[0] or 0) // parts)
+    fills = F.ceil(F.col(rows) / share).cast("int")
+    heavy = one.filter(F.col(rows) > share).select(*keys, fills.alias("_parts"))
+    left = many.join(F.broadcast(heavy), keys, "left")
+    left = left.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    right = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), fills - 1))).drop(rows)
+    return left.join(right, [*keys, "_salt"]).drop("_salt")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.clusters import OP11_SQL, op11_query
 from tidemark.llm.common import table
 from tidemark.llm.jaccard import op10_query
 from tidemark.llm.langid import op8_query
@@ -16,6 +17,8 @@ from tidemark.llm.sharding import op1_query
 from tidemark.llm.tokencount import op4_query
 from tidemark.llm.tokenfile import op7_query
 from tidemark.llm.vectors import op3_query
+from tidemark.llm.warc import OP13_SQL, op13_query
+from tidemark.llm.whitening import op12_query
 
 
 def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +40,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_segmentation_langid": op8_query,
     "op9_disclosure_sanitiser": op9_query,
     "op10_jaccard_metric_join": op10_query,
+    "op11_heap_bound_kmeans": op11_query,
+    "op12_block_matrix_whitening": op12_query,
+    "op13_warc_capture_index": op13_query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_sainte_lague_mix": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_sainte_lague_mix": OP2_SQL, "op11_heap_bound_kmeans": OP11_SQL, "op13_warc_capture_index": OP13_SQL}
