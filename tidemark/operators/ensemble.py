@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import pearson
-from tidemark.operators.features import correlations, gram_cells
 from tidemark.operators.metrics import average_rank
+from tidemark.operators.moments import moments as all_moments
 from tidemark.operators.transforms import moments, quantiles, z
 
 
@@ -19,10 +19,9 @@ def standardised(df: DataFrame, members: list[str]) -> DataFrame:
 
 def member_corrs(df: DataFrame, members: list[str], y: str) -> tuple[dict[str, float], dict[tuple[str, str], float]]:
     """(corr with y, corr between members) from one Gram scan: members squared numbers."""
-    rows = correlations(gram_cells(df, [*members, y])).collect()
-    own = {r["i"]: r["corr"] for r in rows if r["j"] == y}
-    pairs = {(r["i"], r["j"]): r["corr"] for r in rows if r["j"] != y}
-    return own, pairs | {(b, a): c for (a, b), c in pairs.items()}
+    columns = [*members, y]
+    c = all_moments(df, columns).corr()
+    return {m: float(c[i, -1]) for i, m in enumerate(members)}, {(a, b): float(c[i, j]) for i, a in enumerate(members) for j, b in enumerate(members) if i != j}
 
 
 def weights_by_corr(own: dict[str, float]) -> dict[str, float]:

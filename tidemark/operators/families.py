@@ -7,15 +7,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.features import correlations, corr_vector, gram_cells
+from tidemark.operators.features import corr_vector
 from tidemark.operators.keys import lagged
+from tidemark.operators.moments import moments
 
 
 def pair_corrs(df: DataFrame, columns: list[str]) -> np.ndarray:
     """The correlation matrix of the columns: columns squared numbers on the driver."""
-    out, at = np.eye(len(columns)), {c: i for i, c in enumerate(columns)}
-    for r in correlations(gram_cells(df, columns)).collect():
-        out[at[r["i"]], at[r["j"]]] = out[at[r["j"]], at[r["i"]]] = r["corr"]
+    out = moments(df, columns).corr()
+    np.fill_diagonal(out, 1.0)
     return out
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import pearson
+from tidemark.operators.moments import moment_rows, moments
 
 
 def per_feature(df: DataFrame, features: list[str], stats: dict[str, Callable[[str], Column]], keys: tuple[str, ...] = ()) -> DataFrame:
@@ -31,7 +32,7 @@ def segment_corrs(df: DataFrame, features: list[str], y: str, least: int = 50) -
 def gram_cells(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, i, j, n, sum_i, sum_j, sum_ij): sums over each cell for every pair i <= j of columns, in one scan.
 
-    Folds, segments and regimes are sums of cells, so models never read rows again.
+    Plain sums by one expression per pair, for a few columns. Many columns, and covariances of columns far from zero, are for `moment_rows`.
     """
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
     sums = [F.sum(F.col(c).cast("double")).alias(f"_s{i}") for i, c in enumerate(columns)]
@@ -41,25 +42,20 @@ def gram_cells(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ()) ->
     return wide.select(*keys, "n", F.explode(cell).alias("_c")).select(*keys, "_c.i", "_c.j", "n", "_c.sum_i", "_c.sum_j", "_c.sum_ij")
 
 
-def correlations(gram: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, i, j, corr) of the pairs of a Gram table."""
-    own = gram.filter("i = j").select(*keys, F.col("i").alias("c"), (F.col("sum_ij") / F.col("n") - F.pow(F.col("sum_i") / F.col("n"), 2)).alias("var"))
+def correlations(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, i, j, corr) of the pairs of a table of `moment_rows`."""
+    own = rows.filter("i = j").select(*keys, F.col("i").alias("c"), F.col("cov").alias("var"))
     a, b = own.select(*keys, F.col("c").alias("i"), F.col("var").alias("vi")), own.select(*keys, F.col("c").alias("j"), F.col("var").alias("vj"))
-    out = gram.filter("i <> j").join(a, [*keys, "i"]).join(b, [*keys, "j"])
-    cov = F.col("sum_ij") / F.col("n") - F.col("sum_i") * F.col("sum_j") / F.pow(F.col("n"), 2)
-    return out.select(*keys, "i", "j", F.when((F.col("vi") > 1e-24) & (F.col("vj") > 1e-24), cov / F.sqrt(F.col("vi") * F.col("vj"))).otherwise(0.0).alias("corr"))
+    out = rows.filter("i <> j").join(a, [*keys, "i"]).join(b, [*keys, "j"])
+    return out.select(*keys, "i", "j", F.when((F.col("vi") > 1e-24) & (F.col("vj") > 1e-24), F.col("cov") / F.sqrt(F.col("vi") * F.col("vj"))).otherwise(0.0).alias("corr"))
 
 
 def information_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """(i, j, value): Z'Z / (n - 1) of columns standardised with the population deviation, nulls at the mean."""
-    means = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
-    filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(means[c])).alias(c) for c in columns])
-    gram = gram_cells(filled, columns)
-    scale = F.col("n") / (F.col("n") - 1)
-    diagonal = gram.filter("i = j").withColumn("corr", F.when(F.col("sum_ij") / F.col("n") - F.pow(F.col("sum_i") / F.col("n"), 2) > 1e-24, 1.0).otherwise(0.0))
-    n = gram.select("n").distinct()
-    off = correlations(gram).join(F.broadcast(n))
-    return diagonal.select("i", "j", (F.col("corr") * scale).alias("value")).unionByName(off.select("i", "j", (F.col("corr") * scale).alias("value")))
+    m = moments(df, columns)
+    value = m.corr() * m.n / (m.n - 1)
+    rows = [(columns[i], columns[j], float(value[i, j])) for i in range(len(columns)) for j in range(i, len(columns))]
+    return df.sparkSession.createDataFrame(rows, "i string, j string, value double")
 
 
 def ranked(scores: DataFrame, score: str = "score") -> DataFrame:

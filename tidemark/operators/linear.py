@@ -7,17 +7,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import pearson
-from tidemark.operators.models import gram_matrix
-from tidemark.operators.features import gram_cells
+from tidemark.operators.moments import Moments, collect_moments, moments
 
 ALPHAS = tuple(float(a) for a in np.logspace(-2, 5, 10))
 
 
 def standardised(df: DataFrame, features: list[str], y: str) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
     """(n, means, deviations, correlations, correlations with y times its deviation, mean of y)."""
-    n, s, x = gram_matrix(gram_cells(df, [*features, y]), [*features, y])
-    mean, k = s / n, len(features)
-    cov = x / n - np.outer(mean, mean)
+    m, k = moments(df, [*features, y]), len(features)
+    n, mean, cov = m.n, m.mean, m.cov
     sd = np.sqrt(np.maximum(np.diag(cov)[:k], 0)) + 1e-12
     return n, mean[:k], sd, cov[:k, :k] / np.outer(sd, sd), cov[:k, k] / sd, float(mean[k])
 
@@ -49,8 +47,7 @@ def pca_components(df: DataFrame, columns: list[str]) -> DataFrame:
 
     Each has its largest loading positive.
     """
-    n, sums, x = gram_matrix(gram_cells(df, columns), columns)
-    cov = x / n - np.outer(sums / n, sums / n)
+    cov = moments(df, columns).cov
     sd = np.sqrt(np.maximum(np.diag(cov), 0)) + 1e-12
     c = cov / np.outer(sd, sd)
     values, vectors = np.linalg.eigh(c)
@@ -61,40 +58,44 @@ def pca_components(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "component int, variance double, share double, loadings array<double>")
 
 
-def weighted_ridge(df: DataFrame, features: list[str], y: str, weight, alpha: float) -> tuple[np.ndarray, float]:
-    """(coefficients, intercept) of ridge with row weights, standardised by the weighted moments."""
-    w = df.withColumn("_w", F.sqrt(weight)).select("_w", *[(F.col(c).cast("double") * F.col("_w")).alias(c) for c in (*features, y)])
-    cols = ["_w", *features, y]
-    _, _, x = gram_matrix(gram_cells(w, cols), cols)
-    total, mean, k = x[0, 0], x[0, 1:] / x[0, 0], len(features)
-    cov = x[1:, 1:] / total - np.outer(mean, mean)
-    sd = np.sqrt(np.maximum(np.diag(cov)[:k], 0)) + 1e-12
-    beta = np.linalg.solve(total * cov[:k, :k] / np.outer(sd, sd) + alpha * np.eye(k), total * cov[:k, k] / sd) / sd
-    return beta, float(mean[k] - beta @ mean[:k])
+def ridge_of(m: Moments, y: str, alpha: float) -> tuple[np.ndarray, float]:
+    """(coefficients, intercept) of ridge on features standardised by the moments' own deviations."""
+    k = m.columns.index(y)
+    at = [i for i in range(len(m.columns)) if i != k]
+    cov, mean = m.cov, m.mean
+    sd = np.sqrt(np.maximum(np.diag(cov)[at], 0)) + 1e-12
+    beta = np.linalg.solve(m.n * cov[np.ix_(at, at)] / np.outer(sd, sd) + alpha * np.eye(len(at)), m.n * cov[at, k] / sd) / sd
+    return beta, float(mean[k] - beta @ mean[at])
+
+
+def scored_on(df: DataFrame, features: list[str], y: str, fits: list[tuple[float, np.ndarray, float]], name: str) -> DataFrame:
+    """(name, score): the correlation with y, over the rows of df, of every (value, coefficients, intercept)."""
+    preds = [pearson(sum((F.col(f) * float(b) for f, b in zip(features, beta)), F.lit(b0)), y).alias(f"s{i}") for i, (_, beta, b0) in enumerate(fits)]
+    rows = F.array(*[F.struct(F.lit(v).alias(name), F.col(f"s{i}").alias("score")) for i, (v, _, _) in enumerate(fits)])
+    return df.agg(*preds).select(F.explode(rows).alias("r")).select("r.*")
 
 
 def recency_weighted(df: DataFrame, features: list[str], y: str, lambdas: tuple[float, ...] = (0.0, 1.0, 3.0, 8.0), alpha: float = 10.0) -> DataFrame:
-    """(lam, score): ridge weighted by exp(-lam * age), age being the share of rows that are newer, fitted before the last segment and scored on it."""
+    """(lam, score): ridge weighted by exp(-lam * age), age being the share of rows that are newer, fitted before the last segment and scored on it.
+
+    All weightings are draws of one scan.
+    """
     last = df.agg(F.max("seg")).first()[0]
     age = (F.col("n_rows") - 1 - F.col("row_idx")) / F.greatest(F.lit(1), F.col("n_rows") - 1)
-    train, preds = df.filter(F.col("seg") < last), []
-    for i, lam in enumerate(lambdas):
-        beta, b0 = weighted_ridge(train, features, y, F.exp(-lam * age), alpha)
-        preds.append(pearson(sum((F.col(f) * float(b) for f, b in zip(features, beta)), F.lit(b0)), y).alias(f"s{i}"))
-    got = df.filter(F.col("seg") == last).agg(*preds)
-    return got.select(F.explode(F.array(*[F.struct(F.lit(lam).alias("lam"), F.col(f"s{i}").alias("score")) for i, lam in enumerate(lambdas)])).alias("r")).select("r.*")
+    train = df.filter(F.col("seg") < last).withColumn("_w", F.array(*[F.exp(-lam * age) for lam in lambdas]))
+    cells = collect_moments(train, [*features, y], weights="_w")
+    fits = [(lam, *ridge_of(cells[(i,)], y, alpha)) for i, lam in enumerate(lambdas)]
+    return scored_on(df.filter(F.col("seg") == last), features, y, fits, "lam")
 
 
 def recency_ridge(df: DataFrame, features: list[str], y: str, shares: tuple[float, ...] = (0.15, 0.3, 0.5, 1.0), alpha: float = 10.0) -> DataFrame:
-    """(share, score): ridge on the last share of the rows before the last segment, scored on that."""
+    """(share, score): ridge on the last share of the rows before the last segment, scored on that; all shares are draws of one scan."""
     last = df.agg(F.max("seg").alias("seg"), F.max("n_rows").alias("n")).first()
     upto = df.filter(F.col("seg") < last["seg"]).agg(F.max("row_idx")).first()[0] + 1
-    preds = []
-    for i, share in enumerate(shares):
-        beta, b0 = weighted_ridge(df.filter((F.col("seg") < last["seg"]) & (F.col("row_idx") >= int(np.floor(upto * (1 - share))))), features, y, F.lit(1.0), alpha)
-        preds.append(pearson(sum((F.col(f) * float(b) for f, b in zip(features, beta)), F.lit(b0)), y).alias(f"s{i}"))
-    got = df.filter(F.col("seg") == last["seg"]).agg(*preds)
-    return got.select(F.explode(F.array(*[F.struct(F.lit(s).alias("share"), F.col(f"s{i}").alias("score")) for i, s in enumerate(shares)])).alias("r")).select("r.*")
+    train = df.filter(F.col("seg") < last["seg"]).withColumn("_w", F.array(*[(F.col("row_idx") >= int(np.floor(upto * (1 - s)))).cast("double") for s in shares]))
+    cells = collect_moments(train, [*features, y], weights="_w")
+    fits = [(s, *ridge_of(cells[(i,)], y, alpha)) for i, s in enumerate(shares)]
+    return scored_on(df.filter(F.col("seg") == last["seg"]), features, y, fits, "share")
 
 
 def residual_ladder(df: DataFrame, features: list[str], y: str, rounds: int, shrink: float = 0.2) -> dict[str, float]:

@@ -7,21 +7,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import pearson
-from tidemark.operators.features import gram_cells, per_feature
+from tidemark.operators.features import per_feature
+from tidemark.operators.moments import moments
 from tidemark.operators.transforms import quantiles
 
 
-def gram_matrix(gram: DataFrame, columns: list[str]) -> tuple[float, np.ndarray, np.ndarray]:
-    """(n, sums, cross products) of a Gram table without keys: columns squared numbers."""
-    at = {c: i for i, c in enumerate(columns)}
-    n, s, x = 0.0, np.zeros(len(columns)), np.zeros((len(columns), len(columns)))
-    for r in gram.collect():
-        i, j = at[r["i"]], at[r["j"]]
-        n, s[i], s[j] = float(r["n"]), r["sum_i"], r["sum_j"]
-        x[i, j] = x[j, i] = r["sum_ij"]
-    return n, s, x
-
-
 def linear(coef: dict[str, float], intercept: float) -> Column:
     out = F.lit(float(intercept))
     for c, w in coef.items():
@@ -31,9 +21,8 @@ def linear(coef: dict[str, float], intercept: float) -> Column:
 
 def fit_ridge(df: DataFrame, features: list[str], y: str, alpha: float) -> tuple[dict[str, float], float]:
     """Ridge on standardised features (population deviation); coefficients in the features' own units."""
-    n, s, x = gram_matrix(gram_cells(df, [*features, y]), [*features, y])
-    mean, k = s / n, len(features)
-    cov = x / n - np.outer(mean, mean)
+    m, k = moments(df, [*features, y]), len(features)
+    n, mean, cov = m.n, m.mean, m.cov
     sd = np.sqrt(np.maximum(np.diag(cov)[:k], 0)) + 1e-12
     corr = cov[:k, :k] / np.outer(sd, sd)
     beta = np.linalg.solve(n * corr + alpha * np.eye(k), n * cov[:k, k] / sd) / sd
@@ -42,9 +31,8 @@ def fit_ridge(df: DataFrame, features: list[str], y: str, alpha: float) -> tuple
 
 def pls1(df: DataFrame, features: list[str], y: str, parts: int) -> dict[str, float]:
     """Partial least squares from the cross products alone: coefficients of the standardised features."""
-    n, s, x = gram_matrix(gram_cells(df, [*features, y]), [*features, y])
-    mean, k = s / n, len(features)
-    cov = x / n - np.outer(mean, mean)
+    m, k = moments(df, [*features, y]), len(features)
+    n, mean, cov = m.n, m.mean, m.cov
     sd = np.sqrt(np.maximum(np.diag(cov)[:k], 0)) + 1e-12
     xx, xy = cov[:k, :k] / np.outer(sd, sd), cov[:k, k] / sd
     basis, v = [], xy.copy()  # the Krylov space of (xx, xy): PLS is least squares in it

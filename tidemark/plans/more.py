@@ -126,7 +126,7 @@ def _(spark, d):
 
 @query("uniqueness", CTE + ", c as (select a.feature, abs(corr(a.x, b.x)) as c from l a join l b on a.row_idx = b.row_idx and a.feature <> b.feature group by a.feature, b.feature) select feature, round(greatest(0, 1 - max(c)), 6) + 0.0 as uniqueness from c group by 1")
 def _(spark, d):
-    c = fe.correlations(fe.gram_cells(raw_events(spark, d), FEATURES)).withColumn("c", F.abs("corr"))
+    c = fe.correlations(fe.moment_rows(raw_events(spark, d), FEATURES)).withColumn("c", F.abs("corr"))
     both = c.select(F.col("i").alias("feature"), "c").unionByName(c.select(F.col("j").alias("feature"), "c"))
     return rounded(both.groupBy("feature").agg(F.greatest(F.lit(0.0), 1 - F.max("c")).alias("uniqueness")), "uniqueness")
 

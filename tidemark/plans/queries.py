@@ -392,7 +392,7 @@ def _(spark, d):
 
 @query("feature_edges", CTE + _PAIRS + "select i, j, round(corr(x, z), 6) + 0.0 as corr from a where pi < pj group by i, j")
 def _(spark, d):
-    return rounded(fe.correlations(fe.gram_cells(raw_events(spark, d), FEATURES)), "corr")
+    return rounded(fe.correlations(fe.moment_rows(raw_events(spark, d), FEATURES)), "corr")
 
 
 @query("zscore", "select event_id, round((value - avg(value) over ()) / (stddev_pop(value) over () + 1e-12), 6) + 0.0 as z from events")
@@ -715,3 +715,4 @@ def entry(spark: SparkSession, d: str) -> DataFrame:
 
 
 from tidemark.plans import more as _more  # noqa: E402, F401  (registers the further queries)
+from tidemark.plans import structure as _structure  # noqa: E402, F401
