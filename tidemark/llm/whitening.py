@@ -36,7 +36,7 @@ LIMIT = 1 << 40
 #: Bytes of a block of doubles.
 BLOCK_BYTES = 1 << 20
 #: Blocks that a task of a multiplication holds, about.
-HELD = 32
+HELD = 16
 #: An eigenvalue below this share of the largest is zero.
 ZERO = 1e-12
 
@@ -79,7 +79,8 @@ def row_blocks(fit: DataFrame, n: int, sums: list[int], height: int) -> DataFram
         if keys:
             yield made()
 
-    made = cut(arrow_map(fit.select("key", "x"), run, "part int, chunk int, keys array<string>, deviations array<long>, data binary"))
+    few = fit.select("key", "x").coalesce(max(1, -(-n // (2 * height))))  # the last block of a partition is padded: no partition of much less than a block
+    made = cut(arrow_map(few, run, "part int, chunk int, keys array<string>, deviations array<long>, data binary"))
     before, at = {}, 0
     for r in made.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # one row per partition
         before[r["part"]], at = at, at + r["n"]
@@ -90,7 +91,7 @@ def row_blocks(fit: DataFrame, n: int, sums: list[int], height: int) -> DataFram
 def block_matrix(blocks: DataFrame, height: int, width: int, count: int, across: int = 1) -> BlockMatrix:
     """The blocks one below the other, or in a grid `across` blocks wide."""
     parts = max(1, -(-count // HELD))
-    laid = blocks.select("block", "data").repartition(parts, "block").rdd.map(lambda r: ((r[0] // across, r[0] % across), DenseMatrix(height, width, np.frombuffer(r[1], "<f8"))))
+    laid = blocks.select("block", "data").repartition(parts).rdd.map(lambda r: ((r[0] // across, r[0] % across), DenseMatrix(height, width, np.frombuffer(r[1], "<f8"))))
     return BlockMatrix(laid, height, width, -(-count // across) * height, across * width)
 
 
@@ -153,7 +154,7 @@ def whitened_length(fit: DataFrame, n: int, dim: int, components: int, block_byt
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(away, pa.int64()), pa.array(w.tolist(), pa.list_(pa.float64()))], ["key", "deviation", "whitened"])
 
     parts = max(1, -(-count // HELD))
-    both = blocks.select("block", "keys", "deviations").join(z, "block").repartition(parts, "block").select("keys", "deviations", "data")
+    both = blocks.select("block", "keys", "deviations").join(z, "block").repartition(parts).select("keys", "deviations", "data")
     found = arrow_map(both, run, "key string, deviation long, whitened array<double>").join(fit.select("key", "rows"), "key")
     return cut(found.select("key", "rows", F.lit(n).cast("long").alias("n"), "deviation", "whitened", F.array(*[F.lit(e) for e in explained]).alias("explained"), F.lit(error).alias("identity_error")))
 
