@@ -159,6 +159,7 @@ def test_sign_flipper_loses(spark):
 
 
 def test_learned_models_find_planted_truth(spark):
+    from tidemark.operators import regimes as rg
     from tidemark.operators import learned as ml
 
     rows = [(i, float((i * 37) % 101), float((i * 53) % 97), float((i * 71) % 89)) for i in range(1500)]
@@ -171,7 +172,8 @@ def test_learned_models_find_planted_truth(spark):
     assert trees.selectExpr("avg(abs(prediction - step)) as e").first()["e"] < 0.02
     like = ml.testlike_scores(df.filter("a < 60"), df.filter("a >= 50"), ["a", "b"], "event_id").join(df, "event_id")
     assert like.selectExpr("corr(testlike, a) as c").first()["c"] > 0.8
-    ground = ml.terrain_cluster(df.selectExpr("*", "step * 100 as far"), ["far"], 2).groupBy("terrain").agg({"step": "min", "a": "count"}).collect()
+    far = df.selectExpr("*", "step * 100 as far")
+    ground = rg.with_terrain(far, rg.terrain_map(far, ["far"], "event_id", 2)).groupBy("terrain").agg({"step": "min", "a": "count"}).collect()
     assert sorted(r["min(step)"] for r in ground) == [0.0, 1.0]
 
 

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
@@ -38,13 +37,3 @@ def testlike_scores(train: DataFrame, test: DataFrame, features: list[str], key:
     both = assembled(train.select(key, *features), features).withColumn("side", F.lit(0.0)).unionByName(assembled(test.select(key, *features), features).withColumn("side", F.lit(1.0)))
     model = LogisticRegression(labelCol="side", regParam=0.01, maxIter=30).fit(both)
     return model.transform(both.filter("side = 0")).select(key, vector_to_array("probability")[1].alias("testlike"))
-
-
-def terrain_cluster(df: DataFrame, features: list[str], k: int, seed: int = 7) -> DataFrame:
-    """Adds `terrain`: k-means over standardised features, numbered from 0 by size, largest first (ties: by number)."""
-    rows = assembled(df, features)
-    rows = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(rows).transform(rows)
-    found = KMeans(featuresCol="scaled", predictionCol="_cluster", k=k, seed=seed).fit(rows).transform(rows)
-    sizes = sorted(found.groupBy("_cluster").count().collect(), key=lambda r: (-r["count"], r["_cluster"]))  # k rows
-    place = F.create_map(*[F.lit(x) for i, r in enumerate(sizes) for x in (r["_cluster"], i)])
-    return found.withColumn("terrain", place[F.col("_cluster")]).drop("features", "scaled", "_cluster")

@@ -122,30 +122,33 @@ def greedy_ols(df: DataFrame, features: list[str], y: str, gain: float = 1e-4) -
     return [features[i] for i in kept]
 
 
-def nnls_weights(df: DataFrame, members: list[str], y: str) -> dict[str, float]:
-    """Non-negative least squares of the scaled target on the scaled members, summing to 1; those of 1e-9 or less go.
-
-    Every active set of a few members is a small system of the members' correlations: the one that satisfies the optimality conditions wins.
-    """
-    _, _, _, c, cy, _ = standardised(df, members, y)
+def nnls_of(c: np.ndarray, cy: np.ndarray) -> np.ndarray:
+    """Non-negative least squares from correlations of the columns and with the target: active sets, the largest slope enters first."""
     active: list[int] = []
-    w = np.zeros(len(members))
-    for _ in range(10 * len(members)):
+    w = np.zeros(len(cy))
+    for _ in range(10 * len(cy)):
         slope = cy - c @ w
-        free = [i for i in range(len(members)) if i not in active and slope[i] > 1e-12]
+        free = [i for i in range(len(cy)) if i not in active and slope[i] > 1e-12]
         if not free:
             break
         active.append(max(free, key=lambda i: (slope[i], -i)))
         while True:
             fit = np.linalg.lstsq(c[np.ix_(active, active)], cy[active], rcond=None)[0]
             if (fit > 0).all():
-                w = np.zeros(len(members))
+                w = np.zeros(len(cy))
                 w[active] = fit
                 break
             step = min(w[i] / (w[i] - f) for i, f in zip(active, fit) if f <= 0)
             for i, f in zip(active, fit):
                 w[i] += step * (f - w[i])
             active = [i for i in active if w[i] > 1e-12]
+    return w
+
+
+def nnls_weights(df: DataFrame, members: list[str], y: str) -> dict[str, float]:
+    """Non-negative least squares of the scaled target on the scaled members, summing to 1; those of 1e-9 or less go."""
+    _, _, _, c, cy, _ = standardised(df, members, y)
+    w = nnls_of(c, cy)
     total = w.sum()
     return {m: float(x / total) for m, x in zip(members, w) if total > 0 and x / total > 1e-9}
 

@@ -67,7 +67,7 @@ class Moments:
         """The correlation of two linear forms of the columns; 0 with fewer than 3 rows or a constant form."""
         c = self.cov
         va, vb = float(a @ c @ a), float(b @ c @ b)
-        return float(a @ c @ b) / np.sqrt(va * vb) if self.n >= 3 and va > 1e-24 and vb > 1e-24 else 0.0
+        return float(a @ c @ b / np.sqrt(va * vb)) if self.n >= 3 and va > 1e-24 and vb > 1e-24 else 0.0
 
 
 def total(cells) -> Moments:

@@ -307,8 +307,3 @@ def _(spark, d):
 def _(spark, d):
     e = events(spark, d)
     return rounded(ml.testlike_scores(e.filter("row_idx < floor(n_rows * 0.75)"), e.filter("row_idx >= floor(n_rows * 0.75)"), FEATURES, "event_id"), "testlike")
-
-
-@query("terrain_cluster")
-def _(spark, d):
-    return ml.terrain_cluster(raw_events(spark, d), FEATURES, 4).select("event_id", "terrain")

@@ -124,11 +124,6 @@ def _(spark, d):
     return ke.walk_forward_bounds(events(spark, d), 4, 50)
 
 
-@query("purged_segment_folds")
-def _(spark, d):
-    return ke.purged_folds(events(spark, d), 4, 30)
-
-
 @query("forensic_worlds", CTE + "select kind, state, count(*)::bigint as n from (select 'seg' as kind, seg as state from e union all select 'state', state from e) group by all having count(*) >= 100")
 def _(spark, d):
     return ke.worlds(events(spark, d), ["seg", "state"], 100)
@@ -715,4 +710,7 @@ def entry(spark: SparkSession, d: str) -> DataFrame:
 
 
 from tidemark.plans import more as _more  # noqa: E402, F401  (registers the further queries)
+from tidemark.plans import assessment as _assessment  # noqa: E402, F401
+from tidemark.plans import evidence as _evidence  # noqa: E402, F401
+from tidemark.plans import landscape as _landscape  # noqa: E402, F401
 from tidemark.plans import structure as _structure  # noqa: E402, F401
