@@ -141,9 +141,9 @@ def test_scores_with_alternate_names(spark):
 def test_targets_and_groups(spark):
     from tidemark.operators import profile as pr
 
-    train = spark.createDataFrame([(i, i % 3, float(i)) for i in range(9)], "a int, user_id int, goal double")
+    train = spark.createDataFrame([(i, i % 3, float(i)) for i in range(9)], "a int, Era int, goal double")
     assert pr.detect_target(train, train.drop("goal")) == "goal" and pr.detect_target(train.withColumn("label", train["a"])) == "label"
-    assert pr.detect_group(train) == "user_id"
+    assert pr.detect_group(train) == "Era" and pr.detect_group(train.withColumnRenamed("Era", "user_id")) is None
     with pytest.raises(ValueError):
         pr.detect_target(train, target="none")
 

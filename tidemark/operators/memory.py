@@ -9,29 +9,6 @@ from pyspark.sql import functions as F
 from tidemark.functions import clip
 
 
-def foundation_stress(rows: DataFrame, run: str, group: str, value: str) -> DataFrame:
-    """(scope, grp, n, mean, worst) with each row under its run and group, under its group, and under all."""
-    keys = F.array(F.struct(F.col(run).alias("scope"), F.col(group).alias("grp")), F.struct(F.lit("global").alias("scope"), F.col(group).alias("grp")), F.struct(F.lit("global").alias("scope"), F.lit("all").alias("grp")))
-    long = rows.select(F.explode(keys).alias("k"), F.col(value).alias("v")).select("k.*", "v")
-    return long.groupBy("scope", "grp").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.max("v").alias("worst"))
-
-
-def route_strength(ops: DataFrame, terrain: str, action: str, gain: str, strength: float = 4.0) -> DataFrame:
-    """(terrain, action, n, gain, spread, value): per terrain and over all, gains shrunk to 0, less half their spread."""
-    long = ops.withColumn("_t", F.explode(F.array(F.col(terrain), F.lit("global")))).select(F.col("_t").alias("terrain"), F.col(action).alias("action"), F.col(gain).alias("g"))
-    out = long.groupBy("terrain", "action").agg(F.count("*").alias("n"), (F.sum("g") / (F.count("*") + strength)).alias("gain"), F.coalesce(F.stddev_pop("g"), F.lit(0.0)).alias("spread"))
-    return out.withColumn("value", F.col("gain") - F.col("spread") / 2)
-
-
-def evidence_gate(ops: DataFrame) -> DataFrame:
-    """Adds grade, promotion, branch and decision from evidence, stress and whether an external observation exists."""
-    hard = F.col("stress") > 0.6
-    grade = F.when(hard, "D").when((F.col("evidence") >= 0.6) & F.col("observed"), "A").when(F.col("evidence") >= 0.6, "B").otherwise("C")
-    out = ops.withColumn("grade", grade)
-    out = out.withColumn("promotion", (F.col("grade") == "A").cast("int")).withColumn("branch", F.col("grade").isin("A", "B").cast("int"))
-    return out.withColumn("decision", F.when(hard, "reject").when(F.col("promotion") == 1, "promote").when(F.col("branch") == 1, "branch").otherwise("hold"))
-
-
 def attention_view(t: DataFrame, kind: str, key: str, priority: str, n: int) -> DataFrame:
     """(kind, key, priority, place) of the top n of a memory table; ties by key."""
     top = t.orderBy(F.desc(priority), key).limit(n)

@@ -67,19 +67,6 @@ query("match_runs", _RAW_SCORES + ", t as (select filename, unnest(list_distinct
 )
 
 
-@query("detect_target", "select 'o_totalprice' as target, count(*)::bigint as n, count(distinct o_totalprice)::bigint as n_values from orders")
-def _(spark, d):
-    t = table(spark, d, "orders")
-    name = pr.detect_target(t, t.drop("o_totalprice"))
-    return t.agg(F.lit(name).alias("target"), F.count("*").alias("n"), F.count_distinct(name).alias("n_values"))
-
-
-@query("detect_group", "select case when count(distinct user_id) > 1 and count(distinct user_id) < count(*) / 2 then 'user_id' end as name, count(*)::bigint as n from events")
-def _(spark, d):
-    e = table(spark, d, "events")
-    return e.agg(F.lit(pr.detect_group(e)).cast("string").alias("name"), F.count("*").alias("n"))
-
-
 @query("drop_ids_rename_target", CTE + "select event_type, f_user, f_k, f_day, 0.0::double as f_mod, f_mix from e")
 def _(spark, d):
     e = raw_events(spark, d)
@@ -87,16 +74,6 @@ def _(spark, d):
     return test.select(*[c for c in train.columns if c != "label"])
 
 
-@query("target_sensor", CTE + ", a as (select l.feature, abs(corr(l.x, b.x)) as c from l join l b on b.feature = l.feature and b.row_idx = l.row_idx - 1 group by 1) select 'regression' as task, 'pearson' as metric, round(avg(c), 6) + 0.0 as lag1 from a")
-def _(spark, d):
-    return rounded(pr.target_sensor(events(spark, d), "y", FEATURES), "lag1")
-
-
-@query("profile_table", "select 'value' as target, count(*)::bigint as n_rows, 4::bigint as n_features, 2::bigint as n_text, count(distinct value)::bigint as n_values, count_if(value is null)::bigint as n_null_target, 'user_id' as \"group\" from events")
-def _(spark, d):
-    return pr.profile_table(table(spark, d, "events"), "value", ["event_id"], "user_id")
-
-
 @query("inner_time_split", CTE + ", c as (select max(seg) as s from e), g as (select s, count(*) filter (where seg = s) as k, count(*) as n from e, c group by s) select e.event_id, case when (k >= 50 and k <= 0.6 * n and seg = s) or (not (k >= 50 and k <= 0.6 * n) and event_id % 4 = 0) then 'valid' else 'train' end as role from e, g")
 def _(spark, d):
     e = events(spark, d)

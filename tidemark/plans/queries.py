@@ -193,49 +193,6 @@ def _(spark, d):
 # --- profiles
 
 
-@query("detect_task_metric", """select 'events.value' as col, count(distinct value)::bigint as n_distinct, case when count(distinct value) = 2 then 'binary' else 'regression' end as task, case when count(distinct value) = 2 then 'gini' else 'pearson' end as metric from events
-union all select 'labels.quality', count(distinct quality)::bigint, case when count(distinct quality) = 2 then 'binary' when count(distinct quality) > 20 then 'regression' else 'multiclass' end, case when count(distinct quality) = 2 then 'gini' when count(distinct quality) > 20 then 'pearson' else 'spearman' end from labels
-union all select 'embeddings.label', count(distinct label)::bigint, case when count(distinct label) = 2 then 'binary' when count(distinct label) > 20 then 'regression' else 'multiclass' end, case when count(distinct label) = 2 then 'gini' when count(distinct label) > 20 then 'pearson' else 'spearman' end from embeddings""")
-def _(spark, d):
-    out = None
-    for t, c in (("events", "value"), ("labels", "quality"), ("embeddings", "label")):
-        df = table(spark, d, t)
-        real = df.schema[c].dataType.simpleString() in ("double", "float")
-        n = F.col("n_distinct")
-        many = n > 20 if not real else F.lit(True)
-        one = df.agg(F.count_distinct(c).alias("n_distinct")).select(
-            F.lit(f"{t}.{c}").alias("col"), "n_distinct",
-            F.when(n == 2, "binary").when(many, "regression").otherwise("multiclass").alias("task"), F.when(n == 2, "gini").when(many, "pearson").otherwise("spearman").alias("metric"),
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-@query("detect_ids", """with t as (select count(*) as n, count(distinct o_orderkey) as a, count(distinct o_custkey) as b, count(distinct o_orderstatus) as c, count(distinct o_totalprice) as d from orders)
-select 'o_orderkey' as col, a = n as is_id from t union all select 'o_custkey', b = n from t union all select 'o_orderstatus', c = n from t""")
-def _(spark, d):
-    cols = ["o_orderkey", "o_custkey", "o_orderstatus"]
-    wide = table(spark, d, "orders").agg(F.count("*").alias("n"), *[F.count_distinct(c).alias(c) for c in cols])
-    return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), (F.col(c) == F.col("n")).alias("is_id")) for c in cols])).alias("r")).select("r.*")
-
-
-@query("detect_time", CTE + """, a as (select l.feature, l.pos, corr(l.x, b.x) as auto from l left join l b on b.feature = l.feature and b.row_idx = l.row_idx - 1 group by all) select feature, round(auto, 6) + 0.0 as auto from a""")
-def _(spark, d):
-    e = ke.lagged(events(spark, d), FEATURES)
-    return rounded(fe.per_feature(e, FEATURES, {"auto": lambda f: fn.pearson(f, f"{f}_lag")}), "auto").select("feature", "auto")
-
-
-@query("detect_categoricals", """select 'p_brand' as col, count(distinct p_brand)::bigint as n, true as is_cat from part union all select 'p_size', count(distinct p_size)::bigint, count(distinct p_size) <= 20 from part
-union all select 'p_partkey', count(distinct p_partkey)::bigint, count(distinct p_partkey) <= 20 from part""")
-def _(spark, d):
-    p = table(spark, d, "part")
-    cols = ["p_brand", "p_size", "p_partkey"]
-    text = {f.name for f in p.schema if f.dataType.simpleString() == "string"}
-    wide = p.agg(*[F.count_distinct(c).alias(c) for c in cols])
-    rows = [F.struct(F.lit(c).alias("col"), F.col(c).alias("n"), (F.lit(c in text) | (F.col(c) <= 20)).alias("is_cat")) for c in cols]
-    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-
-
 @query("symmetry_field", CTE + """, z as (select l.*, (x - m) / s as z from l join (select feature, avg(x) as m, stddev_pop(x) as s from l group by 1) using (feature))
 select feature, round(corr(z, y), 6) + 0.0 as odd, round(corr(abs(z), y), 6) + 0.0 as even, case when abs(corr(z, y)) >= abs(corr(abs(z), y)) then 'odd' else 'even' end as verdict from z group by 1""")
 def _(spark, d):
@@ -682,10 +639,6 @@ def _(spark, d):
 
 on_lessons("library_summary", "select family, count(*)::bigint as tries, round(avg(oof), 9) + 0.0 as mean_oof, round(avg(least(width, wf_width)), 9) + 0.0 as mean_width from c group by family", lambda c: c.groupBy("family").agg(F.count("*").alias("tries"), F.avg("oof").alias("mean_oof"), F.avg(F.least("width", "wf_width")).alias("mean_width")), "mean_oof", "mean_width")
 on_lessons("ledger_stats", "select skill, count(*)::bigint as n, round(avg(oof - wf_width), 9) + 0.0 as decay from c where oof > 0.02 group by skill", lambda c: c.filter("oof > 0.02").groupBy("skill").agg(F.count("*").alias("n"), F.avg(F.col("oof") - F.col("wf_width")).alias("decay")), "decay")
-on_lessons("foundation_stress", "select scope, grp, count(*)::bigint as n, round(avg(v), 9) + 0.0 as mean, round(max(v), 9) + 0.0 as worst from (select skill as scope, family as grp, width as v from c union all select 'global', family, width from c union all select 'global', 'all', width from c) group by all", lambda c: my.foundation_stress(c, "skill", "family", "width"), "mean", "worst")
-on_lessons("route_strength", ", x as (select skill as terrain, family as action, oof as g from c union all select 'global', family, oof from c) select terrain, action, count(*)::bigint as n, round(sum(g) / (count(*) + 4), 9) + 0.0 as gain, round(stddev_pop(g), 9) + 0.0 as spread, round(sum(g) / (count(*) + 4) - stddev_pop(g) / 2, 9) + 0.0 as value from x group by all", lambda c: my.route_strength(c, "skill", "family", "oof"), "gain", "spread", "value")
-on_lessons("evidence_gate", ", x as (select key, case when width > 0.02 then 'D' when oof >= 0.05 and promoted then 'A' when oof >= 0.05 then 'B' else 'C' end as grade from c) select key, grade, (grade = 'A')::int as promotion, (grade in ('A', 'B'))::int as branch, case grade when 'D' then 'reject' when 'A' then 'promote' when 'B' then 'branch' else 'hold' end as decision from x",
-           lambda c: my.evidence_gate(c.select("key", F.when(F.col("oof") >= 0.05, 0.8).otherwise(0.1).alias("evidence"), F.when(F.col("width") > 0.02, 0.9).otherwise(0.1).alias("stress"), F.col("promoted").alias("observed"))).select("key", "grade", "promotion", "branch", "decision"))
 on_lessons("attention_views", "select 'oof' as kind, key, round(oof, 9) + 0.0 as priority, place::int as place from (select *, row_number() over (order by oof desc, key) as place from c) where place <= 12", lambda c: my.attention_view(c, "oof", "key", "oof", 12), "priority")
 on_lessons("relation_edges", "select distinct 'key:' || key as src, 'of' as kind, 'skill:' || skill as dst from c union select distinct 'key:' || key, 'in', 'family:' || family from c", lambda c: my.relation_edges(c, [("key", "of", "skill"), ("key", "in", "family")]))
 on_lessons("path_memory", ", s as (select skill, family, transform, oof as a_oof from (select *, row_number() over (partition by skill, family, transform order by n desc) as r from c where family < 'u3') where r = 1) select key, round(oof, 9) + 0.0 as oof, round(a_oof, 9) + 0.0 as a_oof from c left join s using (skill, family, transform)", lambda c: my.path_memory(c.select("key", *ca.AXES, "oof"), {"a": c.filter("family < 'u3'").select(*ca.AXES, "oof", "n")}, list(ca.AXES), "n").select("key", "oof", "a_oof"), "oof", "a_oof")
@@ -713,4 +666,6 @@ from tidemark.plans import more as _more  # noqa: E402, F401  (registers the fur
 from tidemark.plans import assessment as _assessment  # noqa: E402, F401
 from tidemark.plans import evidence as _evidence  # noqa: E402, F401
 from tidemark.plans import landscape as _landscape  # noqa: E402, F401
+from tidemark.plans import ledger as _ledger  # noqa: E402, F401
+from tidemark.plans import profiles as _profiles  # noqa: E402, F401
 from tidemark.plans import structure as _structure  # noqa: E402, F401
