@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import pearson, shrunk_mean
+from tidemark.operators.keys import placed
 
 AXES = ("skill", "family", "transform")
 
@@ -102,20 +103,22 @@ def segment_senate(segment_scores: DataFrame, key: str) -> DataFrame:
     return segment_scores.groupBy(key).agg(F.count_if(F.col("score") > 0.01).alias("yes"), F.count_if(F.col("score") < -0.02).alias("veto"), F.count("*").alias("segments"))
 
 
-def rank_average_blend(preds: DataFrame, member: str, row: str, slices: int = 1024) -> DataFrame:
-    """(row, blend): the mean of the members' centred ranks; preds: (member, row, pred).
+def rank_average_blend(preds: DataFrame, member: str, row: str, weights: dict[str, float] | None = None, z: bool = False) -> DataFrame:
+    """(row, blend): the weighted mean of the members' centred ranks, or with `z` of their z-scores; preds: (member, row, pred).
 
-    Rows fall into slices between approximate quantiles of their member's predictions (a value that very many rows share is one
-    slice): a rank is the number of rows in lower slices plus the rank in the own one.
+    All members are put in one order (member, prediction, row), by ranges of rows; a rank is the place less that of the member's first row.
+    Without weights all members count alike; members without a weight are left out.
     """
-    edges = preds.groupBy(member).agg(F.array_distinct(F.percentile_approx("pred", F.array(*[F.lit(i / slices) for i in range(1, slices)]), F.lit(4 * slices))).alias("_edges"))
-    cut_up = preds.join(F.broadcast(edges), member).withColumn("_slice", F.size(F.filter("_edges", lambda e: e < F.col("pred")))).drop("_edges")
-    counts = cut_up.groupBy(member, "_slice").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy(member).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("_before", before).withColumn("n", F.sum("_n").over(W.partitionBy(member))).drop("_n")
-    ranked = cut_up.join(F.broadcast(counts), [member, "_slice"])
-    r = F.col("_before") + F.row_number().over(W.partitionBy(member, "_slice").orderBy("pred", row)) - 1
-    return ranked.withColumn("r", r).groupBy(row).agg(F.avg(F.col("r") - (F.col("n") - 1) / 2).alias("blend"))
+    some = preds if weights is None else preds.filter(F.col(member).isin(list(weights)))
+    w = F.lit(1.0) if weights is None else F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, float(v))])[F.col(member)]
+    if z:
+        facts = some.groupBy(member).agg(F.avg("pred").alias("_m"), F.stddev_pop("pred").alias("_s"))
+        value = (F.col("pred") - F.col("_m")) / (F.col("_s") + 1e-12)
+    else:
+        some = placed(some.select(member, row, "pred"), [member, "pred", row], "_r")
+        facts = some.groupBy(member).agg(F.min("_r").alias("_m"), F.count("*").alias("_s"))
+        value = F.col("_r") - F.col("_m") - (F.col("_s") - 1) / 2
+    return some.join(F.broadcast(facts), member).groupBy(row).agg((F.sum(value * w) / F.sum(w)).alias("blend"))
 
 
 def governor(c: DataFrame) -> DataFrame:

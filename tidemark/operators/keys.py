@@ -2,32 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantiles import exact_quantiles
 
-def row_index(df: DataFrame, *order: str) -> DataFrame:
-    """Adds `row_idx` (0-based position by `order`, which must be unique) and `n_rows`.
 
-    Rows are range-partitioned and sorted inside partitions; a position is the offset of the partition (a running sum
+def shared_root(spark: SparkSession) -> str:
+    """The checkpoint folder, which every executor and the driver can reach; a temporary one only in local mode, where the session names none."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty() and not sc.getConf().get("spark.checkpoint.dir", None):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a shared folder")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+    return sc.getConf().get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written once to the checkpoint folder: what follows does not compute them again."""
+    shared_root(df.sparkSession)
+    return df.checkpoint()
+
+
+def placed(df: DataFrame, order: list[str], name: str, total: str | None = None) -> DataFrame:
+    """Adds `name`, the 0-based place of a row by `order` (which must be unique), and the number of rows as `total`.
+
+    Rows are range-partitioned and sorted inside partitions; a place is the offset of the partition (a running sum
     over as many rows as there are partitions) plus the place inside it.
     """
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty() and not spark.sparkContext.getConf().get("spark.checkpoint.dir", None):
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("on a cluster, spark.checkpoint.dir must name a shared folder")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
     # Written once: the place of a row must not depend on how often its partition is computed.
-    dealt = dealt.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    dealt = written(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
     parts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.withColumn("_before", before).withColumn("n_rows", F.sum("_n").over(W.partitionBy(F.lit(1)))).drop("_n")
+    parts = parts.withColumn("_before", before).withColumn("_all", F.sum("_n").over(W.partitionBy(F.lit(1)))).drop("_n")
     out = dealt.join(F.broadcast(parts), "_part")
-    return out.withColumn("row_idx", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_at", "_before")
+    if total:
+        out = out.withColumn(total, F.col("_all"))
+    return out.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_at", "_before", "_all")
+
+
+def row_index(df: DataFrame, *order: str) -> DataFrame:
+    """Adds `row_idx` (0-based position by `order`, which must be unique) and `n_rows`."""
+    return placed(df, list(order), "row_idx", "n_rows")
+
+
+def running_sum(df: DataFrame, order: str, amount: str, name: str) -> DataFrame:
+    """Adds `name`: the sum of `amount` over the rows before, by the unique column `order`; by ranges, like places."""
+    dealt = written(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    parts = dealt.groupBy("_part").agg(F.sum(amount).alias("_sum"))
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    inside = F.coalesce(F.sum(amount).over(W.partitionBy("_part").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return dealt.join(F.broadcast(parts), "_part").withColumn(name, F.col("_before") + inside).drop("_part", "_before")
 
 
 def segment_of(n_segments: int, row: str = "row_idx", n: str = "n_rows") -> Column:
@@ -112,8 +141,7 @@ def lagged(df: DataFrame, columns: list[str], h: int = 1, suffix: str = "_lag")
 
 def bands(df: DataFrame, column: str, shares: tuple[float, ...] = (1 / 3, 2 / 3), name: str = "band") -> DataFrame:
     """The number of quantile edges below the value (an edge itself belongs to the lower band)."""
-    edges = df.agg(F.percentile(column, F.array(*[F.lit(s) for s in shares]))).first()[0] or []
-    found = F.array(*[F.lit(float(e)) for e in edges]).cast("array<double>")
+    found = F.array(*[F.lit(e) for e in exact_quantiles(df, column, list(shares)) if e == e]).cast("array<double>")
     return df.withColumn(name, F.size(F.filter(found, lambda e: e < F.col(column))))
 
 

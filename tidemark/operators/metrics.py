@@ -7,36 +7,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import neg_rmse, pearson
+from tidemark.operators.keys import placed, running_sum
+from tidemark.operators.quantiles import exact_quantiles
 
 
-def position_rank(df: DataFrame, column: str, tie: str, name: str, slices: int = 64) -> DataFrame:
-    """Adds `name`: the 0-based rank by (column, tie) without a window over all rows.
-
-    Rows fall into slices between approximate quantiles of the column; a rank is the number of rows in lower slices plus
-    the rank inside the own slice.
-    """
-    edges = df.stat.approxQuantile(column, [i / slices for i in range(1, slices)], 0.002)
-    cuts = F.array(*map(F.lit, sorted(set(edges)))).cast("array<double>")
-    rows = df.withColumn("_slice", F.size(F.filter(cuts, lambda e: e < F.col(column))))
-    counts = rows.groupBy("_slice").agg(F.count("*").alias("_n"))
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    rows = rows.join(F.broadcast(counts), "_slice")
-    inside = F.row_number().over(W.partitionBy("_slice").orderBy(column, tie)) - 1
-    return rows.withColumn(name, F.col("_before") + inside).drop("_slice", "_before")
+def position_rank(df: DataFrame, column: str, tie: str, name: str) -> DataFrame:
+    """Adds `name`: the 0-based rank by (column, tie), which together are unique; ranges of rows, never a window over all."""
+    return placed(df, [column, tie], name)
 
 
 def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
     """Adds `name`: the 1-based rank by the column, equal values at the mean of their places.
 
-    Distinct values are counted first, so the running sum goes over as many rows as there are values.
+    Distinct values are counted first, and their counts summed up in order.
     """
-    values = df.groupBy(column).agg(F.count("*").alias("n"))
-    values = position_rank(values, column, column, "_r").withColumn("_s", F.floor(F.col("_r") / 4096))
-    blocks = values.groupBy("_s").agg(F.sum("n").alias("_bn"))
-    blocks = blocks.withColumn("_ahead", F.coalesce(F.sum("_bn").over(W.orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_bn")
-    inside = F.coalesce(F.sum("n").over(W.partitionBy("_s").orderBy(column).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    values = values.join(F.broadcast(blocks), "_s").withColumn(name, F.col("_ahead") + inside + (F.col("n") + 1) / 2)
-    return df.join(values.select(column, name), column)
+    values = running_sum(df.groupBy(column).agg(F.count("*").alias("_n")), column, "_n", "_ahead")
+    return df.join(values.select(column, (F.col("_ahead") + (F.col("_n") + 1) / 2).alias(name)), column)
 
 
 def _rank_sums(label, rank) -> list:
@@ -52,8 +38,8 @@ def auc_rank(df: DataFrame, score: str, label: str, tie: str) -> DataFrame:
 
 def gini(df: DataFrame, score: str, y: str) -> DataFrame:
     """(gini): 2 AUC - 1 with tied scores shared; a target of more than two values is cut above its median."""
-    middle = df.agg(F.percentile(y, 0.5).alias("m"), F.count_distinct(y).alias("d")).first()
-    label = (F.col(y) > middle["m"]).cast("int") if middle["d"] > 2 else F.col(y).cast("int")
+    many = df.select(y).filter(F.col(y).isNotNull()).distinct().limit(3).count() > 2
+    label = (F.col(y) > exact_quantiles(df, y, [0.5])[0]).cast("int") if many else F.col(y).cast("int")
     r = average_rank(df.withColumn("_label", label), score, "_rank")
     r = r.agg(*_rank_sums(F.col("_label"), F.col("_rank")))
     auc = F.try_divide(F.col("s") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p")))

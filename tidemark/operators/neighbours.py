@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from tidemark.functions import pearson
 from tidemark.operators.arrow import arrow_map, matrix
 from tidemark.operators.bayes import inner_valid
+from tidemark.operators.keys import written
 from tidemark.operators.moments import moments
 
 #: Bytes of a block of the bank.
@@ -76,7 +77,7 @@ def nearest(rows: DataFrame, bank: DataFrame, features: list[str], y: str, k: in
 
         out = arrow_map(out, meet, schema)
         if at + size < count:
-            out = out.checkpoint()
+            out = written(out)
     return out
 
 

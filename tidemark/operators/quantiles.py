@@ -30,41 +30,43 @@ def cut_at(span: tuple, edges: list[float]) -> list[tuple[float, float]]:
 
 
 def exact_quantiles(df: DataFrame, column: str, shares: list[float], held: int = HELD) -> list[float]:
-    """Linear quantiles of the known values of a column; NaN for none. Two or a few passes, for all shares together."""
-    x = F.col(column).cast("double")
-    known = df.select(x.alias("x")).filter("x is not null and not isnan(x)")
-    n = known.count()
-    if not n:
-        return [math.nan] * len(shares)
-    ranks = sorted({r for s in shares for r in (math.floor(s * (n - 1)), math.ceil(s * (n - 1)))})
-    # rank -> (low, high, how many lie below low, how many lie inside)
-    spans = {r: (-math.inf, math.inf, 0, n) for r in ranks}
-    found: dict[int, float] = {}
-    while len(found) < len(ranks):
-        open_ = {r: b for r, b in spans.items() if r not in found}
-        wide = sorted({b for b in open_.values() if b[3] > held})
+    """Linear quantiles of the known values of a column; NaN for none."""
+    return exact_quantiles_of(df, {column: shares}, held)[column]
+
+
+def exact_quantiles_of(df: DataFrame, wanted: dict[str, list[float]], held: int = HELD) -> dict[str, list[float]]:
+    """The same for several columns: two or a few passes for all of them together."""
+    value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in wanted}
+    counts = df.agg(*[F.count(v).alias(f"n{i}") for i, v in enumerate(value.values())]).first()
+    n = {c: counts[f"n{i}"] for i, c in enumerate(value)}
+    # (column, rank) -> (column, low, high, how many lie below low, how many lie inside)
+    spans = {(c, r): (c, -math.inf, math.inf, 0, n[c]) for c, shares in wanted.items() if n[c] for s in shares for r in (math.floor(s * (n[c] - 1)), math.ceil(s * (n[c] - 1)))}
+    found: dict[tuple[str, int], float] = {}
+    inside = lambda c, low, high: F.when(value[c].between(low, high), value[c])
+    while len(found) < len(spans):
+        open_ = {k: b for k, b in spans.items() if k not in found}
+        wide = sorted({b for b in open_.values() if b[4] > held})
         if wide:
-            inside = {b: F.when(F.col("x").between(b[0], b[1]), F.col("x")) for b in wide}
-            asked = {b: sorted({min(1.0, max(0.0, (r - b[2]) / b[3] + e / ACCURACY)) for r, o in open_.items() if o == b for e in (-2, 2)}) for b in wide}
-            edges = known.agg(*[F.percentile_approx(inside[b], F.array(*[F.lit(s) for s in asked[b]]), ACCURACY).alias(f"e{i}") for i, b in enumerate(wide)]).first()
-            parts = [(b, low, high) for b, own in zip(wide, edges) for low, high in cut_at(b, sorted(set(own)))]
-            sizes = known.agg(*[F.count_if(F.col("x").between(low, high)).alias(f"n{i}") for i, (_, low, high) in enumerate(parts)]).first()
-            before = {b: b[2] for b in wide}
+            asked = {b: sorted({min(1.0, max(0.0, (k[1] - b[3]) / b[4] + e / ACCURACY)) for k, o in open_.items() if o == b for e in (-2, 2)}) for b in wide}
+            edges = df.agg(*[F.percentile_approx(inside(*b[:3]), F.array(*[F.lit(s) for s in asked[b]]), ACCURACY).alias(f"e{i}") for i, b in enumerate(wide)]).first()
+            parts = [(b, low, high) for b, own in zip(wide, edges) for low, high in cut_at(b[1:3], sorted(set(own)))]
+            sizes = df.agg(*[F.count(inside(b[0], low, high)).alias(f"n{i}") for i, (b, low, high) in enumerate(parts)]).first()
+            before = {b: b[3] for b in wide}
             for (b, low, high), size in zip(parts, sizes):
-                for r, own in open_.items():
-                    if own == b and before[b] <= r < before[b] + size:
-                        spans[r] = (low, high, before[b], size)
+                for k, own in open_.items():
+                    if own == b and before[b] <= k[1] < before[b] + size:
+                        spans[k] = (b[0], low, high, before[b], size)
                         if low == high:
-                            found[r] = low
+                            found[k] = low
                 before[b] += size
         else:
-            spots = sorted({(b[0], b[1]) for b in open_.values()})
-            lists = known.agg(*[F.sort_array(F.collect_list(F.when(F.col("x").between(a, c), F.col("x")))).alias(f"v{i}") for i, (a, c) in enumerate(spots)]).first()
-            for r, b in open_.items():
-                found[r] = lists[spots.index((b[0], b[1]))][r - b[2]]
-    out = []
-    for s in shares:
-        at = s * (n - 1)
-        low, high = found[math.floor(at)], found[math.ceil(at)]
-        out.append(low if low == high or at == math.floor(at) else low + (high - low) * (at - math.floor(at)))
-    return out
+            spots = sorted({b[:3] for b in open_.values()})
+            lists = df.agg(*[F.sort_array(F.collect_list(inside(*spot))).alias(f"v{i}") for i, spot in enumerate(spots)]).first()
+            for k, b in open_.items():
+                found[k] = lists[spots.index(b[:3])][k[1] - b[3]]
+    return {c: [between_ranks(found, c, s * (n[c] - 1)) if n[c] else math.nan for s in shares] for c, shares in wanted.items()}
+
+
+def between_ranks(found: dict[tuple[str, int], float], column: str, at: float) -> float:
+    low, high = found[column, math.floor(at)], found[column, math.ceil(at)]
+    return low if low == high or at == math.floor(at) else low + (high - low) * (at - math.floor(at))

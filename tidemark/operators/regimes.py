@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import pearson
 from tidemark.operators.moments import moments
-from tidemark.operators.quantiles import exact_quantiles
+from tidemark.operators.quantiles import exact_quantiles, exact_quantiles_of
 
 # The market columns that pressure is read from.
 PRESSURE = ("mkt_order_imbalance", "mkt_flow_imbalance", "mkt_kyle_lambda", "mkt_depth_depletion", "mkt_stress", "mkt_signed_volume", "mkt_buy_ratio", "mkt_vol_per_trade")
@@ -159,8 +159,9 @@ def beacon_fit(df: DataFrame, space: TerrainMap, key: str, *, rare: float = 0.06
         places, kinds = [list(top)], ["novelty"]
     out = Beacons(space, np.array(places[:most], float), kinds[:most])
     d = space.distances(out.places)
-    far = df.select(*[F.sqrt(d[i]).alias(f"d{i}") for i in range(len(out.kinds))])
-    out.reach = [max(1e-3, exact_quantiles(far, f"d{i}", [0.5])[0] * bandwidth) for i in range(len(out.kinds))]
+    far = {f"d{i}": F.sqrt(d[i]) for i in range(len(out.kinds))}
+    middle = exact_quantiles_of(df.select(*[v.alias(n) for n, v in far.items()]), {n: [0.5] for n in far})
+    out.reach = [max(1e-3, middle[n][0] * bandwidth) for n in far]
     return out
 
 

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.keys import lagged, row_index
+from tidemark.operators.quantiles import exact_quantiles
 
 
 def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float]:
     """Exact linear quantiles of one column; a handful of numbers."""
-    return [float(x) for x in df.agg(F.percentile(column, F.array(*[F.lit(float(s)) for s in shares]))).first()[0]]
+    return exact_quantiles(df, column, [float(s) for s in shares])
 
 
 def moments(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:

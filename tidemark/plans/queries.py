@@ -663,9 +663,12 @@ def entry(spark: SparkSession, d: str) -> DataFrame:
 
 
 from tidemark.plans import more as _more  # noqa: E402, F401  (registers the further queries)
+from tidemark.plans import artifacts as _artifacts  # noqa: E402, F401
 from tidemark.plans import assessment as _assessment  # noqa: E402, F401
+from tidemark.plans import carves as _carves  # noqa: E402, F401
 from tidemark.plans import evidence as _evidence  # noqa: E402, F401
 from tidemark.plans import landscape as _landscape  # noqa: E402, F401
 from tidemark.plans import ledger as _ledger  # noqa: E402, F401
 from tidemark.plans import profiles as _profiles  # noqa: E402, F401
 from tidemark.plans import structure as _structure  # noqa: E402, F401
+from tidemark.plans import trials as _trials  # noqa: E402, F401

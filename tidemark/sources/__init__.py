@@ -54,3 +54,25 @@ def union_reports(*tables: DataFrame) -> DataFrame:
     for t in tables[1:]:
         out = out.unionByName(t, allowMissingColumns=True)
     return out
+
+
+def write_report(path: str, *tables: DataFrame) -> DataFrame:
+    """Writes the tables as one (see union_reports) and gives it back; columns that CSV cannot hold are written as JSON."""
+    out = union_reports(*tables)
+    flat = {f.name: F.to_json(f.name) for f in out.schema if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))}
+    out.withColumns(flat).write.mode("overwrite").csv(path, header=True)
+    return out
+
+
+def map_to_sample(pred: DataFrame, sample: DataFrame, target: str) -> DataFrame:
+    """The sample with the predictions of its rows, by place, in column `target`; raises if there are not as many predictions as rows, or a place has none.
+
+    pred: (row_idx, pred); sample: row_idx and its own columns.
+    """
+    n, rows = pred.count(), sample.count()
+    if n != rows:
+        raise ValueError(f"prediction length mismatch: {n} predictions, {rows} rows")
+    out = sample.drop(target).join(pred.select("row_idx", F.col("pred").alias(target)), "row_idx")
+    if out.count() != rows:
+        raise ValueError("prediction places do not match those of the sample")
+    return out
