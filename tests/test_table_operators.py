@@ -197,6 +197,29 @@ def test_linear_models_against_numpy(spark):
         h = 1 / 300 + np.einsum("ij,jk,ik->i", z, inv, z)
         r = t - z @ (inv @ (z.T @ t))
         assert abs(got - np.sqrt(np.mean((r / (1 - h)) ** 2))) < 1e-6
-    assert li.greedy_ols(df, ["a", "b", "c"], "y")[:2] == ["a", "b"]
-    ladder = li.residual_ladder(df, ["a", "b", "c"], "y", 400)
-    assert np.allclose([ladder[f] for f in "abc"], np.linalg.lstsq(z, t, rcond=None)[0], atol=0.02)
+    cut = df.selectExpr("*", "cast(row_idx div 50 as int) as seg")
+    kept, intercept = li.greedy_ols(cut, ["a", "b", "c"], "y")
+    assert list(kept)[:2] == ["a", "b"]
+    some = [list("abc").index(f) for f in kept]
+    full = np.linalg.lstsq(np.column_stack([x[:, some], np.ones(300)]), y, rcond=None)[0]
+    assert np.allclose([*kept.values(), intercept], full, atol=1e-6)
+    zs, train = (x - x.mean(0)) / (x.std(0) + 1e-6), np.arange(300) < 250
+
+    def climb(rows, rounds):
+        beta, pred = np.zeros(3), np.full(rows.sum(), y[rows].mean())
+        for _ in range(rounds):
+            left = zs[rows].T @ (y[rows] - pred)
+            j = int(np.argmax(np.abs(left)))
+            step = 0.2 * left[j] / (zs[rows][:, j] @ zs[rows][:, j] + 1e-9)
+            beta[j] += step
+            pred = pred + step * zs[rows][:, j]
+        return beta
+
+    scores = [np.corrcoef(zs[~train] @ climb(train, k), y[~train])[0, 1] for k in range(1, 81)]
+    best, top = 0, -1e9
+    for k, s in enumerate(scores, 1):
+        best, top = (k, s) if s > top else (best, top)
+        if k - best > 15:
+            break
+    weights, rounds = li.residual_ladder(cut, ["a", "b", "c"], "y")
+    assert rounds == best and np.allclose([weights[f] for f in "abc"], climb(np.ones(300, bool), best), atol=1e-6)

@@ -126,8 +126,7 @@ def fit_relay(df: DataFrame, features: list[str], y: str, taus: tuple[float, ...
 
     def about(m: Moments) -> tuple[np.ndarray, np.ndarray]:
         """(Z'Z, Z'y): columns about their overall mean and in deviations, y as it is."""
-        centre = np.append(mean, 0.0) - every.shift
-        x = m.x - np.outer(m.s, centre) - np.outer(centre, m.s) + m.n * np.outer(centre, centre)
+        x = m.about(np.append(mean, 0.0))
         return x[:k, :k] / np.outer(sd, sd), x[:k, k] / sd
 
     def chain(parts: dict[int, Moments], tau: float) -> np.ndarray:

@@ -98,28 +98,75 @@ def recency_ridge(df: DataFrame, features: list[str], y: str, shares: tuple[floa
     return scored_on(df.filter(F.col("seg") == last["seg"]), features, y, fits, "share")
 
 
-def residual_ladder(df: DataFrame, features: list[str], y: str, rounds: int, shrink: float = 0.2) -> dict[str, float]:
-    """Forward stagewise steps: each round moves the feature most in line with the residual by a share of its own fit. From one Gram table."""
-    _, _, _, c, cy, _ = standardised(df, features, y)
-    beta = np.zeros(len(features))
+def inner_cells(df: DataFrame, features: list[str], y: str) -> tuple[Moments | None, Moments | None]:
+    """(training, validation) moments of the inner split; one scan. df has row_idx and seg."""
+    sizes = {r["seg"]: r["n"] for r in df.groupBy("seg").agg(F.count("*").alias("n")).collect()}
+    last = max(sizes)
+    valid = F.col("seg") == last if 50 <= sizes[last] <= 0.6 * sum(sizes.values()) else F.col("row_idx") % 4 == 0
+    cells = collect_moments(df.withColumn("_valid", valid), [*features, y], ("_valid",))
+    return cells.get((False,)), cells.get((True,))
+
+
+def ladder_steps(m: Moments, mean: np.ndarray, sd: np.ndarray, rounds: int, shrink: float) -> list[np.ndarray]:
+    """Weights after 0, 1, ... rounds of forward stagewise steps on the rows of m: each moves the column most in line with the residual by a share of its own fit.
+
+    Columns are standardised by the means and deviations given, the last one is the target, about its own mean.
+    """
+    k = len(mean)
+    x = m.about(np.append(mean, m.mean[-1]))
+    zz, zy = x[:k, :k] / np.outer(sd, sd), x[:k, k] / sd
+    beta, out = np.zeros(k), [np.zeros(k)]
     for _ in range(rounds):
-        left = cy - c @ beta
+        left = zy - zz @ beta
         j = int(np.argmax(np.abs(left)))
-        beta[j] += shrink * left[j] / (c[j, j] + 1e-12)
-    return dict(zip(features, beta.tolist()))
-
-
-def greedy_ols(df: DataFrame, features: list[str], y: str, gain: float = 1e-4) -> list[str]:
-    """Features that, in order of |corr|, raise the multiple correlation by more than `gain`: all from one Gram table."""
-    _, _, _, c, cy, _ = standardised(df, features, y)
-    kept, best = [], 0.0
-    for i in sorted(range(len(features)), key=lambda i: (-abs(cy[i]), i)):
-        some = [*kept, i]
-        fit = np.linalg.lstsq(c[np.ix_(some, some)], cy[some], rcond=None)[0]
-        now = float(np.sqrt(max(0.0, fit @ cy[some])))
-        if now - best > gain:
-            kept, best = some, now
-    return [features[i] for i in kept]
+        beta = beta.copy()
+        beta[j] += shrink * left[j] / (zz[j, j] + 1e-9)
+        out.append(beta)
+    return out
+
+
+def residual_ladder(df: DataFrame, features: list[str], y: str, rounds: int = 80, shrink: float = 0.2, patience: int = 15) -> tuple[dict[str, float], int]:
+    """(weights of the standardised columns, rounds): stagewise steps, as many as serve the inner validation rows best.
+
+    The climb on the training rows stops `patience` rounds after its best correlation on the others; then as many rounds are made on all
+    rows. With fewer than 50 validation rows it is half of `rounds`.
+    """
+    train, valid = inner_cells(df, features, y)
+    whole = train if valid is None else valid if train is None else train + valid
+    mean, sd = whole.mean[:-1], whole.sd[:-1] + 1e-6
+    best, score = rounds // 2, -1e9
+    if train is not None and valid is not None and valid.n >= 50:
+        target = np.append(np.zeros(len(features)), 1.0)
+        best = 0
+        for at, beta in enumerate(ladder_steps(train, mean, sd, rounds, shrink)[1:], 1):
+            now = valid.linear_corr(np.append(beta / sd, 0.0), target)
+            if now > score:
+                best, score = at, now
+            if at - best > patience:
+                break
+        best = best or rounds // 2
+    beta = ladder_steps(whole, mean, sd, best, shrink)[best]
+    return dict(zip(features, beta.tolist())), best
+
+
+def greedy_ols(df: DataFrame, features: list[str], y: str, gain: float = 1e-4, most: int = 48, fallback: int = 30) -> tuple[dict[str, float], float]:
+    """(coefficients, intercept) of least squares on the features that, in the order given, each raise the correlation on the inner validation rows by more than `gain`.
+
+    The first `most` are tried. Without 50 validation rows the first `fallback` are taken. The final fit is on all rows.
+    """
+    train, valid = inner_cells(df, features, y)
+    kept, best = [], -1e9
+    if train is not None and valid is not None and valid.n >= 50:
+        for f in features[:most]:
+            some = [*kept, f]
+            beta, _ = ridge_of(train.pick([*some, y]), y, 1e-9)
+            now = valid.pick([*some, y]).linear_corr(np.append(beta, 0.0), np.append(np.zeros(len(some)), 1.0))
+            if now > best + gain:
+                kept, best = some, now
+    kept = kept or features[:fallback]
+    whole = train if valid is None else valid if train is None else train + valid
+    beta, intercept = ridge_of(whole.pick([*kept, y]), y, 1e-9)
+    return dict(zip(kept, beta.tolist())), intercept
 
 
 def nnls_of(c: np.ndarray, cy: np.ndarray) -> np.ndarray:

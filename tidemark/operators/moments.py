@@ -59,6 +59,11 @@ class Moments:
         good = sd > 1e-12
         return np.where(np.outer(good, good), self.cov / np.where(np.outer(good, good), np.outer(sd, sd), 1), 0.0)
 
+    def about(self, centre: np.ndarray) -> np.ndarray:
+        """Sums of products of the columns about a point."""
+        c = centre - self.shift
+        return self.x - np.outer(self.s, c) - np.outer(c, self.s) + self.n * np.outer(c, c)
+
     def pick(self, columns: list[str]) -> Moments:
         at = [self.columns.index(c) for c in columns]
         return Moments(list(columns), self.shift[at], self.n, self.s[at], self.x[np.ix_(at, at)])

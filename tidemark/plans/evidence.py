@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import bayes as by
+from tidemark.operators import linear as li
 from tidemark.operators import neighbours as nb
 from tidemark.operators import robust as rb
+from tidemark.operators.models import linear
 from tidemark.plans.queries import CTE, FEATURES, events, query, raw_events, rounded
 
 TWO = ["f_k", "f_mod"]
@@ -77,6 +79,64 @@ select event_id, round(wu * u + wv * v, 6) + 0.0 as pred from z, fits join best
 """)(lambda spark, d: rounded((e := events(spark, d)).select("event_id", by.fit_relay(e, TWO, "y").predict().alias("pred")), "pred"))
 
 
+_INNER = """
+, mm as (select avg(f_k) as ma, stddev_pop(f_k) + 1e-6 as sa, avg(f_mod) as mb, stddev_pop(f_mod) + 1e-6 as sb, max(seg) as last, count(*) as n from e)
+, lastn as (select count(*) as k from e, mm where seg = last)
+, z as materialized (
+  select event_id, f_k, f_mod, y, (f_k - ma) / sa as u, (f_mod - mb) / sb as v, case when k >= 50 and k <= 0.6 * n then seg = last else row_idx % 4 = 0 end as valid
+  from e, mm, lastn
+)
+"""
+
+
+def _climb(name: str, rows: str) -> str:
+    """SQL: {name} (k, a, b), weights of u and v after k rounds of stagewise steps on the rows."""
+    return f"""
+, {name}_s as (select sum(u * u) as uu, sum(u * v) as uv, sum(v * v) as vv, sum(u * (y - my)) as uy, sum(v * (y - my)) as vy from {rows} r, (select avg(y) as my from {rows} q))
+, {name} as (
+  select 0 as k, 0.0::double as a, 0.0::double as b
+  union all
+  select k + 1, a + case when abs(lu) >= abs(lv) then 0.2 * lu / (uu + 1e-9) else 0 end, b + case when abs(lu) >= abs(lv) then 0 else 0.2 * lv / (vv + 1e-9) end
+  from (select *, uy - uu * a - uv * b as lu, vy - uv * a - vv * b as lv from {name}, {name}_s where k < 80)
+)
+"""
+
+
+@query("fit_residual_ladder", "with recursive " + CTE[5:] + _INNER + ", tr as (select * from z where not valid)" + _climb("c", "tr") + _climb("w", "z") + """
+, tries as (select k, corr(a * u + b * v, y) as score from c, z where valid and k > 0 group by k)
+, look as (
+  select 0 as k, 0 as best, -1e9::double as top
+  union all
+  select tries.k, case when score > top then tries.k else best end, greatest(score, top) from look join tries on tries.k = look.k + 1 where look.k - best <= 15 or look.k = 0
+)
+, pick as (select arg_max(best, k) as rounds from look)
+select rounds::int as rounds, unnest(['f_k', 'f_mod']) as feature, round(unnest([a, b]), 6) + 0.0 as weight from w join pick on w.k = rounds
+""")
+def _(spark, d):
+    weights, rounds = li.residual_ladder(events(spark, d), TWO, "y")
+    return rounded(spark.createDataFrame([(rounds, f, w) for f, w in weights.items()], "rounds int, feature string, weight double"), "weight")
+
+
+def _ols(name: str, rows: str) -> str:
+    """SQL: {name} (a1, b1, a2, c2, b2): least squares on f_k alone, and on f_k and f_mod, with their intercepts."""
+    return f"""
+, {name}_s as (
+  select avg(f_k) as ma, avg(f_mod) as mb, avg(y) as my, var_pop(f_k) as va, var_pop(f_mod) as vb, covar_pop(f_k, f_mod) as vab, covar_pop(f_k, y) as ca, covar_pop(f_mod, y) as cb from {rows}
+)
+, {name}_w as (select *, ca / va as a1, (ca * vb - cb * vab) / (va * vb - vab * vab) as a2, (cb * va - ca * vab) / (va * vb - vab * vab) as c2 from {name}_s)
+, {name} as (select a1, my - a1 * ma as b1, a2, c2, my - a2 * ma - c2 * mb as b2 from {name}_w)
+"""
+
+
+@query("fit_greedy_ols", CTE + _INNER + ", tr as (select * from z where not valid)" + _ols("c", "tr") + _ols("w", "z") + """
+, tries as (select corr(a1 * f_k, y) as one, corr(a2 * f_k + c2 * f_mod, y) as two from z, c where valid)
+select event_id, round(case when two > one + 1e-4 then b2 + a2 * f_k + c2 * f_mod else b1 + a1 * f_k end, 6) + 0.0 as pred from z, w, tries
+""")
+def _(spark, d):
+    e = events(spark, d)
+    return rounded(e.select("event_id", linear(*li.greedy_ols(e, TWO, "y")).alias("pred")), "pred")
+
+
 query("support_sheaf", CTE + """
 , g as (select 1 / (stddev_pop(f_k) + 1e-9) as ga, 1 / (stddev_pop(f_mod) + 1e-9) as gb from e)
 , t as (

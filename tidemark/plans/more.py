@@ -190,19 +190,6 @@ def _(spark, d):
     return rounded(li.recency_ridge(events(spark, d), ["f_k", "f_mod"], "y"), "score")
 
 
-@query("fit_residual_ladder", "with recursive " + CTE[5:] + _TWO + """, w as (select 0 as k, 0.0::double as a, 0.0::double as b union all select k + 1, a + case when abs(ca - a - r * b) >= abs(cb - r * a - b) then 0.2 * (ca - a - r * b) else 0 end, b + case when abs(ca - a - r * b) >= abs(cb - r * a - b) then 0 else 0.2 * (cb - r * a - b) end from w, s where k < 12)
-select unnest(['f_k', 'f_mod']) as feature, round(unnest([a, b]), 6) + 0.0 as beta from w where k = 12""")
-def _(spark, d):
-    beta = li.residual_ladder(raw_events(spark, d), ["f_k", "f_mod"], "y", 12)
-    return rounded(spark.createDataFrame(list(beta.items()), "feature string, beta double"), "beta")
-
-
-@query("fit_greedy_ols", CTE + _TWO + ", t as (select *, abs(ca) as x, abs(cb) as z, sqrt((ca * ca - 2 * r * ca * cb + cb * cb) / (1 - r * r)) as both_r from s), o as (select case when x >= z then 'f_k' else 'f_mod' end as feature, 1 as place from t where greatest(x, z) > 1e-4 union all select case when x >= z then 'f_mod' else 'f_k' end, 2 from t where greatest(x, z) > 1e-4 and both_r - greatest(x, z) > 1e-4) select * from o")
-def _(spark, d):
-    kept = li.greedy_ols(raw_events(spark, d), ["f_k", "f_mod"], "y")
-    return spark.createDataFrame([(f, i + 1) for i, f in enumerate(kept)], "feature string, place int")
-
-
 @query("nnls_weights", CTE + ", s as (select covar_pop(p, f_user) / stddev_pop(p) / stddev_pop(f_user) as r, covar_pop(p, y) / stddev_pop(p) as ca, covar_pop(f_user, y) / stddev_pop(f_user) as cb from e), u as (select *, (ca - r * cb) / (1 - r * r) as a, (cb - r * ca) / (1 - r * r) as b from s), w as (select case when a > 0 and b > 0 then a when ca >= cb then greatest(ca, 0) else 0 end as a, case when a > 0 and b > 0 then b when cb > ca then greatest(cb, 0) else 0 end as b from u), x as (select unnest(['p', 'f_user']) as member, unnest([a, b]) / (a + b) as weight from w) select member, round(weight, 6) as weight from x where weight > 1e-9")
 def _(spark, d):
     w = li.nnls_weights(events(spark, d), ["p", "f_user"], "y")
