@@ -137,8 +137,10 @@ def mix_documents(
     # Of the line's tokens up to a stop, those of this document: whole rounds, and its part of the last one.
     own = lambda x: F.when(F.col("source_size") > 0, F.floor(x / F.col("source_size")) * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), x % F.col("source_size") - F.col("start")))).otherwise(F.lit(0)).cast("long")
     upto = F.transform("stops", lambda x: F.struct(x["shard"].alias("shard"), own(x["upto"]).alias("n")))
-    shards = F.transform(upto, lambda x, i: F.struct(x["shard"].alias("shard"), (x["n"] - F.when(i > 0, F.get(upto, i - 1)["n"]).otherwise(F.lit(0))).alias("words")))
-    shards = F.coalesce(F.filter(shards, lambda x: x["words"] > 0), F.array().cast("array<struct<shard:int,words:bigint>>"))
+    # `u` is bound once: an expression that stands in its own lambda is worked out again for every element.
+    between = lambda u: F.transform(u, lambda x, i: F.struct(x["shard"].alias("shard"), (x["n"] - F.when(i > 0, F.get(u, i - 1)["n"]).otherwise(F.lit(0))).alias("words")))
+    shards = F.transform(F.array(upto), lambda u: F.filter(between(u), lambda x: x["words"] > 0))[0]
+    shards = F.coalesce(shards, F.array().cast("array<struct<shard:int,words:bigint>>"))
     return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "start", shards.alias("shards"), *keys)
 
 
