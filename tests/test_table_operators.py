@@ -51,7 +51,7 @@ def test_ema_is_the_recurrence(rows, span):
 def test_ranks(spark):
     values = [3.0, 1.0, 2.0, 2.0, 2.0, 9.0, 1.0]
     df = spark.createDataFrame(list(enumerate(values)), "id long, v double")
-    place = {r["id"]: r["r"] for r in metrics.position_rank(df, "v", "id", "r", slices=3).collect()}
+    place = {r["id"]: r["r"] for r in metrics.position_rank(df, "v", "id", "r").collect()}
     order = sorted(range(7), key=lambda i: (values[i], i))
     assert [place[i] for i in order] == list(range(7))
     mean = {r["id"]: r["r"] for r in metrics.average_rank(df, "v", "r").collect()}
