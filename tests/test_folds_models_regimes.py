@@ -316,3 +316,26 @@ def test_columns_of_gauges(spark):
     assert out.select("pressure").distinct().count() == 1  # the one market column is constant
     assert rg.gauge_state(df, ["X1"], 4, "g").groupBy("g").count().count() == 4
     assert np.isclose(moments(df, ["mkt_stress"]).sd[0], 0)
+
+
+def test_forward_gate_and_shrinking_equal_rows(table):
+    df, x, y, seg, _ = table
+    x = x - np.array([0, 1e4, 3, 0])
+    df = df.withColumn("b", F.col("b") - 1e4).withColumn("c", F.col("c") - 3).filter("seg >= 6")
+    late = seg >= 6
+    c = ax.fold_cells(df, COLS, "y", n_segments=SEGS, n_folds=5, embargo=0)
+    w = {"a": 0.7, "b": 0.2, "d": 0.1}
+    at = [COLS.index(m) for m in w]
+    score = lambda lam: corr(x[late][:, at] @ ((1 - lam) * np.array(list(w.values())) + lam / 3), y[late])
+    share, drawn = ax.shrink_to_equal(c.cells, c, w)
+    assert share == max((0.0, 0.25, 0.5, 0.75, 1.0), key=score) and np.allclose(list(drawn.values()), (1 - share) * np.array(list(w.values())) + share / 3)
+    assert ax.shrink_to_equal(c.cells, c, {"a": 1.0}) == (0.0, {"a": 1.0})
+    blend = {m: 0.25 for m in COLS}
+    fires, point, won = ax.forward_gate(c.cells, c, "b", blend)
+    wins = 0
+    for d in np.random.default_rng([13, 6]).integers(0, 6, (200, 6)) + 6:
+        rows = np.concatenate([np.flatnonzero(seg == s) for s in d])
+        wins += corr(x[rows, 1], y[rows]) > corr(x[rows].mean(1), y[rows]) + 0.005
+    assert point == (corr(x[late, 1], y[late]) > corr(x[late].mean(1), y[late]) + 0.005)
+    assert (won, fires) == ((wins / 200, wins / 200 >= 0.8) if point else (None, False))
+    assert ax.forward_gate(c.cells, c, "d", blend)[0] is False  # a weak member never replaces the blend

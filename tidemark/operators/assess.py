@@ -265,3 +265,39 @@ def nested_assessment(df: DataFrame, members: list[str], y: str, *, n_segments:
     top = best_first(c.cells, c)
     states = by_state(c.cells, c, top)[1] if winner == "regime" else {}
     return Assessment(outer, honest, winner, weights_for(winner, c.cells, c, top) or {top[0]: 1.0}, states)
+
+
+# --- last steps before shipping, on rows that no weight was chosen on
+
+
+def forward_gate(cells: dict[tuple, Moments], c: Cells, single: str, blend: dict[str, float], *, margin: float = 0.005, confidence: float = 0.8, times: int = 200, seed: int = 13) -> tuple[bool, bool, float | None]:
+    """(fires, fires as a point value, share of resamples won): whether a single member is to be shipped instead of the blend.
+
+    It must beat the blend by `margin` over all rows of the cells and, where these have four segments or more, in `confidence` of the
+    resamples of whole segments. Resamples are weighted sums of the segments' moments.
+    """
+    one, many = {single: 1.0}, blend
+    m = total(cells.values())
+    point = m is not None and corr_of(m, c, one) > corr_of(m, c, many) + margin
+    segs = sorted({k[0] for k in cells})
+    if not point or len(segs) < 4:
+        return point, point, None
+    own = [total(v for k, v in cells.items() if k[0] == s) for s in segs]
+    wins = 0
+    for drawn in np.random.default_rng([seed, len(segs)]).integers(0, len(segs), (times, len(segs))):
+        part = total(own[i] for i in drawn)
+        wins += corr_of(part, c, one) > corr_of(part, c, many) + margin
+    return wins / times >= confidence, True, wins / times
+
+
+def shrink_to_equal(cells: dict[tuple, Moments], c: Cells, weights: dict[str, float], shares: tuple[float, ...] = (0.25, 0.5, 0.75, 1.0)) -> tuple[float, dict[str, float]]:
+    """(share, weights): the weights drawn to equal ones by the share that correlates best on the cells; 0 unless one gains more than 1e-6, or for a single member."""
+    m = total(cells.values())
+    best, share = corr_of(m, c, weights), 0.0
+    drawn = lambda lam: {n: (1 - lam) * v + lam / len(weights) for n, v in weights.items()}
+    if m is not None and len(weights) > 1:
+        for lam in shares:
+            now = corr_of(m, c, drawn(lam))
+            if now > best + 1e-6:
+                best, share = now, lam
+    return share, drawn(share)

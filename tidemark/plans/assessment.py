@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import assess as ax
 from tidemark.operators import keys as ke
 from tidemark.operators.moments import total
@@ -128,3 +130,35 @@ def _(spark, d):
     c = _all_rows(spark, d)
     m = total(c.cells.values())
     return _weights(spark, ax.hill_climb(MEMBERS, lambda w: ax.corr_of(m, c, w)))
+
+
+def _forward(spark, d):
+    """(cells of the first three quarters, those of the rest, their members): two scans over the rows of either part."""
+    e = events(spark, d)
+    late = F.col("row_idx") >= F.floor(F.col("n_rows") * 0.75)
+    part = lambda rows: ax.fold_cells(rows, MEMBERS, "y", n_segments=12, n_folds=5, embargo=0)
+    return part(e.filter(~late)), part(e.filter(late))
+
+
+@query("shrink_to_equal", CTE + """
+, r as (select 0 as f, * from e where row_idx < floor(n_rows * 0.75))
+""" + blend_ctes("r") + """
+, late as (select * from e where row_idx >= floor(n_rows * 0.75))
+, tried as (
+  select lam, corr(((1 - lam) * wk + lam / 3) * f_k + ((1 - lam) * wm + lam / 3) * f_mod + ((1 - lam) * wp + lam / 3) * p, y) as c
+  from late, base, (select unnest([0.0, 0.25, 0.5, 0.75, 1.0]::double[]) as lam) group by lam
+)
+, best as (select arg_max(lam, (round(c, 6), -lam)) as lam from tried)
+select best.lam as share, unnest(['f_k', 'f_mod', 'p']) as member, round(unnest([(1 - best.lam) * wk + best.lam / 3, (1 - best.lam) * wm + best.lam / 3, (1 - best.lam) * wp + best.lam / 3]), 6) + 0.0 as weight from best, base
+""")
+def _(spark, d):
+    before, after = _forward(spark, d)
+    share, w = ax.shrink_to_equal(after.cells, after, ax.weights_for("corr_weighted", before.cells, before, MEMBERS))
+    return rounded(spark.createDataFrame([(share, m, v) for m, v in w.items()], "share double, member string, weight double"), "weight")
+
+
+@query("forward_gate")
+def _(spark, d):
+    before, after = _forward(spark, d)
+    fires, point, won = ax.forward_gate(after.cells, after, ax.best_first(before.cells, before)[0], {m: 1 / 3 for m in MEMBERS})
+    return spark.createDataFrame([(fires, point, won)], "fires boolean, point boolean, won double")
