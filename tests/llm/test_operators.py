@@ -569,6 +569,32 @@ def test_rings_around_pivots(spark):
     assert jaccard.ring_pairs(one, docs, 5, 80, 4, 3).count() == 0
 
 
+def test_sketches_never_refuse_a_link():
+    rng = np.random.default_rng(1)
+    some = lambda n: rng.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64)
+    sets = [np.unique(some(n)) for n in (1, 3, 100, 120, 300, 330, 1000, 2000, 5000, 20000)]
+    sets += [np.unique(np.concatenate([s[len(s) // 10 :], some(len(s) // 9)])) for s in sets]
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    apart = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(a, b)])
+    sketches = jaccard.Sketches([jaccard.sketch(s) for s in sets] + [None])
+    assert sketches.may_link(a, b, apart).all()
+    n = np.array([len(s) for s in sets])
+    strangers = (a % 10 != b % 10) & (np.maximum(n[a], n[b]) <= 2000) & (np.minimum(n[a], n[b]) >= 100) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
+    assert strangers.sum() >= 8
+    assert not sketches.may_link(a, b, (n[a] + n[b]) // 9)[strangers].any()
+    assert sketches.may_link(np.array([0]), np.array([len(sets)]), np.array([0])).all()  # an unknown set is never refused
+
+
+def test_sketches_spare_pairs(spark):
+    """Documents that share a passage and little else meet in its regions, and are refused before a pair is written."""
+    passage = prose(77, 60, 5000)
+    docs = spark.createDataFrame([(i, f"{prose(200 + i, 80, 9000)} {passage} {prose(300 + i, 60, 9000)}") for i in range(60)], "doc_id long, text string")
+    rows = jaccard.shared_regions(jaccard.region_rows(docs, jaccard.NONE, 5, 80)).withColumn("comp", F.col("doc_id"))
+    known = rows.join(jaccard.signatures(docs, 5).select("doc_id", "sketch"), "doc_id")
+    assert jaccard.candidate_pairs(rows.withColumn("sketch", F.lit(None).cast("binary")), docs, 5, 80).count() > 100
+    assert jaccard.candidate_pairs(known, docs, 5, 80).count() == 0
+
+
 def test_components_that_do_not_close(spark):
     with pytest.raises(RuntimeError):
         graph.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), max_rounds=1)

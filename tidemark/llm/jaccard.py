@@ -9,7 +9,8 @@ divide it. What lies within reach of anything at all is therefore found by shing
    group of near copies of any size becomes one component by one comparison a document;
 3. every set goes to the regions of its first shingles in one order of all (very common shingles last, then by hash): a
    partner within r shares one of the first n - ceil((1 - r) * n) + 1, so any linked pair meets in a region. Documents
-   of different components are compared there, if sizes and places in the order allow a link;
+   of different components are compared there, if sizes, places in the order and sketches (the parities of the shingles in
+   128 to 2048 places: unlike parities are a lower bound of the shingles in one set only) allow a link;
 4. a region with more than `REGION` rows is divided by a pivot document, taken from its largest component. Exact distances to
    the pivot are computed; by the triangle inequality linked documents differ by r at most in them, so a document goes to the ring of
    width r that it lies in and is replicated to the next. Rings that hold one component (those around the pivot's
@@ -48,6 +49,8 @@ FREQUENT = 1 << 18
 #: Rows of a region, or part of one, that are joined in one piece.
 REGION = 4096
 BANDS = 3
+#: Bits of a set's sketch at most.
+SKETCH_BITS = 2048
 #: Bits of the filter that spares texts of documents without a candidate pair the shuffle (1 MB).
 FILTER_BITS = 23
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -135,19 +138,57 @@ def set_hash(s: np.ndarray) -> tuple[int, int, int]:
     return len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int(mixed(s * _M[6]).sum(dtype=np.uint64).view(np.int64))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """The parity of a set's shingles in each of 128 to 2048 places, about one place a shingle; half of it folded on the other is a sketch of half the size."""
+    bits = min(SKETCH_BITS, max(128, 1 << (len(s) - 1).bit_length()))
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+class Sketches:
+    """The sketches of some rows (None: unknown), as one matrix for each size that is asked for."""
+
+    def __init__(self, held: list[bytes | None]):
+        self.held, self.sizes, self.made = held, np.array([len(h or b"") // 8 for h in held], np.int64), {}
+
+    def folded(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place of every row in the matrix, matrix): all sketches of `words` words or more, folded to that size."""
+        if words not in self.made:
+            spot, rows = np.full(len(self.held), -1), []
+            for size in np.unique(self.sizes[self.sizes >= words]).tolist():
+                at = np.flatnonzero(self.sizes == size)
+                x = np.frombuffer(b"".join(self.held[i] for i in at.tolist()), np.uint64).reshape(len(at), size)
+                while x.shape[1] > words:
+                    half = x.shape[1] // 2
+                    x = x[:, :half] ^ x[:, half:]
+                spot[at] = np.arange(len(at)) + sum(map(len, rows))
+                rows.append(x)
+            self.made[words] = spot, np.concatenate(rows)
+        return self.made[words]
+
+    def may_link(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Whether the sets of rows a and b may differ in at most `most` shingles: places of unlike parity hold one such shingle at least."""
+        out = np.ones(len(a), bool)
+        least = np.minimum(self.sizes[a], self.sizes[b])
+        for words in np.unique(least[least > 0]).tolist():
+            spot, x = self.folded(words)
+            for at in np.array_split(np.flatnonzero(least == words), 1 + int((least == words).sum()) * words // 1_000_000):
+                out[at] = np.bitwise_count(x[spot[a[at]]] ^ x[spot[b[at]]]).sum(axis=1, dtype=np.int64) <= most[at]
+        return out
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, s1, s2, bands) of every document: set size, 128-bit set hash, min-hashes."""
+    """(doc_id, n, s1, s2, bands, sketch) of every document: set size, 128-bit set hash, min-hashes, parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in set_batches(batches, k):
             rows = []
             for s in sets:
                 bands = [int((s * m).min().view(np.int64)) for m in _M[3 : 3 + BANDS]] if len(s) else []
-                rows.append((*set_hash(s), bands))
+                rows.append((*set_hash(s), bands, sketch(s) if len(s) else None))
             cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.list_(pa.int64()))], ["doc_id", "n", "s1", "s2", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.binary())], ["doc_id", "n", "s1", "s2", "bands", "sketch"])
 
-    return arrow_map(docs, run, "doc_id long, n long, s1 long, s2 long, bands array<long>")
+    return arrow_map(docs, run, "doc_id long, n long, s1 long, s2 long, bands array<long>, sketch binary")
 
 
 #: (sorted hashes, order class of each): shingles that come behind all others, by class.
@@ -266,8 +307,8 @@ def shared_regions(rows: DataFrame) -> DataFrame:
     return arrow_map(rows.repartition("g").sortWithinPartitions("g"), run, "g long, doc_id long, n int, pos int")
 
 
-def pairs_of(key: np.ndarray, t: dict[str, np.ndarray], percent: int) -> np.ndarray:
-    """Pairs (smaller id, larger id) within equal keys that may be similar: other component, sizes and places within bounds.
+def pairs_of(key: np.ndarray, t: dict[str, np.ndarray], percent: int, sketches: Sketches) -> np.ndarray:
+    """Pairs (smaller id, larger id) within equal keys that may be similar: other component, sizes, places and sketches within bounds.
 
     key: sorted. Rows are compared with the next row, the next but one and so on, for all regions at once.
     """
@@ -284,6 +325,7 @@ def pairs_of(key: np.ndarray, t: dict[str, np.ndarray], percent: int) -> np.ndar
         need = -(-percent * (small + large) // (100 + percent))
         may = np.minimum(n[a] - pos[a], n[b] - pos[b])  # this shingle, if it is the first common one, and all behind it
         ok = (comp[a] != comp[b]) & (may >= need) & (100 * small >= percent * large) & ((block[a] == 0) | (block[a] != block[b]))
+        ok[ok] = sketches.may_link(a[ok], b[ok], (small + large - 2 * need)[ok])
         if ok.any():
             x, y = doc[a[ok]], doc[b[ok]]
             out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
@@ -293,12 +335,12 @@ def pairs_of(key: np.ndarray, t: dict[str, np.ndarray], percent: int) -> np.ndar
 def region_pairs(rows: DataFrame, percent: int, limit: int | None = REGION) -> tuple[DataFrame, DataFrame]:
     """(pairs, rows left): the candidate pairs of regions of at most `limit` rows, and the rows of the larger ones.
 
-    rows: (g, part, doc_id, n, pos, comp, block); a region is (g, part). With block 1 and 2 in a part, only pairs across count.
+    rows: (g, part, doc_id, n, pos, comp, block, sketch); a region is (g, part). With block 1 and 2 in a part, only pairs across count.
     """
-    schema = "a long, b long, g long, part long, doc_id long, n int, pos int, comp long, block int"
+    schema = "a long, b long, g long, part long, doc_id long, n int, pos int, comp long, block int, sketch binary"
 
     names = [f.split()[0] for f in schema.split(", ")]
-    kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64(), pa.int32()]
+    kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def leave(b: pa.Table) -> list[pa.RecordBatch]:
@@ -317,7 +359,10 @@ def region_pairs(rows: DataFrame, percent: int, limit: int | None = REGION) -> t
             if large.any():
                 yield from leave(t.filter(pa.array(large[key])))
             now = (mixed_up & ~large)[key]
-            p = pairs_of(key[now], {c: t.column(c).to_numpy()[now] for c in ("doc_id", "n", "pos", "comp", "block")}, percent)
+            if not now.any():
+                return
+            held = t.column("sketch").filter(pa.array(now)).to_pylist()
+            p = pairs_of(key[now], {c: t.column(c).to_numpy()[now] for c in ("doc_id", "n", "pos", "comp", "block")}, percent, Sketches(held))
             if len(p):
                 yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])] + [pa.nulls(len(p), k) for k in kinds[2:]], names)
 
@@ -346,7 +391,7 @@ def region_pairs(rows: DataFrame, percent: int, limit: int | None = REGION) -> t
         if held:
             yield from joined(pa.Table.from_batches(held))
 
-    cols = ["g", "part", "doc_id", "n", "pos", "comp", "block"]
+    cols = ["g", "part", "doc_id", "n", "pos", "comp", "block", "sketch"]
     got = cut(arrow_map(rows.select(*cols).repartition("g", "part").sortWithinPartitions("g", "part"), run, schema))
     return got.filter("a is not null").select("a", "b").distinct(), got.filter("a is null").select(*cols)
 
@@ -387,13 +432,15 @@ def block_pairs(rows: DataFrame, percent: int, region: int) -> DataFrame:
     with_main = rest(lambda o: spot("main", o, F.col("own"), F.lit(2)), "n_top")
     among = rest(lambda o: spot("rest", F.least("own", o), F.greatest("own", o), side(o)), "n_rest")
     dealt = dealt.withColumn("spots", F.when(F.col("main"), with_rest).otherwise(F.concat(with_main, among)))
-    dealt = dealt.select("g", "doc_id", "n", "pos", "comp", F.explode("spots").alias("s")).select("g", F.col("s.to").alias("part"), "doc_id", "n", "pos", "comp", F.col("s.block").alias("block"))
+    dealt = dealt.select("g", "doc_id", "n", "pos", "comp", "sketch", F.explode("spots").alias("s"))
+    dealt = dealt.select("g", F.col("s.to").alias("part"), "doc_id", "n", "pos", "comp", F.col("s.block").alias("block"), "sketch")
     return pairs.unionByName(region_pairs(dealt, percent, None)[0])
 
 
 def ring_pairs(rows: DataFrame, docs: DataFrame, k: int, percent: int, region: int, levels: int) -> DataFrame:
-    """The candidate pairs of large regions (g, doc_id, n, pos, comp), by pivot documents and rings around them."""
-    plain = lambda df: df.select("g", F.lit(0).cast("long").alias("part"), "doc_id", "n", "pos", "comp", F.lit(0).alias("block"))
+    """The candidate pairs of large regions (g, doc_id, n, pos, comp, sketch if known), by pivot documents and rings around them."""
+    rows = rows if "sketch" in rows.columns else rows.withColumn("sketch", F.lit(None).cast("binary"))
+    plain = lambda df: df.select("g", F.lit(0).cast("long").alias("part"), "doc_id", "n", "pos", "comp", F.lit(0).alias("block"), "sketch")
     found, left = rows.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0), rows
     for _ in range(levels):
         live = cut(mixed_regions(left.distinct(), ["g"]))
@@ -408,25 +455,25 @@ def ring_pairs(rows: DataFrame, docs: DataFrame, k: int, percent: int, region: i
         # Rings 0 to 3 are home; ring 4 meets ring 3 only, and goes on with the rest.
         home = F.col("near") <= 3
         rings = placed.withColumn("part", F.explode(F.sequence("near", F.col("far") + 1))).filter(F.col("part") <= 4)
-        rings = rings.select("g", F.col("part").cast("long").alias("part"), "doc_id", "n", "pos", "comp", F.when(F.col("part") < 4, 0).when(home, 1).otherwise(2).alias("block"))
+        rings = rings.select("g", F.col("part").cast("long").alias("part"), "doc_id", "n", "pos", "comp", F.when(F.col("part") < 4, 0).when(home, 1).otherwise(2).alias("block"), "sketch")
         pairs, large = region_pairs(rings, percent, region)
         found = found.unionByName(pairs)
         if not large.isEmpty():
             found = found.unionByName(block_pairs(cut(mixed_regions(large.distinct(), ["g", "part"])), percent, region))
-        left = placed.filter("far >= 4").select("g", "doc_id", "n", "pos", "comp")
+        left = placed.filter("far >= 4").select("g", "doc_id", "n", "pos", "comp", "sketch")
         pairs, large = region_pairs(plain(left), percent, region)
-        found, left = found.unionByName(pairs), large.select("g", "doc_id", "n", "pos", "comp")
+        found, left = found.unionByName(pairs), large.select("g", "doc_id", "n", "pos", "comp", "sketch")
     live = cut(mixed_regions(left.distinct(), ["g"]))
     return found if live.isEmpty() else found.unionByName(block_pairs(plain(live), percent, region))
 
 
 def candidate_pairs(rows: DataFrame, docs: DataFrame, k: int, percent: int, region: int = REGION, levels: int = LEVELS) -> DataFrame:
-    """All candidate pairs of (g, doc_id, n, pos, comp), regions divided until each part fits a task."""
-    plain = rows.select("g", F.lit(0).cast("long").alias("part"), "doc_id", "n", "pos", "comp", F.lit(0).alias("block"))
+    """All candidate pairs of (g, doc_id, n, pos, comp, sketch), regions divided until each part fits a task."""
+    plain = rows.select("g", F.lit(0).cast("long").alias("part"), "doc_id", "n", "pos", "comp", F.lit(0).alias("block"), "sketch")
     pairs, large = region_pairs(plain, percent, region)
     if large.isEmpty():
         return pairs
-    large = large.select("g", "doc_id", "n", "pos", "comp")
+    large = large.select("g", "doc_id", "n", "pos", "comp", "sketch")
     more = ring_pairs(large, docs, k, percent, region, levels)
     return pairs.unionByName(more).distinct()
 
@@ -523,6 +570,9 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, percent: int = 80, region
     copies = equal.select(F.col("b").alias("doc_id")).distinct().join(several, "doc_id", "left_anti").withColumn("copy", F.lit(True))
     known = comps.select(F.col("node").alias("doc_id"), F.col("component").alias("comp")).join(copies, "doc_id", "left")
     rows = shared_regions(region_rows(docs, common, k, percent))
+    # An id with several rows has several sets: no sketch speaks for all of them.
+    sketches = some.groupBy("doc_id").agg(F.when(F.count("*") == 1, F.first("sketch")).alias("sketch"))
+    known = sketches.join(known, "doc_id", "left")
     rows = rows.join(known, "doc_id", "left").filter("copy is null").withColumn("comp", F.coalesce("comp", "doc_id"))
     pairs = cut(candidate_pairs(rows, docs, k, percent, region, levels))
     far = cut(verified(pairs, docs, k, percent))
