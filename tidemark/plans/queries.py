@@ -673,3 +673,4 @@ from tidemark.plans import profiles as _profiles  # noqa: E402, F401
 from tidemark.plans import structure as _structure  # noqa: E402, F401
 from tidemark.plans import trials as _trials  # noqa: E402, F401
 from tidemark.plans import spread as _spread  # noqa: E402, F401
+from tidemark.plans import experts as _experts  # noqa: E402, F401
