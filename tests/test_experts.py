@@ -88,6 +88,31 @@ def test_steepness(df, rows):
     assert predicted(df, ex.fit_steepness(df, COLS, "y")) == pytest.approx(want, abs=1e-6)
 
 
+def test_terrace(df, rows):
+    x, _, y = rows
+    s = ridge(x, y)[1](x)
+    codes = np.searchsorted(np.unique(np.quantile(s, np.arange(1, 8) / 8)), s, side="right")
+    level = np.array([(y[codes == c].sum() + 25 * y.mean()) / ((codes == c).sum() + 25) for c in range(8)])[codes]
+    want = 0.5 * (s - s.mean()) / s.std() + 0.5 * (level - level.mean()) / level.std()
+    assert predicted(df, ex.fit_terrace(df, COLS, "y", steps=8)) == pytest.approx(want, abs=1e-5)
+
+
+def test_rapids(df, rows):
+    x, _, y = rows
+    first = ridge(x, y)[1](x)
+    left = y - first
+    at = np.abs(left) >= np.quantile(np.abs(left), 0.7)
+    second = ridge(x[at], left[at], ex.EXPERT_ALPHAS)[1](x)
+    seg = np.arange(N) // 100
+    scores = [np.corrcoef((first + w * second)[seg == 8], y[seg == 8])[0, 1] for w in (0, 0.25, 0.5)]
+    w = (0, 0.25, 0.5)[int(np.argmax(scores))]
+    cut = df.withColumn("seg", F.floor(F.col("row_idx") / 100).cast("int"))
+    got = ex.fit_rapids(cut, COLS, "y")
+    assert got.facts["weight"] == w and predicted(df, got.predict()) == pytest.approx(first + w * second, abs=1e-6)
+    calm = ex.fit_rapids(cut, COLS, "y", least=400)  # too few rough rows: one stage
+    assert calm.facts["weight"] == 0 and predicted(df, calm.predict()) == pytest.approx(first, abs=1e-6)
+
+
 def test_row_court_and_trails(df, rows):
     x, t, y = rows
     p = (x[:, 0] - x[:, 0].mean()) / x[:, 0].std()
@@ -109,7 +134,8 @@ def test_row_court_and_trails(df, rows):
 def test_empty_tables_and_nulls(spark, df):
     none = spark.createDataFrame([], SCHEMA)
     assert ex.fit_bagged_ridge(none, COLS, "y") is None and ex.ridges(none, COLS, ["y"]) == ({}, None)
-    assert none.select(ex.fit_steepness(none, COLS, "y"), ex.fit_terrain_router(none, COLS, "y", "t")).count() == 0
+    assert ex.fit_rapids(none.withColumn("seg", F.lit(1)), COLS, "y") is None
+    assert none.select(ex.fit_terrace(none, COLS, "y"), ex.fit_steepness(none, COLS, "y"), ex.fit_terrain_router(none, COLS, "y", "t")).count() == 0
     assert ex.row_court(none, "id", "a", "y", ["t"]).count() == 0 and ex.terrain_trails(none, ["a"], "y", "t", 1).count() == 0
     holes = df.withColumn("a", F.when(F.col("id") % 7 > 0, F.col("a"))).withColumn("y", F.when(F.col("id") % 11 > 0, F.col("y")))
     fit = ex.ridges(holes, COLS, ["y"], "t", least=100)[0]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import pearson
 from tidemark.operators.arrow import arrow_map, matrix
-from tidemark.operators.bayes import Fitted
+from tidemark.operators.bayes import Fitted, inner_valid
 from tidemark.operators.moments import Moments, collect_moments, total
 from tidemark.operators.quantiles import exact_quantiles
 
@@ -123,6 +123,51 @@ def fit_steepness(df: DataFrame, features: list[str], y: str, swing: float = 0.5
     return way.predict() * (1 + swing * F.least(F.greatest(s, F.lit(-most)), F.lit(most)))
 
 
+def fit_terrace(df: DataFrame, features: list[str], y: str, steps: int = 16, shrink: float = 25.0) -> Column:
+    """Half a ridge's z-scored prediction, half the z-scored mean target of its quantile step, drawn to the mean by `shrink` rows; an edge belongs to the upper step."""
+    fits, every = ridges(df, features, [y])
+    if not fits:
+        return F.lit(None).cast("double")
+    fit, m = fits[None, y], every.pick(features)
+    score, sd = fit.predict(), float(np.sqrt(max(fit.beta @ m.cov @ fit.beta, 0))) + 1e-9
+    scored = df.select(score.alias("_score"), F.col(y).cast("double").alias("_y")).filter("_score is not null and _y is not null")
+    edges = sorted({e for e in exact_quantiles(scored, "_score", [i / steps for i in range(1, steps)]) if not np.isnan(e)})
+    step = lambda c: F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= c)) if edges else F.lit(0)
+    found = {r["step"]: (r["n"], r["s"]) for r in scored.groupBy(step(F.col("_score")).alias("step")).agg(F.count("*").alias("n"), F.sum("_y").alias("s")).collect()}  # `steps` rows at most
+    rows = sum(n for n, _ in found.values())
+    mean = sum(s for _, s in found.values()) / max(rows, 1)
+    means = np.array([(found[i][1] + shrink * mean) / (found[i][0] + shrink) if i in found else mean for i in range(len(edges) + 1)])
+    counts = np.array([found[i][0] if i in found else 0 for i in range(len(edges) + 1)]) / max(rows, 1)
+    middle = float(counts @ means)
+    spread = float(np.sqrt(counts @ (means - middle) ** 2)) + 1e-9
+    own = F.element_at(F.array(*[F.lit(float((v - middle) / spread)) for v in means]), step(score) + 1)
+    return 0.5 * (score - float(fit.beta @ m.mean + fit.intercept)) / sd + F.when(score.isNotNull(), 0.5 * own)
+
+
+def fit_rapids(df: DataFrame, features: list[str], y: str, roughest: float = 0.3, weights: tuple[float, ...] = (0.0, 0.25, 0.5), least: int = 200) -> Fitted | None:
+    """A ridge, and a second one on its residuals in the roughest rows; it enters by the weight that serves the inner validation rows best.
+
+    The weight is 0 with fewer than `least` rough rows or fewer than 50 validation rows. df has row_idx and seg. None for no rows.
+    """
+    fits, _ = ridges(df, features, [y])
+    if not fits:
+        return None
+    first = fits[None, y]
+    left = df.withColumn("_left", F.col(y) - first.predict()).withColumn("_rough", F.abs("_left"))
+    rough = left.filter(F.col("_rough") >= exact_quantiles(left, "_rough", [1 - roughest])[0])
+    second, weight = None, 0.0
+    if rough.count() >= least:
+        second = ridges(rough, features, ["_left"], alphas=EXPERT_ALPHAS)[0][None, "_left"]
+        sizes = {r["seg"]: r["n"] for r in df.groupBy("seg").agg(F.count("*").alias("n")).collect()}
+        valid = df.filter(inner_valid(df, max(sizes), sizes[max(sizes)], sum(sizes.values())))
+        got = valid.agg(F.count("*").alias("n"), *[pearson(first.predict() + w * second.predict(), y).alias(f"s{i}") for i, w in enumerate(weights)]).first()
+        if got["n"] >= 50:
+            weight = weights[max(range(len(weights)), key=lambda i: (got[f"s{i}"], -i))]
+    if not weight:
+        return Fitted(list(features), first.beta, first.intercept, {"weight": 0.0})
+    return Fitted(list(features), first.beta + weight * second.beta, first.intercept + weight * second.intercept, {"weight": weight})
+
+
 def row_court(df: DataFrame, key: str, pred: str, y: str, cell: list[str], share: float = 0.99, top: int = 200) -> DataFrame:
     """(key, studentized_resid, cell_dev, bad_data_score): the `top` rows of largest residual at or beyond its `share` quantile; ties by key.
 

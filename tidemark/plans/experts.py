@@ -45,6 +45,27 @@ query("fit_steepness", CTE + ", a as (select *, abs(y) as size, 0 as cell from e
 select event_id, round(way * (1 + 0.5 * greatest(-1.5, least(1.5, (size - m) / s))), 6) + 0.0 as pred from p, q
 """)(lambda spark, d: rounded((e := raw_events(spark, d)).select("event_id", ex.fit_steepness(e, TWO, "y").alias("pred")), "pred"))
 
+query("fit_terrace", CTE + ", a as (select *, 0 as cell from e)" + _loo("g", "a", ex.ALPHAS) + """
+, p as materialized (select event_id, y, b + wa * f_k + wb * f_mod as s from e, g)
+, q as (select list_distinct(quantile_cont(s, list_transform(generate_series(1, 15), lambda i: i / 16))) as edges, avg(s) as ms, stddev_pop(s) + 1e-9 as ss, avg(y) as my from p)
+, c as (select p.*, ms, ss, my, len(list_filter(edges, lambda x: x <= s)) as step from p, q)
+, t as (select step, (sum(y) + 25 * any_value(my)) / (count(*) + 25) as level from c group by step)
+, u as (select c.*, level from c join t using (step))
+, v as (select avg(level) as ml, stddev_pop(level) + 1e-9 as sl from u)
+select event_id, round(0.5 * (s - ms) / ss + 0.5 * (level - ml) / sl, 6) + 0.0 as pred from u, v
+""")(lambda spark, d: rounded((e := raw_events(spark, d)).select("event_id", ex.fit_terrace(e, TWO, "y").alias("pred")), "pred"))
+
+query("fit_rapids", CTE + ", a as (select *, 0 as cell from e)" + _loo("g", "a", ex.ALPHAS) + """
+, p as materialized (select e.*, b + wa * f_k + wb * f_mod as way, y - (b + wa * f_k + wb * f_mod) as res from e, g)
+, r as (select *, 0 as cell from p where abs(res) >= (select quantile_cont(abs(res), 0.7) from p))
+""" + _loo("h", "r", ex.EXPERT_ALPHAS, y="res", least=200) + """
+, k as (select max(seg) as last, count(*) as n, count(*) filter (where seg = (select max(seg) from e)) as on_last from e)
+, valid as (select p.*, h.b + h.wa * f_k + h.wb * f_mod as more from p, h, k where case when on_last >= 50 and on_last <= 0.6 * k.n then seg = last else row_idx % 4 = 0 end)
+, tried as (select w, corr(way + w * more, y) as score from valid, (select unnest([0.0, 0.25, 0.5]::double[]) as w) group by w having count(*) >= 50)
+, best as (select coalesce(arg_max(w, (score, -w)), 0) as w from tried)
+select event_id, round(way + w * coalesce(h.b + h.wa * f_k + h.wb * f_mod, 0), 6) + 0.0 as pred from p cross join best left join h on true
+""")(lambda spark, d: rounded((e := events(spark, d)).select("event_id", ex.fit_rapids(e, TWO, "y").predict().alias("pred")), "pred"))
+
 query("row_court", CTE + """
 , g as (select avg(p) as mp, stddev_pop(p) + 1e-12 as sp, covar_pop(p, y) as c, stddev_pop(y) + 1e-9 as sy from e)
 , lo as (select event_id, y, seg, state, y - (p - mp) / sp * (c / sp) as left_over, sy from e, g)
