@@ -43,7 +43,7 @@ query("fit_steepness", CTE + ", a as (select *, abs(y) as size, 0 as cell from e
 , p as (select event_id, g.b + g.wa * f_k + g.wb * f_mod as way, h.b + h.wa * f_k + h.wb * f_mod as size from e, g, h)
 , q as (select avg(size) as m, stddev_pop(size) + 1e-9 as s from p)
 select event_id, round(way * (1 + 0.5 * greatest(-1.5, least(1.5, (size - m) / s))), 4) + 0.0 as pred from p, q
-""")(lambda spark, d: rounded((e := raw_events(spark, d)).select("event_id", ex.fit_steepness(e, TWO, "y").alias("pred", to=4)), "pred", to=4))
+""")(lambda spark, d: rounded((e := raw_events(spark, d)).select("event_id", ex.fit_steepness(e, TWO, "y").alias("pred")), "pred", to=4))
 
 query("fit_terrace", CTE + ", a as (select *, 0 as cell from e)" + _loo("g", "a", ex.ALPHAS) + """
 , p as materialized (select event_id, y, b + wa * f_k + wb * f_mod as s from e, g)
