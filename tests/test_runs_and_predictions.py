@@ -58,3 +58,23 @@ def test_predictions_by_place(spark):
         so.map_to_sample(pred.limit(1), sample, "target")
     with pytest.raises(ValueError):
         so.map_to_sample(pred.selectExpr("row_idx + 5 as row_idx", "pred"), sample, "target")
+
+
+def test_files_without_a_byte_hidden_ones_and_an_output_that_is_a_file(spark, root, tmp_path):
+    out = tmp_path / "my fleet" / "b" / "output"
+    (out / "trap_map.csv").touch()
+    (out / "_SUCCESS").write_text("x")
+    (tmp_path / "my fleet" / "d").mkdir()
+    (tmp_path / "my fleet" / "d" / "output").write_text("no folder")
+    got = {(r["run"], r["file"]): r["bytes"] for r in ru.scan_runs(spark, root).collect()}
+    assert got["b", "trap_map.csv"] == 0 and ("b", "_SUCCESS") not in got and {r for r, _ in got} == {"a", "b"} and len(got) == 10
+    assert ru.artifact_rows(spark, root, "trap_map.csv").count() == 0
+
+
+def test_a_store_that_only_spark_can_open(spark, root, tmp_path):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.fleet.link./in", f"file://{tmp_path}")
+    scores = spark.createDataFrame([("a", 0.08, 0.06)], "run string, private double, public double")
+    columns = sorted(ru.run_registry(spark, root, scores).columns)
+    a, b = (sorted(map(tuple, ru.run_registry(spark, r, scores).select(columns).collect())) for r in (root, "viewfs://fleet/in/my fleet"))
+    assert a == b and len(a) == 2
+    assert ru.artifact_rows(spark, "viewfs://fleet/in/my fleet", "many_worlds_cv.csv").count() == 3
