@@ -60,6 +60,23 @@ def test_predictions_by_place(spark):
         so.map_to_sample(pred.selectExpr("row_idx + 5 as row_idx", "pred"), sample, "target")
 
 
+def test_runs_are_dealt_to_tasks_and_read_once(spark, tmp_path, monkeypatch):
+    from tidemark.plans.artifacts import fleet
+
+    monkeypatch.setattr(ru, "EACH", 2, raising=False)
+    spark.range(1, 10).selectExpr("id as s_suppkey", "id % 4 as s_nationkey", "id / 2 as s_acctbal").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.sparkContext.setJobGroup("fleet", "fleet")
+    folder = fleet(spark, str(tmp_path))
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(i) for j in tracker.getJobIdsForGroup("fleet") for i in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(s.numTasks for s in stages if s) == 5  # nine runs, two a task
+    assert ru.scan_runs(spark, folder).rdd.getNumPartitions() == 5
+    out = ru.run_registry(spark, folder, spark.createDataFrame([], "run string, private double, public double"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan text" not in plan and "FileScan binaryFile" not in plan and out.count() == 8
+
+
 def test_files_without_a_byte_hidden_ones_and_an_output_that_is_a_file(spark, root, tmp_path):
     out = tmp_path / "my fleet" / "b" / "output"
     (out / "trap_map.csv").touch()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import sources as so
-from tidemark.operators.arrow import arrow_map
+from tidemark.operators.arrow import arrow_map, dealt
 from tidemark.operators.keys import row_index, shared_root
 from tidemark.plans.queries import query, rounded, table
 from tidemark.sources import runs as ru
@@ -25,13 +25,13 @@ def fresh_folder(spark: SparkSession, what: str) -> str:
 def fleet(spark: SparkSession, d: str) -> str:
     """A folder with a run per supplier: a summary (absent or broken for some), a contract, a log, lessons and a kernel."""
     folder = fresh_folder(spark, "fleet")
+    uri = ru.qualified(spark, folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
+        store, root = ru.store_at(uri)
         for b in batches:
             for key, nation, balance in zip(*(c.to_pylist() for c in b.columns)):
-                store, top = fs.FileSystem.from_uri(f"{folder}/s{key}".replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else f"{folder}/s{key}")
+                top = f"{root}/s{key}"
                 files = {"kernel.py": f"CFG.SEED = 1\nCFG.SEED={key}\n"} if key % 3 else {}
                 if key % 5:
                     files["output/submission_contract.json"] = json.dumps({"rows": key * 10, "pred_std": balance / 1000})
@@ -40,13 +40,15 @@ def fleet(spark: SparkSession, d: str) -> str:
                     summary = {"forward_blend_corr": balance / 10_000, "metabolism": {"elapsed_min": nation}, "forensics": {"shipped_selector": f"pick{nation}"}}
                     files["output/explorer_run_summary.json"] = json.dumps(summary) if key % 7 != 5 else '{"forward_blend_corr": 1'
                     files["output/explorer_lessons.csv"] = "key,score\n" + "".join(f"k{i},{i / 10}\n" for i in range(nation % 4))
+                if files:
+                    store.create_dir(f"{top}/output" if key % 5 else top, recursive=True)
                 for name, text in files.items():
-                    store.create_dir(f"{top}/{name}".rsplit("/", 1)[0], recursive=True)
                     with store.open_output_stream(f"{top}/{name}", compression=None) as f:
                         f.write(text.encode())
                 yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64())], ["key"])
 
-    arrow_map(table(spark, d, "supplier").select(F.col("s_suppkey").cast("long"), F.col("s_nationkey").cast("long"), F.col("s_acctbal").cast("double")), write, "key long").count()
+    suppliers = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long"), F.col("s_nationkey").cast("long"), F.col("s_acctbal").cast("double"))
+    arrow_map(dealt(suppliers, ru.EACH), write, "key long").count()
     return folder
 
 
