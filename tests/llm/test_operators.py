@@ -419,6 +419,20 @@ def test_likelihoods_of_whole_texts(spark):
                 assert got == pytest.approx([np.log(p[pieces.index(langid.START)]) + 60 * np.log(langid.UNKNOWN) for p in probs], rel=1e-9)
 
 
+def test_language_pieces_are_searched_for_all_words_at_once():
+    pieces = [*langid.pieces_at(P.path("piece_bpe_32k.model")), "\U0001d4b3y", "x\U0001d4b3"]
+    trie, prefixes = langid.Trie(pieces), langid.prefixes_of(pieces)
+    rng, known = random.Random(5), set(pieces)
+    words = [rng.choice(pieces)[: rng.randrange(1, 9)] + rng.choice(pieces + ["?", "\U0010ffff"]) for _ in range(3000)]
+    nodes = np.zeros(len(words), np.int64)
+    for k in range(1, 9):
+        some = np.array([i for i, w in enumerate(words) if len(w) >= k and nodes[i] >= 0])
+        nodes[some] = trie.step(nodes[some], np.array([ord(words[i][k - 1]) for i in some]))
+        for i in some:
+            assert (nodes[i] >= 0) == (words[i][:k] in prefixes)
+            assert nodes[i] < 0 or (pieces[trie.piece[nodes[i]]] if trie.piece[nodes[i]] >= 0 else None) == (words[i][:k] if words[i][:k] in known else None)
+
+
 def test_language_held_out(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     lang = {r["doc_id"]: r["lang"] for r in docs.collect()}

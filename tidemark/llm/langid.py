@@ -65,37 +65,86 @@ def words_of(text: str | None) -> list[str]:
     return _LETTERS.findall((text or "").lower())
 
 
+class Trie:
+    """The beginnings of pieces as numbered nodes (0: the empty one), for many searches at once."""
+
+    #: A node's number stands above the bits of a character.
+    CHAR_BITS = 21
+
+    def __init__(self, pieces: list[str]):
+        nodes = {"": 0}
+        for p in pieces:
+            for k in range(1, len(p) + 1):
+                nodes.setdefault(p[:k], len(nodes))
+        self.piece = np.full(len(nodes), -1, np.int32)  # the piece that ends at a node
+        for i, p in enumerate(pieces):
+            self.piece[nodes[p]] = i
+        bits = max(4, (4 * len(nodes)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        # Steps (node, character) -> node, in a table of hashes where the next free place is taken.
+        self.steps, self.nodes, self.probes = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32), 1
+        own = list(nodes.items())[1:]
+        keys = np.array([nodes[p[:-1]] << self.CHAR_BITS | ord(p[-1]) for p, _ in own], np.int64)
+        for key, at, (_, node) in zip(keys.tolist(), self.place(keys).tolist(), own):
+            probes = 1
+            while self.steps[at] >= 0:
+                at, probes = (at + 1) & self.mask, probes + 1
+            self.steps[at], self.nodes[at], self.probes = key, node, max(self.probes, probes)
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def step(self, nodes: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The node behind each node by its character, -1 where no piece goes on so."""
+        keys = nodes << self.CHAR_BITS | chars
+        at = self.place(keys)
+        seen = self.steps[at]
+        out = np.where(seen == keys, self.nodes[at], -1)
+        left = np.flatnonzero((seen != keys) & (seen >= 0))
+        for _ in range(1, self.probes):
+            if not len(left):
+                break
+            at[left] = (at[left] + 1) & self.mask
+            seen = self.steps[at[left]]
+            hit = seen == keys[left]
+            out[left[hit]] = self.nodes[at[left[hit]]]
+            left = left[~hit & (seen >= 0)]
+        return out
+
+
 class Segmenter:
     """Sums over all segmentations. probs: (languages, pieces)."""
 
     def __init__(self, pieces: list[str], probs: np.ndarray):
         self.index = {p: i for i, p in enumerate(pieces)}
+        self.trie = Trie(pieces)
         self.probs = np.vstack([probs.T, np.full((1, probs.shape[0]), UNKNOWN)])  # the last row: a character without a piece
-        self.prefixes, self.longest = prefixes_of(pieces), max(map(len, pieces), default=1)
+        self.longest = max(map(len, pieces), default=1)
         self.memo: dict[str, int] = {}  # the row of each word in `sums`
         self.sums = np.zeros((MEMO, probs.shape[0]))
 
     def forward(self, texts: list[str]) -> np.ndarray:
         """Log-likelihoods (texts, languages) of texts of one length: position by position, for all texts at once."""
-        n, ring, get, prefixes = len(texts[0]), self.longest + 1, self.index.get, self.prefixes
-        at = np.zeros((ring, len(texts), self.probs.shape[1]))  # the sums of this position and of those its pieces reach
+        n, ring, probs = len(texts[0]), self.longest + 1, self.probs
+        chars = np.ascontiguousarray(np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").reshape(len(texts), n).T.astype(np.int64))
+        at = np.zeros((ring, len(texts), probs.shape[1]))  # the sums of this position and of those its pieces reach
         at[0] = 1
         scale = np.zeros(at.shape[1:])
         for start in range(n):
-            hits: dict[int, tuple[list[int], list[int]]] = {}
-            for k, t in enumerate(texts):
-                for end in range(start + 1, min(n, start + self.longest) + 1):
-                    piece = t[start:end]
-                    i = get(piece)
-                    if i is not None or end == start + 1:
-                        rows, ids = hits.setdefault(end, ([], []))
-                        rows.append(k)
-                        ids.append(-1 if i is None else i)
-                    if piece not in prefixes:
-                        break
-            here = at[start % ring]
-            for end, (rows, ids) in hits.items():
-                at[end % ring, rows] += here[rows] * self.probs[ids]
+            here, rows, nodes = at[start % ring], np.arange(len(texts)), np.zeros(len(texts), np.int64)
+            for end in range(start + 1, min(n, start + self.longest) + 1):
+                nodes = self.trie.step(nodes, chars[end - 1, rows]).astype(np.int64)
+                on = nodes >= 0
+                ids = np.where(on, self.trie.piece[nodes], -1)
+                if end == start + 1:
+                    at[end % ring] += here * probs[ids]
+                else:
+                    whole = ids >= 0
+                    some = rows[whole]
+                    at[end % ring, some] += here[some] * probs[ids[whole]]
+                rows, nodes = rows[on], nodes[on]
+                if not len(rows):
+                    break
             here[:] = 0
             if start % RESCALE == RESCALE - 1:
                 most = at.max(axis=0)
@@ -119,7 +168,7 @@ class Segmenter:
     def of_texts(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Log-likelihoods by language, None where a text has no letter; words are kept, MEMO of them at most."""
         parts = [words_of(t) for t in texts]
-        words = list({w for p in parts for w in p})
+        words = list(set().union(*parts))
         fresh = [w for w in words if w not in self.memo]
         kept = [w for w in fresh if len(w) < LONG]
         if len(self.memo) + len(kept) > MEMO:
@@ -139,7 +188,7 @@ class Segmenter:
                 out.append(None)
                 continue
             rest = [place[w] for w in p if w in place] if place else []
-            total = self.sums[[self.memo[w] for w in p if w not in place] if rest else [self.memo[w] for w in p]].sum(axis=0)
+            total = self.sums[list(map(self.memo.__getitem__, p if not rest else (w for w in p if w not in place)))].sum(axis=0)
             out.append(total + got[rest].sum(axis=0) if rest else total)
         return out
 
