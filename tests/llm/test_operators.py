@@ -324,6 +324,25 @@ def test_encoders_on_rare_characters():
         assert np.frombuffer(raw, enc.kind).tolist() == b.ids
 
 
+def test_words_behind_spaces_are_encoded_together():
+    path = P.path("byte_bpe_50k.json")
+    enc, lib = tokenfile.BatchEncoder(path), library("byte_bpe_50k.json")
+    seen = []
+
+    class Counted:
+        def encode_batch_fast(self, some, **more):
+            seen.extend(some)
+            return lib.encode_batch_fast(some, **more)
+
+    enc.lib = Counted()
+    texts = [" ".join(f"w{i} été{i},\n日{i}’s {chr(0x1D4B3)}{i} <|endoftext|> \u00a0x{i} e\u0301{i}" for i in range(k, k + 300)) for k in (0, 200)] + ["a  b", " a", "a ", "a\tb c \t d", "", None, "\u2003 x"]
+    for t, raw in zip(texts, enc.encode(texts)):
+        assert np.frombuffer(raw, enc.kind).tolist() == lib.encode(t or "", add_special_tokens=False).ids
+    seen.clear()
+    enc.encode([" ".join(f"un{i} öd{i}," for i in range(300))])
+    assert len(seen) == 3  # before, one string for every distinct word
+
+
 # --- token files
 
 

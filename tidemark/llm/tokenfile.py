@@ -19,6 +19,7 @@ gives no files and no rows; very long texts are encoded whole; other columns are
 from __future__ import annotations
 
 import json
+import os
 import re
 import sys
 import uuid
@@ -39,6 +40,8 @@ from tidemark.llm.common import arrow_map, column, cut, fresh_folder, held, slic
 MEMO = 400_000
 #: Longer ones are not kept.
 KEPT = 64
+#: Words that the library gets as one string.
+JOINED = 500
 LEVELS = 48
 #: A shard row, and the columns of a manifest.
 MANIFEST = "shard int, file string, kind string, docs long, nulls long, ids long, first_id long, last_id long"
@@ -49,10 +52,12 @@ class BatchEncoder:
 
     In a text whose white space is single spaces and line ends between words, a new pre-token begins at every space and on
     both sides of every line end; its words are encoded apart. Other texts are cut to pre-tokens, by the
-    library's own character classes.
+    library's own character classes. Words behind a space go to the library many at a time, as one string: their ids begin
+    at those whose bytes begin with the space.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; the library's threads for short words cost more than the work
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -65,8 +70,10 @@ class BatchEncoder:
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.kinds = stand_ins(self.lib.pre_tokenizer)
         self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
-        # A doubled sign of white space, one at either end, or one that is neither a space nor a line end.
-        self.uneven = re.compile(r"\s\s|^\s|\s$|[^\S \n]").search
+        vocab = self.lib.get_vocab()
+        self.opens = np.zeros(1 + max(vocab.values(), default=0), bool)
+        if not any(" " in t for t in self.special):
+            self.opens[[i for t, i in vocab.items() if t.startswith("Ġ") and t not in self.special]] = True
         self.known: dict[str, bytes] = {}
         self.memo = memo
 
@@ -77,7 +84,7 @@ class BatchEncoder:
         for p in pieces:
             if p in self.special:
                 out.append(p)
-            elif not self.uneven(p):
+            elif p.split() == p.replace("\n", " ").split(" "):  # white space is a space or line end between two words each time
                 out += p.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00") if "\x00" not in p else self.pre_tokens(p)
             elif p:
                 out += self.pre_tokens(p)
@@ -95,15 +102,32 @@ class BatchEncoder:
         if len(self.known) + len(fresh) > self.memo:
             self.known = {}
         todo, known = list(fresh.difference(self.known)), self.known
-        for at in range(0, len(todo), 10_000):
-            some = todo[at : at + 10_000]
+        alone = self.learn_joined(todo)
+        for at in range(0, len(alone), 10_000):
+            some = alone[at : at + 10_000]
             known.update(zip(some, [self.raw(e.ids) for e in self.lib.encode_batch_fast(some, add_special_tokens=False)]))
         out = [b"".join(map(known.__getitem__, p)) for p in parts]
-        for w in todo:
-            if len(w) >= KEPT:
-                del known[w]
+        for w in [w for w in todo if len(w) >= KEPT]:
+            del known[w]
         return out
 
+    def learn_joined(self, todo: list[str]) -> list[str]:
+        """Takes up the words behind a space; those that have to be encoded alone are given back."""
+        spaced, alone, width = [], [], np.dtype(self.kind).itemsize
+        for w in todo:
+            (spaced if w[:1] == " " and len(w) > 1 and not w[1].isspace() else alone).append(w)
+        for at in range(0, len(spaced), 10_000):
+            groups = [spaced[k : k + JOINED] for k in range(at, min(at + 10_000, len(spaced)), JOINED)]
+            for words, e in zip(groups, self.lib.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+                ids = np.array(e.ids, self.kind)
+                firsts = np.flatnonzero(self.opens[ids])
+                if len(firsts) != len(words):  # a vocabulary without bytes
+                    alone += words
+                    continue
+                raw, cuts = ids.tobytes(), [*(firsts * width).tolist(), len(ids) * width]
+                self.known.update(zip(words, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+        return alone
+
     def raw(self, ids: list[int]) -> bytes:
         out = array("H" if self.kind == "<u2" else "I", ids)
         if sys.byteorder == "big":
