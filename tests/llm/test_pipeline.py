@@ -59,3 +59,36 @@ def test_rows_without_an_id_of_their_own(spark):
     # One source whose target is its size: every text that has words is taken once, also where ids are null or repeated.
     whole = spark.createDataFrame([(i, prose(50 + k, 16), "en", "a", 1) for k, i in enumerate([None, None, 3, 3, 4])], docs.schema)
     assert Counter(map(tuple, stages["mixing"](spark, whole, "").collect())) == Counter(map(tuple, whole.collect()))
+
+
+def test_workers_let_go_of_a_model(spark):
+    """Before, tasks without a model looked at a copy of what the worker holds, and idle workers held it for ever."""
+    import time
+
+    import pyarrow as pa
+
+    from tidemark.llm import common
+
+    def holding(batches):
+        from tidemark.llm.common import held
+
+        for b in batches:
+            held("test", lambda: "model")
+            time.sleep(0.3)
+            yield b
+
+    def looking(batches):
+        from tidemark.llm.common import _HELD
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(_HELD)] * b.num_rows, pa.int64())], ["id"])
+
+    rows = spark.range(0, 8, 1, 4)
+    found = lambda model: sum(r["id"] for r in common.arrow_map(rows, looking, "id long", model=model).collect())
+    common.arrow_map(rows, holding, "id long", model=True).collect()
+    assert found(True) > 0
+    common.arrow_map(rows, holding, "id long", model=True).collect()
+    assert found(False) == 0
+    common.arrow_map(rows, holding, "id long", model=True).collect()
+    time.sleep(common.IDLE_S + 1)
+    assert found(True) == 0

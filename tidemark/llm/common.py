@@ -6,6 +6,7 @@ import ctypes
 import gc
 import re
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -123,6 +124,34 @@ def held(key: object, build: Callable[[], object]) -> object:
     return _HELD[key]
 
 
+#: Seconds after a task's end in which another one may still find the model.
+IDLE_S = 2.0
+_IDLE: list[threading.Timer] = []
+
+
+def let_go() -> None:
+    """Drops what the worker holds. Functions that are sent to workers must call this, as they have copies of a module's variables."""
+    if _HELD:
+        _HELD.clear()
+        hand_back()
+
+
+def busy() -> None:
+    while _IDLE:
+        _IDLE.pop().cancel()
+
+
+def idle() -> None:
+    """Hands freed memory back, and the model too if no task comes soon: idle workers live on beside those of the next stage."""
+    hand_back()
+    if _HELD:
+        busy()
+        timer = threading.Timer(IDLE_S, let_go)
+        timer.daemon = True
+        _IDLE.append(timer)
+        timer.start()
+
+
 def hand_back() -> None:
     """Gives freed memory back to the system; workers live long and serve one operator after the other."""
     pa.default_memory_pool().release_unused()
@@ -154,7 +183,8 @@ def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     """mapInArrow with this package at hand on the executors, and memory handed back at a task's end.
 
     Batches are held to BATCH_BYTES by the session's own setting, which is lowered if it is larger: both sides of the
-    pipe hold a batch, and ten thousand texts of usual length are too much for that. Tasks with a `model` find what the worker holds; others make it let go of that first.
+    pipe hold a batch, and ten thousand texts of usual length are too much for that. Tasks with a `model` find what the worker holds; others make it let go of that first,
+    and so does a worker that is idle for IDLE_S seconds.
     """
     ship(df.sparkSession)
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -163,9 +193,10 @@ def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
         conf.set(key, str(BATCH_BYTES))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not model and _HELD:
-            _HELD.clear()
+        busy()
+        if not model:
+            let_go()
         yield from run(batches)
-        hand_back()
+        idle()
 
     return df.mapInArrow(task, schema)
