@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,9 @@ from tidemark.llm.charclass import stand_ins
 from tidemark.llm.common import arrow_map, column, held, sliced
 
 #: Entries of a memo's generation: bounds a worker's memory whatever the vocabulary. Words have two strings each, pre-tokens short tuples.
-MEMO, WORD_MEMO = 100_000, 40_000
+MEMO, WORD_MEMO = 200_000, 150_000
+#: Bytes of text whose words are brought together in one go.
+TOGETHER = 4 << 20
 #: Up to so many symbols, a fragment's best pair is found by looking through all.
 SHORT = 48
 #: Longer words and fragments are not kept.
@@ -190,6 +193,31 @@ class ForcedBoundaryBpe:
                 out += [e for w in self.words_of(piece) if (e := words.get(w) or entry(w))[0]]
         return out
 
+    def lowered(self, text: str) -> str | None:
+        """The text in lower case with ASCII white space between its words; None for texts that need more than that."""
+        if self.beyond_latin(text) or (self.split_special is not None and "<|" in text):
+            return None
+        low = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
+        return low if text.isascii() else low.replace("\x85", " ").replace("\xa0", " ")
+
+    def columns(self, texts: list[str | None]) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """(number of ids, the ids as text, the tokens as text) of every text: Arrow cuts the texts to words and numbers the distinct ones, whose entries are put together."""
+        low = [self.lowered(t or "") for t in texts]
+        words = pc.ascii_split_whitespace(pa.array([w or "" for w in low], pa.large_string()))
+        numbered = words.flatten().dictionary_encode()
+        entries = [self.entry(w) for w in numbered.dictionary.to_pylist()]
+        sizes, index = np.array([e[0] for e in entries], np.int64), numbered.indices.to_numpy()
+        has = sizes[index] > 0  # no id, no place in the text
+        upto = np.concatenate([[0], np.cumsum(has)])[words.offsets.to_numpy()]
+        n = np.diff(np.concatenate([[0], np.cumsum(sizes[index])])[words.offsets.to_numpy()])
+        index, upto = pa.array(index[has]), pa.array(upto, pa.int32())
+        out = [pc.binary_join(pa.ListArray.from_arrays(upto, pa.array([e[i] for e in entries], pa.large_string()).take(index)), pa.scalar(" ", pa.large_string())) for i in (1, 2)]
+        if None in low:
+            whole = [self.entries(t) if w is None else None for t, w in zip(texts, low)]
+            n = np.array([k if e is None else sum(x[0] for x in e) for k, e in zip(n.tolist(), whole)], np.int64)
+            out = [pa.array([k if e is None else " ".join([x[i] for x in e]) for k, e in zip(o.to_pylist(), whole)], pa.large_string()) for i, o in zip((1, 2), out)]
+        return n, *out
+
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for _, ids, _ in self.entries(text or "") for i in ids.split(" ")]
 
@@ -208,13 +236,10 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_at(tokenizer_path)
-        for b in sliced(batches):
-            entries = [model.entries(t or "") for t in column(b, "text")]
-            ids = [np.fromstring(" ".join([s for _, s, _ in e]), np.int32, sep=" ") for e in entries]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([" ".join(t for _, _, t in e) for e in entries], pa.string())],
-                ["doc_id", "ids", "decoded"],
-            )
+        for b in sliced(batches, 8192, TOGETHER):
+            _, ids, decoded = model.columns(column(b, "text"))
+            ids = [np.fromstring(i, np.int32, sep=" ") for i in ids.to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), decoded.cast(pa.string())], ["doc_id", "ids", "decoded"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -226,13 +251,9 @@ def bpe_digest(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, sha = model_at(tokenizer_path), hashlib.sha256
-        for b in sliced(batches):
-            n, ids, decoded = [], [], []
-            for t in column(b, "text"):
-                entries = model.entries(t or "")
-                n.append(sum(e[0] for e in entries))
-                ids.append(sha(" ".join([e[1] for e in entries]).encode()).hexdigest())
-                decoded.append(sha(" ".join([e[2] for e in entries]).encode()).hexdigest())
+        for b in sliced(batches, 8192, TOGETHER):
+            n, ids, decoded = model.columns(column(b, "text"))
+            ids, decoded = ([sha(x.as_buffer()).hexdigest() for x in c] for c in (ids, decoded))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
