@@ -652,3 +652,27 @@ def test_shards_follow_linked_groups(spark):
     rows = sharding.shard_documents(docs, n_shards=4, edges=edges, rounds=6).collect()
     check_shards(rows, texts, 4)
     assert len({r["shard"] for r in rows if r["doc_id"] < 20}) == 1
+
+
+def test_words_of_a_batch_are_counted_and_encoded_together():
+    """Each distinct word of a batch is worked on once, with the same results as text by text."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    some = ["Anble", "anble###", "erhaé,", "über", "a", "a\x00", "a\x00b", "\u4e2d\u6587", "\U0001f600x", "ß'll", "I'm", "x" * 70, "1234", "don't.", "...", "<|endoftext|>", "\xa0y", "e\u0301"]
+    texts = [rng.choice(" \n").join(rng.choice(some) for _ in range(rng.randrange(1, 60))) for _ in range(60)]
+    texts += [None, "", " ", "  two  spaces ", "\ttab\r\n", "line\n\nline", "\u2003wide\u2003", "\x1cx\x1fy"]
+    column = pa.array(texts * 3)
+    counter = tokencount.TrieCounter(*tokencount.zipf_pieces(P.path("piece_bpe_32k.model")), memo=9)
+    asked, grown = [], counter.grown
+    counter.grown = lambda words: (asked.extend(words), grown(words))[1]
+    words, tokens = counter.of_column(column)
+    assert list(zip(words.tolist(), tokens.tolist())) == counter.of_texts(texts * 3)
+    assert asked and len(asked) == len(set(asked))
+    enc, lib = tokenfile.BatchEncoder(P.path("byte_bpe_50k.json"), memo=9), library("byte_bpe_50k.json")
+    assert enc.encode_column(column) == [enc.raw(lib.encode(t or "", add_special_tokens=False).ids) for t in texts * 3]
+    own, lib = bpe.ForcedBoundaryBpe(P.path("word_bpe_49k.json")), library("word_bpe_49k.json")
+    n, ids, decoded = own.columns(texts * 3)
+    for t, k, i, d in zip(texts * 3, n.tolist(), ids.to_pylist(), decoded.to_pylist()):
+        right = lib.encode(t or "", add_special_tokens=False).ids
+        assert (k, i, d) == (len(right), " ".join(map(str, right)), lib.decode(right, skip_special_tokens=False)), t

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,6 +39,8 @@ from tidemark.llm.common import arrow_map, column, cut, fresh_folder, held, slic
 
 #: Words and pre-tokens kept before a memo starts anew.
 MEMO = 400_000
+#: Bytes of text whose words are brought together in one go.
+TOGETHER = 4 << 20
 #: Longer ones are not kept.
 KEPT = 64
 #: Words that the library gets as one string.
@@ -51,7 +54,8 @@ class BatchEncoder:
     """The tokenizers library over words: each distinct one of a batch is encoded once, and kept.
 
     In a text whose white space is single spaces and line ends between words, a new pre-token begins at every space and on
-    both sides of every line end; its words are encoded apart. Other texts are cut to pre-tokens, by the
+    both sides of every line end; its words are encoded apart, and Arrow cuts whole batches of such texts, numbers their distinct words and
+    puts the ids together. Letters and the marks behind them are pre-tokens of their own, so a word of both is put together from the two. Other texts are cut to pre-tokens, by the
     library's own character classes. Words behind a space go to the library many at a time, as one string: their ids begin
     at those whose bytes begin with the space.
     """
@@ -74,7 +78,10 @@ class BatchEncoder:
         self.opens = np.zeros(1 + max(vocab.values(), default=0), bool)
         if not any(" " in t for t in self.special):
             self.opens[[i for t, i in vocab.items() if t.startswith("Ġ") and t not in self.special]] = True
+        self.odd = "[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\\x00]|[ \n][ \n]|^[ \n]|[ \n]\\z" + "".join("|" + re.escape(s) for s in self.special)
+        self.marked = re.compile("( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([-.,;:!?#*$%&|<>()\"]+)").fullmatch
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.memo = memo
 
     def parts(self, text: str) -> list[str]:
@@ -98,20 +105,61 @@ class BatchEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of every text, as raw bytes."""
         parts = [self.parts(t) if t else [] for t in texts]
-        fresh = set().union(*parts)
-        if len(self.known) + len(fresh) > self.memo:
-            self.known = {}
-        todo, known = list(fresh.difference(self.known)), self.known
-        alone = self.learn_joined(todo)
+        fresh = list(set().union(*parts))
+        known = dict(zip(fresh, self.raw_words(fresh)))
+        return [b"".join(map(known.__getitem__, p)) for p in parts]
+
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """The same for a column."""
+        texts = texts.fill_null("")
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        cut = pc.replace_substring(pc.replace_substring(texts.filter(pa.array(~odd)), "\n", "\x00\n\x00"), " ", "\x00 ")
+        words = pc.split_pattern(cut, "\x00")
+        numbered = words.flatten().dictionary_encode()
+        raw = pa.array(self.raw_words(numbered.dictionary.to_pylist()), pa.binary())
+        joined = pc.binary_join(pa.ListArray.from_arrays(words.offsets, raw.take(numbered.indices)), b"").to_pylist()
+        if not odd.any():
+            return joined
+        plain, others = iter(joined), iter(self.encode(texts.filter(pa.array(odd)).to_pylist()))
+        return [next(others) if o else next(plain) for o in odd.tolist()]
+
+    def raw_words(self, words: list[str]) -> list[bytes]:
+        """The ids of strings that are encoded apart, as raw bytes; those of short ones are kept for two generations."""
+        known, older = self.known, self.older
+        out = list(map(known.get, words))
+        gaps = [i for i, got in enumerate(out) if got is None]
+        if not gaps:
+            return out
+        own, todo, tails = {}, [], []
+        for i in gaps:
+            w = words[i]
+            if (got := older.get(w)) is not None:
+                own[w] = got
+            elif m := self.marked(w):
+                tails.append((w, *m.groups()))
+                todo += m.groups()
+            else:
+                todo.append(w)
+        fresh = []
+        for w in dict.fromkeys(todo):
+            if (got := known.get(w) or older.get(w)) is None:
+                fresh.append(w)
+            else:
+                own[w] = got
+        alone = self.learn_joined(fresh, own)
         for at in range(0, len(alone), 10_000):
             some = alone[at : at + 10_000]
-            known.update(zip(some, [self.raw(e.ids) for e in self.lib.encode_batch_fast(some, add_special_tokens=False)]))
-        out = [b"".join(map(known.__getitem__, p)) for p in parts]
-        for w in [w for w in todo if len(w) >= KEPT]:
-            del known[w]
+            own.update(zip(some, [self.raw(e.ids) for e in self.lib.encode_batch_fast(some, add_special_tokens=False)]))
+        for w, stem, marks in tails:
+            own[w] = own[stem] + own[marks]
+        for i in gaps:
+            out[i] = own[words[i]]
+        if len(known) + len(own) > self.memo:
+            self.older, self.known = known, {}
+        self.known.update(own if max(map(len, own)) < KEPT else {w: got for w, got in own.items() if len(w) < KEPT})
         return out
 
-    def learn_joined(self, todo: list[str]) -> list[str]:
+    def learn_joined(self, todo: list[str], known: dict[str, bytes]) -> list[str]:
         """Takes up the words behind a space; those that have to be encoded alone are given back."""
         spaced, alone, width = [], [], np.dtype(self.kind).itemsize
         for w in todo:
@@ -125,7 +173,7 @@ class BatchEncoder:
                     alone += words
                     continue
                 raw, cuts = ids.tobytes(), [*(firsts * width).tolist(), len(ids) * width]
-                self.known.update(zip(words, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+                known.update(zip(words, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
         return alone
 
     def raw(self, ids: list[int]) -> bytes:
@@ -239,14 +287,14 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, *, end_
         store, top = file_system(folder)
         name = f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         ids, lengths, out, nulls = [], [], None, 0
-        for b in sliced(batches):
+        for b in sliced(batches, 8192, TOGETHER):
             if out is None:
                 store.create_dir(top, recursive=True)
                 out = store.open_output_stream(f"{top}/{name}.ids")
             own = column(b, "doc_id")
             nulls += own.count(None)
             ids += [i or 0 for i in own]
-            encoded = encoder.encode(column(b, "text"))
+            encoded = encoder.encode_column(b.column(1))
             lengths += [len(e) // width + 1 for e in encoded]
             out.write(end.join(encoded) + end)
         if out is None:
