@@ -628,6 +628,29 @@ def test_sketches_spare_pairs(spark):
     assert jaccard.candidate_pairs(known, docs, 5, 80).count() == 0
 
 
+def test_a_dense_group_is_thinned(spark, monkeypatch):
+    """Of near copies of which none links with all, a few pairs each are compared and not all of them; the groups are those of all pairs."""
+    rnd, base, rows = random.Random(6), prose(8, 200, 9000).split(" "), []
+    for i in range(90):
+        w = list(base)
+        for p in rnd.sample(range(5, 195), 4 if i % 9 == 0 else 2):
+            w[p] = f"q{i}x{p}"
+        rows.append((i, " ".join(w)))
+    sets = {i: shingles(t) for i, t in rows}
+    seen, verified = [], jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *a: (seen.append(pairs.count()), verified(pairs, *a))[1])
+    out = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == smallest_reachable(sets, lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+    assert sum(seen) < 1500, seen
+
+
+def test_components_carry_no_estimate_of_size(spark):
+    """Before, the planner's estimate was a product over all rounds: some ten of them made planning endless."""
+    comps = graph.components(spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long"))
+    assert comps.select("component").distinct().count() == 1
+    assert len(str(comps._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 30
+
+
 def test_components_that_do_not_close(spark):
     with pytest.raises(RuntimeError):
         graph.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), max_rounds=1)

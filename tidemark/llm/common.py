@@ -69,6 +69,16 @@ def fresh_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like `cut`, by way of a Parquet file, for small rows of rounds: a checkpoint keeps Spark's estimate of the size, a product over all joins so far.
+
+    Some ten rounds later, that number has millions of digits, and planning does not end.
+    """
+    folder = fresh_folder(df.sparkSession, "rounds")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

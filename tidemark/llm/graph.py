@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bucket, cut
+from tidemark.llm.common import bucket, stored
 
 SALTS = 16
 #: Rows of one key that one task joins; a key with more is dealt out to as many tasks as that takes.
@@ -39,7 +39,7 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     aggregations, and the joins are salted by the nodes' numbers of neighbours. Self-links and null ends are left out.
     Raises RuntimeError if the stars still change after `max_rounds`, rather than return groups that are not closed.
     """
-    e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -47,7 +47,7 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         large = salted_join(both, least, ["u"], ["v"], rows="rows").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows"))
         small = salted_join(large, least, ["u"], ["v"], rows="rows").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        e = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

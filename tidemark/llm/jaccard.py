@@ -11,7 +11,10 @@ divide it. What lies within reach of anything at all is therefore found by shing
    partner within r shares one of the first n - ceil((1 - r) * n) + 1, so any linked pair meets in a region. Documents
    of different components are compared there, if sizes, places in the order and sketches (the parities of the shingles in
    128 to 2048 places: unlike parities are a lower bound of the shingles in one set only) allow a link;
-4. a region with more than `REGION` rows is divided by a pivot document, taken from its largest component. Exact distances to
+4. a group of near copies of which no one links with all is thinned: in a region of more than `SMALL` rows a row is first paired with a few
+   others only, and the region's rows are kept. Once those pairs are verified, most of the group is one component, and the next round, with four times
+   as many partners, finds the rest. After `ROUNDS`, or a round without a link, what is kept is joined pair by pair;
+5. a region with more than `REGION` rows is then divided by a pivot document, taken from its largest component. Exact distances to
    the pivot are computed; by the triangle inequality linked documents differ by r at most in them, so a document goes to the ring of
    width r that it lies in and is replicated to the next. Rings that hold one component (those around the pivot's
    copies) are done. What lies at 4 r or more from the pivot is divided again by a pivot of its own, `LEVELS` times; what is
@@ -48,6 +51,10 @@ PARTNERS = 4096
 FREQUENT = 1 << 18
 #: Rows of a region, or part of one, that are joined in one piece.
 REGION = 4096
+#: Rows of a region of which all pairs are written at once, partners that a row of a larger one gets in the first round, rounds.
+SMALL, EACH, ROUNDS = 8, 4, 3
+#: Rows of a region of more than REGION rows among which a row's partners of one round are sought.
+STEPS = 256
 BANDS = 3
 #: Bits of a set's sketch at most.
 SKETCH_BITS = 2048
@@ -307,17 +314,26 @@ def shared_regions(rows: DataFrame) -> DataFrame:
     return arrow_map(rows.repartition("g").sortWithinPartitions("g"), run, "g long, doc_id long, n int, pos int")
 
 
-def pairs_of(key: np.ndarray, t: dict[str, np.ndarray], percent: int, sketches: Sketches) -> np.ndarray:
-    """Pairs (smaller id, larger id) within equal keys that may be similar: other component, sizes, places and sketches within bounds.
+def pairs_of(key: np.ndarray, t: dict[str, np.ndarray], percent: int, sketches: Sketches, each: int | None = None, limit: int = REGION) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, keys): pairs (smaller id, larger id) within equal keys that may be similar: other component, sizes, places and sketches within bounds.
 
-    key: sorted. Rows are compared with the next row, the next but one and so on, for all regions at once.
+    key: sorted. Rows are compared with the next row, the next but one and so on, for all regions at once. With `each`, a row of
+    a region of more than SMALL rows ends with that many partners behind it, and the keys of regions where a row did are returned.
     """
     doc, n, pos, comp, block = (t[c].astype(np.int64) for c in ("doc_id", "n", "pos", "comp", "block"))
     out, at, step = [], np.arange(len(key)), 0
+    room, ended = None, np.zeros(len(key), bool)
+    if each:
+        _, own, size = np.unique(key, return_inverse=True, return_counts=True)
+        room, over = np.where(size > min(SMALL, limit), each, len(key))[own], (size > limit)[own]
     while True:
         step += 1
         at = at[at + step < len(key)]
         at = at[key[at + step] == key[at]]
+        if room is not None:
+            stop = (room[at] == 0) | (over[at] & (step > STEPS))
+            ended[at[stop]] = True
+            at = at[~stop]
         if not len(at):
             break
         a, b = at, at + step
@@ -329,13 +345,17 @@ def pairs_of(key: np.ndarray, t: dict[str, np.ndarray], percent: int, sketches:
         if ok.any():
             x, y = doc[a[ok]], doc[b[ok]]
             out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
-    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+            if room is not None:
+                room[a[ok]] -= 1
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64), np.unique(key[ended])
 
 
-def region_pairs(rows: DataFrame, percent: int, limit: int | None = REGION) -> tuple[DataFrame, DataFrame]:
+def region_pairs(rows: DataFrame, percent: int, limit: int | None = REGION, each: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(pairs, rows left): the candidate pairs of regions of at most `limit` rows, and the rows of the larger ones.
 
     rows: (g, part, doc_id, n, pos, comp, block, sketch); a region is (g, part). With block 1 and 2 in a part, only pairs across count.
+    With `each`, regions of any size give some of their pairs, at most that many for a row or, up to SMALL rows, all; left are the rows of
+    those that may have more. Rows stand in an order by hash of the id, the same in all regions and another for each `each`.
     """
     schema = "a long, b long, g long, part long, doc_id long, n int, pos int, comp long, block int, sketch binary"
 
@@ -355,16 +375,31 @@ def region_pairs(rows: DataFrame, percent: int, limit: int | None = REGION) -> t
             starts = np.flatnonzero(first)
             mixed_up = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
             size = np.diff(np.append(starts, len(g)))
-            large = mixed_up & (size > limit) if limit else np.zeros(len(size), bool)
+            large = mixed_up & (size > limit) if limit and not each else np.zeros(len(size), bool)
             if large.any():
                 yield from leave(t.filter(pa.array(large[key])))
             now = (mixed_up & ~large)[key]
             if not now.any():
                 return
-            held = t.column("sketch").filter(pa.array(now)).to_pylist()
-            p = pairs_of(key[now], {c: t.column(c).to_numpy()[now] for c in ("doc_id", "n", "pos", "comp", "block")}, percent, Sketches(held))
-            if len(p):
-                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])] + [pa.nulls(len(p), k) for k in kinds[2:]], names)
+            made, more = written(t, key, np.flatnonzero(now))
+            yield from made
+            if len(more):
+                yield from leave(t.filter(pa.array(np.isin(key, more))))
+
+        def written(t: pa.Table, key: np.ndarray, at: np.ndarray) -> tuple[list[pa.RecordBatch], np.ndarray]:
+            if each:
+                order = mixed(t.column("doc_id").to_numpy()[at].view(np.uint64) * _M[6] + np.uint64(each))
+                at = at[np.lexsort((order, key[at]))]
+            held = t.column("sketch").take(pa.array(at)).to_pylist()
+            p, more = pairs_of(key[at], {c: t.column(c).to_numpy()[at] for c in ("doc_id", "n", "pos", "comp", "block")}, percent, Sketches(held), each, limit or REGION)
+            return [pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])] + [pa.nulls(len(p), k) for k in kinds[2:]], names)] if len(p) else [], more
+
+        def piece(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """A piece of a region far over the limit: its rows are left, whatever the other pieces hold."""
+            t = pa.Table.from_batches(batches)
+            yield from leave(t)
+            if each:
+                yield from written(t, np.zeros(t.num_rows, np.int64), np.arange(t.num_rows))[0]
 
         held: list[pa.RecordBatch] = []
         passing = None  # a region far over the limit, handed on as it comes
@@ -376,7 +411,7 @@ def region_pairs(rows: DataFrame, percent: int, limit: int | None = REGION) -> t
             if passing is not None:
                 same = int(((g == passing[0]) & (part == passing[1])).sum())
                 if same:
-                    yield from leave(pa.Table.from_batches([b.slice(0, same)]))
+                    yield from piece([b.slice(0, same)])
                 if same == b.num_rows:
                     continue
                 b, last, passing = b.slice(same), max(0, last - same), None
@@ -386,7 +421,7 @@ def region_pairs(rows: DataFrame, percent: int, limit: int | None = REGION) -> t
             held.append(b.slice(last))
             if limit and sum(x.num_rows for x in held) > 4 * limit + 100_000:
                 passing = (g[-1], part[-1])
-                yield from leave(pa.Table.from_batches(held))
+                yield from piece(held)
                 held = []
         if held:
             yield from joined(pa.Table.from_batches(held))
@@ -540,6 +575,31 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return compared(pairs, docs, k, percent).filter("linked").select("a", "b")
 
 
+def joined_components(rows: DataFrame, comps: DataFrame, docs: DataFrame, k: int, percent: int, region: int = REGION, levels: int = LEVELS) -> DataFrame:
+    """(node, component) of all links: those of `comps` and those between rows (g, doc_id, n, pos, comp, sketch) of a region.
+
+    Rounds of thinned regions first, each with the components of the one before, so that pairs within a component that has
+    been found are never written; then every pair that is left.
+    """
+
+    def grown(pairs: DataFrame) -> tuple[DataFrame, bool]:
+        pairs = cut(pairs)
+        if pairs.isEmpty() or (far := cut(verified(pairs, docs, k, percent))).isEmpty():
+            return comps, False
+        return components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(far)), True
+
+    left = rows.select("g", F.lit(0).cast("long").alias("part"), "doc_id", "n", "pos", "comp", F.lit(0).alias("block"), "sketch")
+    for i in range(ROUNDS):
+        pairs, left = region_pairs(left, percent, region, EACH * 4**i)
+        comps, found = grown(pairs)
+        if left.isEmpty():
+            return comps
+        left = left.join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component")
+        if not found:
+            break
+    return grown(candidate_pairs(left, docs, k, percent, region, levels))[0]
+
+
 def jaccard_components(docs: DataFrame, *, k: int = 5, percent: int = 80, region: int = REGION, levels: int = LEVELS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -574,9 +634,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, percent: int = 80, region
     sketches = some.groupBy("doc_id").agg(F.when(F.count("*") == 1, F.first("sketch")).alias("sketch"))
     known = sketches.join(known, "doc_id", "left")
     rows = rows.join(known, "doc_id", "left").filter("copy is null").withColumn("comp", F.coalesce("comp", "doc_id"))
-    pairs = cut(candidate_pairs(rows, docs, k, percent, region, levels))
-    far = cut(verified(pairs, docs, k, percent))
-    final = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(far))
+    final = joined_components(rows, comps, docs, k, percent, region, levels)
     out = sets.join(final, sets["doc_id"] == final["node"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
