@@ -12,7 +12,7 @@ divide it. What lies within reach of anything at all is therefore found by shing
    of different components are compared there, if sizes, places in the order and sketches (the parities of the shingles in
    128 to 2048 places: unlike parities are a lower bound of the shingles in one set only) allow a link;
 4. a group of near copies of which no one links with all is thinned: in a region of more than `SMALL` rows a row is first paired with a few
-   others only, and the region's rows are kept. Once those pairs are verified, most of the group is one component, and the next round, with four times
+   others only, and the region's rows are kept. Once those pairs are verified, most of the group is one component, and the next round, with twice
    as many partners, finds the rest. After `ROUNDS`, or a round without a link, what is kept is joined pair by pair;
 5. a region with more than `REGION` rows is then divided by a pivot document, taken from its largest component. Exact distances to
    the pivot are computed; by the triangle inequality linked documents differ by r at most in them, so a document goes to the ring of
@@ -52,7 +52,7 @@ FREQUENT = 1 << 18
 #: Rows of a region, or part of one, that are joined in one piece.
 REGION = 4096
 #: Rows of a region of which all pairs are written at once, partners that a row of a larger one gets in the first round, rounds.
-SMALL, EACH, ROUNDS = 8, 4, 3
+SMALL, EACH, ROUNDS = 8, 2, 4
 #: Rows of a region of more than REGION rows among which a row's partners of one round are sought.
 STEPS = 256
 BANDS = 3
@@ -590,7 +590,7 @@ def joined_components(rows: DataFrame, comps: DataFrame, docs: DataFrame, k: int
 
     left = rows.select("g", F.lit(0).cast("long").alias("part"), "doc_id", "n", "pos", "comp", F.lit(0).alias("block"), "sketch")
     for i in range(ROUNDS):
-        pairs, left = region_pairs(left, percent, region, EACH * 4**i)
+        pairs, left = region_pairs(left, percent, region, EACH << i)
         comps, found = grown(pairs)
         if left.isEmpty():
             return comps
